@@ -143,10 +143,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.empty(size, np.uint64), np.empty(size, np.uint64)
         for out, b in ((up, BASE), (down, _inverse(BASE))):
             out[0] = 1
-            done, step = 1, np.uint64(b)
+            done, step = 1, b
             while done < size:
-                out[done : 2 * done] = out[:done] * step
-                step = step * step
+                out[done : 2 * done] = out[:done] * np.uint64(step)
+                step = step * step % (1 << 64)
                 done *= 2
         if size > 1 << 24:
             return up, down
@@ -208,3 +208,50 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     for j in range(k):
         h = h * np.uint64(BASE) + np.where(length > j, padded[pos + j], np.uint64(0))
     return mix64(h), starts
+
+
+#: Bytes of text that numpy works on at once.
+AT_ONCE = 4 << 20
+
+
+def spans_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings data[s:e]."""
+    up, down = powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(BYTE_KEYS[data] * up[: len(data)], out=sums[1:])
+    return mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def slices(at: np.ndarray, limit: int = AT_ONCE) -> list[tuple[int, int]]:
+    """Runs of rows whose texts hold limit bytes together at most; a longer text is a run of its own."""
+    out, lo, n = [], 0, len(at) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, side="right")) - 1)
+        out.append((lo, min(hi, n)))
+        lo = out[-1][1]
+    return out
+
+
+def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """hash_words() for a column, in parts of bounded size; a very long text is cut before white space."""
+    data, at = text_bytes(column)
+    words, starts, done = [], [np.zeros(1, np.int64)], 0
+    for lo, hi in slices(at):
+        part = data[at[lo] : at[hi]]
+        if hi == lo + 1 and len(part) > 2 * AT_ONCE:
+            n, cut = 0, 0
+            while cut < len(part):
+                stop = min(len(part), cut + AT_ONCE)
+                while stop < len(part) and not SPACE[part[stop]]:
+                    stop += 1
+                w, _ = hash_words(part[cut:stop], np.array([0, stop - cut]), lower)
+                words.append(w)
+                n, cut = n + len(w), stop
+            starts.append(np.array([done + n]))
+            done += n
+        else:
+            w, s = hash_words(part, at[lo : hi + 1] - at[lo], lower)
+            words.append(w)
+            starts.append(s[1:] + done)
+            done += len(w)
+    return (np.concatenate(words) if words else np.zeros(0, np.uint64)), np.concatenate(starts)
