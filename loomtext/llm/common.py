@@ -173,11 +173,11 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def hash_words(data: np.ndarray, at: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def hash_words(data: np.ndarray, at: np.ndarray, lower: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of texts laid end to end, and where each text's words start among them."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    word = ~SPACE[data]
+    word = ~space[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = at[(at > 0) & (at < len(data))]
@@ -232,7 +232,7 @@ def slices(at: np.ndarray, limit: int = AT_ONCE) -> list[tuple[int, int]]:
     return out
 
 
-def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(column: pa.Array, lower: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """hash_words() for a column, in parts of bounded size; a very long text is cut before white space."""
     data, at = text_bytes(column)
     words, starts, done = [], [np.zeros(1, np.int64)], 0
@@ -242,15 +242,15 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
             n, cut = 0, 0
             while cut < len(part):
                 stop = min(len(part), cut + AT_ONCE)
-                while stop < len(part) and not SPACE[part[stop]]:
+                while stop < len(part) and not space[part[stop]]:
                     stop += 1
-                w, _ = hash_words(part[cut:stop], np.array([0, stop - cut]), lower)
+                w, _ = hash_words(part[cut:stop], np.array([0, stop - cut]), lower, space)
                 words.append(w)
                 n, cut = n + len(w), stop
             starts.append(np.array([done + n]))
             done += n
         else:
-            w, s = hash_words(part, at[lo : hi + 1] - at[lo], lower)
+            w, s = hash_words(part, at[lo : hi + 1] - at[lo], lower, space)
             words.append(w)
             starts.append(s[1:] + done)
             done += len(w)
