@@ -9,7 +9,8 @@ Groups of copies would make as many candidates as the square of their size. So:
 1. documents with equal sets are one class, and stand for one another;
 2. in each posting list, members are first held against one pivot only (the one whose prefix is most shared, as a group's original is), which
    takes as many pairs as the list has rows; verified links give components;
-3. then only pairs of different components that still share enough of their prefixes are verified. No list and no pair is dropped.
+3. then only pairs of different components that still share enough of their prefixes are verified. What two documents share is at most what
+   others have of their prefixes before a common token, and what both have from it on: pairs for which this is too little don't meet at it.
 Links are verified on whole texts.
 
 Frequent shingles: each scan task counts its own, those it met twice are summed over tasks, and the most frequent ones (a fixed number at
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, mix64, release, shingle_hashes, word_hashes
@@ -35,6 +36,8 @@ ROWS = 1000
 #: The most prefix tokens beyond the first that a document can ask for.
 MOST = 4
 HEAVY = 1 << 18
+#: Tokens of a prefix that its rows carry along.
+LISTED = 64
 BLOOM_BITS = 25
 
 
@@ -60,9 +63,8 @@ class Prefixes:
     def __init__(self, tokens: np.ndarray, counts: np.ndarray, num: int, den: int):
         self.tokens, self.counts, self.num, self.den = tokens, counts, num, den
 
-    def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """Tokens of the prefix, from which l on each belongs to it, the chosen l, and how little others share the prefix (the less, the
-        better a pivot)."""
+    def of(self, x: np.ndarray) -> tuple[np.ndarray, int, int]:
+        """Tokens of the prefix in order, the chosen l, and how little others share the prefix (the less, the better a pivot)."""
         n = len(x)
         least = -(-self.num * n // self.den)
         df = np.zeros(n)
@@ -80,7 +82,7 @@ class Prefixes:
         own = int(np.argmin(first + el + reads + 20 * reads / el**2)) + 1
         size = first + own - 1
         shared = int(1000 * level[:size].mean())
-        return x[order[:size]], np.maximum(np.arange(size) - first + 2, 1), own, max(0, 32767 - shared)
+        return x[order[:size]], own, max(0, 32767 - shared)
 
 
 def _scan(k: int, flush: int = 4_000_000):
@@ -133,8 +135,8 @@ def heavy_shingles(counts: DataFrame, most: int = HEAVY, least: int = 8) -> tupl
     return tokens[order], n[order]
 
 
-#: meta holds, from the highest bits: set size (32), from which l on the token is in the prefix (8), the document's l (8), rank as a pivot (16).
-POSTINGS = "token long, sig long, meta long"
+#: n: set size. meta holds the token's place in the document's order, the document's l (4 bits) and its rank as a pivot (16 bits).
+POSTINGS = "token long, sig long, n long, meta long"
 
 
 def _postings(k: int, prefixes):
@@ -148,30 +150,31 @@ def _postings(k: int, prefixes):
                     if not len(x) or key in seen:
                         continue
                     seen.add(key)
-                    token, level, own, rank = p.of(x)
-                    out.append((token.view(np.int64), np.full(len(token), key[0], np.int64), (len(x) << 32) | (level << 24) | (own << 16) | rank))
+                    token, own, rank = p.of(x)
+                    n = len(token)
+                    out.append((token.view(np.int64), np.full(n, key[0], np.int64), np.full(n, len(x), np.int64), (np.arange(n) << 20) | (own << 16) | rank))
                 if len(seen) > 1_000_000:
                     seen = set()
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["token", "sig", "meta"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["token", "sig", "n", "meta"])
 
     return run
 
 
 def _shared(batches):
     """Of postings sorted by token, pivot rank and signature: those whose token has several classes, with the list's first one as pivot."""
-    names = ["token", "sig", "meta", "pivot", "pivot_n"]
-    rows = lambda t, s, m, p, q: pa.RecordBatch.from_arrays([pa.array(x) for x in (t, s, m, p, q)], names=names)
+    names = ["token", "sig", "n", "meta", "pivot", "pivot_n"]
+    rows = lambda *c: pa.RecordBatch.from_arrays([pa.array(x) for x in c], names=names)
     token = pivot = pivot_n = sig = None
     waiting = None  # the first row of a list that has one class so far
     for batch in batches:
-        t, s, m = (c.to_numpy() for c in batch.columns)
+        t, s, z, m = (c.to_numpy() for c in batch.columns)
         if not len(t):
             continue
         again = np.zeros(len(t), bool)
         again[1:] = (t[1:] == t[:-1]) & (s[1:] == s[:-1])
         again[0] = token is not None and t[0] == token and s[0] == sig
-        t, s, m = t[~again], s[~again], m[~again]
+        t, s, z, m = t[~again], s[~again], z[~again], m[~again]
         if not len(t):
             continue
         new = np.ones(len(t), bool)
@@ -180,19 +183,19 @@ def _shared(batches):
         at = np.maximum.accumulate(np.where(new, np.arange(len(t)), -1))
         first = np.maximum(at, 0)
         p = np.where(at >= 0, s[first], pivot if pivot is not None else 0)
-        q = np.where(at >= 0, m[first] >> 32, pivot_n if pivot_n is not None else 0)
+        q = np.where(at >= 0, z[first], pivot_n if pivot_n is not None else 0)
         several = ~new
         several[:-1] |= ~new[1:]
         if not new[0] and waiting is not None:
-            yield rows(*(np.array([x], np.int64) for x in (*waiting, waiting[1], waiting[2] >> 32)))
+            yield rows(*(np.array([x], np.int64) for x in (*waiting, waiting[1], waiting[2])))
             waiting = None
         elif new[0]:
             waiting = None
         if several.any():
-            yield rows(t[several], s[several], m[several], p[several], q[several])
+            yield rows(*(c[several] for c in (t, s, z, m, p, q)))
         token, sig, pivot, pivot_n = int(t[-1]), int(s[-1]), int(p[-1]), int(q[-1])
         if new[-1]:
-            waiting = (token, sig, int(m[-1]))
+            waiting = (token, sig, int(z[-1]), int(m[-1]))
 
 
 def _verify(k: int, num: int, den: int):
@@ -237,11 +240,12 @@ class NgramJoin:
         lists = self.docs.select("text").mapInArrow(_postings(k, prefixes), POSTINGS)
         rank = F.col("meta").bitwiseAND(0xFFFF)
         lists = lists.repartition("token").sortWithinPartitions("token", rank, "sig").mapInArrow(_shared, POSTINGS + ", pivot long, pivot_n long")
-        shared = lists.withColumn("n", F.shiftright("meta", 32))
         pivots = self.classes.select(F.col("sig").alias("pivot"), F.col("n").alias("pivot_n"), F.col("rep").alias("pivot_rep"))
-        shared = shared.join(self.classes, ["sig", "n"]).join(pivots, ["pivot", "pivot_n"])
-        fields = [F.shiftright("meta", s).bitwiseAND(0xFF).cast("int").alias(c) for s, c in ((24, "level"), (16, "own"))]
-        self.shared = materialize(shared.select("token", "rep", "n", *fields, "pivot_rep", "pivot_n"), "shared")
+        shared = lists.join(self.classes, ["sig", "n"]).join(pivots, ["pivot", "pivot_n"])
+        own, place = F.shiftright("meta", 16).bitwiseAND(0xF).cast("int").alias("own"), F.shiftright("meta", 20).alias("place")
+        # of a document's prefix only what others have too is left: its number before a token bounds how much can be shared before it
+        before = (F.row_number().over(Window.partitionBy("rep").orderBy("place", "token")) - 1).alias("before")
+        self.shared = materialize(shared.select("token", "rep", "n", own, place, "pivot_rep", "pivot_n").select("*", before), "shared")
         star = self.shared.where("rep <> pivot_rep").select(F.col("pivot_rep").alias("a"), F.col("rep").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb"))
         star = materialize(star.where(self._sizes("na", "nb")).select("a", "b").distinct(), "star")
         self.texts = materialize(self._texts(), "texts")
@@ -285,17 +289,34 @@ class NgramJoin:
 
     def _rest(self, star: DataFrame, near: DataFrame) -> DataFrame:
         """Pairs of different components that share enough of their prefixes, without those already verified."""
-        rows = self.shared.join(near, self.shared["rep"] == near["node"], "left").select("token", "rep", "n", "level", "own", F.coalesce("label", "rep").alias("label"))
+        rows = self.shared.join(near, self.shared["rep"] == near["node"], "left").select("token", "rep", "n", "own", "place", "before", F.coalesce("label", "rep").alias("label"))
         mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
         rows = rows.join(mixed, "token", "left_semi")
+        rows = rows.join(self._lists(), "rep")
         x, y = rows.alias("x"), rows.alias("y")
-        meet = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & self._sizes("x.n", "y.n"))
+        # a pair meets at its first common token: none is in both lists before it. Then they share it and what both have after it at most.
+        # Lists hold the first LISTED tokens only; beyond that a pair may meet again, and what precedes the token counts as shared.
+        earlier = F.arrays_overlap(F.expr("slice(x.list, 1, CAST(x.before AS INT))"), F.expr("slice(y.list, 1, CAST(y.before AS INT))"))
+        before = F.least("x.before", "y.before")
+        known = F.when(F.greatest("x.before", "y.before") <= LISTED, 0).otherwise(before)
+        most = known + 1 + F.least(F.expr("x.n - x.place - 1"), F.expr("y.n - y.place - 1"))
+        enough = most * (self.num + self.den) >= (F.col("x.n") + F.col("y.n")) * self.num
+        meet = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") < F.col("y.label")) & self._sizes("x.n", "y.n") & enough & ~earlier)
         k = F.least("x.own", "y.own")
-        meet = meet.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), k.alias("k"), (F.greatest("x.level", "y.level") <= k).cast("int").alias("hit"))
-        pairs = meet.groupBy("a", "b").agg(F.sum("hit").alias("hits"), F.max("k").alias("k")).where("hits >= k").select("a", "b")
+        mx, my = F.element_at("x.within", k), F.element_at("y.within", k)
+        both = F.size(F.array_intersect(F.slice("x.list", F.lit(1), mx), F.slice("y.list", F.lit(1), my)))
+        pairs = meet.where((F.greatest(mx, my) > LISTED) | (both >= k)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
         done = star.unionByName(star.select(F.col("b").alias("a"), F.col("a").alias("b")))
         return pairs.join(done, ["a", "b"], "left_anti")
 
+    def _lists(self) -> DataFrame:
+        """(rep, list, within): the first tokens of a prefix that others have too, in order, and how many of all such are in the prefix for
+        1, 2, ... common tokens; the prefix for l has n - ceil(n * num / den) + l tokens."""
+        level = F.expr(f"place + 1 - n + (n * {self.num} + {self.den - 1}) DIV {self.den}")
+        within = F.array(*[F.sum((level <= k).cast("int")).cast("int") for k in range(1, MOST + 1)]).alias("within")
+        first = F.array_sort(F.collect_list(F.when(F.col("before") < LISTED, F.struct("place", "token"))))
+        return self.shared.groupBy("rep").agg(F.transform(first, lambda t: t["token"]).alias("list"), within)
+
     def _joined(self, rest: DataFrame, near: DataFrame) -> DataFrame:
         """Components of the components that the later links join."""
         at = lambda c: near.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
