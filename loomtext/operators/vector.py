@@ -190,7 +190,7 @@ def lsh_search(queries: DataFrame, rows: DataFrame, k: int, planes: int = 6, tab
                 yield f.assign(table=t, bucket=bits[:, t])
 
     def dealt(df, own):
-        return df.select(own, vector).mapInPandas(buckets, f"{own} {df.schema[own].dataType.simpleString()}, {vector} {df.schema[vector].dataType.simpleString()}, table int, bucket long")
+        return df.where(F.col(vector).isNotNull()).select(own, vector).mapInPandas(buckets, f"{own} {df.schema[own].dataType.simpleString()}, {vector} {df.schema[vector].dataType.simpleString()}, table int, bucket long")
 
     q = dealt(queries, query_key).withColumnRenamed(vector, "qv")
     pairs = q.join(dealt(rows, key), ["table", "bucket"]).dropDuplicates([query_key, key])
