@@ -8,7 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +68,15 @@ def release(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._loom_path)
 
 
+def smallest(rows: DataFrame, by: list[str], order: list[str], n: int, parts: int = 1024) -> DataFrame:
+    """The n rows of each group that come first in order (a total one, but for equal rows). A group is cut within parts of the scan tasks
+    first, so what then meets in one task is parts * n of its rows at most, however large it is."""
+    first = rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(parts)))
+    for keys in ([*by, "_part"], by):
+        first = first.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
+    return first.drop("_part")
+
+
 def running(df: DataFrame, group: str | None, order: list[str], value: str, tag: str) -> DataFrame:
     """Adds the columns before_value and before_rows: the sum of value and the number of rows before each row, in the given order of
     columns within each group (an integer column without nulls, or None for one group).

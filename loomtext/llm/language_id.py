@@ -14,10 +14,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_bytes
+from .common import documents, smallest, text_bytes
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 #: Classes of bytes: 0 for ASCII that is no letter, letters without case, and each byte of other characters.
@@ -114,9 +114,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     spot = lambda s: F.substring(t, F.pmod(F.xxhash64(F.col(key), F.lit(s)), F.greatest(F.length(t) - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW))
     rows = docs.where(F.col(lang).isNotNull() & t.rlike("\\p{L}"))
     rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(key).alias("k"), spot(seed).alias("a"), spot(seed + 1).alias("b"))
-    order = Window.partitionBy("lang").orderBy("h", "k", "a")
-    got = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).select("lang", "h", "a", "b").collect()
-    got.sort(key=lambda r: (r["lang"], r["h"], r["a"]))
+    got = smallest(rows, ["lang"], ["h", "k", "a", "b"], per_language).select("lang", "h", "a", "b").collect()
+    got.sort(key=lambda r: (r["lang"], r["h"], r["a"], r["b"]))
     languages = sorted({r["lang"] for r in got})
     if not languages:
         return None

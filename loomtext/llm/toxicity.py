@@ -7,7 +7,7 @@ far to trust them. L1 penalties leave a few hundred words with a weight, so that
 The models are fitted on the driver on a bounded, documented sample of labelled rows (per_group rows of each combination of labels, by hash
 of the identifier); scoring reads every row and whole texts, in one pass without a shuffle. Nulls: a null text has no words; rows of labels
 with a null category or identifier teach nothing. Without labels, or with one class only, a category's probability is its share of the rows
-(0 without rows). Repeated rows of labels count once. Empty tables give empty results.
+(0 without rows). Repeated rows of labels count once, with a category that any of them has. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,9 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
-from .common import AT_ONCE, LOWER, documents, mix64, slices, spans_hash, text_bytes
+from .common import AT_ONCE, LOWER, documents, mix64, slices, smallest, spans_hash, text_bytes
 
 BITS = 18
 #: Words end at any ASCII character but letters, digits and the apostrophe.
@@ -178,10 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], key: str =
     for c in [key, *categories]:
         good = good & F.col(c).isNotNull()
     rows = labels.where(good).select(F.col(key).cast("long").alias("k"), *[(F.col(c) > 0).cast("int").alias(f"y{i}") for i, c in enumerate(categories)])
-    rows = rows.dropDuplicates(["k"])
     ys = [f"y{i}" for i in range(len(categories))]
-    order = Window.partitionBy(*ys).orderBy(F.xxhash64("k", F.lit(seed)), "k")
-    sample = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_group).drop("r")
+    rows = rows.groupBy("k").agg(*[F.max(y).alias(y) for y in ys]).withColumn("h", F.xxhash64("k", F.lit(seed)))
+    sample = smallest(rows, ys, ["h", "k"], per_group).drop("h")
 
     def run(batches):
         for batch in batches:

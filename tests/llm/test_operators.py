@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import types as T
 
-from loomtext.llm import audio, components, exact_dedup, language_id, mixing, ngram_join, packing, sharding, suffix_dedup, token_files, tokens, toxicity
+from loomtext.llm import audio, common, components, exact_dedup, language_id, mixing, ngram_join, packing, sharding, suffix_dedup, token_files, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, h long, label string"
 WORDS = "the of and to river stone light cloud winter paper engine garden silver window market bridge forest candle".split()
@@ -127,6 +127,14 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 1, 200: 200, 201: 200, 202: 200}
 
 
+def test_smallest_of_a_large_group(spark):
+    rows = spark.range(5000).repartition(7).selectExpr("id", "CAST(id < 4900 AS INT) AS g", "hash(id) AS h")
+    got = common.smallest(rows, ["g"], ["h", "id"], 30, parts=3)
+    assert got.columns == ["id", "g", "h"]
+    want = sorted(sorted((r for r in rows.collect() if r["g"] == g), key=lambda r: (r["h"], r["id"]))[:30] for g in (0, 1))
+    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for w in want for r in w)
+
+
 def test_toxicity(spark, none):
     r = random.Random(5)
     bad = ["vilest", "vilely", "grubbo"]
