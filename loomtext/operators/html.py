@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -85,12 +86,11 @@ def text_of(node: Node, dropped: set[str] = DROPPED) -> str:
             return
         if n.tag in dropped or AD.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"):
             return
-        if n.tag in BLOCKS:
-            out.append("\n")
+        edge = "\n" if n.tag in BLOCKS else " " if n.tag in ("td", "th") else ""
+        out.append(edge)
         for c in n.children:
             visit(c)
-        if n.tag in BLOCKS:
-            out.append("\n")
+        out.append(edge)
 
     visit(node)
     lines = [re.sub(r" +", " ", x).strip() for x in "".join(out).split("\n")]
@@ -118,7 +118,7 @@ def own_rows(table: Node) -> list[Node]:
     return rows
 
 
-def grid(table: Node) -> tuple[list[list[str]], int]:
+def grid(table: Node, dropped: set[str] = DROPPED) -> tuple[list[list[str]], int]:
     """Cells by row and column, spans filled in, and the number of header rows (three at most)."""
     cells: dict[tuple[int, int], str] = {}
     heads, counting = 0, True
@@ -134,7 +134,7 @@ def grid(table: Node) -> tuple[list[list[str]], int]:
             while (i, j) in cells:
                 j += 1
             down, across = (max(1, int(c.attrs.get(a) or 1)) if (c.attrs.get(a) or "1").isdigit() else 1 for a in ("rowspan", "colspan"))
-            body = " ".join(text_of(c).split("\n"))
+            body = " ".join(text_of(c, dropped).split("\n"))
             for y in range(i, min(len(rows), i + down)):
                 for x in range(j, j + across):
                     cells.setdefault((y, x), body)
@@ -286,3 +286,143 @@ def blocks(df: DataFrame, key: str, markdown: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=[key, "block", "type", "title", "data"])
 
     return df.select(key, markdown).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, block int, type string, title string, data string")
+
+
+def clean_html(node: Node) -> str:
+    """Markup without dropped elements, advertisements and attributes other than href, src and spans."""
+    out: list[str] = []
+
+    def visit(n):
+        if isinstance(n, str):
+            out.append(escape(n, quote=False))
+            return
+        if n.tag in DROPPED or AD.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"):
+            return
+        inner = n.tag != "root"
+        if inner:
+            out.append(f"<{n.tag}" + "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items() if k in ("href", "src", "rowspan", "colspan")) + ">")
+        for c in n.children:
+            visit(c)
+        if inner and n.tag not in VOID:
+            out.append(f"</{n.tag}>")
+
+    visit(node)
+    return "".join(out)
+
+
+def cell_parts(cell: Node, whole: int = 500, size: int = 600) -> list[str]:
+    """A table cell in parts that mean something: whole when short; else its list items (what isn't in the lists before them), lines or
+    paragraphs; else pieces of bounded size, cut between words where one ends late enough."""
+    full = " ".join(text_of(cell).split("\n"))
+    if len(full) <= whole:
+        return [full] if full else []
+    own = [c for c in cell.children if isinstance(c, Node)]
+    flat = lambda n: " ".join(text_of(n).split("\n"))
+    lists = [c for c in own if c.tag in ("ul", "ol")]
+    if lists:
+        items = [x for n in lists for li in n.find("li") if len(x := flat(li)) > 20]
+        rest = Node("td", {})
+        rest.children = [c for c in cell.children if not any(c is n for n in lists)]
+        other = flat(rest)
+        if len(other) > 20 and not any(other in x or x in other for x in items):
+            items.insert(0, other)
+        if items:
+            return items
+    if cell.first("br"):
+        lines, held = [], Node("td", {})
+        for c in [*cell.children, Node("br", {})]:
+            if isinstance(c, Node) and c.tag == "br":
+                lines.append(flat(held))
+                held = Node("td", {})
+            else:
+                held.children.append(c)
+        lines = [x for x in lines if len(x) > 20]
+        if len(lines) > 1:
+            return lines
+    paragraphs = [c for c in own if c.tag == "p"]
+    if len(paragraphs) > 1 and (long := [x for p in paragraphs if len(x := flat(p)) > 50]):
+        return long
+    parts, at = [], 0
+    while at < len(full):
+        end = min(at + size, len(full))
+        if end < len(full) and (space := full.rfind(" ", at, end)) > at + 0.7 * size:
+            end = space
+        parts.append(full[at:end].strip())
+        at = end
+    return [x for x in parts if x]
+
+
+def nested_lines(table: Node, depth: int = 0, deepest: int = 3) -> list[str]:
+    """A table as lines, a row each, `header: value` with a header row; tables within its cells follow, indented by their depth."""
+    rows, heads = grid(table, DROPPED | {"table"})
+    names = headers(rows, heads) if heads else []
+    shift = "  " * depth
+    out = [shift + "- " + ", ".join((f"{names[j]}: {c}" if names and names[j] else c) for j, c in enumerate(r) if c) for r in rows[heads:]]
+    if depth < deepest:
+        for row in own_rows(table):
+            for cell in (c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")):
+                if inner := cell.first("table"):
+                    out += nested_lines(inner, depth + 1, deepest)
+    return [x for x in out if x.strip(" -")]
+
+
+def _each(df: DataFrame, key: str, html: str, schema: str, rows_of) -> DataFrame:
+    """A row for each thing that rows_of finds in a page's tree."""
+
+    def run(frames):
+        names = [key, *[x.split()[0] for x in schema.split(", ")]]
+        for f in frames:
+            yield pd.DataFrame([(k, *r) for k, h in zip(f[key], f[html]) for r in rows_of(parse(h if isinstance(h, str) else ""))], columns=names)
+
+    return df.select(key, html).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {schema}")
+
+
+def cleaned(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, clean: one row for each page."""
+    return _each(df, key, html, "clean string", lambda root: [(clean_html(main_content(root)),)])
+
+
+def cells(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, table, row, column, header, value of every data cell of every table; tables and rows count from 1, columns too."""
+
+    def rows_of(root):
+        for n, t in enumerate(root.find("table"), 1):
+            rows, heads = grid(t)
+            names = headers(rows, heads) or [f"column {j + 1}" for j in range(len(rows[0]) if rows else 0)]
+            for i, r in enumerate(rows[heads:], 1):
+                yield from ((n, i, j, h, c) for j, (h, c) in enumerate(zip(names, r), 1))
+
+    return _each(df, key, html, "table int, row int, column int, header string, value string", rows_of)
+
+
+def parts(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, cell, part, value: the parts of every cell."""
+    return _each(df, key, html, "cell int, part int, value string", lambda root: ((i, j, x) for i, c in enumerate(root.find("td", "th"), 1) for j, x in enumerate(cell_parts(c), 1)))
+
+
+def nested(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, line, value: outer tables, with the tables within them flattened."""
+
+    def rows_of(root):
+        tables = root.find("table")
+        inner = {id(x) for t in tables for c in t.children if isinstance(c, Node) for x in c.find("table")}
+        return enumerate((x for t in tables if id(t) not in inner for x in nested_lines(t)), 1)
+
+    return _each(df, key, html, "line int, value string", rows_of)
+
+
+def tree(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, place, page, parent, level, title: the navigation tree's entries in order."""
+    return _each(df, key, html, "place int, page string, parent string, level int, title string", lambda root: ((i, r["page"], r["parent"], r["level"], r["title"]) for i, r in enumerate(page_tree(root), 1)))
+
+
+def structure_files(spark, path: str, out: str) -> DataFrame:
+    """Reads all HTML files below path, writes a JSON row for each with its parts and blocks, and returns what was written."""
+    from pyspark.sql import functions as F
+
+    from ..sources.collections import read_texts
+
+    files = pages(read_texts(spark, path, ("html", "htm")), "path", "text")
+    found = blocks(files, "path", "markdown").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block", "type", "title", "data"))).alias("blocks"))
+    files.join(found, "path", "left").write.mode("overwrite").json(out)
+    return spark.read.json(out)

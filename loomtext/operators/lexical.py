@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,3 +66,21 @@ def keyword_count(df: DataFrame, words: list[str], text: str = "text") -> DataFr
     """Adds score: how many of the words the text has, whatever the case; rows with none go."""
     low = F.lower(F.col(text))
     return df.withColumn("score", sum((F.contains(low, F.lit(w.lower())).cast("int") for w in words), F.lit(0))).where("score > 0")
+
+
+def hashed_vectors(df: DataFrame, key: str, text: str, dim: int = 256, tokens=terms) -> DataFrame:
+    """key, embedding: the stand-in for a model's vectors. A word's cell is its md5 modulo dim, cells hold counts, and the norm is one. A text
+    without words has zeros only. Words and cells are found in the JVM, counting is done on Arrow batches, and nothing is shuffled."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+            n = np.bincount(row * dim + lists.flatten().to_numpy(), minlength=batch.num_rows * dim).reshape(-1, dim).astype(float)
+            n /= np.maximum(np.sqrt((n * n).sum(axis=1, keepdims=True)), 1e-300)
+            at = pa.array(np.arange(0, n.size + 1, dim, dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(n.ravel()))], names=[key, "embedding"])
+
+    cell = lambda w: (F.conv(F.substring(F.md5(w), 1, 2 if dim <= 256 else 8), 16, 10).cast("long") % dim).cast("int")
+    cells = F.transform(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), cell).alias("cells")
+    return df.select(key, cells).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<double>")

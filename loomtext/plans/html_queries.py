@@ -51,3 +51,51 @@ def m10(spark, sf):
 @query("m12_frontmatter", "SELECT page_id, '{\"page_id\":' || page_id || ',\"url\":\"' || url || '\"}' AS front FROM pages")
 def m12(spark, sf):
     return pages(spark, sf).select("page_id", F.to_json(F.struct("page_id", "url")).alias("front"))
+
+
+def _tables(spark, sf):
+    """Tables written from rows, so that reading them must give the rows again: a supplier each, with a header over two columns."""
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    cell = lambda c, tag="td": F.concat(F.lit(f"<{tag}>"), F.col(c).cast("string"), F.lit(f"</{tag}>"))
+    head = F.lit("<table><thead><tr><th>name</th><th colspan='2'>place</th></tr><tr><th>name</th><th>nation</th><th>key</th></tr></thead>")
+    return s.select("s_suppkey", F.concat(head, F.lit("<tr>"), cell("s_name"), cell("s_nationkey"), cell("s_suppkey"), F.lit("</tr></table>")).alias("html"))
+
+
+@query("m3_clean_html")
+def m3(spark, sf):
+    return html.cleaned(pages(spark, sf))
+
+
+@query("m4_tables", "SELECT s_suppkey, 1::INTEGER AS \"table\", 1::INTEGER AS \"row\", c.i::INTEGER AS \"column\", c.h AS header, c.v AS value FROM supplier, LATERAL (VALUES (1, 'name', s_name), (2, 'place > nation', s_nationkey::VARCHAR), (3, 'place > key', s_suppkey::VARCHAR)) c(i, h, v)")
+def m4(spark, sf):
+    return html.cells(_tables(spark, sf), "s_suppkey")
+
+
+@query("m5_nested", "SELECT s_suppkey, l.i::INTEGER AS line, l.v AS value FROM supplier, LATERAL (VALUES (1, '- outer ' || s_suppkey), (2, '  - name: ' || s_name || ', nation: ' || s_nationkey)) l(i, v)")
+def m5(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet")
+    inner = F.concat(F.lit("<table><tr><th>name</th><th>nation</th></tr><tr><td>"), "s_name", F.lit("</td><td>"), F.col("s_nationkey").cast("string"), F.lit("</td></tr></table>"))
+    outer = F.concat(F.lit("<table><tr><td>outer "), F.col("s_suppkey").cast("string"), inner, F.lit("</td></tr></table>"))
+    return html.nested(s.select("s_suppkey", outer.alias("html")), "s_suppkey")
+
+
+@query("m6_cell_parts", "SELECT item_id, 1::INTEGER AS cell, p.i::INTEGER AS part, p.v AS value FROM benchmark, LATERAL (VALUES (1, 'first item of many words ' || item_id), (2, repeat('x', 600)), (3, 'last item of many words ' || item_id)) p(i, v)")
+def m6(spark, sf):
+    k = F.col("item_id").cast("string")
+    cell = F.concat(F.lit("<table><tr><td><ul><li>first item of many words "), k, F.lit("</li><li>" + "x" * 600 + "</li><li>short</li><li>last item of many words "), k, F.lit("</li></ul></td></tr></table>"))
+    return html.parts(spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", cell.alias("html")), "item_id")
+
+
+@query("m8_markdown_tables", "SELECT s_suppkey, '| name | place > nation | place > key |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || s_name || ' | ' || s_nationkey || ' | ' || s_suppkey || ' |' AS markdown FROM supplier")
+def m8(spark, sf):
+    return html._each(_tables(spark, sf), "s_suppkey", "html", "markdown string", lambda root: [("\n".join(html.table_markdown(t) for t in root.find("table")),)])
+
+
+@query("m11_page_tree", "SELECT n_regionkey, place::INTEGER AS place, page, parent, level::INTEGER AS level, title FROM (SELECT r_regionkey AS n_regionkey, 1 AS place, '/r' || r_regionkey AS page, NULL AS parent, 0 AS level, r_name AS title FROM region UNION ALL SELECT n_regionkey, 1 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), '/n' || n_nationkey, '/r' || n_regionkey, 1, n_name FROM nation)")
+def m11(spark, sf):
+    n, r = spark.read.parquet(f"{sf}/nation.parquet"), spark.read.parquet(f"{sf}/region.parquet")
+    item = F.concat(F.lit("<li><a href='/n"), F.col("n_nationkey").cast("string"), F.lit("'>"), "n_name", F.lit("</a></li>"))
+    items = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", item.alias("i")))).alias("x"))
+    items = items.select("n_regionkey", F.array_join(F.transform("x", lambda x: x["i"]), "").alias("items"))
+    page = F.concat(F.lit("<div class='pagetree'><ul><li><a href='/r"), F.col("n_regionkey").cast("string"), F.lit("'>"), "r_name", F.lit("</a><ul>"), "items", F.lit("</ul></li></ul></div>"))
+    return html.tree(items.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_regionkey", page.alias("html")), "n_regionkey")

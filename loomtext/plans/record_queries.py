@@ -141,12 +141,6 @@ def a18(spark, sf):
     return t(spark, sf, "events").select("user_id", "event_id", F.round(F.sum("value").over(w), 4).alias("running"))
 
 
-@query("a19_intents", "SELECT conv_id, turn, CASE WHEN contains(lower(text), 'help') THEN 'help' WHEN contains(lower(text), 'the') THEN 'talk' ELSE 'other' END AS intent FROM conversations")
-def a19(spark, sf):
-    low = F.lower("text")
-    return t(spark, sf, "conversations").select("conv_id", "turn", F.when(F.contains(low, F.lit("help")), "help").when(F.contains(low, F.lit("the")), "talk").otherwise("other").alias("intent"))
-
-
 @query("a20_blend", "SELECT doc_id, round(0.4 * quality + 0.6 * toxic, 4)::DOUBLE AS blended FROM labels")
 def a20(spark, sf):
     return t(spark, sf, "labels").select("doc_id", F.round(0.4 * F.col("quality") + 0.6 * F.col("toxic"), 4).alias("blended"))
@@ -165,12 +159,6 @@ def a24(spark, sf):
     return t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_suppkey", F.struct(s, "l_suppkey", "l_linenumber")).alias("l_suppkey"))
 
 
-@query("a25_rubric", "SELECT item_id, CASE WHEN length(text) % 12 BETWEEN 1 AND 10 THEN (length(text) % 12)::DOUBLE ELSE 5.0 END AS score FROM benchmark")
-def a25(spark, sf):
-    stated = F.regexp_extract(F.concat(F.lit("total score: "), (F.length("text") % 12).cast("string")), "score: ([0-9]+)", 1).cast("double")
-    return t(spark, sf, "benchmark").select("item_id", F.when(stated.between(1, 10), stated).otherwise(F.lit(5.0)).alias("score"))
-
-
 @query("a26_costs", "SELECT lang, round(sum(length(text) // 4) * 0.15 / 1000000, 8) AS cost FROM documents GROUP BY lang")
 def a26(spark, sf):
     return t(spark, sf, "documents").groupBy("lang").agg(F.round(F.sum(F.floor(F.length("text") / 4)) * 0.15 / 1000000, 8).alias("cost"))
@@ -226,13 +214,6 @@ def s15(spark, sf):
     return t(spark, sf, "documents").join(t(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id")
 
 
-@query("z10_aliases", "SELECT event_id, CASE event_type WHEN 'click' THEN 'tap' WHEN 'view' THEN 'look' ELSE CASE WHEN contains(event_type, 'log') THEN 'session' ELSE 'other' END END AS alias FROM events")
-def z10(spark, sf):
-    c = F.col("event_type")
-    exact = F.when(c == "click", "tap").when(c == "view", "look")
-    return t(spark, sf, "events").select("event_id", F.coalesce(exact, F.when(F.contains(c, F.lit("log")), "session"), F.lit("other")).alias("alias"))
-
-
 @query("z13_combined", "SELECT user_id, count(*) FILTER (WHERE value > 50) AS good, count(*) FILTER (WHERE value <= 50) AS bad, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY user_id")
 def z13(spark, sf):
     v = F.col("value")
