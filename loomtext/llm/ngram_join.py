@@ -11,7 +11,9 @@ Groups of copies would make as many candidates as the square of their size. So:
    takes as many pairs as the list has rows; verified links give components;
 3. then only pairs of different components that still share enough of their prefixes are verified. What two documents share is at most what
    others have of their prefixes before a common token, and what both have from it on: pairs for which this is too little don't meet at it.
-Links are verified on whole texts.
+Links are verified on whole texts. Components need no more. The links that 2. and 3. pass over are those within one component of the pivots:
+whoever asks for links has all pairs of such a component held against one another, in cells of two blocks of its members each, so that a large
+component is dealt to many tasks and a text is sent once a block, not once a pair.
 
 Frequent shingles: each scan task counts its own, those it met twice are summed over tasks, and the most frequent ones (a fixed number at
 most, chosen by a threshold) are broadcast. They decide the order alone; the result doesn't depend on them.
@@ -23,6 +25,8 @@ node of the links, whatever their texts. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -39,6 +43,8 @@ HEAVY = 1 << 18
 #: Tokens of a prefix that its rows carry along.
 LISTED = 64
 BLOOM_BITS = 25
+#: Members of a component that meet in a cell, about.
+BLOCK = 256
 
 
 def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
@@ -225,8 +231,54 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
+def _within(k: int, num: int, den: int):
+    """Of texts sorted by cell (x and y are the cell's blocks, z the text's own): the links between block x and block y, or within x if x = y."""
+
+    def linked(cell):
+        ids, own, sets = zip(*cell)
+        ids, own, n = np.array(ids, np.int64), np.array(own), np.array([len(x) for x in sets])
+        tokens, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(tokens, kind="stable")
+        tokens, row = tokens[order], row[order]
+        for i, x in enumerate(sets):
+            lo, hi = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(hi - lo)[:-1]]), hi - lo) + np.arange((hi - lo).sum())
+            both = np.bincount(row[at], minlength=len(sets))
+            total = n[i] + n - both
+            # each pair once: from the lesser block to the other one, or in a block of itself from the lesser identifier
+            other = (own > own[i]) if own.min() < own.max() else (ids > ids[i])
+            j = np.flatnonzero(other & (both > 0) & (den * both >= num * total))
+            if len(j):
+                a = np.full(len(j), ids[i])
+                yield np.minimum(a, ids[j]), np.maximum(a, ids[j]), both[j], total[j]
+
+    def run(batches):
+        at, cell = None, []
+
+        def done():
+            # a cell of two blocks has nothing to do if one of them is empty
+            if len(cell) > 1 and (at[1] == at[2] or len({c[1] for c in cell}) == 2):
+                found = list(linked(cell))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found)], names=["a", "b", "n_both", "n_union"])
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                some = batch.slice(lo, 256)
+                label, x, y, z, ids = (some.column(c).to_pylist() for c in range(5))
+                for key, own, i, s in zip(zip(label, x, y), z, ids, shingle_sets(some.column(5), k)):
+                    if key != at:
+                        yield from done()
+                        at, cell = key, []
+                    cell.append((i, own, s))
+        yield from done()
+
+    return run
+
+
 class NgramJoin:
-    """documents(): a row per document with its set size, class and component; links: verified pairs of classes of different texts."""
+    """documents(): a row per document with its set size, class, number of links and component; components(): the same without links, which
+    takes fewer pairs; links: all verified pairs (a < b) of classes of different texts, found when first asked for."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100):
         self.k, self.num, self.den = k, num, den
@@ -251,9 +303,24 @@ class NgramJoin:
         self.texts = materialize(self._texts(), "texts")
         first = materialize(self._verified(star), "links")
         near = components(first)
-        rest = materialize(self._verified(self._rest(star, near)), "links")
-        self.links = first.unionByName(rest)
-        self.near, self.far = near, self._joined(rest, near)
+        self.rest = materialize(self._verified(self._rest(star, near)), "links")
+        self.near, self.far = near, self._joined(self.rest, near)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        """a, b, n_both, n_union: those of different components of the pivots, and those within one, the pivots' own among them."""
+        apart = self.rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "n_both", "n_union")
+        return materialize(apart.unionByName(self._inside()), "links")
+
+    def _inside(self) -> DataFrame:
+        """All links within components of the pivots. Whatever links two of a component's members, a common prefix or not, its cell holds both."""
+        sizes = self.near.groupBy("label").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        members = self.near.join(sizes, "label").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        texts = members.join(self.texts, F.col("node") == self.texts["id"])
+        cells = texts.select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"), "own", "id", "text")
+        cells = cells.select("label", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "text")
+        cells = cells.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y")
+        return cells.mapInArrow(_within(self.k, self.num, self.den), "a long, b long, n_both long, n_union long")
 
     def _sizes(self, a: str, b: str):
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
@@ -325,26 +392,36 @@ class NgramJoin:
 
     def documents(self) -> DataFrame:
         """One row per document: doc_id, n_shingles, class_id, n_links of its class with other classes, component_id."""
+        pairs = self.links.select("a", "b").distinct()
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
+        out = self.components().join(ends, "class_id", "left")
+        return out.select("doc_id", "n_shingles", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "component_id")
+
+    def components(self) -> DataFrame:
+        """One row per document: doc_id, n_shingles, class_id, component_id."""
         near = self.near.select(F.col("node").alias("rep"), F.col("label").alias("near"))
         far = self.far.select(F.col("node").alias("near"), F.col("label").alias("far"))
-        ends = self.links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-        classes = self.classes.join(near, "rep", "left").withColumn("near", F.coalesce("near", "rep")).join(far, "near", "left").join(ends, "rep", "left")
-        classes = classes.select("sig", "n", "rep", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("far", "near").alias("component"))
+        classes = self.classes.join(near, "rep", "left").withColumn("near", F.coalesce("near", "rep")).join(far, "near", "left")
+        classes = classes.select("sig", "n", "rep", F.coalesce("far", "near").alias("component"))
         out = self.rows.join(classes, ["sig", "n"], "left")
-        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("rep", "id").alias("class_id"), F.coalesce("component", "id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents with the smallest identifier of their component, with all their columns."""
-    kept = NgramJoin(docs, key, text, **options).documents().where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = NgramJoin(docs, key, text, **options).components().where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     return docs.join(kept, F.col(key).cast("long").eqNullSafe(kept["_kept_id"]), "left_semi")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return NgramJoin(documents(spark, sf_dir)).documents().select("doc_id", "n_shingles", "component_id")
+    return NgramJoin(documents(spark, sf_dir)).components().select("doc_id", "n_shingles", "component_id")
+
+
+def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NgramJoin(documents(spark, sf_dir)).documents()
 
 
-QUERIES = {"op2_ngram_join": op2_ngram_join}
+QUERIES = {"op2_ngram_join": op2_ngram_join, "op2_ngram_links": op2_ngram_links}
 ORACLES = {
     "op2_ngram_join": r"""
 WITH RECURSIVE w AS (

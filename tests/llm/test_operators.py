@@ -104,6 +104,41 @@ def test_ngram_join(spark, docs, rows, none):
     assert ngram_join.NgramJoin(none).documents().count() == 0
 
 
+def brute_links(rows, k=5):
+    """Classes are documents with equal sets, by their smallest identifier."""
+    sets = {}
+    for d, t in rows:
+        w = low(t).split()
+        if w:
+            s = frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
+            sets[s] = min(d, sets.get(s, d))
+    got = [(min(a, b), max(a, b), len(s & t), len(s | t)) for i, (s, a) in enumerate(sets.items()) for t, b in list(sets.items())[:i]]
+    return sorted(x for x in got if 100 * x[2] >= 80 * x[3])
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_ngram_join_has_all_links(spark, monkeypatch, block):
+    """Near copies of a text link with one another, not with the pivot of their posting lists alone."""
+    monkeypatch.setattr(ngram_join, "BLOCK", block, raising=False)
+    r = random.Random(11)
+    rows = [(1000, prose(r, 50)), (1001, None), (1002, "")]
+    for g in range(3):
+        base = prose(r, 200).split()
+        for i in range(12):
+            w = list(base)
+            for _ in range(r.randrange(4) if i else 0):
+                w[r.randrange(len(w))] = f"edit{r.randrange(10**6)}"
+            rows.append((100 * g + i, " ".join(w)))
+    rows += [(500 + i, t) for i, (_, t) in enumerate(rows[5:8])]
+    want = brute_links(rows)
+    assert len(want) > 90
+    j = ngram_join.NgramJoin(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert sorted(tuple(x) for x in j.links.select("a", "b", "n_both", "n_union").collect()) == want
+    ends = [d for x in want for d in x[:2]]
+    got = j.documents().collect()
+    assert len(got) == len(rows) and all(x["n_links"] == ends.count(x["class_id"]) for x in got)
+
+
 def test_prefixes_find_every_link():
     """Any two sets above the threshold share enough of their prefixes, whatever is known about frequencies."""
     r = np.random.default_rng(1)
