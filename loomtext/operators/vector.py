@@ -178,21 +178,26 @@ def kmeans(df: DataFrame, k: int, rounds: int = 10, key: str = "vec_id", vector:
     return df.withColumn("_d", d).withColumn("cluster", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_d")
 
 
-def lsh_search(queries: DataFrame, rows: DataFrame, k: int, planes: int = 6, tables: int = 24, dim: int = 64, seed: int = 1, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Approximate knn(): rows that share a bucket of random hyperplanes with the query in any of several tables, ranked by cosine."""
+def lsh_search(queries: DataFrame, rows: DataFrame, k: int, planes: int = 6, tables: int = 24, dim: int = 64, seed: int = 1, probes: int = 2, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """Approximate knn(): rows that share a bucket of random hyperplanes with the query in any of several tables, ranked by cosine. In each
+    table a query also asks the buckets across each of the few planes (probes) that it is nearest to."""
     r = np.random.default_rng(seed).normal(size=(tables, planes, dim))
 
-    def buckets(frames):
+    def buckets(frames, more):
         for f in frames:
             x = np.array([np.asarray(v, float) for v in f[vector]]).reshape(-1, dim)
-            bits = (np.einsum("nd,tpd->ntp", x, r) > 0) @ (1 << np.arange(planes))
+            side = np.einsum("nd,tpd->ntp", x, r)
+            bits = (side > 0) @ (1 << np.arange(planes))
+            across = 1 << np.argsort(np.abs(side), axis=2)[:, :, :more]
             for t in range(tables):
                 yield f.assign(table=t, bucket=bits[:, t])
+                for p in range(across.shape[2]):
+                    yield f.assign(table=t, bucket=bits[:, t] ^ across[:, t, p])
 
-    def dealt(df, own):
-        return df.where(F.col(vector).isNotNull()).select(own, vector).mapInPandas(buckets, f"{own} {df.schema[own].dataType.simpleString()}, {vector} {df.schema[vector].dataType.simpleString()}, table int, bucket long")
+    def dealt(df, own, more=0):
+        return df.where(F.col(vector).isNotNull()).select(own, vector).mapInPandas(lambda frames: buckets(frames, more), f"{own} {df.schema[own].dataType.simpleString()}, {vector} {df.schema[vector].dataType.simpleString()}, table int, bucket long")
 
-    q = dealt(queries, query_key).withColumnRenamed(vector, "qv")
+    q = dealt(queries, query_key, probes).withColumnRenamed(vector, "qv")
     pairs = q.join(dealt(rows, key), ["table", "bucket"]).dropDuplicates([query_key, key])
     scored = pairs.select(query_key, key, F.round(V.cosine(F.col("qv"), F.col(vector)), 4).alias("score"))
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)

@@ -77,6 +77,17 @@ def test_knn_against_numpy(spark):
     assert df.select(V.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))).first()[0] == 0.0
 
 
+def test_hashing_search_finds_the_neighbours(spark):
+    """The registered query, with its own parameters, against the exact one; a query's own row is always found and isn't counted."""
+    import __spark_entry__ as entry
+    from loomtext.plans.vector_queries import asked, emb
+
+    sf = "/root/testdata/sf0.01"
+    pairs = lambda df: {(r["query_id"], r["vec_id"]) for r in df.where("query_id <> vec_id").collect()}
+    exact = pairs(vector.knn(asked(spark, sf), emb(spark, sf), 5))
+    assert len(exact & pairs(entry.queries()["v24_lsh"](spark, sf))) >= 0.9 * len(exact)
+
+
 def test_fusion_edges(spark):
     a = spark.createDataFrame([(1, 1, 4.0, 1), (1, 2, 2.0, 2)], "query_id long, doc_id long, score double, rank int")
     b = spark.createDataFrame([(1, 3, 9.0, 1), (1, 2, 9.0, 2)], a.schema)
