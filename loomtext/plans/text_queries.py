@@ -84,6 +84,15 @@ def t9(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", X.korean_terms(F.regexp_replace("text", "[^ -~]", ""))).alias("terms"))
 
 
+_PARTICLES = "|".join(p for p in sorted(X.PARTICLES, key=len, reverse=True) if "?" not in p)
+
+
+@query("t9_korean_terms_whole", rf"""SELECT item_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(lower(text), '[^a-zA-Z0-9_ \t\n\x0B\f\r가-힣]', ' ', 'g'), '[^ \t\n\x0B\f\r]+'), lambda w: regexp_replace(w, '^(.+?)(?:{_PARTICLES})$', '\1')), ' ') AS terms FROM benchmark""")
+def t9_whole(spark, sf):
+    """The texts as they are; t9_korean_terms takes their printable ASCII alone, as its SQL does."""
+    return table(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", X.korean_terms(F.col("text"))).alias("terms"))
+
+
 @query("t10_query_terms", r"SELECT item_id, regexp_replace(trim(text), '\?$', '') AS q FROM benchmark")
 def t10(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", X.query_terms(F.col("text")).alias("q"))
