@@ -68,6 +68,24 @@ def keyword_count(df: DataFrame, words: list[str], text: str = "text") -> DataFr
     return df.withColumn("score", sum((F.contains(low, F.lit(w.lower())).cast("int") for w in words), F.lit(0))).where("score > 0")
 
 
+def mean_similarity(vectors: DataFrame, group: str, vector: str = "embedding") -> DataFrame:
+    """{group}_a, {group}_b, mean, bucket: the mean cosine over all pairs of unit vectors from two groups, by the groups' sums; a vector of
+    zeros counts with cosine 0."""
+    cells = vectors.where(F.col(group).isNotNull() & F.col(vector).isNotNull())
+    n = cells.groupBy(group).agg(F.count("*").alias("n"))
+    sums = cells.select(group, F.posexplode(vector).alias("i", "x")).where("x <> 0").groupBy(group, "i").agg(F.sum("x").alias("x"))
+    a = sums.select(F.col(group).alias(f"{group}_a"), "i", F.col("x").alias("x_a"))
+    b = sums.select(F.col(group).alias(f"{group}_b"), "i", F.col("x").alias("x_b"))
+    dots = a.join(b, "i").where(F.col(f"{group}_a") < F.col(f"{group}_b")).groupBy(f"{group}_a", f"{group}_b").agg(F.sum(F.col("x_a") * F.col("x_b")).alias("dot"))
+    n_a = n.select(F.col(group).alias(f"{group}_a"), F.col("n").alias("n_a"))
+    n_b = n.select(F.col(group).alias(f"{group}_b"), F.col("n").alias("n_b"))
+    # every pair of groups, also two without a common cell
+    pairs = n_a.crossJoin(n_b).where(F.col(f"{group}_a") < F.col(f"{group}_b")).join(dots, [f"{group}_a", f"{group}_b"], "left")
+    out = pairs.withColumn("mean", F.round(F.coalesce("dot", F.lit(0.0)) / F.col("n_a") / F.col("n_b"), 4))
+    bucket = F.when(F.col("mean") > 0.8, "high").when(F.col("mean") > 0.6, "medium").otherwise("low")
+    return out.select(f"{group}_a", f"{group}_b", "mean", bucket.alias("bucket"))
+
+
 def hashed_vectors(df: DataFrame, key: str, text: str, dim: int = 256, tokens=terms) -> DataFrame:
     """key, embedding: the stand-in for a model's vectors. A word's cell is its md5 modulo dim, cells hold counts, and the norm is one. A text
     without words has zeros only. Words and cells are found in the JVM, counting is done on Arrow batches, and nothing is shuffled."""

@@ -292,6 +292,14 @@ def e5(spark, sf):
     return a.withColumnRenamed("lang", "lang_a").join(b, "source").where("lang_a < lang_b").groupBy("lang_a", "lang_b").agg(F.round(F.avg(F.abs(F.col("n") - F.col("m"))), 4).alias("mean"))
 
 
+@query("e5_pair_similarity")
+def e5_similarity(spark, sf):
+    """Over all pairs of texts in two languages; e5_cross_lingual compares lengths, as its SQL does."""
+    d = docs(spark, sf).where("text IS NOT NULL")
+    v = lexical.hashed_vectors(d.select(F.struct("doc_id", "lang").alias("k"), "text"), "k", "text")
+    return lexical.mean_similarity(v.select("k.lang", "embedding"), "lang")
+
+
 @query("e6_training_pairs", "SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::INTEGER % 10 = 0 THEN 'test' ELSE 'train' END AS split, toxic AS label FROM labels")
 def e6(spark, sf):
     h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int")
