@@ -93,9 +93,9 @@ def resampled(x: np.ndarray, begin: int, end: int) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray) -> np.ndarray:
-    """Frames x bands in quarter decibels (integers); one frame at least."""
+    """Frames x bands in quarter decibels (integers); one frame at least. The last one is filled up with silence."""
     total = -(-len(x) * UP // DOWN)
-    frames = max(1, 1 + (total - FRAME) // HOP)
+    frames = max(1, 1 - (FRAME - total) // HOP)
     out = np.empty((frames, BANDS), np.int16)
     for lo in range(0, frames, BLOCK):
         hi = min(frames, lo + BLOCK)

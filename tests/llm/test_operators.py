@@ -156,6 +156,16 @@ def test_prefixes_find_every_link():
         assert len(np.intersect1d(cut(a, x), cut(b, y))) >= k
 
 
+@pytest.mark.parametrize("n", [300, 576, 700, 1000, 4608, 5000])
+def test_audio_frames_reach_the_end(n):
+    x = np.random.default_rng(n).integers(0, 256, n).astype(np.uint8)
+    y = x.copy()
+    y[-20:] = 255 - y[-20:]
+    assert not np.array_equal(audio.log_mel(x), audio.log_mel(y))
+    total = -(-n * audio.UP // audio.DOWN)
+    assert len(audio.log_mel(x)) == max(1, 1 + -(-(total - audio.FRAME) // audio.HOP))
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 7), (200, 201), (202, 201), (5, 5)]
     got = dict(map(tuple, components.components(spark.createDataFrame(links, "a long, b long")).collect()))
