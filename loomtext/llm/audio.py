@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, shares
 
 UNIT, RATE = 576, 16_000
 UP, DOWN, TAPS = 3, 4, 12
@@ -152,8 +152,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
+            for some in shares(batch, 1, rows=256):
                 raw = [x or b"" for x in some.column(1).to_pylist()]
                 media = pa.array([wav(padded(x)) for x in raw], pa.binary())
                 yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in raw], pa.int64()), media], names=["key", "n_bytes", "media"])
@@ -172,9 +171,9 @@ def extract(media: DataFrame) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.binary()]
         names = [x.split()[0] for x in FEATURES.split(", ")[:9]] + ["tensors"]
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
+            for some in shares(batch, 2, rows=256):
                 rows = []
-                for k, n, m in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+                for k, n, m in zip(*(c.to_pylist() for c in some.columns)):
                     payload = samples(m)
                     tensors, spans, line = features(payload)
                     rows.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), line, [{"start_s": a, "end_s": b} for a, b in spans], tensors))

@@ -8,6 +8,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,9 +23,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one where the setting is missing, as in tests on one machine."""
+    """The cluster's shared folder in spark.checkpoint.dir. Where that is unset, a temporary one on a single machine, as in tests; elsewhere
+    an error, since executors would each write to a disk of their own."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         known = _own_dir(spark)
     return known.rstrip("/")
 
@@ -39,6 +43,13 @@ def _own_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is there is deleted when the driver ends, if not before."""
+    path = f"{shared_dir(spark)}/loomtext-{tag}-{uuid.uuid4().hex}"
+    atexit.register(_forget, spark, path)
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -47,9 +58,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as a Parquet table into the shared folder and reads it back: lineage ends there, and any executor can be lost."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomtext-{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_forget, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out
@@ -68,13 +78,45 @@ def release(*tables: DataFrame) -> None:
         _delete(df.sparkSession, df._loom_path)
 
 
-def smallest(rows: DataFrame, by: list[str], order: list[str], n: int, parts: int = 1024) -> DataFrame:
-    """The n rows of each group that come first in order (a total one, but for equal rows). A group is cut within parts of the scan tasks
-    first, so what then meets in one task is parts * n of its rows at most, however large it is."""
-    first = rows.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(parts)))
-    for keys in ([*by, "_part"], by):
-        first = first.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= n).drop("_place")
-    return first.drop("_part")
+def least_hashed(rows: DataFrame, by: list[str], n: int, h: str = "h") -> pa.Table:
+    """The n rows of each group whose 64-bit hash h is least, on the driver, in the order of groups and hashes; of rows that share a hash one
+    stays. Where a group has more, its rows are those below the hash that about 1.25 n + 50 of them stay below, by a count of its different
+    hashes: so a group's size decides nothing but a threshold, and no task holds a group together. Groups are few (label values)."""
+    sizes = rows.groupBy(*by).agg(F.approx_count_distinct(h, 0.02).alias("_n"))
+    share = F.least(F.lit(1.0), F.lit(1.25 * n + 50) / F.col("_n"))
+    limits = sizes.select(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], ((share - 0.5) * float(1 << 64)).alias("_limit"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by{i}")) for i, c in enumerate(by)]
+    on = same[0]
+    for x in same[1:]:
+        on = on & x
+    near = rows.join(F.broadcast(limits), on).where(F.col(h).cast("double") <= F.col("_limit")).select(*rows.columns).dropDuplicates([*by, h])
+    got = near.toArrow().combine_chunks().sort_by([*[(c, "ascending") for c in by], (h, "ascending")])
+    keep, seen = [], {}
+    for i, g in enumerate(zip(*(got.column(c).to_pylist() for c in by))):
+        seen[g] = seen.get(g, 0) + 1
+        if seen[g] <= n:
+            keep.append(i)
+    return got.take(pa.array(keep, pa.int64()))
+
+
+def shares(batch: pa.RecordBatch, column: int, limit: int = 4 << 20, rows: int = 1024):
+    """Slices of a batch whose texts in a column hold limit bytes together at most (a longer text comes alone), of so many rows at most."""
+    at = _offsets(batch.column(column))
+    for lo, hi in slices(at, limit):
+        for a in range(lo, hi, rows):
+            yield batch.slice(a, min(rows, hi - a))
+
+
+def hot_keys(counts: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame:
+    """counts: keys and n, their rows. Keys that hold more than one part in 1000 of all rows, and into how many salts their rows are to be
+    dealt, so that none has more than that. They are fewer than 1000, whatever the table, so this one may be broadcast."""
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return counts.where(F.col("n") * parts > total).select(*keys, F.ceil(F.col("n") * parts / float(max(total, 1))).cast("long").alias("salts"))
+
+
+def renamed(df: DataFrame) -> DataFrame:
+    """The same columns as c0, c1, ...: no name of a caller's column clashes with one of ours."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def running(df: DataFrame, group: str | None, order: list[str], value: str, tag: str) -> DataFrame:
@@ -115,8 +157,6 @@ def running(df: DataFrame, group: str | None, order: list[str], value: str, tag:
 
     keys = [group, *order]
     rows = materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(local, schema), tag)
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("_part", group).agg(F.sum(value).alias("_t"), F.count("*").alias("_c"))
     base = base.select("_part", group, F.coalesce(F.sum("_t").over(w), F.lit(0)).alias("_bt"), F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_bc"))
@@ -163,15 +203,20 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    if not len(column):
+        return np.zeros(1, np.int64)
+    return np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column as one array, and where each text starts (one more entry than rows); null counts as empty."""
     import pyarrow.compute as pc
 
     column = pc.fill_null(column, "") if column.null_count else column
-    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    if data is None or not len(column) or at[-1] == at[0]:
+    at, data = _offsets(column), column.buffers()[2] if len(column) else None
+    if data is None or at[-1] == at[0]:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
@@ -182,25 +227,32 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def hash_words(data: np.ndarray, at: np.ndarray, lower: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of texts laid end to end, and where each text's words start among them."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+def dictionary(body: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The different strings among those laid end to end in body, and each one's place among them. Bytes are compared, not hashes."""
+    ends = pa.py_buffer(np.append(starts, len(body)).astype(np.int32))
+    coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(np.ascontiguousarray(body))]).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+
+
+def split_words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end: the bytes of all words without what is between them, where each word begins there, and where each text's
+    words begin among the words."""
     word = ~space[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     inner = at[(at > 0) & (at < len(data))]
     first[inner] = word[inner]  # a text's end is a word's end
-    last = word.copy()
-    last[:-1] &= ~word[1:]
-    last[inner - 1] = word[inner - 1]
-    s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    keys = BYTE_KEYS[LOWER] if lower else BYTE_KEYS
-    np.cumsum(keys[data] * up[: len(data)], out=sums[1:])
-    h = (sums[e] - sums[s]) * down[s]
-    return mix64(h + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(s, at)
+    s = np.flatnonzero(first)
+    return data[word], (np.cumsum(word) - 1)[s], np.searchsorted(s, at)
+
+
+def hash_words(data: np.ndarray, at: np.ndarray, lower: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes (XXH3) of all words of texts laid end to end, and where each text's words start among them."""
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+    body, starts, texts = split_words(data, at, space)
+    words, place = dictionary(LOWER[body] if lower else body, starts)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[place], texts
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -223,14 +275,6 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
 AT_ONCE = 4 << 20
 
 
-def spans_hash(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte strings data[s:e]."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_KEYS[data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 def slices(at: np.ndarray, limit: int = AT_ONCE) -> list[tuple[int, int]]:
     """Runs of rows whose texts hold limit bytes together at most; a longer text is a run of its own."""
     out, lo, n = [], 0, len(at) - 1

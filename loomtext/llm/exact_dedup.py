@@ -3,10 +3,11 @@
 Documents go by their length and content hash to partitions. A partition inserts whole byte strings into a compressed radix trie, whose
 terminal nodes hold the owner (the smallest or largest identifier) and the number of rows. Each scan task first inserts its own rows into a
 trie, so that a text which a third of all rows share reaches the next step once for each scan task; a trie over its budget in the second
-step spills whole subtrees to files of its task and takes them up again one at a time.
+step spills whole subtrees to files of its task (they are the task's own, and made again if it is run again) and takes them up one at a time.
 
 Nulls: a null text counts as empty; a row without identifier never owns others' texts (its group's owner is null only if all are). Ties:
-rows with equal identifiers and texts all count as kept. Repeated rows count in group_size. An empty table gives an empty result.
+rows with equal identifiers and texts are one row, repeated: each counts in group_size, all are shown as kept, and drop_copies() leaves one of
+them. Rows that share an identifier but not the text are rows of their own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents
+from .common import documents, hot_keys, materialize, renamed, shares
 
 
 class Node:
@@ -138,9 +140,9 @@ def _records(f) -> Iterator[tuple[bytes, int | None, int]]:
 PARTIAL = "length long, hash long, body binary, owner long, n long"
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
+def _texts(batch: pa.RecordBatch, column: int = 1) -> list[bytes]:
     """bytes.lower() changes A-Z only."""
-    return [(x or b"").lower() for x in batch.column(1).cast(pa.large_binary()).to_pylist()]
+    return [(x or b"").lower() for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
 
 
 def partial_owners(larger: bool, budget: int):
@@ -164,11 +166,12 @@ def partial_owners(larger: bool, budget: int):
     def run(batches):
         trie = PatriciaTrie(larger)
         for batch in batches:
-            for owner, key in zip(batch.column(0).to_pylist(), _texts(batch)):
-                trie.insert(key, owner)
-                if trie.held > budget:
-                    yield from sent(trie)
-                    trie = PatriciaTrie(larger)
+            for some in shares(batch, 1):
+                for owner, key in zip(some.column(0).to_pylist(), _texts(some)):
+                    trie.insert(key, owner)
+                    if trie.held > budget:
+                        yield from sent(trie)
+                        trie = PatriciaTrie(larger)
         yield from sent(trie)
 
     return run
@@ -198,9 +201,14 @@ def final_owners(larger: bool, budget: int):
 
 
 def _digests(batches):
+    """turn numbers the task's rows: it deals the rows of a hot text."""
+    n = 0
     for batch in batches:
-        sha = pa.array([hashlib.sha256(x).digest() for x in _texts(batch)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), sha], names=["id", "sha"])
+        for some in shares(batch, 1):
+            sha = pa.array([hashlib.sha256(x).digest() for x in _texts(some)], pa.binary())
+            turn = pa.array(range(n, n + some.num_rows), pa.int64())
+            n += some.num_rows
+            yield pa.RecordBatch.from_arrays([some.column(0).cast(pa.int64()), sha, turn], names=["id", "sha", "turn"])
 
 
 def owners(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest", partial_bytes: int = 64 << 20, trie_bytes: int = 192 << 20) -> DataFrame:
@@ -214,16 +222,42 @@ def owners(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str =
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
     """One row per document: key, keep_id, group_size, kept and the sha256 of its text in lower case (A-Z only)."""
-    found = owners(docs, key, text, keep)
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(_digests, "id long, sha binary")
-    out = rows.join(found, "sha")
+    found = materialize(owners(docs, key, text, keep), "owners")
+    hot = F.broadcast(hot_keys(found.select("sha", F.col("group_size").alias("n")), ["sha"]))
+    salted = found.join(hot, "sha", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)) - 1)))
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).mapInArrow(_digests, "id long, sha binary, turn long")
+    rows = rows.join(hot, "sha", "left").withColumn("salt", F.coalesce(F.pmod("turn", "salts"), F.lit(0).cast("long")))
+    out = rows.select("id", "sha", "salt").join(salted.drop("salts"), ["sha", "salt"])
     return out.select(F.col("id").alias(key), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: str = "largest") -> DataFrame:
-    """The rows whose identifier owns their text, with all their columns. Texts don't move again: only identifiers are joined."""
-    kept = exact_groups(docs, key, text, keep).where("kept").select(F.col(key).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """Of each text, the row with the owner's identifier, with all its columns; of several such (repeated rows), one."""
+    own, at = renamed(docs), docs.columns.index(text)
+    names = own.columns
+    tagged = own.select(*names, F.col(names[docs.columns.index(key)]).cast("long").alias("id"), F.col(names[at]).cast("binary").alias("body"))
+
+    def run(batches):
+        seen: set[tuple] = set()
+        for batch in batches:
+            for some in shares(batch, len(names) + 1):
+                sha = [hashlib.sha256(x).digest() for x in _texts(some, len(names) + 1)]
+                fresh = []
+                for x in zip(some.column(len(names)).to_pylist(), sha):  # repeats within the task go here
+                    fresh.append(x not in seen)
+                    seen.add(x)
+                if len(seen) > 500_000:
+                    seen = set()
+                rows = pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(sha, pa.binary())], names=[*names, "id", "sha"])
+                yield rows.filter(pa.array(fresh, pa.bool_()))
+
+    schema = T.StructType([*own.schema.fields, T.StructField("id", T.LongType()), T.StructField("sha", T.BinaryType())])
+    unknown = lambda c: [F.coalesce(c, F.lit(0)).alias("id0"), F.col(c).isNull().alias("unknown")]
+    rows = tagged.mapInArrow(run, schema).select(*names, "sha", *unknown("id"))
+    kept = rows.join(owners(docs, key, text, keep).select("sha", *unknown("keep_id")), ["sha", "id0", "unknown"], "left_semi")
+    # the join has brought equal rows together and in order: numbering them moves nothing
+    again = Window.partitionBy("sha", "id0", "unknown").orderBy("sha")
+    return kept.withColumn("again", F.row_number().over(again)).where("again = 1").select(*names).toDF(*docs.columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

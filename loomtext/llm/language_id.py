@@ -16,8 +16,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, smallest, text_bytes
+from .common import documents, least_hashed, text_bytes
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 12
 #: Classes of bytes: 0 for ASCII that is no letter, letters without case, and each byte of other characters.
@@ -109,13 +110,13 @@ def windows_of(raw: bytes) -> np.ndarray:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = 600, seed: int = 3) -> Network | None:
-    """docs: the rows to learn from. per_language texts at most of each language, and two windows of each text, reach the driver."""
+    """docs: the rows to learn from. per_language texts at most of each language (those with the least hashes of key and text; repeated rows
+    once), and two windows of each text, reach the driver."""
     t = F.col(text)
     spot = lambda s: F.substring(t, F.pmod(F.xxhash64(F.col(key), F.lit(s)), F.greatest(F.length(t) - WINDOW, F.lit(1))).cast("int") + 1, F.lit(WINDOW))
     rows = docs.where(F.col(lang).isNotNull() & t.rlike("\\p{L}"))
-    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"), F.col(key).alias("k"), spot(seed).alias("a"), spot(seed + 1).alias("b"))
-    got = smallest(rows, ["lang"], ["h", "k", "a", "b"], per_language).select("lang", "h", "a", "b").collect()
-    got.sort(key=lambda r: (r["lang"], r["h"], r["a"], r["b"]))
+    rows = rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key), t, F.lit(seed)).alias("h"), spot(seed).alias("a"), spot(seed + 1).alias("b"))
+    got = least_hashed(rows, ["lang"], per_language).to_pylist()
     languages = sorted({r["lang"] for r in got})
     if not languages:
         return None
@@ -152,9 +153,9 @@ def identify(docs: DataFrame, net: Network | None, key: str = "doc_id", text: st
                 best[~letters], score[~letters] = len(names) - 1, 0
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(names[best], pa.string()), pa.array(np.round(score, 6))], names=[*batch.schema.names[1:], "lang_pred", "score"])
 
-    rows = docs.select(F.col(text).alias("_text"), key, *keep)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]) + ", lang_pred string, score double"
-    return rows.mapInArrow(run, schema)
+    rows = docs.select(F.col(text).alias("t"), *[F.col(c).alias(f"c{i}") for i, c in enumerate((key, *keep))])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema).toDF(key, *keep, "lang_pred", "score")
 
 
 def groups_of(at: np.ndarray) -> list[tuple[int, int]]:

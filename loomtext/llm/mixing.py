@@ -5,7 +5,7 @@ shares of the sources: any run of slots holds each source nearly in proportion.
 the r-th block of the source's stream: its documents in an order shuffled by a hash, laid end to end and begun again when they end. Blocks
 are cut at multiples of the block size, the last where the source's target ends, so that each source gives its target to the word.
 
-Sources are few rows (one for each source, on the driver); documents, blocks and slots never leave the executors, and running sums are
+Sources are few rows (one for each, on the driver and in each worker: tens of thousands, not one for each page of a web); documents, blocks and slots never leave the executors, and running sums are
 taken over range partitions, so a source that holds a third of all rows is spread over many tasks.
 
 Nulls: a null text has no words; documents without source form one source, which comes last. Rows repeated in full (same identifier, source
@@ -18,12 +18,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql import Window
 
-from .common import WORD_JAVA, documents, materialize, running
+from .common import WORD_JAVA, documents, materialize, renamed, running
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CHUNK = 1 << 16
@@ -164,13 +162,14 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     """The documents of the mix with all their columns: a document that is taken more than once comes as often; the last take of one that is
     taken in part has its first words only. Documents that the mix doesn't take are gone."""
     mix = Mix(docs, key, text, source, **options)
-    takes = mix.taken_units().select(F.col("key").alias("t_key"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), F.col("text_hash").alias("t_hash"), F.col("words_taken").alias("t_taken"))
-    body = docs.withColumns({"_key": F.col(key).cast("long"), "_source": F.col(source).cast("string"), "_hash": F.xxhash64(F.col(text))})
-    joined = body.join(takes, body["_key"].eqNullSafe(takes["t_key"]) & body["_source"].eqNullSafe(takes["t_source"]) & (body["_hash"] == takes["t_hash"]))
-    times = F.expr("transform(sequence(0L, (t_taken - 1) DIV t_size), i -> least(t_size, t_taken - i * t_size))")
-    rows = joined.withColumn("_words", F.explode(times))
-    schema = T.StructType(docs.schema.fields)
-    return rows.select(*docs.columns, F.col("_words"), F.col("t_size")).mapInArrow(_cut(docs.columns.index(text)), schema)
+    own = renamed(docs)
+    names, at = own.columns, docs.columns.index
+    takes = mix.taken_units().select("key", "source", "size", "text_hash", "words_taken")
+    body = own.select(*names, F.col(names[at(key)]).cast("long").alias("own_key"), F.col(names[at(source)]).cast("string").alias("own_source"), F.xxhash64(F.col(names[at(text)])).alias("own_hash"))
+    same = F.col("own_key").eqNullSafe(F.col("key")) & F.col("own_source").eqNullSafe(F.col("source")) & (F.col("own_hash") == F.col("text_hash"))
+    times = F.expr("transform(sequence(0L, (words_taken - 1) DIV size), i -> least(size, words_taken - i * size))")
+    rows = body.join(takes, same).select(*names, F.explode(times).alias("words"), "size")
+    return rows.mapInArrow(_cut(at(text)), own.schema).toDF(*docs.columns)
 
 
 def _cut(at: int):

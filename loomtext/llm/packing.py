@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import tokens
-from .common import documents, materialize, running
+from .common import documents, materialize, running, shares
 
 
 @dataclass
@@ -41,7 +42,8 @@ class _Bins:
 
 
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 2000) -> list[tuple[dict[int, int], int]]:
-    """Patterns (place in sizes -> copies) and how many whole times each is used by the linear program's basic solution."""
+    """Patterns (place in sizes -> copies) and how many whole times each is used by the linear program's basic solution. rounds: new columns
+    at most; the solution that is there then is taken, which is as valid, but may use more sequences."""
     m = len(sizes)
     s, d = np.array(sizes), np.array(demand, float)
     basis = [{j: int(capacity // s[j])} for j in range(m)]
@@ -210,8 +212,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", capacity: i
     def run(batches):
         enc = tokens.encoder(tokens.tokenizer_path(tokenizer))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                some = batch.slice(lo, 1024)
+            for some in shares(batch, 1):
                 ids, starts = enc.encode(some.column(1), end_id)
                 row, number, at = cut(starts, capacity)
                 keys = some.column(0).take(pa.array(row))
@@ -246,10 +247,13 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048, grains: tuple[tuple[float,
             columns = [*batch.columns[:-1], pa.array(runs[r, 3] + rank - runs[r, 1]), pa.array(runs[r, 4])]
             yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "sequence_id", "offset"])
 
+    # the pieces' own columns travel as one, so that none of their names clashes
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in cut_pieces.columns]
-    ranked = running(cut_pieces.withColumn("_length", F.col("length").cast("int")), "_length", order, "length", "ranks")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut_pieces.schema.fields) + ", sequence_id long, offset long"
-    return ranked.select(*cut_pieces.columns, "before_rows").mapInArrow(run, schema)
+    rows = cut_pieces.select(F.struct(*cut_pieces.columns).alias("row"), F.col("length").cast("int").alias("length"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    ranked = running(rows, "length", [f"o{i}" for i in range(len(order))], "length", "ranks")
+    ranked = ranked.select("row.*", F.col("before_rows").alias("before_rows"))
+    schema = T.StructType([*cut_pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return ranked.toDF(*cut_pieces.columns, "before_rows").mapInArrow(run, schema)
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,18 +3,20 @@
 A byte goes if a string of 100 bytes (by default) that covers it also starts earlier: in a document with a smaller identifier, or earlier in
 the same one. Starts whose longest previous factor reaches 100 are found exactly, without sorting all suffixes of the corpus in one place:
 
-1. Equal texts are one class; all of a class but its smallest identifier go whole.
+1. Equal texts are one class, by their whole sha256; all of a class but its smallest identifier go whole.
 2. Every string of 100 bytes has one anchor: the leftmost of its 24-byte strings with the least hash. Equal strings have the same anchor at
-   the same place, so runs of starts with one anchor are dealt by the anchor's hash, and anchors that occur once are dropped.
+   the same place, so runs of starts with one anchor are dealt by the anchor's hash, and anchors that occur once are dropped. A scan task sends
+   the first run of an anchor by that hash alone; the others that it meets are known to repeat, and are dealt to many tasks.
 3. Runs that are equal as a whole (anchor, place, bytes) keep the first; the others go without being looked at again.
 4. Where an anchor still has several different runs, their bytes are sent to one task, which sorts the suffixes of all starts (by their first
-   100 bytes), and in each stretch of suffixes that agree in all of them takes the previous and next smaller positions in suffix order: a
-   start that has one of them has an earlier match. An anchor with more runs than a task should hold is dealt on by the strings' own hashes.
+   100 bytes) and takes from the previous and next smaller positions in suffix order each start's longest previous factor, up to 100 bytes: a
+   start that reaches all of them has an earlier match. An anchor with more runs than a task should hold is dealt on by the strings' own hashes.
 5. The covered bytes of each class are cut out of its text.
 
-Classes, anchors and whole runs are compared by 64-bit hashes. Nulls: a null text is empty; a null identifier is larger than any other.
-Repeated rows (equal identifier and text) are one document and get the same result. Rows that share an identifier but not the text are
-documents of their own, in the order of their hashes. Texts below 100 bytes stay whole. An empty table gives an empty result.
+Whole runs are compared by two independent 64-bit hashes (the anchor's and XXH3 of the run), strings in 4. by their bytes. Classes are
+numbered by 8 bytes of their sha256; numbers that two texts share are found and replaced. Nulls: a null text is empty; a null identifier is
+larger than any other. Repeated rows (equal identifier and text) are one document and get the same result. Rows that share an identifier but
+not the text are documents of their own, in the order of their numbers. Texts below 100 bytes stay whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,23 +25,27 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import BYTE_KEYS, documents, materialize, mix64, powers, slices, text_bytes
+from .common import BYTE_KEYS, documents, materialize, mix64, powers, release, shares, slices, text_bytes
 
 #: Positions that numpy works on at once; places within a block have 16 bits.
 BLOCK = 1 << 16
-BLOOM_BITS = 25
+#: The least and the most bits of a Bloom filter, as powers of two; in between it has 12 for each member.
+BLOOM_BITS = (16, 28)
 
 
-def class_of(raw: bytes) -> int:
-    return int.from_bytes(hashlib.sha256(raw).digest()[:8], "little", signed=True)
+def number(digest: bytes, bits: int, others: dict[bytes, int]) -> int:
+    """A class's number: the first bits of its text's sha256, unless another text has the same ones."""
+    return others.get(digest, (int.from_bytes(digest[:8], "little") & ((1 << bits) - 1)) - (1 << bits - 1))
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: for each run of starts with one anchor its hash, its bytes' hash, the first start, the anchor's place after
-    it, and the number of starts."""
+    """Of texts laid end to end: for each run of starts with one anchor its hash, the hash of its bytes (with the anchor's place and the number
+    of starts), the first start, the anchor's place after it, and the number of starts."""
     w = length - gram + 1
     out: list[tuple[np.ndarray, ...]] = []
     up, down = powers(BLOCK + length + 1)
@@ -72,90 +78,127 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
         begin = np.flatnonzero(new)
         count = np.diff(np.concatenate([begin, [len(s)]]))
         a, b = s[begin], s[begin] + count - 1 + length
-        seg = mix64((sums[b] - sums[a]) * down[a] + ((p[begin] - a) << 8 | count).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        raw, mark = part.tobytes(), ((p[begin] - a) << 8 | count).tolist()
+        seg = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y], z) for x, y, z in zip(a.tolist(), b.tolist(), mark)), np.uint64, len(a))
         out.append((g[p[begin]], seg, a + lo, p[begin] - a, count))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-#: packed holds the first start (48 bits), the anchor's place after it (8), the number of starts less one (8).
-ANCHORS = "h long, seg long, cls long, packed long"
+#: packed holds the first start (48 bits), the anchor's place after it (8), the number of starts less one (8). deal is 0 for an anchor that a
+#: task has met once, 1 for the first of several, more for the others: those are known to repeat.
+ANCHORS = "h long, deal int, seg long, cls long, packed long"
+#: Parts of the runs of an anchor that are known to repeat.
+PARTS = 1024
 
 
-def _anchor_rows(length: int, gram: int):
+def _anchor_rows(length: int, gram: int, bits: int, others: dict, at_once: int = 1_000_000):
+    names = ["h", "deal", "seg", "cls", "packed"]
+
+    def dealt(held):
+        h, seg, cls, packed = (np.concatenate(c) for c in zip(*held))
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+        several = ~new
+        several[:-1] |= ~new[1:]
+        deal = np.empty(len(h), np.int32)
+        deal[order] = np.where(~several, 0, np.where(new, 1, 2 + (packed[order] >> 16) % PARTS))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (h, deal, seg, cls, packed)], names=names)
+
     def run(batches):
-        seen: set[int] = set()
+        seen: set[bytes] = set()
+        held, size = [], 0
         for batch in batches:
-            raw = batch.column(0)
-            cls = np.array([class_of(x.as_buffer() if x.is_valid else b"") for x in raw], np.int64)
-            fresh = np.zeros(len(cls), bool)
-            for i, c in enumerate(cls.tolist()):
-                if c not in seen:
-                    seen.add(c)
-                    fresh[i] = True
-            if len(seen) > 1_000_000:
-                seen = set()
-            column = raw.filter(pa.array(fresh))
-            cls = cls[fresh]
-            data, at = text_bytes(column)
-            for lo, hi in slices(at):
-                own = at[lo : hi + 1] - at[lo]
-                h, seg, s, p, n = anchors(data[at[lo] : at[hi]], own, length, gram)
-                if len(h):
-                    row = np.searchsorted(own, s, side="right") - 1
-                    packed = ((s - own[row]) << 16) | (p << 8) | (n - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(cls[lo + row]), pa.array(packed)], names=["h", "seg", "cls", "packed"])
+            for some in shares(batch, 0):
+                raw = some.column(0)
+                sha = [hashlib.sha256(x.as_buffer() if x.is_valid else b"").digest() for x in raw]
+                fresh = np.zeros(len(sha), bool)
+                for i, c in enumerate(sha):
+                    if c not in seen:
+                        seen.add(c)
+                        fresh[i] = True
+                if len(seen) > 500_000:
+                    seen = set()
+                cls = np.array([number(x, bits, others) for x, y in zip(sha, fresh) if y], np.int64)
+                data, at = text_bytes(raw.filter(pa.array(fresh)))
+                for lo, hi in slices(at):
+                    own = at[lo : hi + 1] - at[lo]
+                    h, seg, s, p, n = anchors(data[at[lo] : at[hi]], own, length, gram)
+                    if len(h):
+                        row = np.searchsorted(own, s, side="right") - 1
+                        held.append((h.view(np.int64), seg.view(np.int64), cls[lo + row], ((s - own[row]) << 16) | (p << 8) | (n - 1)))
+                        size += len(h)
+                    if size >= at_once:
+                        yield from dealt(held)
+                        held, size = [], 0
+        if held:
+            yield from dealt(held)
 
     return run
 
 
 def _repeated(batches):
-    """Of rows sorted by their first column, those whose value occurs more than once."""
+    """Of rows sorted by h and deal: those that repeat, by their own task's word or by another's."""
     last, waiting = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        h = batch.column(0).to_numpy()
+        h, deal = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         same = h[1:] == h[:-1]
-        keep = np.concatenate([[last is not None and h[0] == last], same])
+        keep = np.concatenate([[last is not None and h[0] == last], same]) | (deal > 0)
         keep[:-1] |= same
         if waiting is not None and h[0] == last:
             yield waiting
         waiting = None
-        alone = not keep[-1]
         if keep.any():
             yield batch.filter(pa.array(keep))
-        if alone:
+        if not keep[-1]:
             waiting = batch.slice(batch.num_rows - 1)
         last = h[-1]
 
 
-def previous_factor(windows: np.ndarray) -> np.ndarray:
-    """windows: strings of one length in the order of their positions. For each, the position of an earlier equal one, or -1.
-
-    Suffixes are sorted by these strings. Where neighbours agree in all bytes, a position's earlier matches are its previous and its next
-    smaller positions in suffix order; the nearer of the two in the text is given.
-    """
-    n = len(windows)
+def smaller_before(order: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place of a suffix order (positions of the text): the nearest place before it whose position is smaller (-1: none), and how
+    many bytes the two suffixes share; common[i] is what the suffixes at places i - 1 and i share. Places jump over each other's answers, all
+    at once, until each has found a smaller position."""
+    n = len(order)
+    at, low = np.arange(n) - 1, common.copy()
+    todo = np.flatnonzero(at >= 0)
+    todo = todo[order[at[todo]] > order[todo]]
+    while len(todo):
+        over = at[todo]  # a place with a greater position: whatever it jumps over is greater too
+        low[todo] = np.minimum(low[todo], low[over])
+        at[todo] = at[over]
+        todo = todo[(at[todo] >= 0)]
+        todo = todo[order[at[todo]] > order[todo]]
+    return at, np.where(at >= 0, low, 0)
+
+
+def previous_factor(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """windows: strings of one length in the order of their positions, the beginnings of suffixes. For each position, the longest previous
+    factor (how many first bytes an earlier one shares with it at most) and the earlier position that has it (-1 if nothing is shared).
+
+    Suffixes are sorted by these strings, equal ones by position. The longest common prefix with any smaller position is that with the
+    previous or the next smaller position in suffix order."""
+    n, length = len(windows), windows.dtype.itemsize
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(windows, kind="stable")
-    row = windows[order]
-    run = np.cumsum(np.concatenate([[False], row[1:] != row[:-1]])) if n else np.zeros(0, np.int64)
-    none = -1
-    before, after = np.full(n, none), np.full(n, none)
-    if n:
-        # the least position before (after) each one within its stretch: smaller than its own, it shows that there is a smaller one
-        shift = run * (n + 1)
-        low = np.minimum.accumulate((order - shift)[:-1]) if n > 1 else np.zeros(0, np.int64)
-        inside = run[1:] == run[:-1]
-        psv = low + shift[1:]
-        before[1:] = np.where(inside & (psv < order[1:]), psv, none)
-        back = (order + shift)[::-1]
-        nsv = (np.minimum.accumulate(back[:-1])[::-1] if n > 1 else np.zeros(0, np.int64)) - shift[:-1]
-        after[:-1] = np.where(inside & (nsv < order[:-1]), nsv, none)
-    out = np.empty(n, np.int64)
-    out[order] = np.maximum(before, after)
-    return out
+    row = windows[order].view(np.uint8).reshape(n, length)
+    common = np.zeros(n, np.int64)
+    for lo in range(1, n, 1 << 16):
+        hi = min(n, lo + (1 << 16))
+        same = row[lo:hi] == row[lo - 1 : hi - 1]
+        common[lo:hi] = np.where(same.all(axis=1), length, same.argmin(axis=1))
+    before, a = smaller_before(order, common)
+    after, b = smaller_before(order[::-1], np.concatenate([common[:1] * 0, common[:0:-1]]))
+    after, b = np.where(after[::-1] >= 0, n - 1 - after[::-1], -1), b[::-1]
+    best, place = np.maximum(a, b), np.where(a >= b, before, after)
+    factor, source = np.empty(n, np.int64), np.empty(n, np.int64)
+    factor[order] = best
+    source[order] = np.where(best > 0, order[place], -1)
+    return factor, source
 
 
 def _factors(length: int, at_once: int = 400_000):
@@ -169,7 +212,7 @@ def _factors(length: int, at_once: int = 400_000):
         owner = np.repeat(np.arange(len(n)), n)
         step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         windows = np.lib.stride_tricks.sliding_window_view(data, length)[begin[owner] + step]
-        gone = np.flatnonzero(previous_factor(np.ascontiguousarray(windows).view(f"S{length}").ravel()) >= 0)
+        gone = np.flatnonzero(previous_factor(np.ascontiguousarray(windows).view(f"S{length}").ravel())[0] >= length)
         if not len(gone):
             return None
         new = np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (owner[gone[1:]] != owner[gone[:-1]])])
@@ -224,46 +267,81 @@ def merged(start: list[int], count: list[int], length: int) -> list[tuple[int, i
     return [(a, b) for a, b in out]
 
 
+def _digests(batches):
+    for batch in batches:
+        for some in shares(batch, 1):
+            raw = [x.as_buffer() if x.is_valid else b"" for x in some.column(1)]
+            sha = pa.array([hashlib.sha256(x).digest() for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array([len(x) for x in raw], pa.int64()), sha], names=["id", "n_bytes", "sha256"])
+
+
 class SuffixDedup:
     """documents(): a row per document with the spans that go; removed(): those spans by class."""
 
-    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, gram: int = 24, hot: int = 50_000):
+    def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 100, gram: int = 24, hot: int = 50_000, bits: int = 64):
+        """hot: different runs of an anchor that one task holds at most; bits: of the sha256 that number the classes."""
         if not 0 < gram < length or length - gram > 200:
             raise ValueError("gram is below length, by 200 at most")
-        self.length, self.gram, self.hot = length, gram, hot
+        self.length, self.gram, self.hot, self.bits = length, gram, hot, bits
         self.docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
-        self.rows = materialize(self.docs.mapInArrow(self._rows, "id long, cls long, n_bytes long, sha256 binary"), "rows")
+        digests = materialize(self.docs.mapInArrow(_digests, "id long, n_bytes long, sha256 binary"), "rows")
         last = F.coalesce("id", F.lit((1 << 63) - 1))
-        self.classes = materialize(self.rows.groupBy("cls").agg(F.min(last).alias("rep"), F.first("n_bytes").alias("n_bytes")), "classes")
+        classes = digests.groupBy("sha256").agg(F.min(last).alias("rep"), F.first("n_bytes").alias("n_bytes"))
+        self.others = {}
+        numbered = materialize(self._numbered(classes), "classes")
+        # two of n texts share a number about n * n / 2 ** 65 times: 3 times among ten thousand million
+        shared = numbered.groupBy("cls").agg(F.count("*").alias("n"), F.collect_list("sha256").alias("sha")).where("n > 1")
+        for r in shared.collect():
+            for sha in sorted(map(bytes, r["sha"]))[1:]:
+                self.others[sha] = int.from_bytes(sha[8:16], "little", signed=True)
+        if self.others:
+            release(numbered)
+            numbered = materialize(self._numbered(classes), "classes")
+            if numbered.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+                raise RuntimeError("texts share their numbers still")
+        self.classes = numbered
+        self.rows = digests
+
+    def _numbered(self, digests: DataFrame) -> DataFrame:
+        """Adds cls to rows that begin with sha256 and have longs only after it."""
+        bits, others = self.bits, self.others
+
+        def run(batches):
+            for batch in batches:
+                cls = pa.array([number(x.as_buffer().to_pybytes(), bits, others) for x in batch.column(0)], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.columns, cls], names=[*batch.schema.names, "cls"])
 
-    @staticmethod
-    def _rows(batches):
-        for batch in batches:
-            raw = [x.as_buffer() if x.is_valid else b"" for x in batch.column(1)]
-            sha = [hashlib.sha256(x).digest() for x in raw]
-            cls = [int.from_bytes(x[:8], "little", signed=True) for x in sha]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cls, pa.int64()), pa.array([len(x) for x in raw], pa.int64()), pa.array(sha, pa.binary())], names=["id", "cls", "n_bytes", "sha256"])
+        return digests.mapInArrow(run, T.StructType([*digests.schema.fields, T.StructField("cls", T.LongType())]))
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
-        """(cls, text) of the classes in wanted. A Bloom filter of fixed size keeps most others from being sent; the join is exact."""
-        owners = wanted.join(self.classes.select("cls", "rep"), "cls").select("cls", "rep")
+        """(cls, text) of the classes in wanted. A Bloom filter keeps most others from being sent, the fewer the more are wanted; the join is
+        exact. Repeated rows are made one before they are sent."""
+        owners = materialize(wanted.join(self.classes.select("cls", "rep"), "cls").select("cls", "rep"), "wanted")
+        bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], (12 * owners.count()).bit_length()))
         cells = owners.select(F.explode(F.array(F.xxhash64("rep"), F.xxhash64("rep", F.lit(1)))).alias("h"))
-        cells = cells.select(F.shiftrightunsigned("h", 64 - BLOOM_BITS + 6).alias("word"), F.shiftrightunsigned("h", 64 - BLOOM_BITS).bitwiseAND(63).cast("int").alias("bit"))
+        cells = cells.select(F.shiftrightunsigned("h", 64 - bits + 6).alias("word"), F.shiftrightunsigned("h", 64 - bits).bitwiseAND(63).cast("int").alias("bit"))
         words = cells.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
-        table = np.zeros(1 << (BLOOM_BITS - 6), np.uint64)
+        table = np.zeros(1 << (bits - 6), np.uint64)
         table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
         sent = self.docs.sparkSession.sparkContext.broadcast(table)
+        own_bits, others = self.bits, self.others
 
         def passing(batches):
-            t = sent.value
+            t, seen = sent.value, set()
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 for c in batch.columns[2:]:
-                    cell = c.to_numpy().view(np.uint64) >> np.uint64(64 - BLOOM_BITS)
+                    cell = c.to_numpy().view(np.uint64) >> np.uint64(64 - bits)
                     keep &= (t[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
                 some = pa.RecordBatch.from_arrays(batch.columns[:2], names=["id", "text"]).filter(pa.array(keep))
-                cls = pa.array([class_of(x.as_buffer() if x.is_valid else b"") for x in some.column(1)], pa.int64())
-                yield pa.RecordBatch.from_arrays([some.column(0), cls, some.column(1)], names=["id", "cls", "text"])
+                cls = [number(hashlib.sha256(x.as_buffer() if x.is_valid else b"").digest(), own_bits, others) for x in some.column(1)]
+                fresh = []
+                for x in zip(some.column(0).to_pylist(), cls):
+                    fresh.append(x not in seen)
+                    seen.add(x)
+                if len(seen) > 500_000:
+                    seen = set()
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cls, pa.int64()), some.column(1)], names=["id", "cls", "text"]).filter(pa.array(fresh, pa.bool_()))
 
         near = self.docs.withColumn("id", F.coalesce("id", F.lit((1 << 63) - 1)))
         near = near.select("id", "text", F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"))
@@ -274,7 +352,8 @@ class SuffixDedup:
     def removed(self) -> DataFrame:
         """(cls, start, count): runs of starts whose strings have an earlier match, of the classes' first documents."""
         length = self.length
-        dealt = self.docs.select("text").mapInArrow(_anchor_rows(length, self.gram), ANCHORS).repartition("h").sortWithinPartitions("h")
+        dealt = self.docs.select("text").mapInArrow(_anchor_rows(length, self.gram, self.bits, self.others), ANCHORS)
+        dealt = dealt.repartition("h", F.greatest("deal", F.lit(1))).sortWithinPartitions("h", "deal")
         again = dealt.mapInArrow(_repeated, ANCHORS).join(self.classes.select("cls", "rep"), "cls")
         again = materialize(again.select("h", "seg", "rep", "cls", "packed"), "anchors")
         place = F.struct("rep", "cls", "packed")
@@ -290,9 +369,9 @@ class SuffixDedup:
 
         def cut(batches):
             for batch in batches:
-                for lo in range(0, batch.num_rows, 64):
+                for some in shares(batch, 1, rows=64):
                     rows = []
-                    for cls, text, own in zip(*(c.to_pylist() for c in batch.slice(lo, 64).columns)):
+                    for cls, text, own in zip(*(c.to_pylist() for c in some.columns)):
                         for x in own:
                             s, n = x["packed"] >> 16, (x["packed"] & 0xFF) + 1
                             rows.append((x["h"], x["rep"], cls, x["packed"], text[s : s + n - 1 + length], x["hot"]))
@@ -327,9 +406,9 @@ class SuffixDedup:
         def cut(batches):
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             for batch in batches:
-                for lo in range(0, batch.num_rows, 256):
+                for some in shares(batch, 1, rows=256):
                     rows = []
-                    for cls, text, start, count in zip(*(c.to_pylist() for c in batch.slice(lo, 256).columns)):
+                    for cls, text, start, count in zip(*(c.to_pylist() for c in some.columns)):
                         spans = merged(start, count, length)
                         edges = [0, *(x for s in spans for x in s), len(text)]
                         rows.append((cls, [{"start": a, "end": b} for a, b in spans], b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))))
@@ -341,7 +420,7 @@ class SuffixDedup:
     def documents(self) -> DataFrame:
         """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
         sums = self.kept().select("cls", F.size("spans").cast("long").alias("spans"), F.octet_length("kept").cast("long").alias("left"), F.sha2("kept", 256).alias("sha"))
-        rows = self.rows.join(self.classes.select("cls", "rep"), "cls").join(sums, "cls", "left")
+        rows = self.rows.join(self.classes.select("sha256", "cls", "rep"), "sha256").join(sums, "cls", "left")
         mine = F.coalesce("id", F.lit((1 << 63) - 1)) == F.col("rep")
         copy = ~mine & (F.col("n_bytes") >= self.length)
         pick = lambda whole, cut, none: F.when(copy, whole).when(mine & F.col("sha").isNotNull(), cut).otherwise(none)

@@ -1,9 +1,9 @@
 """Token files: concatenated ids with Elias-Fano document boundaries.
 
-A file is a Parquet table of segments in order. A segment is one blob (format EFT1): a header, the identifiers of its documents, the ends of
-its documents as an Elias-Fano sequence (low bits packed, high bits in unary, a select sample for each 64th one), and the ids, 2 or 4 bytes
-each. Select gives any document's bounds without a table of offsets: about 2 + log2(mean length) bits a document. A part is what one task
-wrote; the manifest, a second small table with a row for each part, tells how many ids stand before it.
+A file is a Parquet table of segments in order. A segment is one blob (format EFT2): a header, two Elias-Fano sequences (low bits packed,
+high bits in unary, a select sample for each 64th value) - the identifiers of its documents, as distances from the least one, and the ends of
+its documents - and the ids, 2 or 4 bytes each. Select gives any document's bounds without a table of offsets: about 2 + log2(mean length)
+bits a document. A part is what one task wrote; the manifest, a second small table with a row for each part, tells how many ids stand before.
 
 Documents are range-partitioned by identifier, so their order is ascending over all parts. Ties of the identifier are ordered by a hash of
 the text; null identifiers come first. A null or empty text has the end id alone. An empty table gives empty files.
@@ -12,7 +12,6 @@ the text; null identifiers come first. A null or empty text has the end id alone
 from __future__ import annotations
 
 import struct
-import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +20,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import _delete, documents, shared_dir
+from .common import _delete, documents, scratch, shares
 
-MAGIC = b"EFT1"
-HEADER = "<4sBBHQQQQ"
+MAGIC = b"EFT2"
+HEADER = "<4sBxxxQQQqQ"
+SEQUENCE = "<QBxxxxxxxQ"
 SAMPLE = 64
 
 
@@ -40,13 +40,13 @@ class EliasFano:
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
-        v = np.asarray(values, np.uint64)
+        v = np.asarray(values).astype(np.uint64)
         n, bound = len(v), int(v[-1]) + 1 if len(v) else 1
         bits = max(0, (bound // max(n, 1)).bit_length() - 1)
         place = (v >> np.uint64(bits)).astype(np.int64) + np.arange(n)
         words = np.zeros((int(place[-1]) // 64 + 1) if n else 0, np.uint64)
         np.bitwise_or.at(words, place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
-        each = (v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1)
+        each = (v[:, None] >> np.arange(bits, dtype=np.uint64)) & np.uint64(1) if bits else np.zeros((n, 0))
         return cls(n, bits, np.packbits(each.astype(np.uint8).ravel(), bitorder="little"), words, place[::SAMPLE].astype(np.uint32))
 
     def _low(self, i: int) -> int:
@@ -65,45 +65,52 @@ class EliasFano:
             word &= word - 1
         return ((w * 64 + (word & -word).bit_length() - 1 - i) << self.low_bits) | self._low(i)
 
-    def all(self) -> np.ndarray:
-        place = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
-        each = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        low = each.astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64)) if self.low_bits else 0
-        return ((place - np.arange(self.n)) << self.low_bits) | low
+    def pack(self) -> bytes:
+        head = struct.pack(SEQUENCE, self.n, self.low_bits, len(self.high))
+        return b"".join([head, self.low.tobytes(), self.high.astype("<u8").tobytes(), self.samples.astype("<u4").tobytes()])
+
+    @classmethod
+    def unpack(cls, blob: bytes, at: int) -> tuple[EliasFano, int]:
+        """The sequence that begins at a place of the blob, and where it ends."""
+        n, bits, words = struct.unpack_from(SEQUENCE, blob, at)
+        at += struct.calcsize(SEQUENCE)
+        parts = []
+        for kind, count in (("u1", -(-n * bits // 8)), ("<u8", words), ("<u4", -(-n // SAMPLE))):
+            parts.append(np.frombuffer(blob, kind, count, at))
+            at += parts[-1].nbytes
+        return cls(n, bits, *parts), at
 
 
 class Segment:
-    """keys: identifiers (None for null); start: ids of the part before this segment."""
+    """keys: identifiers in ascending order after `nulls` documents without one, less `least`; start: ids of the part before this segment."""
 
-    def __init__(self, keys: list, ends: EliasFano, ids: np.ndarray, start: int):
-        self.keys, self.ends, self.ids, self.start = keys, ends, ids, start
+    def __init__(self, nulls: int, least: int, keys: EliasFano, ends: EliasFano, ids: np.ndarray, start: int):
+        self.nulls, self.least, self.keys, self.ends, self.ids, self.start = nulls, least, keys, ends, ids, start
 
     @staticmethod
-    def pack(keys: list, lengths: np.ndarray, ids: np.ndarray, start: int) -> bytes:
-        ef = EliasFano.build(np.cumsum(lengths))
+    def pack(keys: list[int | None], lengths: np.ndarray, ids: np.ndarray, start: int) -> bytes:
+        """keys: in ascending order, nulls first."""
+        known = [k for k in keys if k is not None]
+        least = known[0] if known else 0
         wide = 2 if not len(ids) or int(ids.max()) < 1 << 16 else 4
-        nulls = np.packbits(np.array([k is None for k in keys], bool))
-        head = struct.pack(HEADER, MAGIC, wide, ef.low_bits, 0, len(keys), len(ids), start, len(ef.high))
-        own = np.array([0 if k is None else k for k in keys], "<i8")
-        return b"".join([head, nulls.tobytes(), own.tobytes(), ef.low.tobytes(), ef.high.astype("<u8").tobytes(), ef.samples.astype("<u4").tobytes(), ids.astype(f"<u{wide}").tobytes()])
+        head = struct.pack(HEADER, MAGIC, wide, len(ids), start, len(keys) - len(known), least, 0)
+        apart = np.array(known, np.int64).astype(np.uint64) - np.uint64(least % (1 << 64))  # modulo 2 ** 64, so that any two longs have a distance
+        return b"".join([head, EliasFano.build(apart).pack(), EliasFano.build(np.cumsum(lengths)).pack(), ids.astype(f"<u{wide}").tobytes()])
 
     @classmethod
     def unpack(cls, blob: bytes) -> Segment:
-        magic, wide, bits, _, n, size, start, words = struct.unpack_from(HEADER, blob)
+        magic, wide, size, start, nulls, least, _ = struct.unpack_from(HEADER, blob)
         if magic != MAGIC:
             raise ValueError("not a segment of a token file")
-        at = struct.calcsize(HEADER)
+        keys, at = EliasFano.unpack(blob, struct.calcsize(HEADER))
+        ends, at = EliasFano.unpack(blob, at)
+        return cls(nulls, least, keys, ends, np.frombuffer(blob, f"<u{wide}", size, at), start)
 
-        def take(kind: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(blob, kind, count, at)
-            at += out.nbytes
-            return out
+    def __len__(self) -> int:
+        return self.ends.n
 
-        nulls = np.unpackbits(take("u1", -(-n // 8)), count=n).astype(bool)
-        keys = [None if z else k for k, z in zip(take("<i8", n).tolist(), nulls.tolist())]
-        low, high, samples = take("u1", -(-n * bits // 8)), take("<u8", words), take("<u4", -(-n // SAMPLE))
-        return cls(keys, EliasFano(n, bits, low, high, samples), take(f"<u{wide}", size), start)
+    def key(self, i: int) -> int | None:
+        return None if i < self.nulls else self.least + self.keys.select(i - self.nulls)
 
     def bounds(self, i: int) -> tuple[int, int]:
         return (self.ends.select(i - 1) if i else 0), self.ends.select(i)
@@ -131,10 +138,7 @@ def _write(tokenizer: str, end_id: int, segment_ids: int):
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], names=["part", "segment", "n_docs", "n_ids", "blob"])
 
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:  # few rows at once, so that segments end near their size
-                some = batch.slice(at, 512)
-                at += 512
+            for some in shares(batch, 1, rows=512):  # few rows at once, so that segments end near their size
                 flat, starts = enc.encode(some.column(1), end_id)
                 keys += some.column(0).to_pylist()
                 lengths.append(np.diff(starts))
@@ -176,14 +180,17 @@ class TokenFiles:
         return self._blobs().join(F.broadcast(manifest), "part").select("part", "segment", "start", "blob")
 
     def digests(self) -> DataFrame:
+        """A row per document, read back: its key and bounds by select, its ids between them."""
+
         def run(batches):
             for batch in batches:
                 for base, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
                     s = Segment.unpack(blob.as_py())
-                    ends = s.ends.all()
-                    starts = np.concatenate([[0], ends])
-                    values = [s.keys, starts[:-1] + (base + s.start), np.diff(starts), tokens.crc32s(s.ids, starts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in values], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    n = len(s)
+                    keys = pa.array((s.key(i) for i in range(n)), pa.int64(), size=n)
+                    starts = np.fromiter((s.ends.select(i) if i >= 0 else 0 for i in range(-1, n)), np.int64, n + 1)
+                    values = [keys, pa.array(starts[:-1] + (base + s.start)), pa.array(np.diff(starts)), pa.array(tokens.crc32s(s.ids, starts))]
+                    yield pa.RecordBatch.from_arrays(values, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
         return self.segments().select("start", "blob").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
@@ -192,8 +199,8 @@ class TokenFiles:
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/loomtext-tokens-{uuid.uuid4().hex}"
-    return TokenFiles.write(documents(spark, sf_dir), path).digests()
+    """The files are read when the result is; they are deleted when the driver ends."""
+    return TokenFiles.write(documents(spark, sf_dir), scratch(spark, "tokens")).digests()
 
 
 QUERIES = {"op1_token_files": op1_token_files}

@@ -2,8 +2,9 @@
 
 A byte-level BPE never joins bytes over the boundaries that its pattern draws, and one always lies where white space follows anything else,
 and where a full stop or comma follows an ASCII letter. So a text's ids are the ids of its chunks between such places, and the library's
-own splitter and merges run once for each different chunk that a worker meets (by a 64-bit hash of its bytes). Texts with white space
-outside ASCII are not split.
+own splitter and merges run once for each different chunk that a worker meets; chunks are told apart by their bytes. Texts with white space
+outside ASCII, or with the content of one of the tokenizer's added tokens (such as an end mark in plain text), are not split: the library
+encodes them whole.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from .common import AT_ONCE, SPACE, slices, spans_hash, text_bytes
+from .common import AT_ONCE, SPACE, dictionary, slices, text_bytes
 
 #: White space of Unicode outside ASCII, and separators that some engines count as such.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -29,14 +30,14 @@ _LEAD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
 class Encoder:
-    """Keeps the ids of up to `words` different chunks, and forgets them all when there are more."""
+    """Keeps the ids of up to `words` different chunks of `room` bytes together, and forgets them all when there are more."""
 
-    def __init__(self, path: str, words: int = 2_000_000):
+    def __init__(self, path: str, words: int = 500_000, room: int = 32 << 20):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         plain = self.split.pre_tokenize_str(" \u00e9") if self.split else []
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in printable]
@@ -44,12 +45,15 @@ class Encoder:
         byte_level = self.split is not None and type(self.split).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         if not byte_level or [x for x, _ in plain] != ["".join(self.visible[b] for b in " \u00e9".encode())]:
             raise ValueError("only byte-level BPE without normalizer can be encoded chunk by chunk")
-        self.words, self.bits = words, int(words * 1.6).bit_length()
+        self.words, self.room = words, room
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.codes = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
-        self.flat, self.ends, self.n, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0, 0
+        self.known: dict[bytes, int] = {}
+        self.flat, self.ends, self.used, self.held = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0, 0
+
+    def _whole(self, raw: bytes) -> bool:
+        return any(t in raw for t in self.added) or OTHER_SPACE.search(raw.decode()) is not None
 
     def _chunk_ids(self, chunk: bytes) -> list[int]:
         text = chunk.decode()
@@ -57,49 +61,33 @@ class Encoder:
         body = text[1:] if space else text
         if LATIN.fullmatch(body):
             return [x.id for x in tokenize(chunk.decode("latin-1").translate(self.visible))]
-        if not body.isascii() and OTHER_SPACE.search(body):
+        if self._whole(chunk):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return [x.id for piece, _ in self.split.pre_tokenize_str(text) for x in tokenize(piece)]
 
-    def _find(self, h: np.ndarray) -> np.ndarray:
-        mask = np.uint64((1 << self.bits) - 1)
-        slot = (h & mask).astype(np.int64)
-        out = self.codes[slot]
-        todo = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & int(mask)
-            out[todo] = self.codes[slot[todo]]
-            todo = todo[(out[todo] >= 0) & (self.keys[slot[todo]] != h[todo])]
-        return out
-
-    def _insert(self, h: np.ndarray, code: np.ndarray) -> None:
-        mask = (1 << self.bits) - 1
-        slot = (h & np.uint64(mask)).astype(np.int64)
-        todo = np.arange(len(h))
-        while len(todo):
-            free = todo[self.codes[slot[todo]] < 0]
-            self.codes[slot[free]] = code[free]  # of several that want a slot, the last one gets it
-            won = free[self.codes[slot[free]] == code[free]]
-            self.keys[slot[won]] = h[won]
-            lost = np.ones(len(h), bool)
-            lost[won] = False
-            todo = todo[lost[todo]]
-            slot[todo] = (slot[todo] + 1) & mask
-
-    def _learn(self, data: np.ndarray, s: np.ndarray, e: np.ndarray, h: np.ndarray) -> None:
-        new, first = np.unique(h, return_index=True)
-        raw = data.tobytes()
-        ids = [self._chunk_ids(raw[a:b]) for a, b in zip(s[first].tolist(), e[first].tolist())]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _codes(self, chunks: list[bytes]) -> np.ndarray:
+        """The places of chunks among those known; others are learnt."""
+        codes = np.fromiter((self.known.get(c, -1) for c in chunks), np.int64, len(chunks))
+        missing = np.flatnonzero(codes < 0)
+        if not len(missing):
+            return codes
+        if len(self.known) + len(missing) > self.words or self.used > 32 * self.words or self.held > self.room:
+            self.clear()
+            missing = np.arange(len(chunks))
+        new = [chunks[i] for i in missing]
+        ids = [self._chunk_ids(c) for c in new]
+        sizes, n = np.fromiter(map(len, ids), np.int64, len(ids)), len(self.known)
         total = int(sizes.sum())
         while self.used + total > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-        while self.n + len(ids) > len(self.ends):
+        while n + len(ids) > len(self.ends):
             self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
         self.flat[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), np.int32, total)
-        self.ends[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes)
-        self._insert(new, np.arange(self.n, self.n + len(ids), dtype=np.int32))
-        self.n, self.used = self.n + len(ids), self.used + total
+        self.ends[n : n + len(ids)] = self.used + np.cumsum(sizes)
+        self.known.update(zip(new, range(n, n + len(new))))
+        self.used, self.held = self.used + total, self.held + sum(map(len, new))
+        codes[missing] = np.arange(n, n + len(new))
+        return codes
 
     def _encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, and where each text's ids start."""
@@ -109,32 +97,23 @@ class Encoder:
         space = SPACE[data]
         start[1:] = (space[1:] & ~space[:-1]) | (STOP[data[1:]] & LETTER[data[:-1]])
         start[at[:-1][at[:-1] < len(data)]] = True
+        rows = np.zeros(0, np.int64)
         if _LEAD[data].any():  # rare enough that each such text is looked at whole
             rows = np.unique(np.searchsorted(at, np.flatnonzero(_LEAD[data]), side="right") - 1)
-            for r in rows.tolist():
-                if OTHER_SPACE.search(data[at[r] : at[r + 1]].tobytes().decode()):
-                    start[at[r] + 1 : at[r + 1]] = False
+        if self.added and any(t in raw for raw in [data.tobytes()] for t in self.added):
+            rows = np.arange(len(at) - 1)
+        for r in rows.tolist():
+            if at[r] < at[r + 1] and self._whole(data[at[r] : at[r + 1]].tobytes()):
+                start[at[r] + 1 : at[r + 1]] = False
         s = np.flatnonzero(start)
-        e = np.concatenate([s[1:], [len(data)]])
-        h = spans_hash(data, s, e)
-        code = self._find(h)
-        missing = np.flatnonzero(code < 0)
-        if len(missing):
-            if self.n + len(missing) > self.words or self.used > 32 * self.words:
-                self.clear()
-                missing = np.arange(len(h))
-                if len(missing) > self.words:
-                    self.bits = max(self.bits, int(2 * len(missing)).bit_length())
-                    self.clear()
-            self._learn(data, s[missing], e[missing], h[missing])
-            code = self._find(h)
+        chunks, place = dictionary(data, s)
+        code = self._codes(chunks)[place]
         ends = self.ends[code]
         begins = np.where(code > 0, self.ends[code - 1], 0)
         n = ends - begins
         to = np.cumsum(n)
         ids = self.flat[np.repeat(begins - (to - n), n) + np.arange(to[-1])]
-        chunks = np.searchsorted(s, at)
-        return ids, np.concatenate([[0], to])[chunks]
+        return ids, np.concatenate([[0], to])[np.searchsorted(s, at)]
 
     def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column (null: empty), end_id after each, and where each text's ids start (one more entry)."""
@@ -143,7 +122,7 @@ class Encoder:
         for lo, hi in slices(at):
             part = data[at[lo] : at[hi]]
             cuts = [0, len(part)]
-            if len(part) > 2 * AT_ONCE and not OTHER_SPACE.search(part.tobytes().decode()):  # one very long text
+            if len(part) > 2 * AT_ONCE and not self._whole(part.tobytes()):  # one very long text
                 cuts = [0]
                 while cuts[-1] < len(part):
                     stop = min(len(part), cuts[-1] + AT_ONCE)

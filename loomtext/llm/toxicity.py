@@ -4,10 +4,12 @@ Categories are predicted one after the other: each has a sparse logistic model o
 over the probabilities of the categories before it. While a later model is trained, those are out-of-fold predictions, so that it learns how
 far to trust them. L1 penalties leave a few hundred words with a weight, so that a long clean text gathers no weight by its length.
 
-The models are fitted on the driver on a bounded, documented sample of labelled rows (per_group rows of each combination of labels, by hash
-of the identifier); scoring reads every row and whole texts, in one pass without a shuffle. Nulls: a null text has no words; rows of labels
-with a null category or identifier teach nothing. Without labels, or with one class only, a category's probability is its share of the rows
-(0 without rows). Repeated rows of labels count once, with a category that any of them has. Empty tables give empty results.
+The models are fitted on the driver on a bounded, documented sample of labelled rows (per_group rows of each combination of labels, those with
+the least hashes of the identifier, and of those as many as have most_features features together); scoring reads every row and whole texts,
+in one pass without a shuffle. Nulls: a null text has no words; rows of labels with a null category or identifier teach nothing. Without
+labels, or with one class only, a category's probability is its share of the rows (0 without rows). Repeated rows of labels count once, with a
+category that any of them has; of several documents with one identifier, the one whose text has the least hash teaches. Empty tables give
+empty results. Columns of any other name stay as they are.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import AT_ONCE, LOWER, documents, mix64, slices, smallest, spans_hash, text_bytes
+from .common import AT_ONCE, LOWER, dictionary, documents, least_hashed, materialize, release, shares, slices, split_words, text_bytes
 
 BITS = 18
 #: Words end at any ASCII character but letters, digits and the apostrophe.
@@ -31,19 +34,27 @@ BREAK = np.array([b < 128 and not chr(b).isalnum() and b != 0x27 for b in range(
 PREFIXES = (3, 4, 5)
 
 
+def _places(word: bytes) -> list[int]:
+    """The features of a word: itself and its beginnings, each at one of 2 ** 18 places by its hash (words that share a place share a weight)."""
+    return [xxhash.xxh3_64_intdigest(word) >> 64 - BITS, *(xxhash.xxh3_64_intdigest(word[:k], k) >> 64 - BITS for k in PREFIXES if len(word) > k)]
+
+
 def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of all words and their beginnings, repeats included."""
-    data = LOWER[data]
-    word = ~BREAK[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[at] = True
-    s = np.flatnonzero(word & np.concatenate([[True], ~word[:-1] | edge[1:-1]]))
-    e = np.flatnonzero(word & np.concatenate([~word[1:] | edge[1:-1], [True]])) + 1
-    row = np.searchsorted(at, s, side="right") - 1
-    ends = [(s, e, row)] + [(s[n], s[n] + k, row[n]) for k in PREFIXES for n in [np.flatnonzero(e - s > k)]]
-    h = spans_hash(data, np.concatenate([x[0] for x in ends]), np.concatenate([x[1] for x in ends]))
-    kind = np.repeat(np.arange(len(ends), dtype=np.uint64), [len(x[0]) for x in ends])
-    return np.concatenate([x[2] for x in ends]), (mix64(h + kind) >> np.uint64(64 - BITS)).astype(np.int64)
+    """(row, feature) of all different words of each text and their beginnings, in no order and with repeats."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    body, starts, texts = split_words(data, at, BREAK)
+    words, place = dictionary(LOWER[body], starts)
+    if not words:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = np.unique(np.repeat(np.arange(len(at) - 1), np.diff(texts)) * len(words) + place)
+    row, place = both // len(words), both % len(words)
+    lists = [_places(w) for w in words]
+    n = np.fromiter(map(len, lists), np.int64, len(lists))
+    flat, first = np.fromiter((x for own in lists for x in own), np.int64, int(n.sum())), np.cumsum(n) - n
+    each = n[place]
+    step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    return np.repeat(row, each), flat[np.repeat(first[place], each) + step]
 
 
 def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -170,26 +181,34 @@ class Chain:
         return p
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", per_group: int = 1500, folds: int = 3, seed: int = 11) -> Chain:
-    """labels: key and a column of 0 and 1 for each category. The sample (per_group rows of each combination of labels) is bounded, and so
-    is what each of its rows brings to the driver: the places of its words, 2 ** 18 at most."""
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", per_group: int = 1500, folds: int = 3, seed: int = 11, most_features: int = 30_000_000) -> Chain:
+    """labels: key and a column of 0 and 1 for each category. The sample is bounded by per_group rows of each combination of labels, and what
+    it brings to the driver by most_features numbers of 4 bytes."""
     good = F.lit(True)
     for c in [key, *categories]:
         good = good & F.col(c).isNotNull()
     rows = labels.where(good).select(F.col(key).cast("long").alias("k"), *[(F.col(c) > 0).cast("int").alias(f"y{i}") for i, c in enumerate(categories)])
     ys = [f"y{i}" for i in range(len(categories))]
     rows = rows.groupBy("k").agg(*[F.max(y).alias(y) for y in ys]).withColumn("h", F.xxhash64("k", F.lit(seed)))
-    sample = smallest(rows, ys, ["h", "k"], per_group).drop("h")
+    sample = least_hashed(rows, ys, per_group)
 
     def run(batches):
         for batch in batches:
-            row, f = features(batch.column(1))
-            at = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(f.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], lists], names=["k", *ys, "f"])
-
-    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").select("k", "t", *ys)
-    got = texts.mapInArrow(run, ", ".join(["k long", *[f"{y} int" for y in ys], "f array<int>"])).toArrow().combine_chunks().sort_by([("k", "ascending")])
+            for some in shares(batch, 1):
+                row, f = features(some.column(1))
+                at = np.searchsorted(row, np.arange(some.num_rows + 1))
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(f.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([some.column(0), *some.columns[2:], lists], names=["k", "h", *ys, "f"])
+
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(sample.to_pylist() or [], "h long, k long, " + ", ".join(f"{y} int" for y in ys)))
+    texts = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).join(chosen, "k")
+    texts = texts.groupBy("k", "h", *ys).agg(F.min(F.struct(F.xxhash64("t").alias("th"), "t")).alias("t")).select("k", "t.t", "h", *ys)
+    found = materialize(texts.mapInArrow(run, ", ".join(["k long, h long", *[f"{y} int" for y in ys], "f array<int>"])), "features")
+    sizes = sorted((r["h"], r["k"], r["n"]) for r in found.select("h", "k", F.size("f").alias("n")).collect())
+    within = np.cumsum([n for _, _, n in sizes]) <= most_features
+    last = sizes[int(within.sum()) - 1][0] if within.any() else None
+    got = found.where(F.lit(False) if last is None else F.col("h") <= F.lit(last)).toArrow().combine_chunks().sort_by([("k", "ascending")])
+    release(found)
     n = got.num_rows
     y = np.column_stack([got.column(c).to_numpy() for c in ys]) if n else np.zeros((0, len(ys)))
     lists = got.column("f").combine_chunks() if n else None
@@ -204,12 +223,13 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text"
 
     def run(batches):
         for batch in batches:
-            p = chain.predict(batch.column(1))
-            columns = [batch.column(0), *[pa.array(np.round(p[:, i], 6)) for i in range(p.shape[1])], pa.array(p[:, -1] >= threshold)]
-            yield pa.RecordBatch.from_arrays(columns, names=["k", *names, "toxic"])
+            for some in shares(batch, 1):
+                p = chain.predict(some.column(1))
+                columns = [some.column(0), *[pa.array(np.round(p[:, i], 6)) for i in range(p.shape[1])], pa.array(p[:, -1] >= threshold)]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", *names, "toxic"])
 
     names = [f"p_{c}" for c in chain.categories]
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
     schema = T.StructType([rows.schema["k"], *[T.StructField(x, T.DoubleType()) for x in names], T.StructField("toxic", T.BooleanType())])
     return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
 
@@ -220,8 +240,9 @@ def drop_toxic(docs: DataFrame, chain: Chain, text: str = "text", threshold: flo
 
     def run(batches):
         for batch in batches:
-            p = chain.predict(batch.column(at))
-            yield batch.filter(pa.array(p[:, -1] < threshold))
+            for some in shares(batch, at):
+                p = chain.predict(some.column(at))
+                yield some.filter(pa.array(p[:, -1] < threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -49,9 +49,15 @@ def low(t):
     return (t or "").translate({c: c + 32 for c in range(65, 91)})
 
 
+def fresh_tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokens.tokenizer_path())
+
+
 def test_token_files(spark, docs, rows, none, tmp_path):
     got = sorted(tuple(r) for r in token_files.TokenFiles.write(docs, f"file://{tmp_path}/t", segment_ids=500).digests().collect())
-    tok = tokens.Encoder(tokens.tokenizer_path()).tokenizer
+    tok = fresh_tokenizer()
     at, want = 0, []
     for d, ids in sorted((x[0], tok.encode(x[1] or "", add_special_tokens=False).ids + [0]) for x in rows):
         want.append((d, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
@@ -62,19 +68,68 @@ def test_token_files(spark, docs, rows, none, tmp_path):
 
 def test_elias_fano_select():
     r = np.random.default_rng(0)
-    for values in ([0], [5] * 300, np.sort(r.integers(0, 10**7, 1000)), np.arange(200)):
-        ef = token_files.EliasFano.build(np.array(values))
-        assert ef.all().tolist() == list(values) == [ef.select(i) for i in range(len(values))]
-    blob = token_files.Segment.pack([1, None, 7], np.array([2, 0, 3]), np.array([9, 70000, 1, 2, 3]), 4)
+    for values in ([0], [5] * 300, np.sort(r.integers(0, 10**7, 1000)), np.arange(200), [0, 1, 2**63, 2**64 - 1]):
+        ef = token_files.EliasFano.build(np.array(values, np.uint64))
+        again, end = token_files.EliasFano.unpack(b"xx" + ef.pack() + b"yy", 2)
+        assert [int(v) for v in values] == [again.select(i) for i in range(len(values))] and end == 2 + len(ef.pack())
+    blob = token_files.Segment.pack([None, -(2**63), 7, 7, 2**63 - 1], np.array([2, 0, 3, 0, 1]), np.array([9, 70000, 1, 2, 3, 4]), 4)
     s = token_files.Segment.unpack(blob)
-    assert s.keys == [1, None, 7] and s.start == 4 and [s.document(i).tolist() for i in range(3)] == [[9, 70000], [], [1, 2, 3]]
+    assert [s.key(i) for i in range(len(s))] == [None, -(2**63), 7, 7, 2**63 - 1] and s.start == 4
+    assert [s.document(i).tolist() for i in range(5)] == [[9, 70000], [], [1, 2, 3], [], [4]]
+    lengths = r.integers(1, 2000, 5000)
+    ef = token_files.EliasFano.build(np.cumsum(lengths))
+    assert 8 * len(ef.pack()) < 5000 * (2 + np.log2(lengths.mean()) + 1)
 
 
 @pytest.mark.parametrize("text", ["", "  a  b ", "\n\n foo\n", "it's I'll don't", "3.5 a.b,c x.. ,,", "x　 y", "    z", "日本語 テキスト。", "<|endoftext|> q", "12,345.67 $5", " \t\r\n"])
 def test_chunked_encoding_is_whole_encoding(text):
     e = tokens.encoder(tokens.tokenizer_path())
     ids, at = e.encode(pa.array([text, None, text]))
-    assert ids.tolist() == 2 * e.tokenizer.encode(text, add_special_tokens=False).ids and len(at) == 4
+    assert ids.tolist() == 2 * fresh_tokenizer().encode(text, add_special_tokens=False).ids and len(at) == 4
+
+
+def thue_morse(n):
+    """Two strings on which polynomial hashes modulo a power of two agree, whatever their base."""
+    x = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    return x, x.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+@pytest.mark.parametrize("n", [1024, 2048])
+def test_like_strings_are_told_apart(spark, tmp_path, n, parts):
+    x, y = thue_morse(n)
+    rows = [(1, x), (2, y), (3, f"{x} one two three four"), (4, f"{y} one two three four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts, "doc_id").cache()
+    tok = fresh_tokenizer()
+    want = {d: np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4") for d, t in rows}
+    got = token_files.TokenFiles.write(docs.coalesce(parts), f"file://{tmp_path}/t").digests().collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in got} == {d: (len(v), zlib.crc32(v.tobytes())) for d, v in want.items()}
+    packed = packing.pieces(docs.coalesce(parts)).collect()
+    assert {r["doc_id"]: r["length"] for r in packed if not r["piece"]} == {d: (len(v) - 1) % 2048 + 1 for d, v in want.items()}
+    joined = ngram_join.NgramJoin(docs).components().collect()
+    assert {r["doc_id"]: r["component_id"] for r in joined} == {1: 1, 2: 2, 3: 3, 4: 4}
+    doubled = docs.unionByName(docs.selectExpr("doc_id + 10 AS doc_id", "text"))
+    cut = suffix_dedup.SuffixDedup(doubled).documents().collect()
+    assert sorted(tuple(r) for r in cut) == brute_removed([*rows, *((d + 10, t) for d, t in rows)])
+
+
+def test_very_long_texts(spark):
+    """One text of more than two blocks is worked on in parts, with the results of the whole."""
+    r = random.Random(8)
+    text = " ".join(r.choice(WORDS) + r.choice(["", ",", ".", " é"]) for _ in range(1_400_000)) + " vilest"
+    assert len(text.encode()) > 2 * common.AT_ONCE
+    column = pa.array(["one two", text, None, "three"])
+    ids, at = tokens.encoder(tokens.tokenizer_path()).encode(column)
+    tok = fresh_tokenizer()
+    halves = text[: len(text) // 2].rfind(" ")
+    want = tok.encode(text[:halves], add_special_tokens=False).ids + tok.encode(text[halves:], add_special_tokens=False).ids
+    assert ids[at[1] : at[2]].tolist() == want and at[3] - at[2] == 0
+    h, s = common.word_hashes(column)
+    words = text.split()
+    first = dict(zip(words, h[s[1] : s[2]].tolist()))
+    assert s.tolist() == [0, 2, 2 + len(words), 2 + len(words), 3 + len(words)] and h[s[1] : s[2]].tolist() == [first[w] for w in words] and len(set(first.values())) == len(first)
+    row, f = toxicity.features(column)
+    assert set(f[row == 1].tolist()) == {p for w in set(__import__("re").split(r"[^A-Za-z0-9'\u0080-\U0010ffff]+", text)) if w for p in toxicity._places(w.lower().encode())}
 
 
 def brute_components(rows, k=5):
@@ -104,6 +159,18 @@ def test_ngram_join(spark, docs, rows, none):
     assert ngram_join.NgramJoin(none).documents().count() == 0
 
 
+def test_ngram_join_deals_hot_lists(spark, docs, rows, monkeypatch):
+    """Lists of more than two rows are dealt to several parts, tokens to cells of two blocks, and pivots to parts."""
+    monkeypatch.setattr(ngram_join, "TOKEN_BLOCK", 2)
+    hot = common.hot_keys
+    monkeypatch.setattr(ngram_join, "hot_keys", lambda counts, keys: hot(counts, keys, 10**6))
+    more = [(10_000 + i, t) for i, (_, t, *_) in enumerate(rows) if t and i % 2 for _ in [0]]
+    all_rows = [(x[0], x[1]) for x in rows] + [(d, t + " and more") for d, t in more]
+    table = spark.createDataFrame(all_rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.NgramJoin(table, long=2).components().select("doc_id", "n_shingles", "component_id")
+    assert sorted(tuple(r) for r in got.collect()) == brute_components(all_rows)
+
+
 def brute_links(rows, k=5):
     """Classes are documents with equal sets, by their smallest identifier."""
     sets = {}
@@ -150,7 +217,7 @@ def test_prefixes_find_every_link():
             continue
         heavy = np.unique(r.integers(0, 400, 100).astype(np.uint64))
         p = ngram_join.Prefixes(heavy, r.integers(8, 5000, len(heavy)), 80, 100)
-        (a, la, _), (b, lb, _) = p.of(x), p.of(y)
+        (a, la, _, _), (b, lb, _, _) = p.of(x), p.of(y)
         k = min(la, lb)
         cut = lambda s, t: s[: len(t) - -(-80 * len(t) // 100) + k]
         assert len(np.intersect1d(cut(a, x), cut(b, y))) >= k
@@ -172,12 +239,14 @@ def test_components(spark):
     assert got == {**{i: 1 for i in range(1, 41)}, 100: 1, 200: 200, 201: 200, 202: 200}
 
 
-def test_smallest_of_a_large_group(spark):
-    rows = spark.range(5000).repartition(7).selectExpr("id", "CAST(id < 4900 AS INT) AS g", "hash(id) AS h")
-    got = common.smallest(rows, ["g"], ["h", "id"], 30, parts=3)
-    assert got.columns == ["id", "g", "h"]
-    want = sorted(sorted((r for r in rows.collect() if r["g"] == g), key=lambda r: (r["h"], r["id"]))[:30] for g in (0, 1))
-    assert sorted(map(tuple, got.collect())) == sorted(tuple(r) for w in want for r in w)
+def test_least_hashed(spark):
+    """The least hashes of each group, one row for each hash, however large the group and however often a row is repeated."""
+    rows = spark.range(5000).repartition(7).selectExpr("id", "CASE WHEN id < 4800 THEN 0 WHEN id < 4990 THEN 1 END AS g", "xxhash64(id) AS h")
+    again = rows.unionByName(rows.where("id % 3 = 0").limit(10**6)).unionByName(rows.where("id = 7").crossJoin(spark.range(300).selectExpr("id AS j")).select("id", "g", "h"))
+    got = common.least_hashed(again, ["g"], 30).to_pylist()
+    for g in (0, 1, None):
+        want = sorted((r for r in rows.collect() if r["g"] == g), key=lambda r: r["h"])[:30]
+        assert [r["id"] for r in got if r["g"] == g] == [r["id"] for r in want]
 
 
 def test_toxicity(spark, none):
@@ -277,20 +346,23 @@ def brute_removed(rows, length=100):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [50_000, 2])
-def test_suffix_dedup(spark, docs, rows, none, hot):
-    got = suffix_dedup.SuffixDedup(docs, hot=hot).documents()
+@pytest.mark.parametrize("hot, bits", [(50_000, 64), (2, 64), (50_000, 4)])
+def test_suffix_dedup(spark, docs, rows, none, hot, bits):
+    """With 4 bits most texts share their number with others."""
+    got = suffix_dedup.SuffixDedup(docs, hot=hot, bits=bits).documents()
     assert sorted(tuple(r) for r in got.collect()) == brute_removed(rows)
     assert suffix_dedup.SuffixDedup(none).documents().count() == 0
 
 
-def test_previous_factor():
-    text = b"banana_bandana_banana"
+@pytest.mark.parametrize("text", [b"banana_bandana_banana", b"a" * 40, b"abcdefgh", bytes(np.random.default_rng(1).integers(97, 99, 300, np.uint8)), b"zyxwvu" * 9])
+def test_previous_factor(text):
     w = np.array([text[i : i + 3] for i in range(len(text) - 2)], "S3")
-    got = suffix_dedup.previous_factor(w).tolist()
-    for i, p in enumerate(got):
-        earlier = [j for j in range(i) if w[j] == w[i]]
-        assert (p in earlier) if earlier else p == -1
+    factor, source = suffix_dedup.previous_factor(w)
+    common_prefix = lambda a, b: next((k for k in range(3) if a[k] != b[k]), 3)
+    for i in range(len(w)):
+        best = max((common_prefix(w[i], w[j]) for j in range(i)), default=0)
+        assert factor[i] == best
+        assert source[i] == -1 if not best else source[i] < i and common_prefix(w[i], w[source[i]]) == best
 
 
 def test_mixing(spark, docs, rows, none):
@@ -333,6 +405,48 @@ def test_exact_dedup(spark, docs, rows, none):
     assert exact_dedup.exact_groups(none).count() == 0
 
 
+TIES = [(1, "X x x", 1), (1, "Y y y", 2), (5, "Y Y Y", 3), (7, "Z z", 4), (7, "Z z", 5), (None, "Y y y", 6), (None, "only here", 7), (None, "only here", 8), (3, None, 9), (4, "", 10), (None, "", 11)]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_drop_copies_leaves_one_of_each_text(spark, parts):
+    """Shared, missing and repeated identifiers; columns of our names."""
+    docs = spark.createDataFrame(TIES, "doc_id long, text string, sha int").repartition(parts).selectExpr("*", "doc_id AS id0", "text AS c0")
+    got = exact_dedup.drop_copies(docs)
+    assert got.columns == docs.columns
+    kept = sorted((low(r["text"]), r["doc_id"], r["sha"]) for r in got.collect())
+    assert [(t, d) for t, d, _ in kept] == [("", 4), ("only here", None), ("x x x", 1), ("y y y", 5), ("z z", 7)] and kept[1][2] in (7, 8) and kept[4][2] in (4, 5)
+    assert sorted((r["keep_id"], r["group_size"]) for r in exact_dedup.exact_groups(docs).collect() if r["doc_id"] == 1) == [(1, 1), (5, 3)]
+
+
+def test_exact_groups_deal_a_hot_text(spark, monkeypatch):
+    """Texts with more than a part in 3 of the rows are dealt to several salts, with the same result."""
+    hot = common.hot_keys
+    monkeypatch.setattr(exact_dedup, "hot_keys", lambda counts, keys: hot(counts, keys, 3))
+    rows = [(i, "hot" if i % 2 else f"text {i // 4}") for i in range(60)] + [(None, "HOT")] * 20
+    got = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == 80 and {(r["keep_id"], r["group_size"]) for r in got if r["doc_id"] is None or r["doc_id"] % 2} == {(59, 50)}
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_drop_near_copies_leaves_one_of_each_component(spark, parts):
+    """A near copy goes whatever identifiers it and others have; texts without words and different texts of one identifier stay."""
+    r = random.Random(2)
+    a, b = prose(r, 100), prose(r, 100)
+    near = lambda t: t + " more"
+    rows = [(2, a, 1), (None, near(a), 2), (None, b, 3), (9, near(b), 4), (9, near(b), 5), (None, "lonely text", 6), (1, "one", 7), (1, "two", 8), (6, "", 9), (6, None, 10), (None, " ", 11), (None, None, 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, body int").repartition(parts)
+    got = ngram_join.drop_near_copies(docs)
+    assert got.columns == docs.columns
+    kept = sorted(x["body"] for x in got.collect())
+    assert [x for x in kept if x not in (4, 5, 9, 10)] == [1, 6, 7, 8, 11, 12] and len(set(kept) & {4, 5}) == 1 and len(set(kept) & {9, 10}) == 1
+    join = ngram_join.NgramJoin(docs)
+    parts_of = [(x["doc_id"], x["component_id"]) for x in join.components().collect()]
+    assert sorted(parts_of, key=str) == sorted([(2, 2), (None, 2), (None, 9), (9, 9), (9, 9), (None, None), (1, 1), (1, 1), (6, 6), (6, 6), (None, None), (None, None)], key=str)
+    none = spark.createDataFrame([], docs.schema)
+    assert ngram_join.drop_near_copies(none).count() == 0 and exact_dedup.drop_copies(none).count() == 0
+
+
 @pytest.mark.parametrize("budget", [None, 900, 4000])
 def test_trie_spills(budget):
     r = random.Random(budget)
@@ -344,27 +458,79 @@ def test_trie_spills(budget):
     assert {k: (o, n) for k, o, n in trie.items()} == want
 
 
+def plain_shard(key, shards):
+    """The descent in plain Python: at each level the child with the least draw."""
+
+    def draw(level, child, weight):
+        name = f"{'null' if key is None else key}/{level}/{child}"
+        u = (int(hashlib.md5(name.encode()).hexdigest()[:13], 16) + 0.5) / 16**13
+        return -np.log(u) / weight
+
+    for level in ("region", "rack", "shard"):
+        weights = {}
+        for s in shards:
+            weights[getattr(s, level)] = weights.get(getattr(s, level), 0) + s.weight
+        taken = min(weights, key=lambda c: draw(level, c, weights[c])) if len(weights) > 1 else next(iter(weights))
+        shards = [s for s in shards if getattr(s, level) == taken]
+    return shards[0].shard
+
+
 def test_sharding(spark, docs, rows, none):
-    got = sharding.assign(docs).collect()
-    assert len(got) == len(rows)
+    """Against the plain descent; rows without identifier too, and a table with a column of our names."""
+    extra = spark.createDataFrame([(None, "no key", "en", None, 1, "x"), (None, "no key", "en", None, 1, "x")], SCHEMA)
+    got = sharding.assign(docs.unionByName(extra).selectExpr("*", "1 AS shard", "2 AS size", "3 AS _draw0")).collect()
+    assert len(got) == len(rows) + 2
     for s in range(8):
-        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
-    assert all(r["grown_shard"] in (r["shard"], 8) for r in got)
-    text = {x[0]: x[1] or "" for x in rows}
-    assert all(r["size"] == len(text[r["doc_id"]].encode()) + 1 and r["text_crc32"] == zlib.crc32(text[r["doc_id"]].encode()) for r in got)
+        own = sorted((r["slot"], r["doc_id"] if r["doc_id"] is not None else -1) for r in got if r["shard"] == s)
+        assert [x for x, _ in own] == list(range(len(own))) and [d for _, d in own] == sorted(d for _, d in own)
+    text = {x[0]: x[1] or "" for x in rows} | {None: "no key"}
+    base, grown = sharding.topology(8), sharding.topology(9, planned=8)
+    for r in got:
+        b = text[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"]) == (len(b) + 1, zlib.crc32(b), "key")
+        assert (r["shard"], r["grown_shard"]) == (plain_shard(r["doc_id"], base), plain_shard(r["doc_id"], grown))
+        assert r["grown_shard"] in (r["shard"], 8)
     assert sharding.assign(none).count() == 0
 
 
-def test_weights_move_keys_into_one_subtree_only(spark):
+@pytest.mark.parametrize("planned", [3, 8])
+def test_one_more_shard_takes_rows_for_itself_only(spark, planned):
+    df = spark.range(20_000)
+    for n in (planned, planned + 1, planned + 4):
+        for i in (n, n + 1):
+            df = sharding.place(df, "id", sharding.topology(i, planned=planned), f"s{n}_{i}")
+    got = df.collect()
+    for n in (planned, planned + 1, planned + 4):
+        a, b = [r[f"s{n}_{n}"] for r in got], [r[f"s{n}_{n + 1}"] for r in got]
+        assert all(x == y or y == n for x, y in zip(a, b)) and abs(b.count(n) / len(got) - 1 / (n + 1)) < 0.02
+
+
+def test_weights_move_keys_within_changed_subtrees_only(spark):
     df = spark.range(20_000)
     tree = sharding.topology(11)
     heavier = [sharding.Shard(s.region, s.rack, s.shard, 3.0 if s.shard == 5 else s.weight) for s in tree]
+    where = {s.shard: s for s in tree}
     got = sharding.place(sharding.place(df, "id", tree, "a"), "id", heavier, "b").collect()
-    assert all(r["a"] == r["b"] or r["b"] == 5 for r in got)
+    for x, y in ((where[r["a"]], where[r["b"]]) for r in got if r["a"] != r["b"]):
+        own = where[5]
+        if x.region != y.region:
+            assert y.region == own.region
+        elif x.rack != y.rack:
+            assert y.rack == own.rack
+        else:
+            assert y.shard == 5
     share = np.bincount([r["b"] for r in got], minlength=11) / len(got)
     assert abs(share[5] - 3 / 13) < 0.02 and abs(share - 1 / 13)[[0, 1, 2, 10]].max() < 0.02
 
 
+def test_write_shards(spark, docs, rows, tmp_path):
+    sharding.write_shards(docs, f"file://{tmp_path}/s", 3, file_bytes=2000)
+    got = spark.read.parquet(f"file://{tmp_path}/s")
+    assert got.count() == len(rows) and {(r["doc_id"], r["shard"]) for r in got.collect()} == {(x[0], plain_shard(x[0], sharding.topology(3))) for x in rows}
+    with pytest.raises(ValueError):
+        sharding.write_shards(docs.withColumn("Shard", docs["h"]), f"file://{tmp_path}/t")
+
+
 def test_packing(spark, docs, rows, none):
     got = packing.pack(packing.pieces(docs, capacity=64), capacity=64).collect()
     by_doc, by_seq = {}, {}
