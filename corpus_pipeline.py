@@ -2,6 +2,12 @@
 
 Each stage is a function of (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the columns of
 documents; the last returns the packed pieces.
+
+Cases: a document with a null or empty text is clean, and one of all such stays after the exact stage; it takes no part in the mix, which is of
+words. A null identifier is larger than any other: a copy with an identifier is kept before one without. Rows that are equal in identifier and
+text count as copies of each other, so one of them stays; rows that share an identifier but not the text are documents of their own. A source
+of null is a source. Columns beyond those of the table documents go through all stages but the last. Without labels nothing is rejected, and
+empty tables give an empty result of the same columns.
 """
 
 from __future__ import annotations
