@@ -1,13 +1,21 @@
-"""Lexical ranking: postings, TF-IDF, BM25, keyword counts. Queries are a table, so that many cost one job."""
+"""Lexical ranking: postings, TF-IDF, BM25, keyword counts. Queries are a table, so that many cost one job.
+
+Documents are ranked where they are read: the queries' terms (with their weights) are sent to all tasks, each task scores its own documents
+against all queries by matrix products and keeps its best k for each query. A first pass counts documents, lengths and the documents that
+have each term. So frequent terms make no rows, and no term is a key of a shuffle.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text as X
+from .best import Best, ranked, rounded
 
 
 def terms(t: Column) -> Column:
@@ -25,41 +33,112 @@ def top(df: DataFrame, query_key: str, key: str, k: int, score: str = "score") -
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _asked(queries: DataFrame, query_key: str, text: str, tokens) -> DataFrame:
-    """query_key, term, times: a word that a query repeats counts as often."""
-    return queries.select(query_key, F.explode(tokens(F.col(text))).alias("term")).groupBy(query_key, "term").agg(F.count("*").alias("times"))
+#: Queries that are held against all documents in one scan; a larger table of queries takes several.
+AT_ONCE = 1 << 16
+#: Queries of a matrix product.
+BLOCK = 256
+
+
+class _Asked:
+    """The queries' terms: ids, and for each block of queries its terms and how often each query has them."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids = rows.column(0).combine_chunks()
+        self.terms: dict[str, int] = {}
+        self.blocks = []
+        words = [w or [] for w in rows.column(1).to_pylist()]
+        for lo in range(0, len(words), BLOCK):
+            own = [(self.terms.setdefault(t, len(self.terms)), q) for q, w in enumerate(words[lo : lo + BLOCK]) for t in w]
+            term, q = (np.array(c, np.int64) for c in zip(*own)) if own else (np.zeros(0, np.int64),) * 2
+            used, place = np.unique(term, return_inverse=True)
+            times = np.zeros((len(used), min(BLOCK, len(words) - lo)))
+            np.add.at(times, (place, q), 1)
+            self.blocks.append((lo, used, times))
+
+    def counts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of documents' word lists: (document, term, number) of the terms that are asked for."""
+        flat = words.flatten().dictionary_encode()
+        code = np.array([self.terms.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
+        size = words.value_lengths().fill_null(0).to_numpy()
+        term = code[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(words)), size)[term >= 0]
+        both, n = np.unique(doc * max(len(self.terms), 1) + term[term >= 0], return_counts=True)
+        return both // max(len(self.terms), 1), both % max(len(self.terms), 1), n
+
+
+def _ranked(queries: DataFrame, docs: DataFrame, k: int, query_key: str, key: str, text: str, tokens, length, digits: int, weigh) -> DataFrame:
+    """length: the column that a document's length is; weigh(tf, lengths, df, documents, total length) gives each term's part of a score."""
+    spark = docs.sparkSession
+    asked = queries.select(query_key, tokens(F.col(text)).alias("words"))
+    scans = -(-queries.count() // AT_ONCE)
+    words = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"), length.cast("long").alias("n"))
+    kinds = [queries.schema[query_key].dataType, docs.schema[key].dataType]
+    schema = T.StructType([T.StructField(query_key, kinds[0]), T.StructField(key, kinds[1]), T.StructField("score", T.DoubleType())])
+    out = None
+    for scan in range(max(scans, 1)):
+        some = asked if scans <= 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(scans)) == scan)
+        q = spark.sparkContext.broadcast(_Asked(some.toArrow()))
+
+        def count(batches, q=q):
+            df, docs, total = np.zeros(len(q.value.terms), np.int64), 0, 0
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    df += np.bincount(q.value.counts(part.column(0))[1], minlength=len(df))
+                    docs, total = docs + part.num_rows, total + (pc.sum(part.column(1)).as_py() or 0)
+            at = np.flatnonzero(df)
+            yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *at.tolist()], pa.int64()), pa.array([docs, total, *df[at].tolist()], pa.int64())], names=["term", "n"])
+
+        sums = {r["term"]: r["n"] for r in words.select("words", "n").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        df = np.ones(max(len(q.value.terms), 1))
+        for t, n in sums.items():
+            if t >= 0:
+                df[t] = n
+        stats = (df, sums.get(-1) or 0, sums.get(-2) or 0)
+
+        def score(batches, q=q, stats=stats):
+            df, best, kind = stats[0], Best(len(q.value.ids), k), None
+            for batch in batches:
+                kind = batch.schema.field(0).type
+                for lo in range(0, batch.num_rows, 1024):
+                    part = batch.slice(lo, 1024)
+                    n = part.column(2).fill_null(0).to_numpy().astype(float)
+                    doc, term, tf = q.value.counts(part.column(1))
+                    value = weigh(tf, n[doc], df[term], stats[1], stats[2])
+                    order = np.argsort(term, kind="stable")
+                    doc, term, value = doc[order], term[order], value[order]
+                    for first, used, times in q.value.blocks:
+                        at = np.minimum(np.searchsorted(used, term), max(len(used) - 1, 0))
+                        hit = used[at] == term if len(used) else np.zeros(len(term), bool)
+                        m = np.zeros((part.num_rows, len(used)))
+                        m[doc[hit], at[hit]] = value[hit]
+                        s = rounded((m @ times).T, digits)
+                        best.add(np.where(s > 0, s, -np.inf), part.column(0).to_numpy(zero_copy_only=False), first)
+            if kind is not None:
+                yield best.batch(q.value.ids, kind, [query_key, key, "score"])
+
+        found = words.where(F.col("key").isNotNull()).mapInArrow(score, schema)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, [query_key], key, k)
 
 
 def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query_key: str = "query_id", key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, tokens=terms) -> DataFrame:
-    """query_key, key, score, rank with idf ln(1 + (N - df + 0.5) / (df + 0.5)), which is never negative; rows without a common term don't occur.
-
-    Only postings of asked terms are shuffled: the queries' distinct terms are semi-joined before documents' words are counted.
-    """
-    asked = _asked(queries, query_key, text, tokens)
-    words = docs.select(key, tokens(F.col(text)).alias("w"))
-    sizes = words.select(key, F.size("w").alias("n"))
-    stats = sizes.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
-    found = words.select(key, F.size("w").alias("n"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    tf = found.groupBy("term", key, "n").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
-    scored = tf.join(asked, "term").join(df, "term").crossJoin(F.broadcast(stats))  # stats is one row
-    scored = scored.groupBy(query_key, key).agg(F.round(F.sum(part), 4).alias("score"))
-    return top(scored.where("score > 0"), query_key, key, k)
+    """query_key, key, score, rank with idf ln(1 + (N - df + 0.5) / (df + 0.5)), which is never negative; rows without a common term don't
+    occur. A word that a query repeats counts as often. A null text has no words, a row without key is counted but not found."""
+
+    def weigh(tf, n, df, docs, total):
+        return np.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / max(total / max(docs, 1), 1e-300)))
+
+    return _ranked(queries, docs, k, query_key, key, text, tokens, F.greatest(F.size(tokens(F.col(text))), F.lit(0)), 4, weigh)
 
 
 def tf_idf(queries: DataFrame, docs: DataFrame, k: int = 5, query_key: str = "query_id", key: str = "doc_id", text: str = "text", tokens=terms) -> DataFrame:
     """tf is a term's count over the words between white space, idf is ln(N / df)."""
-    asked = _asked(queries, query_key, text, tokens)
-    words = docs.select(key, F.size(X.words(F.col(text))).alias("n"), tokens(F.col(text)).alias("w"))
-    words = words.select(key, "n", F.explode("w").alias("term"))  # n is counted once a document, below the explosion
-    tf = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", key, "n").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = docs.agg(F.count("*").alias("docs"))
-    part = F.col("times") * F.col("tf") / F.col("n") * F.log(F.col("docs") / F.col("df"))
-    scored = tf.where("n > 0").join(asked, "term").join(df, "term").crossJoin(F.broadcast(total))  # total is one row
-    return top(scored.groupBy(query_key, key).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0"), query_key, key, k)
+
+    def weigh(tf, n, df, docs, total):
+        return tf / np.maximum(n, 1) * np.log(docs / df)
+
+    return _ranked(queries, docs, k, query_key, key, text, tokens, F.greatest(F.size(X.words(F.col(text))), F.lit(0)), 6, weigh)
 
 
 def keyword_count(df: DataFrame, words: list[str], text: str = "text") -> DataFrame:

@@ -8,13 +8,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import vectors as V
+from .best import Best, ranked, rounded
 
-#: Queries of a block: 4096 vectors of 1024 numbers are 32 MB.
-BLOCK = 4096
+#: Bytes of the queries that are sent to all tasks for one scan of the rows.
+BLOCK_BYTES = 64 << 20
+#: Queries and rows of a matrix product.
+QUERIES, ROWS = 512, 2048
 
 
 def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -25,57 +30,77 @@ def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
         n = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :]
         return np.divide(q @ x.T, n, out=np.zeros_like(n), where=n > 0)
     if metric == "l2":
-        return -np.sqrt(((q[:, None, :] - x[None, :, :]) ** 2).sum(axis=2))
+        square = (q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T)
+        return -np.sqrt(np.maximum(square, 0))
     if metric == "l1":
-        return -np.abs(q[:, None, :] - x[None, :, :]).sum(axis=2)
+        out = np.empty((len(q), len(x)))
+        step = max(1, (1 << 22) // max(x.size, 1))  # 32 MB of differences at once
+        for lo in range(0, len(q), step):
+            out[lo : lo + step] = -np.abs(q[lo : lo + step, None, :] - x[None, :, :]).sum(axis=2)
+        return out
     raise ValueError(f"unknown metric {metric}")
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length (none of them null) as rows of a matrix."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def knn(queries: DataFrame, rows: DataFrame, k: int | None, metric: str = "cosine", query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", where: Column | None = None, least: float | None = None, digits: int = 4, per: str | None = None) -> DataFrame:
-    """query_key, key, score, rank (and per): the k best rows for each query, or for each query and value of per; all of them if k is None.
+    """query_key, key, score, rank (and per): the k best rows for each query, or for each query and value of per; all of them if k is None,
+    which is for small tables of queries only, since it gives every pair.
 
-    Scores are rounded, and ties are ordered by key. where holds before the ranking; least leaves out lower scores.
+    Scores are rounded, and ties are ordered by key. where holds before the ranking; least leaves out lower scores. Null vectors and keys are
+    left out. An empty table on either side gives an empty result.
     """
     rows = rows.where(where) if where is not None else rows
-    rows = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(key, vector, *([per] if per else []))
-    numbered = queries.where(F.col(vector).isNotNull()).select(query_key, vector)
-    total = numbered.count()
-    blocks = -(-total // BLOCK)
-    if blocks > 1:
-        numbered = numbered.withColumn("_block", F.pmod(F.xxhash64(query_key), F.lit(blocks)))
+    rows = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(vector).alias("v"), F.col(key).alias("key"), *([F.col(per).alias("per")] if per else []))
+    asked = queries.where(F.col(vector).isNotNull()).select(query_key, vector)
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim")).first()
+    blocks = max(1, -(-size["n"] * size["dim"] * 8 // BLOCK_BYTES))
+    fields = [T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, rows.schema["key"].dataType), T.StructField("score", T.DoubleType())]
+    schema = T.StructType(fields + ([T.StructField(per, rows.schema["per"].dataType)] if per else []))
     out = None
-    kinds = {c: rows.schema[c].dataType.simpleString() for c in rows.columns}
-    schema = f"{query_key} {queries.schema[query_key].dataType.simpleString()}, {key} {kinds[key]}, score double" + (f", {per} {kinds[per]}" if per else "")
-    for b in range(max(blocks, 1)):
-        own = (numbered.where(F.col("_block") == b) if blocks > 1 else numbered).toPandas()
-        found = rows.mapInPandas(_block(own[query_key].to_numpy(), own[vector].tolist(), k, metric, query_key, key, vector, least, digits, per), schema)
+    for b in range(blocks):
+        own = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)).toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast((own.column(0).combine_chunks(), matrix(own.column(1).combine_chunks())))
+        found = rows.mapInArrow(_near(sent, k, metric, schema.names, least, digits, per is not None), schema)
         out = found if out is None else out.unionByName(found)
-    best = Window.partitionBy(query_key, *([per] if per else [])).orderBy(F.desc("score"), key)
-    ranked = out.withColumn("rank", F.row_number().over(best))
-    return ranked.where(F.col("rank") <= k) if k is not None else ranked
-
-
-def _block(ids, vectors, k, metric, query_key, key, vector, least, digits, per):
-    def run(frames):
-        q = np.array([np.asarray(v, float) for v in vectors])
-        for f in frames:
-            if not len(f) or not len(q):
-                continue
-            for lo in range(0, len(f), 2048):
-                part = f.iloc[lo : lo + 2048]
-                s = np.floor(scores(q, np.array([np.asarray(v, float) for v in part[vector]]), metric) * 10**digits + 0.5) / 10**digits
-                rank_key = part[key].to_numpy()
-                groups = [np.arange(len(part))] if per is None else [np.flatnonzero((part[per] == v).to_numpy()) for v in part[per].unique()]
-                for i in range(len(q)):
-                    for g in groups:
-                        own = s[i, g]
-                        order = np.lexsort((rank_key[g], -own))[: k if k is not None else len(own)]
-                        order = order if least is None else order[own[order] >= least]
-                        if len(order):
-                            data = {query_key: ids[i], key: rank_key[g][order], "score": own[order]}
-                            if per:
-                                data[per] = part[per].to_numpy()[g][order]
-                            yield pd.DataFrame(data)
+    return ranked(out, [query_key, *([per] if per else [])], key, k)
+
+
+def _near(sent, k, metric, names, least, digits, grouped):
+    def run(batches):
+        ids, q = sent.value
+        best: dict = {}
+        kinds = None
+        for batch in batches:
+            kinds = [f.type for f in batch.schema][1:]
+            for lo in range(0, batch.num_rows if len(q) else 0, ROWS):
+                part = batch.slice(lo, ROWS)
+                x, keys = matrix(part.column(0)), part.column(1).to_numpy(zero_copy_only=False)
+                groups = [(None, np.arange(len(x)))]
+                if grouped:
+                    coded = part.column(2).dictionary_encode(null_encoding="encode")
+                    code = coded.indices.to_numpy()
+                    groups = [(v, np.flatnonzero(code == i)) for i, v in enumerate(coded.dictionary.to_pylist())]
+                for first in range(0, len(q), QUERIES):
+                    s = rounded(scores(q[first : first + QUERIES], x, metric), digits)
+                    if least is not None:
+                        s[s < least] = -np.inf
+                    for v, own in groups:
+                        if k is not None:
+                            if v not in best:
+                                best[v] = Best(len(q), k)
+                            best[v].add(s[:, own], keys[own], first)
+                            continue
+                        i, j = np.nonzero(s[:, own] > -np.inf)
+                        columns = [ids.take(pa.array(i + first)), part.column(1).take(pa.array(own[j])), pa.array(s[:, own][i, j])]
+                        yield pa.RecordBatch.from_arrays([*columns, *([pa.array([v] * len(i), kinds[1])] if grouped else [])], names=names)
+        for v, b in best.items():
+            got = b.batch(ids, kinds[0], names[:3])
+            yield got if not grouped else pa.RecordBatch.from_arrays([*got.columns, pa.array([v] * got.num_rows, kinds[1])], names=names)
 
     return run
 
