@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 # Words that results depend on, in the order in which they are tried.
 DAYS = {"오늘": "today", "내일": "tomorrow", "어제": "yesterday", "이번주": "this_week", "다음주": "next_week", "today": "today", "tomorrow": "tomorrow", "yesterday": "yesterday"}
 CITIES = {"서울": "seoul", "부산": "busan", "인천": "incheon", "대구": "daegu", "광주": "gwangju", "seoul": "seoul", "busan": "busan", "incheon": "incheon", "daegu": "daegu", "gwangju": "gwangju"}
+# Places that a request can name, in the order in which they are tried.
+PLACES = """서울 부산 대구 인천 광주 대전 울산 세종 수원 고양 용인 성남 안산 안양 남양주 평택 시흥 김포 하남 오산 구리 군포 의왕 과천 의정부 동두천 안성 포천 여주 양평 가평 연천
+춘천 원주 강릉 태백 삼척 정선 속초 고성 양양 인제 횡성 영월 평창 화천 양구 철원 청주 충주 제천 보은 옥천 영동 증평 진천 괴산 음성 단양 천안 공주 보령 아산 서산 논산 계룡 당진 금산
+부여 서천 청양 홍성 예산 태안 전주 군산 익산 정읍 남원 김제 완주 진안 무주 장수 임실 순창 고창 부안 목포 여수 순천 나주 광양 담양 곡성 구례 고흥 보성 화순 장흥 강진 해남 영암 무안
+함평 영광 장성 완도 진도 신안 포항 경주 김천 안동 구미 영주 영천 상주 문경 경산 군위 의성 청송 영양 영덕 청도 고령 성주 칠곡 예천 봉화 울진 울릉 독도""".split()
 CHANNELS = {"슬랙": "slack", "이메일": "email", "문자": "sms", "팀즈": "teams", "slack": "slack", "email": "email", "sms": "sms", "teams": "teams"}
 PRIORITIES = {"높음": "high", "보통": "normal", "낮음": "low", "긴급": "urgent", "high": "high", "normal": "normal", "low": "low", "urgent": "urgent"}
 NOTICES = {"정보": "info", "경고": "warning", "오류": "error", "성공": "success", "작업": "task", "info": "info", "warning": "warning", "error": "error", "success": "success", "task": "task"}
@@ -116,10 +121,11 @@ def intent(t: Column) -> Column:
     return F.when(F.size(found) > 1, F.array_join(found, "_and_")).when(F.size(found) == 1, F.concat(found[0], F.lit("_query"))).otherwise("general_conversation")
 
 
-def intent_parameters(t: Column, cities: list[str] = [c for c in CITIES if not c.isascii()]) -> Column:
+def intent_parameters(t: Column, cities: list[str] = PLACES) -> Column:
     """struct(city, channel, action). A request about the weather without a city is about the first one."""
     low = F.lower(t)
-    named = _first([(F.contains(t, F.lit(c)), c) for c in cities], F.when(has_any(low, INTENTS["weather"]), F.lit(cities[0])))
+    within = F.filter(F.array(*[F.lit(c) for c in cities]), lambda c: F.contains(t, c))
+    named = F.coalesce(F.get(within, F.lit(0)), F.when(has_any(low, INTENTS["weather"]), F.lit(cities[0])))
     channel = _first([(has_any(low, ["이메일", "email"]), "email"), (has_any(low, ["슬랙", "slack"]), "slack"), (has_any(low, ["문자", "sms"]), "sms")], F.lit(None).cast("string"))
     action = _first([(has_any(t, w), a) for a, w in ACTIONS.items()], F.lit(None).cast("string"))
     return F.struct(named.alias("city"), channel.alias("channel"), action.alias("action"))
@@ -177,3 +183,11 @@ def summary(t: Column, marks: list[str], short: int = 50, long: int = 100) -> Co
     """The beginning: longer where the text has one of the marks, with dots where something is left out."""
     n = F.when(has_any(t, marks), F.lit(long)).otherwise(F.lit(short))
     return F.when(F.length(t) > n, F.concat(t.substr(F.lit(1), n), F.lit("..."))).otherwise(t)
+
+
+def stop_reason(iteration: Column, score: Column, previous: Column, most: int = 5, enough: float = 8.0, least_gain: float = 0.5) -> Column:
+    """Why a loop of revisions ends after this one: the score is good enough, no more iterations, a worse score than before, or too little
+    gain from the second iteration on; null where it goes on. The first round has no previous score."""
+    gain = score - previous
+    ends = [(score >= enough, "threshold"), (iteration >= most, "maximum"), (gain < 0, "regress"), ((gain < least_gain) & (iteration >= 2), "plateau")]
+    return _first([(F.coalesce(c, F.lit(False)), r) for c, r in ends], F.lit(None).cast("string"))

@@ -76,23 +76,29 @@ def parse(html: str) -> Node:
     return t.root
 
 
+def _events(node, dropped: set[str]):
+    """(text, "") and (element, "begin" or "end") in order, without dropped elements and advertisements; by a stack, since pages nest deeply."""
+    stack: list[tuple] = [(node, "begin")]
+    while stack:
+        n, edge = stack.pop()
+        if isinstance(n, str):
+            yield n, ""
+        elif edge == "end":
+            yield n, edge
+        elif n.tag not in dropped and not AD.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"):
+            yield n, edge
+            stack.append((n, "end"))
+            stack += [(c, "begin") for c in reversed(n.children)]
+
+
 def text_of(node: Node, dropped: set[str] = DROPPED) -> str:
     """Text with a line for each block, without dropped elements and advertisements."""
     out: list[str] = []
-
-    def visit(n):
+    for n, edge in _events(node, dropped):
         if isinstance(n, str):
             out.append(re.sub(r"\s+", " ", n))
-            return
-        if n.tag in dropped or AD.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"):
-            return
-        edge = "\n" if n.tag in BLOCKS else " " if n.tag in ("td", "th") else ""
-        out.append(edge)
-        for c in n.children:
-            visit(c)
-        out.append(edge)
-
-    visit(node)
+        else:
+            out.append("\n" if n.tag in BLOCKS else " " if n.tag in ("td", "th") else "")
     lines = [re.sub(r" +", " ", x).strip() for x in "".join(out).split("\n")]
     return "\n".join(x for x in lines if x)
 
@@ -106,15 +112,24 @@ def main_content(root: Node) -> Node:
     return root.by_id("main-content") or root.first("article", "main") or root.first("body") or root
 
 
+#: The most columns that a cell spans, as in HTML's own rules.
+WIDEST = 1000
+
+
+def _span(cell: Node, name: str) -> int:
+    n = cell.attrs.get(name) or "1"
+    return max(1, int(n)) if n.isascii() and n.isdigit() and len(n) < 10 else 1
+
+
 def own_rows(table: Node) -> list[Node]:
     """The rows of a table, without those of tables within it."""
-    rows, stack = [], list(table.children)
+    rows, stack = [], table.children[::-1]
     while stack:
-        n = stack.pop(0)
+        n = stack.pop()
         if isinstance(n, Node) and n.tag == "tr":
             rows.append(n)
         elif isinstance(n, Node) and n.tag in ("thead", "tbody", "tfoot"):
-            stack = n.children + stack
+            stack += reversed(n.children)
     return rows
 
 
@@ -133,7 +148,7 @@ def grid(table: Node, dropped: set[str] = DROPPED) -> tuple[list[list[str]], int
         for c in own:
             while (i, j) in cells:
                 j += 1
-            down, across = (max(1, int(c.attrs.get(a) or 1)) if (c.attrs.get(a) or "1").isdigit() else 1 for a in ("rowspan", "colspan"))
+            down, across = _span(c, "rowspan"), min(_span(c, "colspan"), WIDEST)
             body = " ".join(text_of(c, dropped).split("\n"))
             for y in range(i, min(len(rows), i + down)):
                 for x in range(j, j + across):
@@ -164,12 +179,11 @@ def table_markdown(table: Node) -> str:
 def rag_markdown(root: Node) -> str:
     """Headings, paragraphs and lists; a table's rows as `header: value` lines under a numbered title."""
     out: list[str] = []
-    n = 0
-
-    def visit(x):
-        nonlocal n
+    n, stack = 0, [main_content(root)]
+    while stack:
+        x = stack.pop()
         if not isinstance(x, Node) or x.tag in DROPPED:
-            return
+            continue
         if re.fullmatch("h[1-6]", x.tag):
             out.append("#" * int(x.tag[1]) + " " + text_of(x))
         elif x.tag == "table":
@@ -182,10 +196,7 @@ def rag_markdown(root: Node) -> str:
         elif x.tag == "li":
             out.append("- " + text_of(x).replace("\n", " "))
         else:
-            for c in x.children:
-                visit(c)
-
-    visit(main_content(root))
+            stack += reversed(x.children)
     return "\n\n".join(x for x in out if x.strip())
 
 
@@ -193,25 +204,21 @@ def page_tree(root: Node) -> list[dict]:
     """Rows (page, parent, level, title) of nested lists in a navigation tree; a list or a div may hold it."""
     at = next((n for n in root.walk() if isinstance(n, Node) and n.tag in ("ul", "div") and "tree" in n.attrs.get("class", "")), None)
     rows: list[dict] = []
-
-    def visit(n: Node, parent, level):
-        for c in n.children:
-            if not isinstance(c, Node):
-                continue
-            if c.tag == "li":
-                a = c.first("a")
-                title = text_of(a) if a else ""
-                here = a.attrs.get("href", "") if a else ""
-                if title:
-                    rows.append({"page": here, "parent": parent, "level": level, "title": title})
-                for sub in c.children:
-                    if isinstance(sub, Node) and sub.tag in ("ul", "ol", "div"):
-                        visit(sub, here or parent, level + 1)
-            elif c.tag in ("ul", "ol", "div"):
-                visit(c, parent, level)
-
-    if at:
-        visit(at, None, 0)
+    below = lambda n, parent, level: [(c, parent, level) for c in reversed(n.children) if isinstance(c, Node)]
+    stack = below(at, None, 0) if at else []
+    while stack:
+        c, parent, level = stack.pop()
+        if c.tag == "li":
+            a = c.first("a")
+            title = text_of(a) if a else ""
+            here = a.attrs.get("href", "") if a else ""
+            if title:
+                rows.append({"page": here, "parent": parent, "level": level, "title": title})
+            inner = [s for s in c.children if isinstance(s, Node) and s.tag in ("ul", "ol", "div")]
+            for sub in reversed(inner):
+                stack += below(sub, here or parent, level + 1)
+        elif c.tag in ("ul", "ol", "div"):
+            stack += below(c, parent, level)
     return rows
 
 
@@ -291,22 +298,15 @@ def blocks(df: DataFrame, key: str, markdown: str) -> DataFrame:
 def clean_html(node: Node) -> str:
     """Markup without dropped elements, advertisements and attributes other than href, src and spans."""
     out: list[str] = []
-
-    def visit(n):
+    for n, edge in _events(node, DROPPED):
         if isinstance(n, str):
             out.append(escape(n, quote=False))
-            return
-        if n.tag in DROPPED or AD.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}"):
-            return
-        inner = n.tag != "root"
-        if inner:
+        elif n.tag == "root":
+            continue
+        elif edge == "begin":
             out.append(f"<{n.tag}" + "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items() if k in ("href", "src", "rowspan", "colspan")) + ">")
-        for c in n.children:
-            visit(c)
-        if inner and n.tag not in VOID:
+        elif n.tag not in VOID:
             out.append(f"</{n.tag}>")
-
-    visit(node)
     return "".join(out)
 
 

@@ -25,15 +25,24 @@ def any_column_has(df: DataFrame, words: list[str]) -> DataFrame:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """A row for each column: rows, nulls, distinct values; least, most and mean of numbers or of the lengths of texts. One pass."""
+    """A row for each column: rows, nulls, distinct values; least, most and mean of numbers or of the lengths of texts. Sums take one pass with
+    a row for each task; distinct values take one for each column, whose different values alone are shuffled."""
     kinds = dict(df.dtypes)
-    value = {c: F.col(c).cast("double") if kinds[c] in NUMBERS else F.length(F.col(c).cast("string")).cast("double") for c in df.columns}
-    each = [F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("missing"), F.col(c).cast("string").alias("text"), value[c].alias("x")) for c in df.columns]
-    rows = df.select(F.explode(F.array(*each)).alias("r")).select("r.*")
-    return rows.groupBy("column").agg(
-        F.count("*").alias("n"), F.sum(F.col("missing").cast("int")).alias("nulls"), F.count_distinct("text").alias("distinct_values"),
-        F.min("x").alias("least"), F.max("x").alias("most"), F.round(F.avg("x"), 4).alias("mean"),
-    )
+    aggregates, parts = [F.count("*").alias("n")], []
+    for i, c in enumerate(df.columns):
+        x = F.col(c).cast("double") if kinds[c] in NUMBERS else F.length(F.col(c).cast("string")).cast("double")
+        aggregates += [F.sum(F.col(c).isNull().cast("int")).alias(f"nulls{i}"), F.min(x).alias(f"least{i}"), F.max(x).alias(f"most{i}"), F.round(F.avg(x), 4).alias(f"mean{i}")]
+        parts.append(F.struct(F.lit(c).alias("column"), "n", *[F.col(f"{m}{i}").alias(m) for m in ("nulls", "least", "most", "mean")]))
+    sums = df.agg(*aggregates).select(F.explode(F.array(*parts)).alias("r")).select("r.*")
+    each = [df.select(F.col(c).cast("string").alias("v")).distinct().agg(F.count("v").alias("distinct_values")).select(F.lit(c).alias("column"), "distinct_values") for c in df.columns]
+    return sums.join(F.broadcast(reduce(DataFrame.unionByName, each)), "column").select("column", "n", "nulls", "distinct_values", "least", "most", "mean")
+
+
+def frequent_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
+    """column, value, n, place: the k most frequent values of each column, ties by value. Values are counted before any is ranked."""
+    each = [df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(k).select(F.lit(c).alias("column"), "value", "n") for c in columns]
+    place = F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))
+    return reduce(DataFrame.unionByName, each).withColumn("place", place)
 
 
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:

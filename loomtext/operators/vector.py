@@ -150,7 +150,8 @@ def dimension_stats(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def pca(df: DataFrame, n: int = 2, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Adds the first n principal components. Sums of products (a table of the dimension's square) come to the driver; rows don't."""
+    """Adds the first n principal components. Sums of products (a table of the dimension's square) come to the driver; rows don't. An empty
+    table stays empty."""
 
     def partial(frames):
         total, square, count = None, None, 0
@@ -165,6 +166,8 @@ def pca(df: DataFrame, n: int = 2, key: str = "vec_id", vector: str = "embedding
 
     got = df.select(vector).mapInPandas(partial, "n long, s array<double>, q array<double>").toPandas()
     count = got["n"].sum()
+    if not count:
+        return df.select("*", *[F.lit(None).cast("double").alias(f"pc{i + 1}") for i in range(n)])
     mean = np.sum(got["s"].tolist(), axis=0) / count
     cov = np.sum(got["q"].tolist(), axis=0).reshape(len(mean), -1) / count - np.outer(mean, mean)
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, :n]
@@ -174,13 +177,13 @@ def pca(df: DataFrame, n: int = 2, key: str = "vec_id", vector: str = "embedding
 
 
 def kmeans(df: DataFrame, k: int, rounds: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Adds cluster: Lloyd's rounds from the first k vectors by hash of the key; k centres at a time are on the driver."""
+    """Adds cluster: Lloyd's rounds from the first k vectors by hash of the key; k centres at a time are on the driver. An empty table stays
+    empty."""
     first = df.select(key, vector).orderBy(F.xxhash64(key), key).limit(k).toPandas()
+    if not len(first):
+        return df.withColumn("cluster", F.lit(None).cast("int"))
     centers = np.array([np.asarray(v, float) for v in first[vector]])
 
-    def near(x):
-        return ((x[:, None, :] - centers[None]) ** 2).sum(2).argmin(1)
-
     for _ in range(rounds):
 
         def partial(frames, centers=centers):
@@ -203,27 +206,57 @@ def kmeans(df: DataFrame, k: int, rounds: int = 10, key: str = "vec_id", vector:
     return df.withColumn("_d", d).withColumn("cluster", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_d")
 
 
-def lsh_search(queries: DataFrame, rows: DataFrame, k: int, planes: int = 6, tables: int = 24, dim: int = 64, seed: int = 1, probes: int = 2, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def lsh_search(queries: DataFrame, rows: DataFrame, k: int, planes: int = 6, tables: int = 24, seed: int = 1, probes: int = 2, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate knn(): rows that share a bucket of random hyperplanes with the query in any of several tables, ranked by cosine. In each
-    table a query also asks the buckets across each of the few planes (probes) that it is nearest to."""
-    r = np.random.default_rng(seed).normal(size=(tables, planes, dim))
+    table a query also asks the buckets across each of the few planes (probes) that it is nearest to. As with knn(), queries are sent to all
+    tasks in blocks; a task finds the buckets of its own rows, and compares only what meets there."""
+    rows = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(vector).alias("v"), F.col(key).alias("key"))
+    asked = queries.where(F.col(vector).isNotNull()).select(query_key, vector)
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim")).first()
+    blocks = max(1, -(-size["n"] * size["dim"] * 8 // BLOCK_BYTES))
+    normals = np.random.default_rng(seed).normal(size=(tables, planes, max(size["dim"], 1)))
+    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, rows.schema["key"].dataType), T.StructField("score", T.DoubleType())])
+
+    def buckets(x):
+        side = np.einsum("nd,tpd->ntp", x, normals)
+        return side, (side > 0) @ (1 << np.arange(planes))
+
+    def near(sent):
+        def run(batches):
+            ids, q = sent.value
+            if not len(q):
+                return
+            side, own = buckets(q)
+            across = np.argsort(np.abs(side), axis=2)[:, :, :probes]
+            probed = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << across)], axis=2)  # queries x tables x buckets asked
+            length, best, kind = np.linalg.norm(q, axis=1), Best(len(q), k), None
+            for batch in batches:
+                kind = batch.schema.field(1).type
+                for lo in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(lo, ROWS)
+                    x, keys = matrix(part.column(0)), part.column(1).to_numpy(zero_copy_only=False)
+                    bucket, norm = buckets(x)[1], np.linalg.norm(x, axis=1)
+                    for first in range(0, len(q), QUERIES):
+                        some = probed[first : first + QUERIES]
+                        meet = np.zeros((len(some), len(x)), bool)
+                        for t in range(tables):
+                            for p in range(some.shape[2]):
+                                meet |= some[:, t, p, None] == bucket[None, :, t]
+                        i, j = np.nonzero(meet)
+                        n = length[first + i] * norm[j]
+                        dot = np.einsum("ij,ij->i", q[first + i], x[j])
+                        s = np.full(meet.shape, -np.inf)
+                        s[i, j] = rounded(np.divide(dot, n, out=np.zeros_like(n), where=n > 0), 4)
+                        best.add(s, keys, first)
+            if kind is not None:
+                yield best.batch(ids, kind, schema.names)
+
+        return run
 
-    def buckets(frames, more):
-        for f in frames:
-            x = np.array([np.asarray(v, float) for v in f[vector]]).reshape(-1, dim)
-            side = np.einsum("nd,tpd->ntp", x, r)
-            bits = (side > 0) @ (1 << np.arange(planes))
-            across = 1 << np.argsort(np.abs(side), axis=2)[:, :, :more]
-            for t in range(tables):
-                yield f.assign(table=t, bucket=bits[:, t])
-                for p in range(across.shape[2]):
-                    yield f.assign(table=t, bucket=bits[:, t] ^ across[:, t, p])
-
-    def dealt(df, own, more=0):
-        return df.where(F.col(vector).isNotNull()).select(own, vector).mapInPandas(lambda frames: buckets(frames, more), f"{own} {df.schema[own].dataType.simpleString()}, {vector} {df.schema[vector].dataType.simpleString()}, table int, bucket long")
-
-    q = dealt(queries, query_key, probes).withColumnRenamed(vector, "qv")
-    pairs = q.join(dealt(rows, key), ["table", "bucket"]).dropDuplicates([query_key, key])
-    scored = pairs.select(query_key, key, F.round(V.cosine(F.col("qv"), F.col(vector)), 4).alias("score"))
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        own = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)).toArrow()
+        sent = rows.sparkSession.sparkContext.broadcast((own.column(0).combine_chunks(), matrix(own.column(1).combine_chunks())))
+        found = rows.mapInArrow(near(sent), schema)
+        out = found if out is None else out.unionByName(found)
+    return ranked(out, [query_key], key, k)

@@ -43,6 +43,11 @@ def a2(spark, sf):
     return R.profile(t(spark, sf, "customer"))
 
 
+@query("a2_top_values", "WITH v AS (SELECT 'c_mktsegment' AS \"column\", c_mktsegment AS value FROM customer UNION ALL SELECT 'c_name', c_name FROM customer), n AS (SELECT \"column\", value, count(*) AS n FROM v WHERE value IS NOT NULL GROUP BY ALL), r AS (SELECT *, (row_number() OVER (PARTITION BY \"column\" ORDER BY n DESC, value))::INTEGER AS place FROM n) SELECT * FROM r WHERE place <= 5")
+def a2_values(spark, sf):
+    return R.frequent_values(t(spark, sf, "customer"), ["c_mktsegment", "c_name"])
+
+
 @query("a3_cross_table", "SELECT 'supplier' AS source, s_suppkey AS key, s_name AS name FROM supplier WHERE contains(lower(s_name), '7') UNION ALL SELECT 'part', p_partkey, p_name FROM part WHERE contains(lower(p_name), '7')")
 def a3(spark, sf):
     s = R.matching(t(spark, sf, "supplier"), {"s_name": "7"}).select(F.lit("supplier").alias("source"), F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))

@@ -196,6 +196,14 @@ def v24(spark, sf):
     return vector.lsh_search(asked(spark, sf), emb(spark, sf), 5)
 
 
+@query("v24_recall")
+def v24_recall(spark, sf):
+    """The share of the true neighbours that v24_lsh finds."""
+    true, found = v7(spark, sf).select("query_id", "vec_id"), v24(spark, sf).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = true.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+
+
 @query("v25_dimensions", "WITH x AS (SELECT unnest(range(0, 64))::INTEGER AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT dim, round(min(x), 5) AS least, round(max(x), 5) AS most, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std FROM x GROUP BY dim")
 def v25(spark, sf):
     d = vector.dimension_stats(emb(spark, sf))
