@@ -93,3 +93,21 @@ def metadata_score(query: Column, title: Column, day: Column, words: Column, as_
     hit = F.exists(terms(query), lambda w: F.contains(F.lower(title), w))
     recent = F.greatest(F.lit(0.0), 1 - F.datediff(as_of, day) / F.lit(365.0))
     return F.least(F.lit(1.0), F.when(hit, 0.3).otherwise(0.0) + 0.2 * F.coalesce(recent, F.lit(0.0)) + F.when(words.between(50, 500), 0.1).otherwise(0.0))
+
+
+def training_pairs(questions: DataFrame, passages: DataFrame, question_key: list[str], own: str, key: str, negatives: int = 3) -> DataFrame:
+    """question_key, key, label: each question with the passage that it belongs to (1), and with some others (0).
+
+    Passages are dealt to buckets by hash, about sixteen for each negative asked for; a question takes from one bucket those whose hash with it
+    is least. So a question meets a bounded number of passages, whatever the table, and reruns agree. A bucket with too few gives fewer.
+    """
+    buckets = max(1, passages.count() // (16 * negatives))
+    text = F.concat_ws("/", *question_key)
+    bucket = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % buckets
+    q = questions.withColumn("bucket", bucket(text))
+    p = passages.select(key, bucket(F.col(key).cast("string")).alias("bucket"))
+    met = q.join(p, "bucket").where(F.col(own) != F.col(key)).withColumn("h", F.md5(F.concat_ws("/", text, F.col(key))))
+    w = Window.partitionBy(*question_key).orderBy("h", key)
+    others = met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= negatives)
+    positive = questions.select(*question_key, F.col(own).alias(key), F.lit(1).alias("label"))
+    return positive.unionByName(others.select(*question_key, key, F.lit(0).alias("label")))

@@ -180,4 +180,14 @@ def hashed_vectors(df: DataFrame, key: str, text: str, dim: int = 256, tokens=te
 
     cell = lambda w: (F.conv(F.substring(F.md5(w), 1, 2 if dim <= 256 else 8), 16, 10).cast("long") % dim).cast("int")
     cells = F.transform(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), cell).alias("cells")
-    return df.select(key, cells).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, embedding array<double>")
+    schema = T.StructType([T.StructField(key, df.schema[key].dataType), T.StructField("embedding", T.ArrayType(T.DoubleType()))])
+    return df.select(key, cells).mapInArrow(run, schema)
+
+
+def nearest_patterns(requests: DataFrame, patterns: DataFrame, k: int = 5, request_key: str = "request_id", key: str = "pattern_id", text: str = "text") -> DataFrame:
+    """request_key, key, similarity (one less the cosine distance), rank: the known phrases nearest to each request. A request's key can be a
+    struct of several columns."""
+    from .vector import knn
+
+    found = knn(hashed_vectors(requests, request_key, text), hashed_vectors(patterns, key, text), k, query_key=request_key, key=key)
+    return found.select(request_key, key, F.col("score").alias("similarity"), "rank")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -44,8 +46,24 @@ _TFIDF = f"""tx AS MATERIALIZED (SELECT doc_id, len(regexp_extract_all(text, '\\
 _BOTH = f"WITH {_BM25}, {_TFIDF}"
 
 
-def sparse(spark, sf):
-    return lexical.bm25(asked(spark, sf), docs(spark, sf), 10)
+_HASHED = f"""dv AS (SELECT doc_id, cell, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, ('0x' || substr(md5(term), 1, 2))::INTEGER AS cell, count(*) AS n FROM (SELECT doc_id, unnest({_T}) AS term FROM documents) GROUP BY ALL)),
+ qv AS (SELECT query_id, cell, n / sqrt(sum(n * n) OVER (PARTITION BY query_id)) AS x FROM (SELECT item_id AS query_id, ('0x' || substr(md5(term), 1, 2))::INTEGER AS cell, count(*) AS n FROM (SELECT item_id, unnest({_T}) AS term FROM benchmark) GROUP BY ALL)),
+ cosines AS (SELECT query_id, doc_id, round(sum(qv.x * dv.x), 4) AS score FROM qv JOIN dv USING (cell) GROUP BY ALL)"""
+
+
+def _semantic(k: int, name: str = "dense", least: float = -1) -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM cosines WHERE score >= {least}) WHERE rank <= {k})"
+
+
+def semantic(spark, sf, k: int = 10, least: float | None = None, text=None):
+    """Cosine search over the stand-in vectors of the same texts."""
+    q = text if text is not None else asked(spark, sf)
+    rows = lexical.hashed_vectors(docs(spark, sf), "doc_id", "text")
+    return vector.knn(lexical.hashed_vectors(q, "query_id", "text"), rows, k, key="doc_id", least=least)
+
+
+def sparse(spark, sf, k: int = 10):
+    return lexical.bm25(asked(spark, sf), docs(spark, sf), k)
 
 
 def other(spark, sf):
@@ -83,8 +101,8 @@ def k6(spark, sf):
 _N = {"max": "CASE WHEN max(score) OVER (PARTITION BY query_id) > 0 THEN score / max(score) OVER (PARTITION BY query_id) ELSE 0 END", "minmax": "CASE WHEN max(score) OVER (PARTITION BY query_id) > min(score) OVER (PARTITION BY query_id) THEN (score - min(score) OVER (PARTITION BY query_id)) / (max(score) OVER (PARTITION BY query_id) - min(score) OVER (PARTITION BY query_id)) ELSE 1 END"}
 
 
-def _fused(weight: float, how: str) -> str:
-    return f"""{_BOTH}, a AS (SELECT query_id, doc_id, {_N[how]} AS s FROM dense), b AS (SELECT query_id, doc_id, {_N[how]} AS s FROM sparse),
+def _fused(weight: float, how: str, base: str = _BOTH) -> str:
+    return f"""{base}, a AS (SELECT query_id, doc_id, {_N[how]} AS s FROM dense), b AS (SELECT query_id, doc_id, {_N[how]} AS s FROM sparse),
  f AS (SELECT query_id, doc_id, round({weight} * coalesce(a.s, 0) + {1 - weight:.1f} * coalesce(b.s, 0), 4) AS score FROM a FULL JOIN b USING (query_id, doc_id)),
  r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM f) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5"""
 
@@ -94,6 +112,15 @@ def f1(spark, sf):
     return fusion.weighted(other(spark, sf), sparse(spark, sf), 0.7, 5).select("query_id", "doc_id", "score", "rank")
 
 
+_SEMANTIC = f"WITH {_BM25}, {_HASHED}, {_semantic(10)}"
+
+
+@query("f1_semantic", _fused(0.7, "max", _SEMANTIC))
+def f1_semantic(spark, sf):
+    """The semantic side weighs 0.7; twice as many candidates as results from each side."""
+    return fusion.weighted(semantic(spark, sf), sparse(spark, sf), 0.7, 5).select("query_id", "doc_id", "score", "rank")
+
+
 @query("f2_weighted_half", _fused(0.5, "max"))
 def f2(spark, sf):
     return fusion.weighted(other(spark, sf), sparse(spark, sf), 0.5, 5).select("query_id", "doc_id", "score", "rank")
@@ -125,7 +152,17 @@ def f6(spark, sf):
     return fusion.best_of([other(spark, sf), sparse(spark, sf)], 10)
 
 
-@query("f7_two_hops")
+def _bm25_of(queries: str, name: str, tag: str) -> str:
+    """BM25 for other queries (query_id, text), over the tables of _BM25."""
+    return f"""{tag}t AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_T}) AS term FROM {queries}) GROUP BY ALL),
+ {tag}s AS (SELECT query_id, doc_id, round(sum(times * ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * n / mean))), 4) AS score FROM tf JOIN {tag}t USING (term) JOIN df USING (term) CROSS JOIN st GROUP BY ALL),
+ {name} AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM {tag}s WHERE score > 0) WHERE rank <= 10)"""
+
+
+@query("f7_two_hops", f"""WITH {_BM25}, more AS (SELECT query_id, string_agg(substr(d.text, 1, 200), ' ' ORDER BY rank) AS t FROM sparse JOIN documents d USING (doc_id) WHERE rank <= 3 GROUP BY query_id),
+ asked AS (SELECT query_id, concat_ws(' ', b.text, t) AS text FROM more JOIN benchmark b ON b.item_id = query_id), {_bm25_of('asked', 'second', 'z')},
+ u AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT query_id, doc_id, score FROM sparse UNION ALL SELECT query_id, doc_id, score FROM second) GROUP BY ALL),
+ r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM u) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""")
 def f7(spark, sf):
     """The second hop asks with the query and the first 200 characters of its first three results."""
     d, q = docs(spark, sf), asked(spark, sf)
@@ -136,19 +173,75 @@ def f7(spark, sf):
     return fusion.best_of([hop, lexical.bm25(second, d, 10)], 10)
 
 
-METHODS = {"sparse": lambda spark, sf: sparse(spark, sf), "dense": lambda spark, sf: other(spark, sf), "hybrid": lambda spark, sf: fusion.weighted(other(spark, sf), sparse(spark, sf), 0.5, 5)}
+def _keyworded(spark, sf):
+    """The queries' keywords as further queries."""
+    return asked(spark, sf).select("query_id", F.array_join(X.regex_keywords(F.col("text")), " ").alias("text"))
+
+
+def _diverse(spark, sf, k):
+    found = semantic(spark, sf, 2 * k)
+    v = lexical.hashed_vectors(docs(spark, sf), "doc_id", "text")
+    return vector.mmr(found.join(v, "doc_id"), k, 0.7, key="doc_id")
+
 
+def _compressed(spark, sf, k):
+    """Results that are near enough, without those that repeat a better one; then their ranks."""
+    v = lexical.hashed_vectors(docs(spark, sf), "doc_id", "text")
+    kept = vector.drop_redundant(semantic(spark, sf, k, 0.3).join(v, "doc_id"), 0.8, key="doc_id")
+    return lexical.top(kept, "query_id", "doc_id", k)
 
-def search(spark, sf, method: str) -> DataFrame:
-    """One of several methods by name."""
+
+METHODS = {
+    "sparse": sparse,
+    "dense": semantic,
+    "hybrid": lambda spark, sf, k: fusion.weighted(semantic(spark, sf, k), sparse(spark, sf, k), 0.5, k),
+    "similarity": semantic,
+    "threshold": lambda spark, sf, k: semantic(spark, sf, k, 0.3),
+    "ensemble": lambda spark, sf, k: fusion.rrf([semantic(spark, sf, k), sparse(spark, sf, k)], k, weights=[0.7, 0.3]),
+    "multi_query": lambda spark, sf, k: fusion.best_of([semantic(spark, sf, k), semantic(spark, sf, k, text=_keyworded(spark, sf))], k),
+    "mmr": _diverse,
+    "compression": _compressed,
+}
+
+
+def search(spark, sf, method: str, k: int = 5, rerank: bool = False) -> DataFrame:
+    """One of several methods by name. With rerank, three times as many candidates are searched for, and the pairs' scores choose among them."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    return METHODS[method](spark, sf).select("query_id", "doc_id", "score", "rank")
+    found = METHODS[method](spark, sf, 3 * k if rerank else k)
+    if rerank:
+        q = asked(spark, sf).withColumnRenamed("text", "query_text")
+        found = fusion.rerank_by_pairs(found.join(docs(spark, sf).select("doc_id", "text"), "doc_id").join(q, "query_id"), "query_text", "text", k)
+    return found.where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
+
+
+def _all(spark, sf, methods: tuple[str, ...]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [search(spark, sf, m).select(F.lit(m).alias("method"), "*") for m in methods])
 
 
-@query("f8_dispatch", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM sparse")
+_EACH = f"""WITH {_BM25}, {_HASHED}, {_semantic(5)}, {_semantic(5, 'near', 0.3)}, s5 AS (SELECT * FROM sparse WHERE rank <= 5),
+ ha AS (SELECT query_id, doc_id, {_N['max']} AS s FROM dense), hb AS (SELECT query_id, doc_id, {_N['max']} AS s FROM s5),
+ hf AS (SELECT query_id, doc_id, round(0.5 * coalesce(ha.s, 0) + 0.5 * coalesce(hb.s, 0), 4) AS score FROM ha FULL JOIN hb USING (query_id, doc_id)),
+ eu AS (SELECT query_id, doc_id, 0.7 / (60 + rank) AS s FROM dense UNION ALL SELECT query_id, doc_id, 0.3 / (60 + rank) FROM s5), ef AS (SELECT query_id, doc_id, round(sum(s), 6) AS score FROM eu GROUP BY ALL),
+ hybrid AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM hf) WHERE rank <= 5),
+ ensemble AS (SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM ef) WHERE rank <= 5)"""
+_AS = lambda m, table: f"SELECT '{m}' AS method, query_id, doc_id, score, rank FROM {table}"
+
+
+@query("f8_dispatch", f"{_EACH} {' UNION ALL '.join(_AS(m, t) for m, t in (('sparse', 's5'), ('dense', 'dense'), ('hybrid', 'hybrid')))}")
 def f8(spark, sf):
-    return search(spark, sf, "sparse")
+    return _all(spark, sf, ("sparse", "dense", "hybrid"))
+
+
+@query("z6_methods", f"{_EACH}, u AS ({' UNION ALL '.join(_AS(m, t) for m, t in (('similarity', 'dense'), ('threshold', 'near'), ('ensemble', 'ensemble')))}) SELECT method, query_id, count(*) AS n, max(rank)::INTEGER AS deepest, max(score) AS best FROM u GROUP BY method, query_id")
+def z6(spark, sf):
+    """What the methods of one search interface find; those without SQL are z6_chosen."""
+    return _all(spark, sf, ("similarity", "threshold", "ensemble")).groupBy("method", "query_id").agg(F.count("*").alias("n"), F.max("rank").alias("deepest"), F.max("score").alias("best"))
+
+
+@query("z6_chosen")
+def z6_chosen(spark, sf):
+    return _all(spark, sf, ("mmr", "multi_query", "compression"))
 
 
 @query("f9_metadata_score", f"""WITH {_BM25} SELECT query_id, sparse.doc_id, round(least(1.0, (CASE WHEN len(list_filter({_T.replace('text', 'b.text')}, w -> contains(lower(source), w))) > 0 THEN 0.3 ELSE 0 END)
@@ -229,7 +322,14 @@ def x5(spark, sf):
     return c.groupBy("query_id").agg(F.sum(F.length("content")).alias("kept"), F.count("*").alias("n_docs"))
 
 
-@query("x6_selective")
+_CHOSEN = f"""{_H.replace('WITH ', 'WITH RECURSIVE ', 1)}, s AS (SELECT query_id, doc_id, round(score / 20, 4) AS score, text, rank FROM h),
+ c AS (SELECT query_id, doc_id, score, score < 0.7 AS summarized, ceil(length(CASE WHEN score >= 0.7 THEN text ELSE substr(text, 1, greatest(1, length(text) // 5)) END) / 4)::BIGINT AS tokens, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM s WHERE score >= 0.4),
+ r AS (SELECT query_id, doc_id, score, tokens, summarized, i, tokens <= 2000 AS taken, CASE WHEN tokens <= 2000 THEN tokens ELSE 0 END AS used FROM c WHERE i = 1
+  UNION ALL SELECT c.query_id, c.doc_id, c.score, c.tokens, c.summarized, c.i, r.used + c.tokens <= 2000, CASE WHEN r.used + c.tokens <= 2000 THEN r.used + c.tokens ELSE r.used END FROM r JOIN c ON c.query_id = r.query_id AND c.i = r.i + 1)
+ SELECT query_id, doc_id, score, tokens, summarized FROM r WHERE taken"""
+
+
+@query("x6_selective", _CHOSEN)
 def x6(spark, sf):
     return context.select(hits(spark, sf).withColumn("score", F.round(F.col("score") / 20, 4)), "text", 2000)
 
@@ -292,7 +392,14 @@ def e5(spark, sf):
     return a.withColumnRenamed("lang", "lang_a").join(b, "source").where("lang_a < lang_b").groupBy("lang_a", "lang_b").agg(F.round(F.avg(F.abs(F.col("n") - F.col("m"))), 4).alias("mean"))
 
 
-@query("e5_pair_similarity")
+_PAIR_SIMILARITY = f"""WITH d AS (SELECT doc_id, lang, cell, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, lang, ('0x' || substr(md5(term), 1, 2))::INTEGER AS cell, count(*) AS n FROM (SELECT doc_id, lang, unnest({_T}) AS term FROM documents) GROUP BY ALL)),
+ c AS (SELECT lang, count(*) AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang), s AS (SELECT lang, cell, sum(x) AS x FROM d WHERE lang IS NOT NULL GROUP BY ALL),
+ p AS (SELECT a.lang AS lang_a, b.lang AS lang_b, sum(a.x * b.x) AS dot FROM s a JOIN s b ON a.cell = b.cell AND a.lang < b.lang GROUP BY ALL),
+ m AS (SELECT x.lang AS lang_a, y.lang AS lang_b, round(coalesce(dot, 0) / x.n / y.n, 4) AS mean FROM c x JOIN c y ON x.lang < y.lang LEFT JOIN p ON p.lang_a = x.lang AND p.lang_b = y.lang)
+ SELECT lang_a, lang_b, mean, CASE WHEN mean > 0.8 THEN 'high' WHEN mean > 0.6 THEN 'medium' ELSE 'low' END AS bucket FROM m"""
+
+
+@query("e5_pair_similarity", _PAIR_SIMILARITY)
 def e5_similarity(spark, sf):
     """Over all pairs of texts in two languages; e5_cross_lingual compares lengths, as its SQL does."""
     d = docs(spark, sf).where("text IS NOT NULL")
@@ -306,6 +413,34 @@ def e6(spark, sf):
     return spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.when(h % 10 == 0, "test").otherwise("train").alias("split"), F.col("toxic").alias("label"))
 
 
+_ASK = "CASE j WHEN 0 THEN substr(text, 1, 60) ELSE substr(text, -60) END"
+
+
+@query("e6_pairs", """WITH p AS (SELECT item_id, text, md5(item_id::VARCHAR) AS h FROM benchmark), b AS (SELECT greatest(1, count(*) // 48) AS n FROM p), q AS (SELECT item_id, j, md5(item_id || '/' || j) AS h FROM p CROSS JOIN (VALUES (0), (1)) t(j)),
+ o AS (SELECT q.item_id, q.j, p.item_id AS passage_id, row_number() OVER (PARTITION BY q.item_id, q.j ORDER BY md5(q.item_id || '/' || q.j || '/' || p.item_id), p.item_id) AS place
+  FROM q CROSS JOIN b JOIN p ON ('0x' || substr(q.h, 1, 8))::BIGINT % b.n = ('0x' || substr(p.h, 1, 8))::BIGINT % b.n AND p.item_id <> q.item_id)
+ SELECT item_id, j::INTEGER AS j, item_id AS passage_id, 1::INTEGER AS label FROM q UNION ALL SELECT item_id, j, passage_id, 0 FROM o WHERE place <= 3""")
+def e6_pairs(spark, sf):
+    """The first and last 60 characters of each passage are the questions that it answers."""
+    p = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    q = p.select("item_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
+    return fusion.training_pairs(q, p.select(F.col("item_id").alias("passage_id")), ["item_id", "j"], "item_id", "passage_id", 3)
+
+
+@query("z21_nearest_patterns", f"""WITH rv AS (SELECT conv_id, turn, cell, n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)) AS x FROM (SELECT conv_id, turn, ('0x' || substr(md5(term), 1, 2))::INTEGER AS cell, count(*) AS n FROM (SELECT conv_id, turn, unnest({_T}) AS term FROM conversations WHERE role = 'user' AND conv_id % 50 = 0) GROUP BY ALL)),
+ pv AS (SELECT item_id, cell, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS x FROM (SELECT item_id, ('0x' || substr(md5(term), 1, 2))::INTEGER AS cell, count(*) AS n FROM (SELECT item_id, unnest({_T}) AS term FROM benchmark) GROUP BY ALL)),
+ r AS (SELECT conv_id, turn FROM conversations WHERE role = 'user' AND conv_id % 50 = 0 AND text IS NOT NULL), a AS (SELECT r.conv_id, r.turn, b.item_id, round(coalesce(sum(rv.x * pv.x), 0), 4) AS similarity FROM r CROSS JOIN (SELECT item_id FROM benchmark WHERE text IS NOT NULL) b LEFT JOIN (rv JOIN pv USING (cell)) ON rv.conv_id = r.conv_id AND rv.turn = r.turn AND pv.item_id = b.item_id GROUP BY ALL),
+ k AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY similarity DESC, item_id))::INTEGER AS rank FROM a)
+ SELECT conv_id, turn, item_id AS pattern_id, similarity, rank, round(0.4 * max(similarity) OVER (PARTITION BY conv_id, turn) + 0.6 * 0.7, 4) AS confidence FROM k WHERE rank <= 5""")
+def z21(spark, sf):
+    """The patterns nearest to a request, and what they and the keywords' fixed confidence say together."""
+    c = spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user' AND conv_id % 50 = 0 AND text IS NOT NULL")
+    p = spark.read.parquet(f"{sf}/benchmark.parquet").where("text IS NOT NULL").select(F.col("item_id").alias("pattern_id"), "text")
+    near = lexical.nearest_patterns(c.select(F.struct("conv_id", "turn").alias("request"), "text"), p, 5, "request", "pattern_id")
+    best = F.max("similarity").over(Window.partitionBy("request"))
+    return near.withColumn("confidence", F.round(0.4 * best + 0.6 * F.lit(0.7), 4)).select("request.*", "pattern_id", "similarity", "rank", "confidence")
+
+
 @query("z9_precision", f"{_H}, p AS (SELECT query_id, round(avg((len(list_intersect(list_distinct({_T}), list_distinct({_T.replace('text', 'query_text')}))) >= 3)::INTEGER), 4) AS precision FROM h WHERE rank <= 5 GROUP BY query_id) SELECT query_id, precision FROM p")
 def z9(spark, sf):
     h = hits(spark, sf).where("rank <= 5")

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import chunk, context, lexical, vector
 from ..sources import collections as C
 from ..sources import tables as S
-from .lexical_queries import _BM25, docs, hits, search
+from .lexical_queries import _BM25, docs, hits
 from .vector_queries import _E, asked, emb
 
 QUERIES, ORACLES = {}, {}
@@ -139,11 +139,6 @@ def z4(spark, sf):
     return t(spark, sf, "events").select("event_id", S.content_of(raw).alias("body"))
 
 
-@query("z6_methods", f"WITH {_BM25} SELECT query_id, count(*) AS n, max(rank)::INTEGER AS deepest FROM sparse WHERE rank <= 5 GROUP BY query_id")
-def z6(spark, sf):
-    return search(spark, sf, "sparse").where("rank <= 5").groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("deepest"))
-
-
 @query("z7_split_ingest")
 def z7(spark, sf):
     """Chunks of the recursive splitter as rows to be added: id, source, place, number of chunks and size."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import bpe
 from ..functions import text as X
 from ..operators import chunk
 
@@ -60,6 +61,16 @@ def t5(spark, sf):
     return docs(spark, sf).select("doc_id", X.truncate_tokens(F.col("text"), 100).alias("head"))
 
 
+@query("t4_bpe_tokens")
+def t4_bpe(spark, sf):
+    return bpe.with_tokens(docs(spark, sf).select("doc_id", "text"), "text").select("doc_id", "tokens")
+
+
+@query("t5_bpe_truncate")
+def t5_bpe(spark, sf):
+    return bpe.truncated(docs(spark, sf).select("doc_id", "text"), "text", 100).select("doc_id", F.md5("cut").alias("cut"), F.length("cut").alias("n_chars"))
+
+
 @query("t6_terms", f"SELECT doc_id, array_to_string(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '' AND x NOT IN ({_in(X.ENGLISH_STOPS)})), ' ') AS terms FROM documents")
 def t6(spark, sf):
     return docs(spark, sf).select("doc_id", F.concat_ws(" ", X.plain_terms(F.col("text"))).alias("terms"))
@@ -147,8 +158,31 @@ def c10(spark, sf):
     return chunk.enriched(chunk.word_chunk_arrays(docs(spark, sf), "text", 50, 10), "doc_id")
 
 
+def _sliding(size: int, overlap: int, cut: str) -> str:
+    """Chunks one after the other: cut is where a chunk that begins at {a} ends, null for its full size."""
+    end = lambda a: f"CASE WHEN {a} + {size} >= n THEN n ELSE greatest({a} + 1, least(n, coalesce({cut.replace('{a}', a)}, {a} + {size}))) END"
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+ r AS (SELECT doc_id, 0::BIGINT AS chunk, 0::BIGINT AS a, ({end('0')})::BIGINT AS b FROM d
+  UNION ALL SELECT doc_id, chunk + 1, a2, ({end('a2')})::BIGINT FROM (SELECT doc_id, chunk, greatest(a + 1, b - {overlap}) AS a2, text, n FROM r JOIN d USING (doc_id) WHERE b < n))
+ SELECT doc_id, chunk::INTEGER AS chunk, a::INTEGER AS start, b::INTEGER AS "end", substr(text, a + 1, b - a) AS content FROM r JOIN d USING (doc_id)"""
+
+
+def _upto(segment: str, pattern: str, before: str, least: str = "0") -> str:
+    """Where the last match within a segment ends, from `before` on; null if none ends beyond `least`."""
+    n = f"length(regexp_extract({segment}, '(?s)^(.*{pattern})', 1))"
+    return f"CASE WHEN {n} > {least} THEN {before} + {n} END"
+
+
+_HALF = "substr(text, {a} + 251, 250)"
+_FAR = "substr(text, {a} + 1, 1050)"
+_SLIDING = {
+    "c2_sentence_end_chunks": _sliding(500, 50, _upto("substr(text, {a} + 51, 450)", "[.!?]", "{a} + 50")),
+    "c3_fixed_chunks": _sliding(500, 50, _upto("substr(text, {a} + 52, 449)", "[ \\n\\t]", "{a} + 51")),
+    "c5_boundary_chunks": _sliding(500, 50, "coalesce(" + ", ".join(_upto(_HALF, m, "{a} + 250") for m in ["\\n\\n", "\\.\\n", "\\. ", "\\n", " "]) + ")"),
+    "c8_separators_chunks": _sliding(1000, 200, "coalesce(" + ", ".join(_upto(_FAR, m, "{a}", str(499 + n)) for m, n in [("\\n\\n", 2), ("\\n", 1), ("\\. ", 2), ("! ", 2), ("\\? ", 2), ("; ", 2), (", ", 2), (" ", 1)]) + ")"),
+}
 for _name, _f in (("c2_sentence_end", chunk.sentence_end), ("c3_fixed", chunk.fixed), ("c4_semantic", chunk.semantic), ("c5_boundary", chunk.boundary), ("c6_lists", chunk.list_aware), ("c8_separators", chunk.separators), ("c9_recursive", chunk.recursive)):
-    QUERIES[f"{_name}_chunks"] = lambda spark, sf, f=_f: chunk.chunked(docs(spark, sf).select("doc_id", "text"), f, "doc_id", "text")
+    query(f"{_name}_chunks", _SLIDING.get(f"{_name}_chunks"))(lambda spark, sf, f=_f: chunk.chunked(docs(spark, sf).select("doc_id", "text"), f, "doc_id", "text"))
 
 
 @query("c11_structure", r"""WITH f AS (SELECT doc_id, regexp_matches(text, '(?m)^#{1,6} ') AS has_headings, regexp_matches(text, '(?m)^\s*\|.*\|') AS has_tables, regexp_matches(text, '(?m)^\s*([-*]|[0-9]+\.) ') AS has_lists,
