@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import html
@@ -53,12 +54,32 @@ def m12(spark, sf):
     return pages(spark, sf).select("page_id", F.to_json(F.struct("page_id", "url")).alias("front"))
 
 
+def _tag(tag: str, *columns, attributes: str = ""):
+    return F.concat(F.lit(f"<{tag}{attributes}>"), *[F.col(c).cast("string") if isinstance(c, str) else c for c in columns], F.lit(f"</{tag}>"))
+
+
+def _joined(df, by: str, order: str, item, name: str):
+    """The items of each group in order, as one string."""
+    lists = df.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(order, item.alias("i")))).alias("x"))
+    return lists.select(by, F.array_join(F.transform("x", lambda x: x["i"]), "").alias(name))
+
+
 def _tables(spark, sf):
-    """Tables written from rows, so that reading them must give the rows again: a supplier each, with a header over two columns."""
+    """A table for each nation that has suppliers, so that reading them must give the suppliers again: a nation's cell reaches over all its
+    rows, one header cell over two columns, and a cell is empty where the balance is negative."""
     s = spark.read.parquet(f"{sf}/supplier.parquet")
-    cell = lambda c, tag="td": F.concat(F.lit(f"<{tag}>"), F.col(c).cast("string"), F.lit(f"</{tag}>"))
-    head = F.lit("<table><thead><tr><th>name</th><th colspan='2'>place</th></tr><tr><th>name</th><th>nation</th><th>key</th></tr></thead>")
-    return s.select("s_suppkey", F.concat(head, F.lit("<tr>"), cell("s_name"), cell("s_nationkey"), cell("s_suppkey"), F.lit("</tr></table>")).alias("html"))
+    n = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    w = Window.partitionBy("s_nationkey")
+    s = s.join(F.broadcast(n), "s_nationkey").withColumn("place", F.row_number().over(w.orderBy("s_suppkey"))).withColumn("n", F.count("*").over(w))
+    nation = F.when(F.col("place") == 1, F.concat(F.lit("<td rowspan='"), F.col("n").cast("string"), F.lit("'>"), "n_name", F.lit("</td>"))).otherwise("")
+    sign = F.when(F.col("s_acctbal") < 0, F.lit("")).otherwise(F.lit("owed"))
+    row = _tag("tr", nation, _tag("td", "s_suppkey"), _tag("td", "s_name"), _tag("td", sign))
+    rows = _joined(s, "s_nationkey", "s_suppkey", row, "rows")
+    head = F.lit("<table><thead><tr><th>nation</th><th colspan='2'>supplier</th><th>state</th></tr><tr><th>nation</th><th>key</th><th>name</th><th>state</th></tr></thead>")
+    return rows.select("s_nationkey", F.concat(head, "rows", F.lit("</table>")).alias("html"))
+
+
+_ROWS = "s AS (SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS place, n_name, s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN '' ELSE 'owed' END AS state FROM supplier JOIN nation ON n_nationkey = s_nationkey)"
 
 
 @query("m3_clean_html")
@@ -66,36 +87,50 @@ def m3(spark, sf):
     return html.cleaned(pages(spark, sf))
 
 
-@query("m4_tables", "SELECT s_suppkey, 1::INTEGER AS \"table\", 1::INTEGER AS \"row\", c.i::INTEGER AS \"column\", c.h AS header, c.v AS value FROM supplier, LATERAL (VALUES (1, 'name', s_name), (2, 'place > nation', s_nationkey::VARCHAR), (3, 'place > key', s_suppkey::VARCHAR)) c(i, h, v)")
+@query("m4_tables", f"WITH {_ROWS} SELECT s_nationkey, 1::INTEGER AS \"table\", place::INTEGER AS \"row\", c.i::INTEGER AS \"column\", c.h AS header, c.v AS value FROM s, LATERAL (VALUES (1, 'nation', n_name), (2, 'supplier > key', s_suppkey::VARCHAR), (3, 'supplier > name', s_name), (4, 'state', state)) c(i, h, v)")
 def m4(spark, sf):
-    return html.cells(_tables(spark, sf), "s_suppkey")
+    return html.cells(_tables(spark, sf), "s_nationkey")
 
 
-@query("m5_nested", "SELECT s_suppkey, l.i::INTEGER AS line, l.v AS value FROM supplier, LATERAL (VALUES (1, '- outer ' || s_suppkey), (2, '  - name: ' || s_name || ', nation: ' || s_nationkey)) l(i, v)")
+@query("m5_nested", "SELECT r_regionkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY k)::INTEGER AS line, v AS value FROM (SELECT r_regionkey, -1 AS k, '- region ' || r_name AS v FROM region UNION ALL SELECT n_regionkey, n_nationkey, '  - key: ' || n_nationkey || ', name: ' || n_name FROM nation)")
 def m5(spark, sf):
-    s = spark.read.parquet(f"{sf}/supplier.parquet")
-    inner = F.concat(F.lit("<table><tr><th>name</th><th>nation</th></tr><tr><td>"), "s_name", F.lit("</td><td>"), F.col("s_nationkey").cast("string"), F.lit("</td></tr></table>"))
-    outer = F.concat(F.lit("<table><tr><td>outer "), F.col("s_suppkey").cast("string"), inner, F.lit("</td></tr></table>"))
-    return html.nested(s.select("s_suppkey", outer.alias("html")), "s_suppkey")
+    """A region's table holds a table of its nations."""
+    n, r = spark.read.parquet(f"{sf}/nation.parquet"), spark.read.parquet(f"{sf}/region.parquet")
+    rows = _joined(n, "n_regionkey", "n_nationkey", _tag("tr", _tag("td", "n_nationkey"), _tag("td", "n_name")), "rows")
+    inner = F.concat(F.lit("<table><tr><th>key</th><th>name</th></tr>"), "rows", F.lit("</table>"))
+    outer = F.concat(F.lit("<table><tr><td>region "), "r_name", inner, F.lit("</td></tr></table>"))
+    return html.nested(rows.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", outer.alias("html")), "r_regionkey")
+
 
+_FULL = "trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 
-@query("m6_cell_parts", "SELECT item_id, 1::INTEGER AS cell, p.i::INTEGER AS part, p.v AS value FROM benchmark, LATERAL (VALUES (1, 'first item of many words ' || item_id), (2, repeat('x', 600)), (3, 'last item of many words ' || item_id)) p(i, v)")
+
+@query("m6_cell_parts", f"""WITH RECURSIVE d AS (SELECT doc_id, {_FULL} AS f FROM documents), p AS (SELECT doc_id, f, length(f) AS n FROM d WHERE f <> ''),
+ r AS (SELECT doc_id, 0::BIGINT AS a, CASE WHEN n <= 500 THEN n ELSE (CASE WHEN n > 600 AND length(regexp_extract(substr(f, 1, 600), '^(.*) ', 1)) > 420 THEN length(regexp_extract(substr(f, 1, 600), '^(.*) ', 1)) ELSE least(600, n) END) END::BIGINT AS b FROM p
+  UNION ALL SELECT doc_id, b, (CASE WHEN n > b + 600 AND length(regexp_extract(substr(f, b + 1, 600), '^(.*) ', 1)) > 420 THEN b + length(regexp_extract(substr(f, b + 1, 600), '^(.*) ', 1)) ELSE least(b + 600, n) END)::BIGINT FROM r JOIN p USING (doc_id) WHERE b < n)
+ SELECT doc_id, 1::INTEGER AS cell, row_number() OVER (PARTITION BY doc_id ORDER BY a)::INTEGER AS part, md5(trim(substr(f, a + 1, b - a))) AS value FROM r JOIN p USING (doc_id) WHERE trim(substr(f, a + 1, b - a)) <> ''""")
 def m6(spark, sf):
-    k = F.col("item_id").cast("string")
-    cell = F.concat(F.lit("<table><tr><td><ul><li>first item of many words "), k, F.lit("</li><li>" + "x" * 600 + "</li><li>short</li><li>last item of many words "), k, F.lit("</li></ul></td></tr></table>"))
-    return html.parts(spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", cell.alias("html")), "item_id")
+    """The documents' texts as cells."""
+    safe = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    b = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat(F.lit("<table><tr><td>"), safe, F.lit("</td></tr></table>")).alias("html"))
+    return html.parts(b, "doc_id").withColumn("value", F.md5("value"))
 
 
-@query("m8_markdown_tables", "SELECT s_suppkey, '| name | place > nation | place > key |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || s_name || ' | ' || s_nationkey || ' | ' || s_suppkey || ' |' AS markdown FROM supplier")
+@query("m8_markdown_tables", f"WITH {_ROWS} SELECT s_nationkey, '| nation | supplier > key | supplier > name | state |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || s_suppkey || ' | ' || s_name || ' | ' || state || ' |', chr(10) ORDER BY place) AS markdown FROM s GROUP BY s_nationkey")
 def m8(spark, sf):
-    return html._each(_tables(spark, sf), "s_suppkey", "html", "markdown string", lambda root: [("\n".join(html.table_markdown(t) for t in root.find("table")),)])
+    return html._each(_tables(spark, sf), "s_nationkey", "html", "markdown string", lambda root: [("\n".join(html.table_markdown(t) for t in root.find("table")),)])
 
 
-@query("m11_page_tree", "SELECT n_regionkey, place::INTEGER AS place, page, parent, level::INTEGER AS level, title FROM (SELECT r_regionkey AS n_regionkey, 1 AS place, '/r' || r_regionkey AS page, NULL AS parent, 0 AS level, r_name AS title FROM region UNION ALL SELECT n_regionkey, 1 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), '/n' || n_nationkey, '/r' || n_regionkey, 1, n_name FROM nation)")
+@query("m11_page_tree", """WITH n AS (SELECT n_regionkey, n_nationkey, n_name FROM nation), s AS (SELECT n_regionkey, n_nationkey, s_suppkey, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+ u AS (SELECT r_regionkey AS n_regionkey, -1 AS a, -1 AS b, '/r' || r_regionkey AS page, NULL AS parent, 0 AS level, r_name AS title FROM region
+  UNION ALL SELECT n_regionkey, n_nationkey, -1, '/n' || n_nationkey, '/r' || n_regionkey, 1, n_name FROM n UNION ALL SELECT n_regionkey, n_nationkey, s_suppkey, '/s' || s_suppkey, '/n' || n_nationkey, 2, s_name FROM s)
+ SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY a, b)::INTEGER AS place, page, parent, level::INTEGER AS level, title FROM u""")
 def m11(spark, sf):
-    n, r = spark.read.parquet(f"{sf}/nation.parquet"), spark.read.parquet(f"{sf}/region.parquet")
-    item = F.concat(F.lit("<li><a href='/n"), F.col("n_nationkey").cast("string"), F.lit("'>"), "n_name", F.lit("</a></li>"))
-    items = n.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", item.alias("i")))).alias("x"))
-    items = items.select("n_regionkey", F.array_join(F.transform("x", lambda x: x["i"]), "").alias("items"))
-    page = F.concat(F.lit("<div class='pagetree'><ul><li><a href='/r"), F.col("n_regionkey").cast("string"), F.lit("'>"), "r_name", F.lit("</a><ul>"), "items", F.lit("</ul></li></ul></div>"))
+    """Regions, their nations, and these nations' suppliers as a tree of three levels."""
+    n, r, s = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("nation", "region", "supplier"))
+    link = lambda kind, key, name: F.concat(F.lit(f"<a href='/{kind}"), F.col(key).cast("string"), F.lit("'>"), name, F.lit("</a>"))
+    leaves = _joined(s, "s_nationkey", "s_suppkey", _tag("li", link("s", "s_suppkey", "s_name")), "leaves")
+    n = n.join(leaves, n["n_nationkey"] == leaves["s_nationkey"], "left").withColumn("sub", F.coalesce(_tag("ul", "leaves"), F.lit("")))
+    items = _joined(n, "n_regionkey", "n_nationkey", _tag("li", link("n", "n_nationkey", "n_name"), "sub"), "items")
+    page = F.concat(F.lit("<div class='pagetree'><ul><li>"), link("r", "r_regionkey", "r_name"), F.lit("<ul>"), "items", F.lit("</ul></li></ul></div>"))
     return html.tree(items.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_regionkey", page.alias("html")), "n_regionkey")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import registered
 from ..functions import text as X
 from ..operators import chunk, context, lexical, vector
 from ..sources import collections as C
+from ..sources import generated
 from ..sources import tables as S
 from .lexical_queries import _BM25, docs, hits
 from .vector_queries import _E, asked, emb
@@ -35,6 +38,49 @@ def t(spark, sf, name, *columns):
 SMALL = ("region", "nation", "supplier", "customer")
 
 
+def _files(spark, sf):
+    """Documents as files of four kinds: their own text, or JSON with and without a field for it."""
+    k, body = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    path = F.concat(F.lit("/in/"), k.cast("string"), F.element_at(F.array(*[F.lit(x) for x in (".txt", ".MD", ".json", ".exe")]), (k % 4).cast("int") + 1))
+    raw = F.when(k % 4 == 2, F.when(k % 8 == 2, F.to_json(F.struct(body.alias("content")))).otherwise(F.to_json(F.struct(k.alias("key"))))).otherwise(body)
+    return docs(spark, sf).select(path.alias("path"), F.encode(raw, "UTF-8").alias("content"))
+
+
+@query("s2_loaded", "SELECT '/in/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' ELSE '.json' END AS path, CASE doc_id % 4 WHEN 0 THEN 'txt' WHEN 1 THEN 'md' ELSE 'json' END AS extension, md5(CASE WHEN doc_id % 8 = 6 THEN '{\"key\":' || doc_id || '}' ELSE coalesce(text, '') END) AS body FROM documents WHERE doc_id % 4 < 3")
+def s2(spark, sf):
+    return C.loaded(_files(spark, sf)).select("path", "extension", F.md5("text").alias("body"))
+
+
+@query("s2_pages")
+def s2_pages(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet").select(F.concat("url", F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return C.loaded(p)
+
+
+@query("s3_processed")
+def s3_processed(spark, sf):
+    return C.processed(_files(spark, sf))
+
+
+@query("s17_listed", "SELECT doc_id::VARCHAR AS doc_id, coalesce(source, 'unknown') AS filename, ceil(length(text) / 400)::BIGINT AS chunks, length(text) AS characters FROM documents WHERE length(text) > 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def s17_listed(spark, sf):
+    """Chunks of 400 characters, listed by document after some documents were deleted."""
+    c = docs(spark, sf).where("length(text) > 0").select("doc_id", F.coalesce("source", F.lit("unknown")).alias("filename"), "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 400).cast("int"))).alias("i"))
+    c = c.select("doc_id", F.col("doc_id").cast("string").alias("document"), "filename", F.substring("text", F.col("i") * 400 + 1, 400).alias("piece"))
+    kept = c.join(t(spark, sf, "labels").where("toxic = 1").select("doc_id"), "doc_id", "left_anti")
+    return kept.groupBy(F.col("document").alias("doc_id")).agg(F.max("filename").alias("filename"), F.count("*").alias("chunks"), F.sum(F.length("piece")).cast("long").alias("characters"))
+
+
+_NUMBER = "('0x' || substr(md5(i || '/{}'), 1, 4))::BIGINT"
+
+
+@query("s19_generated", f"""WITH r AS (SELECT unnest(range(0, 2000)) AS i), n AS (SELECT i, {_NUMBER.format('a')} AS a, {_NUMBER.format('i')} AS m, {_NUMBER.format('d')} AS d, {_NUMBER.format('w')} AS w, {_NUMBER.format('s')} AS s FROM r)
+ SELECT i AS id, 'Notes on ' || ['storage', 'search', 'streams', 'models', 'security'][(i % 5 + 1)::INTEGER] || ' ' || i AS title, ['storage', 'search', 'streams', 'models', 'security'][(i % 5 + 1)::INTEGER] AS category, ['Ada', 'Ben', 'Cho', 'Dee'][(a % 4 + 1)::INTEGER] AS author, m % 10 + 1 AS importance,
+ strftime(DATE '2024-01-01' + (d % 366)::INTEGER, '%Y-%m-%d') AS day, array_to_string(list_transform(range(1, 41), lambda j: ['table', 'index', 'query', 'node', 'batch', 'field', 'cache', 'block', 'merge', 'graph', 'score', 'token', 'shard', 'cloud', 'event', 'frame'][((w + j * s) % 16 + 1)::INTEGER]), ' ') AS text FROM n""")
+def s19(spark, sf):
+    return generated.documents(spark, 2000).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query("s4_json_strings", "SELECT conv_id * 1000 + turn AS key, 'body.parts[0]' AS path, md5(text) AS value FROM conversations WHERE length(text) > 10")
 def s4(spark, sf):
     body = F.to_json(F.struct(F.col("role"), F.struct(F.array("text", "role").alias("parts"), F.col("turn").alias("n")).alias("body")))
@@ -123,13 +169,20 @@ def z1(spark, sf):
     return docs(spark, sf).select("doc_id", F.length("text").cast("long").alias("n_chars"), X.token_estimate(F.col("text")).alias("n_tokens"), F.floor(F.col("doc_id") / 32).alias("batch"))
 
 
-@query("z2_typed", "SELECT 'knowledge_' || doc_id AS id, md5(substr(text, 1, 500)) AS body, coalesce(lang, 'general') AS category, '[\"' || source || '\"]' AS tags FROM documents WHERE source IS NOT NULL UNION ALL SELECT 'conversations_' || (conv_id * 1000 + turn), md5(substr(text, 1, 500)), role, '[]' FROM conversations")
+@query("z2_typed", """SELECT 'knowledge_' || doc_id AS id, md5(substr(text, 1, 500)) AS body, coalesce(lang, 'general') AS category, '["' || source || '"]' AS tags FROM documents WHERE source IS NOT NULL
+ UNION ALL SELECT 'conversations_' || (conv_id * 1000 + turn), md5(substr(text, 1, 500)), role, '[]' FROM conversations UNION ALL SELECT 'intents_' || item_id, md5(substr(text, 1, 500)), 'general', '["benchmark"]' FROM benchmark
+ UNION ALL SELECT 'apis_' || event_id, md5(substr(props, 1, 500)), event_type, '["' || event_type || '","event"]' FROM events""")
 def z2(spark, sf):
-    d, c = docs(spark, sf).where("source IS NOT NULL"), t(spark, sf, "conversations")
-    k = S.typed(d, "knowledge", F.col("doc_id"), F.col("text"), F.col("lang"), F.array("source"))
-    m = S.typed(c, "conversations", F.col("conv_id") * 1000 + F.col("turn"), F.col("text"), F.col("role"), F.lit(None).cast("array<string>"))
-    part = lambda df, field: df.select("id", F.md5("text").alias("body"), F.col("metadata")[field].alias("category"), F.col("metadata")["tags"].alias("tags"))
-    return part(k, "category").unionByName(part(m, "role"))
+    d, c, none = docs(spark, sf).where("source IS NOT NULL"), t(spark, sf, "conversations"), F.lit(None).cast("array<string>")
+    b, e = t(spark, sf, "benchmark"), t(spark, sf, "events")
+    each = [
+        ("category", S.typed(d, "knowledge", F.col("doc_id"), F.col("text"), F.col("lang"), F.array("source"))),
+        ("role", S.typed(c, "conversations", F.col("conv_id") * 1000 + F.col("turn"), F.col("text"), F.col("role"), none)),
+        ("intent", S.typed(b, "intents", F.col("item_id"), F.col("text"), F.lit(None).cast("string"), F.array(F.lit("benchmark")))),
+        ("endpoint", S.typed(e, "apis", F.col("event_id"), F.col("props"), F.col("event_type"), F.array("event_type", F.lit("event")))),
+    ]
+    out = [x.select("id", F.md5("text").alias("body"), F.col("metadata")[field].alias("category"), F.col("metadata")["tags"].alias("tags")) for field, x in each]
+    return reduce(DataFrame.unionByName, out)
 
 
 @query("z4_json_content", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'kept ' || event_id WHEN 1 THEN '{broken' ELSE props END AS body FROM events")

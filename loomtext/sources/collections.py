@@ -74,22 +74,103 @@ class Collections:
     def delete(self, name: str, ids: DataFrame) -> None:
         self._store(name, self.metric(name), self.get(name).join(ids.select("id"), "id", "left_anti"))
 
+    def clear(self, name: str) -> None:
+        """Takes all rows out; the collection and its metric stay."""
+        self._store(name, self.metric(name), self.spark.createDataFrame([], SCHEMA))
+
+    def documents(self, name: str) -> DataFrame:
+        """doc_id, filename, chunks, characters of the documents whose chunks are stored, by the chunks' metadata."""
+        m = F.col("metadata")
+        rows = self.get(name).select(m["doc_id"].alias("doc_id"), m["filename"].alias("filename"), F.length("text").alias("n"))
+        return rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("filename").alias("filename"), F.count("*").alias("chunks"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("characters"))
+
+    def delete_document(self, name: str, doc_id: str) -> bool:
+        """Takes a document's chunks out; says whether there were any."""
+        own = F.coalesce(F.col("metadata")["doc_id"] == doc_id, F.lit(False))
+        rows = self.get(name)
+        if not rows.where(own).limit(1).count():
+            return False
+        self._store(name, self.metric(name), rows.where(~own))
+        return True
+
+    def footprint(self, name: str) -> tuple[int, int]:
+        """Files and bytes of the rows that are stored now."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.path}/{name}/{self._known()[name][1]}").select("length")
+        r = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
+        return r["n"], r["b"]
+
     def stats(self) -> DataFrame:
         """name, rows, state."""
         rows = [(n, self.count(n)) for n in self.names()]
         return self.spark.createDataFrame([(n, c, "active" if c else "empty") for n, c in rows], "name string, rows long, state string")
 
 
+KINDS = {"txt": "text", "text": "text", "md": "text", "markdown": "text", "json": "json", "html": "page", "htm": "page"}
+
+
+def loaded(files: DataFrame, path: str = "path", content: str = "content", pretty: bool = False) -> DataFrame:
+    """path, extension, text of files given as bytes; files of other kinds go. Bytes that are no UTF-8 are replaced; a page gives its title and
+    its main text; JSON gives its `content`, else itself (with pretty, laid out by two spaces). Null bytes are an empty text."""
+    import json
+
+    import pandas as pd
+
+    from ..operators import html
+
+    ext = F.lower(F.regexp_extract(path, "\\.([A-Za-z0-9]+)$", 1))
+    rows = files.select(F.col(path).alias("path"), ext.alias("extension"), F.coalesce(F.expr(f"make_valid_utf8({content})"), F.lit("")).alias("text"))
+    rows = rows.where(F.col("extension").isin(list(KINDS)))
+    body = F.get_json_object("text", "$.content")
+    rows = rows.withColumn("text", F.when(F.col("extension") == "json", F.coalesce(body, F.col("text"))).otherwise(F.col("text")))
+
+    def laid_out(t):
+        try:
+            return json.dumps(json.loads(t), ensure_ascii=False, indent=2)
+        except ValueError:
+            return t
+
+    def run(frames):
+        for f in frames:
+            pages = f["extension"].map(KINDS) == "page"
+            f.loc[pages, "text"] = [f"{p[0]}\n{p[2]}".strip() for p in map(html.page, f.loc[pages, "text"])]
+            if pretty:
+                whole = (f["extension"] == "json") & f["text"].str.startswith(("{", "["))
+                f.loc[whole, "text"] = [laid_out(t) for t in f.loc[whole, "text"]]
+            yield pd.DataFrame(f)
+
+    return rows.mapInPandas(run, "path string, extension string, text string")
+
+
+def processed(files: DataFrame, size: int = 500, overlap: int = 50, path: str = "path", content: str = "content") -> DataFrame:
+    """doc_id, filename, file_type, chunk, total_chunks, text of uploaded files: loaded, white space collapsed, cut at boundaries."""
+    from pyspark.sql import Window
+
+    from ..functions import text as X
+    from ..operators import chunk
+
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    rows = loaded(files, path, content).withColumn("text", X.collapse_runs(F.col("text")))
+    rows = rows.select(F.struct(X.document_key(name, F.col("text")).alias("doc_id"), name.alias("filename"), F.col("extension").alias("file_type")).alias("file"), "text")
+    cut = chunk.chunked(rows, lambda t: chunk.boundary(t, size, overlap), "file", "text")
+    total = F.count("*").over(Window.partitionBy("file"))
+    return cut.select("file.*", "chunk", total.alias("total_chunks"), F.col("content").alias("text"))
+
+
 def read_texts(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("txt", "md", "html", "json")) -> DataFrame:
-    """path, extension, text of files with known endings; bytes that are no UTF-8 are replaced, JSON gives its `content` or itself."""
+    """path, extension, text of files with known endings, pages as their markup; bytes that are no UTF-8 are replaced, JSON gives its `content`
+    or itself."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", "\\.([A-Za-z0-9]+)$", 1))
-    rows = files.select("path", ext.alias("extension"), F.expr("try_validate_utf8(content)").alias("ok"), F.expr("make_valid_utf8(content)").alias("text"))
-    rows = rows.where(F.col("extension").isin(list(extensions)))
+    rows = files.select("path", ext.alias("extension"), F.expr("make_valid_utf8(content)").alias("text")).where(ext.isin(list(extensions)))
     body = F.when(F.col("extension") == "json", F.coalesce(F.get_json_object("text", "$.content"), F.col("text"))).otherwise(F.col("text"))
     return rows.select("path", "extension", body.alias("text"))
 
 
+def append_feedback(rows: DataFrame, path: str) -> None:
+    """Adds rows as JSON lines; a reader of the folder sees all that were ever added."""
+    rows.write.mode("append").json(path)
+
+
 def json_strings(df: DataFrame, key: str, column: str, least: int = 10) -> DataFrame:
     """key, path, value: the strings of JSON objects, at any depth, that are longer than least."""
     import json
