@@ -102,7 +102,7 @@ def test_knn_against_numpy(spark):
         assert [g["vec_id"] for g in sorted((g for g in got if g["query_id"] == i), key=lambda g: g["rank"])] == sorted(range(60), key=lambda j: (-s[j], j))[:5]
     assert {g["label"] for g in vector.knn(q, df, 2, per="label").collect()} == {0, 1, 2}
     exact = {(g["query_id"], g["vec_id"]) for g in got}
-    near = {(g["query_id"], g["vec_id"]) for g in vector.lsh_search(q, df, 5, planes=3, tables=24, dim=8).collect()}
+    near = {(g["query_id"], g["vec_id"]) for g in vector.lsh_search(q, df, 5, planes=3, tables=24).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
     some = vector.knn(q, df, 10).join(df, "vec_id")
     assert vector.mmr(some, 5, 1.0).where("query_id = 0").orderBy("rank").first()["vec_id"] == 0
@@ -110,6 +110,48 @@ def test_knn_against_numpy(spark):
     assert df.select(V.cosine(F.array(F.lit(0.0)), F.array(F.lit(1.0)))).first()[0] == 0.0
 
 
+def test_vectors_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
+    q = df.select(F.col("vec_id").alias("query_id"), "embedding")
+    assert vector.pca(df).columns[-2:] == ["pc1", "pc2"] and vector.pca(df).count() == 0 and vector.kmeans(df, 3).count() == 0
+    assert vector.knn(q, df, 5).count() == vector.lsh_search(q, df, 5).count() == vector.knn(q, df, None).count() == 0
+
+
+@pytest.mark.parametrize("metric", ["l2", "l1", "ip"])
+def test_best_of_many_batches(spark, metric, monkeypatch):
+    """Small blocks of queries and rows, many ties: the k best with the least keys."""
+    import numpy as np
+
+    monkeypatch.setattr(vector, "QUERIES", 2)
+    monkeypatch.setattr(vector, "ROWS", 7)
+    r = np.random.default_rng(3)
+    x = r.integers(-2, 3, (90, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = vector.knn(df.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding"), df, 6, metric).collect()
+    for i in range(5):
+        s = {"l2": -np.sqrt(((x - x[i]) ** 2).sum(1)), "l1": -np.abs(x - x[i]).sum(1), "ip": x @ x[i]}[metric].round(4)
+        assert [g["vec_id"] for g in sorted((g for g in got if g["query_id"] == i), key=lambda g: g["rank"])] == sorted(range(90), key=lambda j: (-s[j], j))[:6]
+
+
+def test_frequent_terms_against_plain_bm25(spark):
+    import math
+    import random
+
+    r = random.Random(4)
+    texts = [" ".join(r.choice("a b c d e f g h".split()) for _ in range(r.randrange(0, 30))) for _ in range(200)]
+    q = [(1, "a b b zz"), (2, "h"), (3, ""), (4, None)]
+    got = lexical.bm25(spark.createDataFrame(q, "query_id int, text string"), spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4), 5).collect()
+    words = [t.split() for t in texts]
+    mean = sum(map(len, words)) / len(words)
+    for i, t in q[:2]:
+        def score(w):
+            return sum(math.log(1 + (200 - n + 0.5) / (n + 0.5)) * w.count(x) * 2.5 / (w.count(x) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for x in t.split() for n in [sum(x in v for v in words)])
+
+        want = sorted(((-round(score(w), 4), d) for d, w in enumerate(words) if score(w) > 0))[:5]
+        assert [(-g["score"], g["doc_id"]) for g in sorted((g for g in got if g["query_id"] == i), key=lambda g: g["rank"])] == want
+    assert {g["query_id"] for g in got} == {1, 2}
+
+
 def test_hashing_search_finds_the_neighbours(spark):
     """The registered query, with its own parameters, against the exact one; a query's own row is always found and isn't counted."""
     import __spark_entry__ as entry
@@ -174,6 +216,8 @@ def test_records(spark):
     c = spark.createDataFrame([(1, 1, "system"), (1, 2, "user"), (1, 3, "user"), (1, 4, "assistant"), (2, 1, "system"), (2, 2, "system")], "conv_id long, turn long, role string")
     got = records.message_window(c, "conv_id", "turn", "role", 2).collect()
     assert sorted((r["conv_id"], r["turn"]) for r in got) == [(1, 1), (1, 4), (2, 1), (2, 2)]
+    few = records.frequent_values(spark.createDataFrame([("a",), ("b",), ("b",), (None,), ("c",)], "s string"), ["s"], 2).orderBy("place").collect()
+    assert [(r["value"], r["n"]) for r in few] == [("b", 2), ("a", 1)]
     p = {r["column"]: r for r in records.profile(spark.createDataFrame([(1, "a"), (None, "bbb")], "x int, s string")).collect()}
     assert p["x"]["nulls"] == 1 and p["s"]["most"] == 3.0
 

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from loomtext.functions import bpe
 from loomtext.functions import requests as Q
-from loomtext.operators import html, lexical
+from loomtext.operators import fusion, html, lexical
+from loomtext.sources import collections as C
 from loomtext.sources import tables as S
 
 
@@ -27,6 +29,40 @@ def test_requests(spark):
     assert one(spark, Q.summary(t, ["m"]), t="x" * 50) == "x" * 50 and one(spark, Q.summary(t, ["m"]), t="m" + "x" * 100) == "m" + "x" * 99 + "..."
 
 
+#: Requests and what they mean.
+MEANT = {
+    "day": [("내일", "tomorrow"), (" Today ", "today"), ("2024-03-01", "2024-03-01"), ("03-05", "2025-03-05"), ("someday", "today"), ("", "today"), ("다음주", "next_week")],
+    "clock": [("14:30", "14:30"), ("3시", "03:00"), ("오후 11 시", "11:00"), ("3pm", "15:00"), ("12 PM", "12:00"), ("12am", "00:00"), ("7", "07:00"), ("25", "09:00"), ("later", "09:00"), ("", "09:00")],
+    "city": [("서울", "seoul"), ("Busan", "busan"), ("서울시 강남", "seoul"), ("Paris", "paris"), (" daegu ", "daegu")],
+    "kind": [(".PDF", "document"), ("이미지", "image"), ("mkv", "video"), ("rs", "code"), ("zip", "other"), ("", "other"), ("xlsx", "document")],
+    "words": [("프로젝트 문서 찾아줘", "프로젝트"), ("이 파일 보여줘", "이 파일"), ("README please", "readme"), ("API 명세서 검색", "API 명세서"), ("nothing here", ""), ("설정", "설정")],
+    "channel": [("팀에게 메일로 보내줘", "email"), ("문자 부탁", "sms"), ("슬랙으로 slack에", "slack"), ("hello", "slack"), ("SMS로", "sms")],
+    "judged": [('Sure: {"score": 0.8, "explanation": "fits"} done', 0.8), ("no braces", 0.5), ("{broken", 0.5), ('{"explanation": "x"}', 0.5), ('{"score": "1"}', 1.0)],
+    "api": [("Weather API", "weather"), ("날씨_api", "weather"), ("문서 검색", "file"), ("FILE_API", "file"), ("Billing", "billing")],
+    "place": [("대구 인천", "대구"), ("인천에서", "인천"), ("독도 가는 길", "독도"), ("날씨", "서울"), ("안녕", None)],
+}
+ITEMS = "구조/논리: {}/2점\n정량 데이터: 1/2\n구체적 도구/기술: 2/2\n실제 사례: 0.5/2\n전문성 / 깊이: 1/2\n**품질 점수:** 9"
+MEANT["rubric"] = [(ITEMS.format(2), 6.5), ("**품질 점수**: 8", 8.0), ("품질 점수: **7.5**", 7.5), ("품질 점수: 42", 3.0), ("none", 3.0), ("구조/논리: 2/2\n품질 점수 : 4", 4.0)]
+
+
+def test_what_requests_mean(spark):
+    t = F.col("t")
+    rules = {
+        "day": Q.day(t, F.lit(2025)), "clock": Q.clock(t), "city": Q.city(t), "kind": Q.file_kind(t), "words": Q.search_words(t), "channel": Q.channel_in(t),
+        "judged": Q.judged_score(t), "api": Q.api(t), "place": Q.intent_parameters(t)["city"], "rubric": Q.rubric_score(t, F.lit(3.0)),
+    }
+    for name, cases in MEANT.items():
+        df = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, t string")
+        assert [r["x"] for r in df.select("i", rules[name].alias("x")).orderBy("i").collect()] == [y for _, y in cases], name
+
+
+def test_stop_reason(spark):
+    cases = [(1, 9.0, None, "threshold"), (5, 3.0, 3.0, "maximum"), (2, 3.0, 4.0, "regress"), (2, 4.2, 4.0, "plateau"), (1, 4.2, 4.0, None), (2, 5.0, 4.0, None), (1, 1.0, None, None), (None, None, None, None)]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, n int, s double, p double, want string")
+    got = df.select("i", "want", Q.stop_reason(F.col("n"), F.col("s"), F.col("p")).alias("got")).orderBy("i").collect()
+    assert [r["got"] for r in got] == [r["want"] for r in got]
+
+
 def test_changes(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k int, v string")
     none = spark.createDataFrame([], "k int, v string, deleted boolean, at int")
@@ -77,3 +113,65 @@ def test_structure_files(spark, tmp_path):
     (tmp_path / "in" / "b.txt").write_text("no page")
     got = html.structure_files(spark, str(tmp_path / "in"), str(tmp_path / "out")).collect()
     assert len(got) == 1 and got[0]["title"] == "T" and got[0]["blocks"][0]["data"] == '"Some words"'
+
+
+def test_deep_and_wide_pages(spark):
+    """Thousands of elements within each other, and a cell that claims millions of columns."""
+    deep = "<div>" * 5000 + "in" + "</div>" * 5000
+    lists = "<div class='pagetree'>" + "<ul><li><a href='/x'>x</a>" * 3000
+    wide = "<table><tr><td colspan='30000000' rowspan='99999999'>a</td><td>b</td></tr></table>"
+    df = spark.createDataFrame([(1, deep), (2, lists), (3, wide)], "page_id int, html string")
+    got = {r["page_id"]: r for r in html.pages(df).collect()}
+    assert got[1]["text"] == "in" and got[3]["n_tables"] == 1
+    assert html.cells(df).count() == 1001 and html.tree(df).count() == 3000 and html.cleaned(df).count() == 3
+
+
+def test_loaded_files(spark):
+    files = [("/a/x.TXT", b"plain \xff"), ("/a/y.json", b'{"content": "inner"}'), ("/a/z.json", b'{"k": [1]}'), ("/a/p.html", b"<title>T</title><p>body</p>"), ("/a/q.exe", b"no"), ("/a/n.md", None)]
+    df = spark.createDataFrame(files, "path string, content binary")
+    got = {r["path"][3:]: r["text"] for r in C.loaded(df).collect()}
+    assert got["y.json"] == "inner" and got["z.json"] == '{"k": [1]}' and got["p.html"] == "T\nbody" and got["n.md"] == "" and got["x.TXT"].startswith("plain ") and "q.exe" not in got
+    assert {r["path"]: r["text"] for r in C.loaded(df, pretty=True).collect()}["/a/z.json"] == '{\n  "k": [\n    1\n  ]\n}'
+    parts = C.processed(spark.createDataFrame([("/a/x.txt", b"word " * 300), ("/b/x.txt", b"")], df.schema)).orderBy("chunk").collect()
+    assert [r["chunk"] for r in parts] == [0, 1, 2, 3] and {r["total_chunks"] for r in parts} == {4} and parts[0]["filename"] == "x.txt" and len(parts[0]["doc_id"]) == 12
+    assert C.loaded(df.limit(0)).count() == 0
+
+
+def test_documents_of_a_collection(spark, tmp_path):
+    c = C.Collections(spark, f"file://{tmp_path}/c")
+    c.create("kb")
+    rows = [(f"d{i // 2}_{i}", "x" * i, [1.0], {"doc_id": f"d{i // 2}", "filename": "f"}) for i in range(4)] + [("free", "y", [1.0], {})]
+    c.add("kb", spark.createDataFrame(rows, "id string, text string, embedding array<double>, metadata map<string,string>"))
+    assert sorted(map(tuple, c.documents("kb").collect())) == [("d0", "f", 2, 1), ("d1", "f", 2, 5)]
+    assert c.delete_document("kb", "d0") and not c.delete_document("kb", "d0") and c.count("kb") == 3
+    files, size = c.footprint("kb")
+    assert files > 0 and size > 0
+    c.clear("kb")
+    assert c.count("kb") == 0 and c.metric("kb") == "cosine" and c.names() == ["kb"]
+    for n in (1, 2):
+        C.append_feedback(spark.createDataFrame([(n, "good")], "rating int, note string"), f"file://{tmp_path}/f")
+    assert spark.read.json(f"file://{tmp_path}/f").count() == 2
+
+
+def test_token_counts_and_cuts(spark):
+    texts = ["one two three", "", None, "é ñ 日本", "x" * 3000, "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    v = bpe.vocabulary()
+    want = [len(v.encode(t or "", add_special_tokens=False).ids) for t in texts]
+    assert [r["tokens"] for r in bpe.with_tokens(df, "t").orderBy("i").collect()] == want
+    cut = [r["cut"] for r in bpe.truncated(df, "t", 2).orderBy("i").collect()]
+    assert cut[0] == "one two" and cut[1] == "" and cut[2] is None and texts[4].startswith(cut[4]) and len(cut[4]) < 3000
+
+
+def test_training_pairs(spark):
+    p = spark.range(400).withColumnRenamed("id", "passage")
+    q = spark.range(400).selectExpr("id", "0 AS j")
+    rows = fusion.training_pairs(q, p, ["id", "j"], "id", "passage", 3).collect()
+    per = {}
+    for r in rows:
+        per.setdefault(r["id"], []).append((r["passage"], r["label"]))
+    assert all(len(set(v)) == len(v) and [x for x in v if x[1] == 1] == [(k, 1)] and k not in [x for x, y in v if y == 0] for k, v in per.items())
+    assert sum(len(v) == 4 for v in per.values()) > 390
+    again = fusion.training_pairs(q.repartition(3), p.repartition(5), ["id", "j"], "id", "passage", 3).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+    assert fusion.training_pairs(q.limit(0), p.limit(0), ["id", "j"], "id", "passage").count() == 0
