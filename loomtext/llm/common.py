@@ -114,6 +114,34 @@ def hot_keys(counts: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame
     return counts.where(F.col("n") * parts > total).select(*keys, F.ceil(F.col("n") * parts / float(max(total, 1))).cast("long").alias("salts"))
 
 
+#: The least and the most bits of a Bloom filter, as powers of two; in between it has 12 for each member.
+BLOOM_BITS = (16, 28)
+
+
+def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are in wanted, and a few others: a Bloom filter (32 MB at most) keeps most others from being shuffled. Beyond some
+    hundred million keys it lets all rows pass. Joins that follow are exact."""
+    bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], (12 * wanted.count()).bit_length()))
+    h = [F.xxhash64(*keys), F.xxhash64(*keys, F.lit(1))]
+    cells = wanted.select(F.explode(F.array(*h)).alias("h"))
+    cells = cells.select(F.shiftrightunsigned("h", 64 - bits + 6).alias("word"), F.shiftrightunsigned("h", 64 - bits).bitwiseAND(63).cast("int").alias("bit"))
+    words = cells.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
+    sent, n = rows.sparkSession.sparkContext.broadcast(table), len(rows.columns)
+
+    def run(batches):
+        t = sent.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for c in batch.columns[n:]:
+                cell = c.to_numpy().view(np.uint64) >> np.uint64(64 - bits)
+                keep &= (t[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
+            yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.array(keep))
+
+    return rows.select("*", h[0].alias("h1"), h[1].alias("h2")).mapInArrow(run, rows.schema)
+
+
 def renamed(df: DataFrame) -> DataFrame:
     """The same columns as c0, c1, ...: no name of a caller's column clashes with one of ours."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -234,25 +262,49 @@ def dictionary(body: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.nd
     return coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
-def split_words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts laid end to end: the bytes of all words without what is between them, where each word begins there, and where each text's
-    words begin among the words."""
+#: Masks of the first n bytes of 8.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def hash_spans(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings data[s:e]: 8 bytes at a time are added to a state that mix64() then scatters, so strings of up to 8
+    bytes and equal length never agree. What is longer than 64 bytes is left to XXH3."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from each place on
+    n = e - s
+    h = mix64((eight[s] & FIRST[np.minimum(n, 8)]) + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    todo = np.flatnonzero(n > 8)
+    for done in range(8, 64, 8):
+        if not len(todo):
+            break
+        h[todo] = mix64(h[todo] + (eight[s[todo] + done] & FIRST[np.minimum(n[todo] - done, 8)]))
+        todo = todo[n[todo] > done + 8]
+    if len(todo):
+        raw = data.tobytes()
+        h[todo] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(s[todo].tolist(), e[todo].tolist())]
+    return h
+
+
+def word_spans(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts laid end to end: where each word begins and ends, and where each text's words begin among the words."""
     word = ~space[data]
-    first = word.copy()
-    first[1:] &= ~word[:-1]
+    edge = np.empty(len(data) + 1, bool)
+    edge[1:-1] = word[1:] != word[:-1]
+    edge[0] = edge[-1] = True
     inner = at[(at > 0) & (at < len(data))]
-    first[inner] = word[inner]  # a text's end is a word's end
-    s = np.flatnonzero(first)
-    return data[word], (np.cumsum(word) - 1)[s], np.searchsorted(s, at)
+    edge[inner] = True  # a text's end is a word's end
+    cuts = np.flatnonzero(edge)
+    own = word[cuts[:-1]]
+    s, e = cuts[:-1][own], cuts[1:][own]
+    return s, e, np.searchsorted(s, at)
 
 
 def hash_words(data: np.ndarray, at: np.ndarray, lower: bool = True, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes (XXH3) of all words of texts laid end to end, and where each text's words start among them."""
+    """64-bit hashes of all words of texts laid end to end, and where each text's words start among them."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
-    body, starts, texts = split_words(data, at, space)
-    words, place = dictionary(LOWER[body] if lower else body, starts)
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))[place], texts
+    s, e, texts = word_spans(data, at, space)
+    return hash_spans(LOWER[data] if lower else data, s, e), texts
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -262,13 +314,26 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     starts = np.concatenate([[0], np.cumsum(count)])
     if not starts[-1]:
         return np.zeros(0, np.uint64), starts
-    pos = np.arange(starts[-1]) - np.repeat(starts[:-1], count) + np.repeat(at[:-1], count)
-    length = np.repeat(np.minimum(n, k), count)
-    padded = np.concatenate([words, np.zeros(k, np.uint64)])
-    h = length.astype(np.uint64)
-    for j in range(k):
-        h = h * np.uint64(BASE) + np.where(length > j, padded[pos + j], np.uint64(0))
-    return mix64(h), starts
+    weights = [np.uint64(pow(BASE, k - 1 - j, 1 << 64)) for j in range(k)]
+    out = np.empty(starts[-1], np.uint64)
+    if len(words) >= k and (n >= k).any():
+        m = len(words) - k + 1
+        h = words[k - 1 :].copy()
+        for j in range(k - 1):
+            h += words[j : j + m] * weights[j]
+        inside = np.ones(m, bool)  # runs that begin in the last words of a text leave it
+        ends = at[1:][n > 0]
+        last = (ends[:, None] - np.arange(1, k)[None, :]).ravel()
+        inside[last[(last >= 0) & (last < m)]] = False
+        for a, b in zip(at[:-1][(n > 0) & (n < k)].tolist(), at[1:][(n > 0) & (n < k)].tolist()):
+            inside[a:b] = False
+        out[np.repeat(n >= k, count)] = h[inside]
+    for i in np.flatnonzero((n > 0) & (n < k)).tolist():
+        h = int(n[i])
+        for w in words[at[i] : at[i + 1]].tolist():
+            h = (h * BASE + w) % (1 << 64)
+        out[starts[i]] = h
+    return mix64(out), starts
 
 
 #: Bytes of text that numpy works on at once.

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, hot_keys, materialize, mix64, release, renamed, shares, shingle_hashes, word_hashes
+from .common import documents, hot_keys, likely, materialize, mix64, release, renamed, shares, shingle_hashes, word_hashes
 from .components import components
 
 #: Rows that numpy works on at once.
@@ -45,8 +45,6 @@ MOST = 4
 HEAVY = 1 << 18
 #: Tokens of a prefix that its rows carry along.
 LISTED = 64
-#: The least and the most bits of a Bloom filter, as powers of two; in between it has 12 for each member.
-BLOOM_BITS = (16, 28)
 #: Members of a component that meet in a cell, about.
 BLOCK = 256
 #: Rows of a token that meet in a cell of step 3, about.
@@ -75,32 +73,37 @@ def signature(x: np.ndarray) -> tuple[int, int]:
 
 
 class Prefixes:
-    """The order of shingles, and what a set sends to the posting lists."""
+    """The order of shingles, and what sets send to the posting lists."""
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray, num: int, den: int):
         self.tokens, self.counts, self.num, self.den = tokens, counts, num, den
 
-    def of(self, x: np.ndarray) -> tuple[np.ndarray, int, int, np.ndarray]:
-        """Tokens of the prefix in order, the chosen l, how little others share the prefix (the less, the better a pivot), and how many rows
-        the tokens' lists are known to have."""
-        n = len(x)
-        least = -(-self.num * n // self.den)
-        df = np.zeros(n)
+    def of(self, sets: list[np.ndarray]) -> list[tuple[np.ndarray, int, int, np.ndarray]]:
+        """For each set (none is empty): the tokens of its prefix in order, the chosen l, how little others share the prefix (the less, the
+        better a pivot), and how many rows the tokens' lists are known to have."""
+        n = np.array([len(x) for x in sets], np.int64)
+        x, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+        df = np.zeros(len(x))
         if len(self.tokens):
             i = np.minimum(np.searchsorted(self.tokens, x), len(self.tokens) - 1)
-            df = np.where(self.tokens[i] == x, self.counts[i], 0)
+            df = np.where(self.tokens[i] == x, self.counts[i], 0).astype(float)
         level = np.log2(df + 1).astype(np.int64)
-        order = np.argsort(level, kind="stable")
-        first = n - least + 1
-        longest = min(first + MOST - 1, n)
-        df, level = df[order[:longest]], level[order[:longest]]
+        order = np.argsort(row * 64 + level, kind="stable")
+        x, df, level = x[order], df[order], level[order]
+        start = np.cumsum(n) - n
+        first = n - -(-self.num * n // self.den) + 1
         # a shingle that isn't known as frequent is in another document now and then
-        reads = np.cumsum(np.maximum(df - 1, 0.01))[first - 1 :]
-        el = np.arange(1, len(reads) + 1)
-        own = int(np.argmin(first + el + reads + 20 * reads / el**2)) + 1
+        reads = np.concatenate([[0], np.cumsum(np.maximum(df - 1, 0.01))])
+        own, least = np.ones(len(sets), np.int64), np.full(len(sets), np.inf)
+        for el in range(1, MOST + 1):
+            size = first + el - 1
+            read = reads[np.minimum(start + size, start + n)] - reads[start]
+            cost = np.where(size <= n, first + el + read + 20 * read / el**2, np.inf)
+            own, least = np.where(cost < least, el, own), np.minimum(cost, least)
         size = first + own - 1
-        shared = int(1000 * level[:size].mean())
-        return x[order[:size]], own, max(0, 32767 - shared), df[:size]
+        levels = np.concatenate([[0], np.cumsum(level)])
+        rank = np.maximum(0, 32767 - 1000 * (levels[start + size] - levels[start]) // size)
+        return [(x[a : a + k], el, r, df[a : a + k]) for a, k, el, r in zip(start.tolist(), size.tolist(), own.tolist(), rank.tolist())]
 
 
 def _scan(k: int, flush: int = 4_000_000):
@@ -164,16 +167,17 @@ def _postings(k: int, prefixes, long: int):
         p, seen = prefixes.value, set()
         for batch in batches:
             for some in shares(batch, 0, rows=ROWS):
-                out = []
+                out, keys, sets = [], [], []
                 for x in shingle_sets(some.column(0), k):
                     key = signature(x) if len(x) else None
-                    if key is None or key in seen:
-                        continue
-                    seen.add(key)
-                    token, own, rank, df = p.of(x)
+                    if key is not None and key not in seen:
+                        seen.add(key)
+                        keys.append(key)
+                        sets.append(x)
+                for key, x, (token, own, rank, df) in zip(keys, sets, p.of(sets) if sets else ()):
                     n = len(token)
                     part = np.where(df > long, 1 + (key[1] & 0xFFFFFFFF) % np.maximum(np.ceil(df / long), 1).astype(np.int64), 0).astype(np.int32)
-                    out.append((token.view(np.int64), part, np.full(n, key[0], np.int64), np.full(n, len(x), np.int64), (np.arange(n) << 20) | (own << 16) | rank))
+                    out.append((token.view(np.int64), part, np.full(n, key[0], np.int64), np.full(n, len(x), np.int64), (np.arange(n) << 20) | (own << 16 | rank)))
                 if len(seen) > 500_000:
                     seen = set()
                 if out:
@@ -318,7 +322,8 @@ class NgramJoin:
         if (counts > long).any():
             lists = self._of_long_lists(lists, rank)
         pivots = self.classes.select(F.col("sig").alias("pivot"), F.col("n").alias("pivot_n"), F.col("cls").alias("pivot_cls"))
-        shared = lists.join(self.classes.select("sig", "n", "cls"), ["sig", "n"]).join(pivots, ["pivot", "pivot_n"])
+        # these joins are sort-merge joins at every size, so that a small table tells what a large one will shuffle
+        shared = lists.join(self.classes.select("sig", "n", "cls").hint("merge"), ["sig", "n"]).join(pivots.hint("merge"), ["pivot", "pivot_n"])
         own, place = F.shiftright("meta", 16).bitwiseAND(0xF).cast("int").alias("own"), F.shiftright("meta", 20).alias("place")
         # of a document's prefix only what others have too is left: its number before a token bounds how much can be shared before it
         before = (F.row_number().over(Window.partitionBy("cls").orderBy("place", "token")) - 1).alias("before")
@@ -329,7 +334,7 @@ class NgramJoin:
         found = materialize(self._verified(star), "links")
         self.near = components(found)
         rest = materialize(self._rest(star, self.near), "pairs")
-        self.rest = materialize(self._verified(rest), "links")
+        self.rest = materialize(self._verified(rest, few=True), "links")
         self.far = self._joined(self.rest, self.near)
         release(star, rest, found)
 
@@ -371,40 +376,23 @@ class NgramJoin:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
     def _texts(self) -> DataFrame:
-        """(cls, text) of the classes that have a candidate: their first documents'. A Bloom filter keeps most others from being sent, the
-        fewer the more candidates there are; the join is exact. Repeated rows are made one before they are sent."""
+        """(cls, text) of the classes that have a candidate: their first documents'. Repeated rows are made one before they are sent."""
         wanted = materialize(self.shared.select("cls").distinct().join(self.classes, "cls").select("cls", *IDENTITY), "wanted")
-        bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], (12 * wanted.count()).bit_length()))
-        h = lambda *x: F.xxhash64("id0", "body", *x)
-        cells = wanted.select(F.explode(F.array(h(), h(F.lit(1)))).alias("h"))
-        cells = cells.select(F.shiftrightunsigned("h", 64 - bits + 6).alias("word"), F.shiftrightunsigned("h", 64 - bits).bitwiseAND(63).cast("int").alias("bit"))
-        words = cells.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
-        table = np.zeros(1 << (bits - 6), np.uint64)
-        table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-        sent = wanted.sparkSession.sparkContext.broadcast(table)
-
-        def passing(batches):
-            t = sent.value
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for c in batch.columns[4:]:
-                    cell = c.to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-                    keep &= (t[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
-                yield pa.RecordBatch.from_arrays(batch.columns[:4], names=[*IDENTITY, "text"]).filter(pa.array(keep))
-
-        near = self.docs.select(*_identity("id", "text"), F.coalesce("text", F.lit("")).alias("text")).select("*", h().alias("h1"), h(F.lit(1)).alias("h2"))
-        near = near.mapInArrow(passing, "id0 long, unknown boolean, body string, text string")
+        near = likely(self.docs.select(*_identity("id", "text"), F.coalesce("text", F.lit("")).alias("text")), wanted, ["id0", "body"])
         return near.groupBy(*IDENTITY).agg(F.first("text").alias("text")).join(wanted, IDENTITY).select("cls", "text")
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that link. A text goes once to each part of a's pairs, and b's to it."""
+    def _verified(self, pairs: DataFrame, few: bool = False) -> DataFrame:
+        """Of pairs (a, b), those that link. A text is sent to a's own place once for each part of a's pairs, and once for each b; few: most
+        texts are in no pair."""
         hot = F.broadcast(hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), ["a"]))
         part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0).cast("long")).alias("part")
         dealt = pairs.join(hot, "a", "left").select("a", part, "b")
-        a = self.texts.select(F.col("cls").alias("a"), "text")
-        b = self.texts.select(F.col("cls").alias("b"), "text")
-        heads = dealt.select("a", "part").distinct().join(a, "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
-        rows = heads.unionByName(dealt.join(b, "b").select("a", "part", "b", "text"))
+        heads = dealt.select("a", "part").distinct().select(F.col("a").alias("cls"), "a", "part", F.lit(None).cast("long").alias("b"))
+        places = heads.unionByName(dealt.select(F.col("b").alias("cls"), "a", "part", "b"))
+        texts = self.texts
+        if few:
+            texts = likely(texts, materialize(places.select("cls").distinct(), "wanted"), ["cls"])
+        rows = texts.hint("merge").join(places, "cls").select("a", "part", "b", "text")
         rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
         return rows.mapInArrow(_verify(self.k, self.num, self.den), "a long, b long, n_both long, n_union long")
 
@@ -413,8 +401,8 @@ class NgramJoin:
         rows = self.shared.join(near, self.shared["cls"] == near["node"], "left").select("token", "cls", "n", "own", "place", "before", F.coalesce("label", "cls").alias("label"))
         mixed = rows.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"))
         mixed = mixed.where("lo < hi").select("token", F.ceil(F.col("m") / TOKEN_BLOCK).cast("long").alias("blocks"))
-        rows = rows.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-        rows = rows.join(self._lists(), "cls")
+        rows = rows.join(mixed.hint("merge"), "token").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+        rows = rows.join(self._lists().hint("merge"), "cls")
         # the rows of a token meet in cells of two blocks each, a pair in the one of its own two blocks
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
         rows = rows.select("*", other).withColumns({"lower": F.least("block", "other"), "upper": F.greatest("block", "other")}).drop("other", "blocks")
@@ -470,10 +458,13 @@ class NgramJoin:
     def _documents(self) -> DataFrame:
         rep = F.when(~F.col("unknown"), F.col("id0"))
         classes = materialize(self._labelled().select("sig", "sig2", "n", "cls", "label", rep.alias("rep")), "labelled")
-        # most components are one class, whose smallest identifier is known
-        several = classes.where("cls <> label").select("label").distinct()
-        least = classes.join(several, "label", "left_semi").groupBy("label").agg(F.min("rep").alias("least"), F.lit(True).alias("several"))
-        classes = classes.join(least, "label", "left").withColumn("component", F.when(F.col("several"), F.col("least")).otherwise(F.col("rep")))
+        least = materialize(classes.groupBy("label").agg(F.min("rep").alias("least"), F.count("*").alias("n")), "least")
+        # a component of very many classes is told by a broadcast row, the others by a join; a class that is told already joins with nothing
+        hot = F.broadcast(hot_keys(least, ["label"]).join(least.select("label", F.struct("least").alias("told")), "label").select("label", "told"))
+        other = least.where("n > 1").select(F.col("label").alias("key"), F.struct("least").alias("joined"))
+        classes = classes.join(hot, "label", "left").withColumn("key", F.when(F.col("told").isNull(), F.col("label")).otherwise(-1 - F.col("cls")))
+        component = F.when(F.col("told").isNotNull(), F.col("told.least")).when(F.col("joined").isNotNull(), F.col("joined.least")).otherwise(F.col("rep"))
+        classes = classes.join(other, "key", "left").withColumn("component", component)
         out = self.rows.join(classes.select("sig", "sig2", "n", "cls", "rep", "component"), ["sig", "sig2", "n"], "left")
         alone = F.col("cls").isNull()  # no words
         return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "cls", F.when(alone, F.col("id")).otherwise(F.col("rep")).alias("class_id"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"))

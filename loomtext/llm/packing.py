@@ -234,7 +234,7 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048, grains: tuple[tuple[float,
     counts = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     plan = best_plan(counts, capacity, grains)
     runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 5)
-    span = 1 << 44
+    span, at = 1 << 44, cut_pieces.columns.index("length")
     keys = runs[:, 0] * span + runs[:, 1]
 
     def run(batches):
@@ -242,18 +242,20 @@ def pack(cut_pieces: DataFrame, capacity: int = 2048, grains: tuple[tuple[float,
             if not batch.num_rows:
                 continue
             rank = batch.column(batch.num_columns - 1).to_numpy()
-            length = batch.column(batch.schema.get_field_index("length")).to_numpy()
+            length = batch.column(at).to_numpy()
             r = np.searchsorted(keys, length * span + rank, side="right") - 1
             columns = [*batch.columns[:-1], pa.array(runs[r, 3] + rank - runs[r, 1]), pa.array(runs[r, 4])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))])
 
     # the pieces' own columns travel as one, so that none of their names clashes
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in cut_pieces.columns]
     rows = cut_pieces.select(F.struct(*cut_pieces.columns).alias("row"), F.col("length").cast("int").alias("length"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
     ranked = running(rows, "length", [f"o{i}" for i in range(len(order))], "length", "ranks")
     ranked = ranked.select("row.*", F.col("before_rows").alias("before_rows"))
-    schema = T.StructType([*cut_pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.toDF(*cut_pieces.columns, "before_rows").mapInArrow(run, schema)
+    fields = [*cut_pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    plain = ranked.toDF(*[f"c{i}" for i in range(len(cut_pieces.columns))], "before_rows")
+    return plain.mapInArrow(run, schema).toDF(*[f.name for f in fields])
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

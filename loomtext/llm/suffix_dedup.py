@@ -30,13 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_KEYS, documents, materialize, mix64, powers, release, shares, slices, text_bytes
+from .common import BYTE_KEYS, documents, likely, materialize, mix64, powers, release, shares, slices, text_bytes
 
 #: Positions that numpy works on at once; places within a block have 16 bits.
 BLOCK = 1 << 16
-#: The least and the most bits of a Bloom filter, as powers of two; in between it has 12 for each member.
-BLOOM_BITS = (16, 28)
-
 
 def number(digest: bytes, bits: int, others: dict[bytes, int]) -> int:
     """A class's number: the first bits of its text's sha256, unless another text has the same ones."""
@@ -93,7 +90,7 @@ ANCHORS = "h long, deal int, seg long, cls long, packed long"
 PARTS = 1024
 
 
-def _anchor_rows(length: int, gram: int, bits: int, others: dict, at_once: int = 1_000_000):
+def _anchor_rows(length: int, gram: int, bits: int, others: dict, at_once: int = 200_000):
     names = ["h", "deal", "seg", "cls", "packed"]
 
     def dealt(held):
@@ -201,7 +198,7 @@ def previous_factor(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return factor, source
 
 
-def _factors(length: int, at_once: int = 400_000):
+def _factors(length: int, at_once: int = 200_000):
     """Rows (h, rep, cls, packed, bytes) sorted by h, rep, cls, packed: the runs of starts that have an earlier match."""
 
     def found(rep, cls, packed, body):
@@ -314,40 +311,26 @@ class SuffixDedup:
         return digests.mapInArrow(run, T.StructType([*digests.schema.fields, T.StructField("cls", T.LongType())]))
 
     def _texts(self, wanted: DataFrame) -> DataFrame:
-        """(cls, text) of the classes in wanted. A Bloom filter keeps most others from being sent, the fewer the more are wanted; the join is
-        exact. Repeated rows are made one before they are sent."""
-        owners = materialize(wanted.join(self.classes.select("cls", "rep"), "cls").select("cls", "rep"), "wanted")
-        bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], (12 * owners.count()).bit_length()))
-        cells = owners.select(F.explode(F.array(F.xxhash64("rep"), F.xxhash64("rep", F.lit(1)))).alias("h"))
-        cells = cells.select(F.shiftrightunsigned("h", 64 - bits + 6).alias("word"), F.shiftrightunsigned("h", 64 - bits).bitwiseAND(63).cast("int").alias("bit"))
-        words = cells.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).toArrow()
-        table = np.zeros(1 << (bits - 6), np.uint64)
-        table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
-        sent = self.docs.sparkSession.sparkContext.broadcast(table)
-        own_bits, others = self.bits, self.others
-
-        def passing(batches):
-            t, seen = sent.value, set()
-            for batch in batches:
-                keep = np.ones(batch.num_rows, bool)
-                for c in batch.columns[2:]:
-                    cell = c.to_numpy().view(np.uint64) >> np.uint64(64 - bits)
-                    keep &= (t[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
-                some = pa.RecordBatch.from_arrays(batch.columns[:2], names=["id", "text"]).filter(pa.array(keep))
-                cls = [number(hashlib.sha256(x.as_buffer() if x.is_valid else b"").digest(), own_bits, others) for x in some.column(1)]
-                fresh = []
-                for x in zip(some.column(0).to_pylist(), cls):
-                    fresh.append(x not in seen)
-                    seen.add(x)
-                if len(seen) > 500_000:
-                    seen = set()
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cls, pa.int64()), some.column(1)], names=["id", "cls", "text"]).filter(pa.array(fresh, pa.bool_()))
+        """(cls, text) of the classes in wanted, from their first documents. Repeated rows are made one before they are sent, by task."""
+        owners = materialize(wanted.join(self.classes.select("cls", "rep"), "cls").select("cls", F.col("rep").alias("id")), "wanted")
+        bits, others = self.bits, self.others
 
-        near = self.docs.withColumn("id", F.coalesce("id", F.lit((1 << 63) - 1)))
-        near = near.select("id", "text", F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(1)).alias("h2"))
-        near = near.mapInArrow(passing, "id long, cls long, text binary")
-        own = near.join(owners.select("cls", F.col("rep").alias("id")), ["cls", "id"]).select("cls", "text")
-        return own.dropDuplicates(["cls"])
+        def numbered(batches):
+            seen = set()
+            for batch in batches:
+                for some in shares(batch, 1):
+                    cls = [number(hashlib.sha256(x.as_buffer() if x.is_valid else b"").digest(), bits, others) for x in some.column(1)]
+                    fresh = []
+                    for x in zip(some.column(0).to_pylist(), cls):
+                        fresh.append(x not in seen)
+                        seen.add(x)
+                    if len(seen) > 500_000:
+                        seen = set()
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cls, pa.int64()), some.column(1)], names=["id", "cls", "text"]).filter(pa.array(fresh, pa.bool_()))
+
+        near = likely(self.docs.select(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "text"), owners, ["id"])
+        near = near.mapInArrow(numbered, "id long, cls long, text binary")
+        return near.join(owners, ["cls", "id"]).select("cls", "text").dropDuplicates(["cls"])
 
     def removed(self) -> DataFrame:
         """(cls, start, count): runs of starts whose strings have an earlier match, of the classes' first documents."""

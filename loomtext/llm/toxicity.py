@@ -18,12 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import AT_ONCE, LOWER, dictionary, documents, least_hashed, materialize, release, shares, slices, split_words, text_bytes
+from .common import AT_ONCE, LOWER, documents, hash_spans, least_hashed, materialize, mix64, release, shares, slices, text_bytes, word_spans
 
 BITS = 18
 #: Words end at any ASCII character but letters, digits and the apostrophe.
@@ -31,30 +30,28 @@ BREAK = np.array([b < 128 and not chr(b).isalnum() and b != 0x27 for b in range(
 
 
 #: Besides whole words, their first bytes are features: inflected and compound words share them.
-PREFIXES = (3, 4, 5)
+PREFIXES = (3, 4, 5, 6, 7)
 
 
-def _places(word: bytes) -> list[int]:
-    """The features of a word: itself and its beginnings, each at one of 2 ** 18 places by its hash (words that share a place share a weight)."""
-    return [xxhash.xxh3_64_intdigest(word) >> 64 - BITS, *(xxhash.xxh3_64_intdigest(word[:k], k) >> 64 - BITS for k in PREFIXES if len(word) > k)]
-
-
-def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of all different words of each text and their beginnings, in no order and with repeats."""
+def _words(data: np.ndarray, at: np.ndarray, wanted: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of the words of each text and of their beginnings, with repeats: each at one of 2 ** 18 places by its hash (words that
+    share a place share a weight)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    body, starts, texts = split_words(data, at, BREAK)
-    words, place = dictionary(LOWER[body], starts)
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = np.unique(np.repeat(np.arange(len(at) - 1), np.diff(texts)) * len(words) + place)
-    row, place = both // len(words), both % len(words)
-    lists = [_places(w) for w in words]
-    n = np.fromiter(map(len, lists), np.int64, len(lists))
-    flat, first = np.fromiter((x for own in lists for x in own), np.int64, int(n.sum())), np.cumsum(n) - n
-    each = n[place]
-    step = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-    return np.repeat(row, each), flat[np.repeat(first[place], each) + step]
+    s, e, texts = word_spans(data, at, BREAK)
+    data, row = LOWER[data], np.repeat(np.arange(len(at) - 1), np.diff(texts))
+    rows, places = [], []
+    for k in (0, *PREFIXES):
+        some = np.flatnonzero(e - s > k) if k else slice(None)
+        h = hash_spans(data, s[some], s[some] + k if k else e)
+        f = (mix64(h + np.uint64(k)) >> np.uint64(64 - BITS)).astype(np.int64)
+        own = row[some]
+        if wanted is not None:
+            hit = wanted[f]
+            own, f = own[hit], f[hit]
+        rows.append(own)
+        places.append(f)
+    return np.concatenate(rows), np.concatenate(places)
 
 
 def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -69,10 +66,7 @@ def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.nda
                 stop = begin + AT_ONCE
                 while stop < end and not BREAK[data[stop]]:
                     stop += 1
-            row, f = _words(data[begin:stop], np.clip(at[lo : hi + 1], begin, stop) - begin)
-            if wanted is not None:
-                keep = wanted[f]
-                row, f = row[keep], f[keep]
+            row, f = _words(data[begin:stop], np.clip(at[lo : hi + 1], begin, stop) - begin, wanted)
             out.append(np.unique((row + lo) << BITS | f))
             begin = stop
     both = np.unique(np.concatenate(out))
@@ -101,7 +95,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(row: np.ndarray, f: np.ndarray, n: int, earlier: np.ndarray, y: np.ndarray, l1: float = 1e-3, steps: int = 250, most: int = 1000, least_z: float = 4.0) -> Linear:
+def fit(row: np.ndarray, f: np.ndarray, n: int, earlier: np.ndarray, y: np.ndarray, l1: float = 2e-3, steps: int = 250, most: int = 1000, least_z: float = 4.0) -> Linear:
     """L1-penalised logistic regression by accelerated proximal steps, over the features (most at most) whose shares differ most
     significantly between the classes; classes weigh the same, and neither bias nor chain is penalised."""
     share = float(y.mean()) if n else 0.0
@@ -181,7 +175,7 @@ class Chain:
         return p
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", per_group: int = 1500, folds: int = 3, seed: int = 11, most_features: int = 30_000_000) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], key: str = "doc_id", text: str = "text", per_group: int = 1500, folds: int = 3, seed: int = 11, most_features: int = 8_000_000) -> Chain:
     """labels: key and a column of 0 and 1 for each category. The sample is bounded by per_group rows of each combination of labels, and what
     it brings to the driver by most_features numbers of 4 bytes."""
     good = F.lit(True)

@@ -129,7 +129,8 @@ def test_very_long_texts(spark):
     first = dict(zip(words, h[s[1] : s[2]].tolist()))
     assert s.tolist() == [0, 2, 2 + len(words), 2 + len(words), 3 + len(words)] and h[s[1] : s[2]].tolist() == [first[w] for w in words] and len(set(first.values())) == len(first)
     row, f = toxicity.features(column)
-    assert set(f[row == 1].tolist()) == {p for w in set(__import__("re").split(r"[^A-Za-z0-9'\u0080-\U0010ffff]+", text)) if w for p in toxicity._places(w.lower().encode())}
+    short = pa.array([" ".join(dict.fromkeys(text.split()))])
+    assert f[row == 1].tolist() == toxicity.features(short)[1].tolist()
 
 
 def brute_components(rows, k=5):
@@ -217,7 +218,7 @@ def test_prefixes_find_every_link():
             continue
         heavy = np.unique(r.integers(0, 400, 100).astype(np.uint64))
         p = ngram_join.Prefixes(heavy, r.integers(8, 5000, len(heavy)), 80, 100)
-        (a, la, _, _), (b, lb, _, _) = p.of(x), p.of(y)
+        (a, la, _, _), (b, lb, _, _) = p.of([x, y])
         k = min(la, lb)
         cut = lambda s, t: s[: len(t) - -(-80 * len(t) // 100) + k]
         assert len(np.intersect1d(cut(a, x), cut(b, y))) >= k
@@ -278,6 +279,40 @@ def test_toxicity(spark, none):
     assert [x["toxic"] for x in toxicity.score(docs, empty).limit(3).collect()] == [False] * 3 and toxicity.score(none, empty).count() == 0
 
 
+def test_toxicity_of_held_out_documents(spark):
+    """On the given tables: a third of the labelled texts, copies of a text together, are kept from the training."""
+    import zlib as z
+
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").cache()
+    labels = toxicity.labelled(spark, sf)
+    first_words = {r["doc_id"]: " ".join((r["text"] or "").lower().split()[:8]) for r in docs.join(labels.select("doc_id"), "doc_id").collect()}
+    held = {d for d, w in first_words.items() if z.crc32(w.encode()) % 3 == 0}
+    names = spark.createDataFrame([(d,) for d in held], "doc_id long")
+    chain = toxicity.train(docs, labels.join(names, "doc_id", "left_anti"), toxicity.CATEGORIES)
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.score(docs.join(names, "doc_id"), chain).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["doc_id"] in got}
+    toxic, clean = [got[d] for d, t in truth.items() if t], [got[d] for d, t in truth.items() if not t]
+    print("held out:", sum(toxic), "of", len(toxic), "toxic found,", sum(clean), "of", len(clean), "clean flagged")
+    assert len(toxic) > 80 and sum(toxic) >= 0.9 * len(toxic) and sum(clean) <= 0.01 * len(clean)
+    docs.unpersist()
+
+
+def test_toxicity_gathers_a_bounded_sample(spark):
+    """Repeated rows of an identifier bring one row; the features' number is bounded too."""
+    docs = spark.createDataFrame([(i % 20, f"word{i % 20} other words {'bad' if i % 2 else 'fine'}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 50, "doc_id long, toxic int")
+    seen = []
+    train = toxicity.Chain.train.__func__
+    try:
+        toxicity.Chain.train = classmethod(lambda cls, c, row, f, y, *a: seen.append((len(y), len(f))) or train(cls, c, row, f, y, *a))
+        toxicity.train(docs, labels, ["toxic"], per_group=3)
+        toxicity.train(docs, labels, ["toxic"], most_features=40)
+    finally:
+        toxicity.Chain.train = classmethod(train)
+    assert seen[0][0] == 6 and 0 < seen[1][1] <= 40
+
+
 def test_audio(spark, docs, rows, none):
     got = audio.extract(audio.encode(docs)).collect()
     texts = {}
@@ -297,6 +332,52 @@ def test_audio(spark, docs, rows, none):
     assert audio.extract(audio.encode(none)).count() == 0
 
 
+def plain_audio(payload):
+    """Frames x bands in decibels by plain sums: the upsampled signal, its low-pass filter, every fourth sample, a discrete Fourier sum and
+    triangular bands, in the definitions' own terms."""
+    x = (np.frombuffer(payload, np.uint8).astype(float) - 128) / 128
+    n = audio.UP * audio.TAPS
+    t = np.arange(n) - (n - 1) / 2
+    taps = np.sinc(t / 4) * np.hanning(n + 2)[1:-1]
+    taps *= audio.UP / taps.sum()
+    up = np.zeros(len(x) * 3)
+    up[::3] = x
+    total = -(-len(x) * 3 // 4)
+    frames = max(1, -(-(total - 256) // 128) + 1)
+    full = np.convolve(np.concatenate([up, np.zeros(4 * 128 * 4 + 4 * 256)]), taps)[::4][: (frames - 1) * 128 + 256]
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edges = 700 * (10 ** (np.linspace(mel(60), mel(6000), audio.BANDS + 2) / 2595) - 1)
+    window = np.hanning(256)
+    out = []
+    for f in range(frames):
+        y = full[f * 128 : f * 128 + 256] * window
+        power = [abs((y * np.exp(-2j * np.pi * k * np.arange(256) / 256)).sum()) ** 2 for k in range(129)]
+        row = []
+        for b in range(audio.BANDS):
+            lo, mid, hi = edges[b : b + 3]
+            tri = [max(0, min((k * 12000 / 256 - lo) / (mid - lo), (hi - k * 12000 / 256) / (hi - mid))) for k in range(129)]
+            row.append(10 * np.log10(np.dot(power, tri) + 1e-6))
+        out.append(row)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("n", [1, 576, 700, 5000])
+def test_audio_features_against_plain_sums(n):
+    payload = audio.padded(bytes(np.random.default_rng(n).integers(32, 122, n).astype(np.uint8)))
+    mel = audio.log_mel(np.frombuffer(payload, np.uint8))
+    want = plain_audio(payload)
+    assert mel.shape == want.shape and np.abs(mel / 4 - want).max() < 0.2
+    level = mel.mean(axis=1) / 4
+    floor, on, spans = np.sort(level)[len(level) // 10], False, []
+    for i, v in enumerate([*level, -np.inf]):  # the hysteresis, frame by frame
+        was, on = on, v >= floor + audio.ON or (on and v >= floor + audio.OFF)
+        if on and not was:
+            spans.append([i, 0])
+        if was and not on:
+            spans[-1][1] = i
+    assert audio.segments(mel).tolist() == spans
+
+
 def test_audio_by_parts_is_audio_as_a_whole():
     r = np.random.default_rng(2)
     x = (128 + 90 * np.sin(np.arange(700_000) * 2 * np.pi * 440 / 16000)).astype(np.uint8)
@@ -329,6 +410,8 @@ def test_language_id(spark, none):
     assert got[300] == got[301] == got[302] == ("und", 0.0) and got[303] == got[0] and all(0 <= s <= 1 for _, s in got.values())
     assert language_id.train(none) is None and {x["lang_pred"] for x in language_id.identify(docs, None).collect()} == {"und"}
     assert language_id.identify(none, net).count() == 0
+    clash = language_id.identify(docs.selectExpr("doc_id", "text", "lang", "'x' AS _text", "1 AS c0", "2 AS t"), net, keep=("_text", "c0", "t"))
+    assert clash.columns == ["doc_id", "_text", "c0", "t", "lang_pred", "score"] and {tuple(r)[1:4] for r in clash.collect()} == {("x", 1, 2)}
 
 
 def brute_removed(rows, length=100):
@@ -385,6 +468,55 @@ def test_mixing(spark, docs, rows, none):
     assert mixing.Mix(none).taken().count() == 0 and mixing.mixed_documents(none).count() == 0
 
 
+def plain_mix(rows, block, share=1.5, limit=2, weights=(5, 2, 1), seed=7):
+    """Words taken from each document, by lists: slots by golden-ratio points, blocks of each source's shuffled stream, begun again at its end.
+    rows: (doc_id, source, words, shuffled), one for each document, in no order."""
+    sources = sorted({r[1] for r in rows}, key=lambda x: (x is None, x or ""))
+    size = {c: sum(r[2] for r in rows if r[1] == c) for c in sources}
+    weight = {c: weights[i % 3] for i, c in enumerate(sources)}
+    target, left, free = {}, share * sum(size.values()), list(sources)
+    while free:
+        over = [c for c in free if left * weight[c] / sum(weight[x] for x in free) > limit * size[c]]
+        if not over:
+            target |= {c: left * weight[c] / sum(weight[x] for x in free) for c in free}
+            break
+        target |= {c: limit * size[c] for c in over}
+        left, free = left - sum(limit * size[c] for c in over), [c for c in free if c not in over]
+    take = {c: min(int(target[c] + 1e-6), limit * size[c]) for c in sources}
+    taken = {}
+    for c in sources:
+        stream = [r[0] for r in sorted((r for r in rows if r[1] == c), key=lambda r: (r[3], r[0])) for _ in range(r[2])]
+        for i in range(take[c]):
+            taken[stream[i % len(stream)]] = taken.get(stream[i % len(stream)], 0) + 1
+    return size, target, taken
+
+
+def test_mixing_against_lists(spark):
+    """What each document gives follows from its source's target and its place in the shuffled stream alone; 300 documents of 5 sources."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    rows = [(i, " ".join(["w"] * r.choice([0, 1, 5, 40, 300])), r.choice(["a", "b", "c", None, "d" if i < 20 else "a"])) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    order = {x["doc_id"]: x["o"] for x in docs.select("doc_id", F.xxhash64(F.col("doc_id"), F.xxhash64("text"), F.lit(7)).alias("o")).collect()}
+    size, target, taken = plain_mix([(d, s, len(t.split()), order[d]) for d, t, s in rows], 16)
+    got = mixing.Mix(docs, block=16).taken().collect()
+    source = {d: s for d, _, s in rows}
+    assert {(x["doc_id"], x["source_size"], round(x["target"], 6), x["taken"]) for x in got} == {(d, size[s], round(target[s], 6), taken.get(d, 0)) for d, s in source.items()}
+
+
+def test_mixed_documents_with_columns_of_our_names(spark, rows):
+    names = {"_key": 1.5, "t_key": "x", "words": "y", "text_hash": 3, "size": None, "own_key": 2}
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({k: F.lit(v) for k, v in names.items()})
+    plain = spark.createDataFrame(rows, SCHEMA)
+    mixed, want = mixing.mixed_documents(docs, block=16), mixing.mixed_documents(plain, block=16)
+    assert mixed.columns == docs.columns
+    assert sorted(map(str, mixed.select(plain.columns).collect())) == sorted(map(str, want.collect()))
+    assert {(r["_key"], r["t_key"], r["words"]) for r in mixed.collect()} == {(1.5, "x", "y")}
+
+
 def test_mix_slots_are_spread(spark):
     got = mixing.schedule(spark, [50_000, 30_000, 0, 20_000], 10).collect()
     assert len({r["slot"] for r in got}) == len(got) == 10_000
@@ -554,6 +686,8 @@ def test_packing(spark, docs, rows, none):
             at += n
         assert at <= 64
     assert len(by_seq) <= 1.03 * sum(r["length"] for r in got) / 64 + 2
+    named = packing.pack(packing.pieces(docs, capacity=64).selectExpr("*", "1 AS before_rows", "'x' AS _length", "2 AS row"), capacity=64)
+    assert named.columns[5:8] == ["before_rows", "_length", "row"] and {tuple(r)[5:8] for r in named.collect()} == {(1, "x", 2)} and named.count() == len(got)
     assert packing.pack(packing.pieces(none)).count() == 0
 
 

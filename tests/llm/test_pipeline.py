@@ -29,3 +29,28 @@ def test_stages_follow_each_other(spark):
     total = packed.groupBy("sequence_id").sum("length").collect()
     assert max(r[1] for r in total) <= 2048
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in mixed.select("doc_id").distinct().collect()}
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null, shared and repeated identifiers, empty texts, exact repeats, near copies; then no rows at all."""
+    import random
+
+    from .test_operators import prose
+
+    r = random.Random(1)
+    a, b = prose(r, 120), prose(r, 120)
+    rows = [(1, a, "en", "s1", 1), (1, a, "en", "s1", 1), (None, a + " more", "en", None, 1), (2, b, "de", "s1", 1), (5, b.upper().lower(), "de", "s2", 1), (5, prose(r, 60), None, "s2", 1)]
+    rows += [(7, None, None, None, None), (8, "", "en", "s1", 0), (9, "short", "en", "s2", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, data in (("odd", rows), ("none", [])):
+        spark.createDataFrame(data, schema).write.parquet(f"file://{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/{name}/labels.parquet")
+    docs = spark.read.parquet(f"file://{tmp_path}/odd/documents.parquet")
+    for _, stage in P.STAGES[:3]:
+        docs = stage(spark, docs, f"file://{tmp_path}/odd")
+    kept = sorted(((x["doc_id"], x["text"]) for x in docs.collect()), key=str)
+    assert kept == sorted([(1, a), (5, b.upper().lower()), (5, rows[5][1]), (8, ""), (9, "short")], key=str)
+    got = P.run(spark, f"file://{tmp_path}/odd").collect()
+    assert {x["doc_id"] for x in got} <= {1, 5, 9} and all(x["length"] <= 2048 for x in got)
+    empty = P.run(spark, f"file://{tmp_path}/none")
+    assert empty.count() == 0 and empty.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
