@@ -118,9 +118,10 @@ def hot_keys(counts: DataFrame, keys: list[str], parts: int = 1000) -> DataFrame
 BLOOM_BITS = (16, 28)
 
 
-def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+def likely(rows: DataFrame, wanted: DataFrame, keys: list[str], then=None, schema: str | None = None) -> DataFrame:
     """The rows whose keys are in wanted, and a few others: a Bloom filter (32 MB at most) keeps most others from being shuffled. Beyond some
-    hundred million keys it lets all rows pass. Joins that follow are exact."""
+    hundred million keys it lets all rows pass. Joins that follow are exact. then: what the same worker does with the batches that are left,
+    which gives rows of the schema."""
     bits = min(BLOOM_BITS[1], max(BLOOM_BITS[0], (12 * wanted.count()).bit_length()))
     h = [F.xxhash64(*keys), F.xxhash64(*keys, F.lit(1))]
     cells = wanted.select(F.explode(F.array(*h)).alias("h"))
@@ -130,7 +131,7 @@ def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
     table[words.column("word").to_numpy()] = words.column("bits").to_numpy().view(np.uint64)
     sent, n = rows.sparkSession.sparkContext.broadcast(table), len(rows.columns)
 
-    def run(batches):
+    def passing(batches):
         t = sent.value
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
@@ -139,7 +140,8 @@ def likely(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
                 keep &= (t[(cell >> np.uint64(6)).astype(np.int64)] >> (cell & np.uint64(63)) & np.uint64(1)).astype(bool)
             yield pa.RecordBatch.from_arrays(batch.columns[:n], names=batch.schema.names[:n]).filter(pa.array(keep))
 
-    return rows.select("*", h[0].alias("h1"), h[1].alias("h2")).mapInArrow(run, rows.schema)
+    run = passing if then is None else lambda batches: then(passing(batches))
+    return rows.select("*", h[0].alias("h1"), h[1].alias("h2")).mapInArrow(run, schema or rows.schema)
 
 
 def renamed(df: DataFrame) -> DataFrame:

@@ -328,8 +328,7 @@ class SuffixDedup:
                         seen = set()
                     yield pa.RecordBatch.from_arrays([some.column(0), pa.array(cls, pa.int64()), some.column(1)], names=["id", "cls", "text"]).filter(pa.array(fresh, pa.bool_()))
 
-        near = likely(self.docs.select(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "text"), owners, ["id"])
-        near = near.mapInArrow(numbered, "id long, cls long, text binary")
+        near = likely(self.docs.select(F.coalesce("id", F.lit((1 << 63) - 1)).alias("id"), "text"), owners, ["id"], numbered, "id long, cls long, text binary")
         return near.join(owners, ["cls", "id"]).select("cls", "text").dropDuplicates(["cls"])
 
     def removed(self) -> DataFrame:
