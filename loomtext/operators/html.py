@@ -261,27 +261,39 @@ def markdown_blocks(md: str) -> list[dict]:
 PAGE = "title string, breadcrumbs string, text string, markdown string, n_links int, links string, n_tables int, n_images int"
 
 
-def page(html: str) -> tuple:
-    root = parse(html)
+def _title(root: Node) -> str:
     t = root.by_id("title-text") or root.first("title") or root.first("h1")
+    return text_of(t, set()) if t else ""
+
+
+def _crumbs(root: Node) -> str:
     crumbs = root.by_id("breadcrumbs")
-    found = links(main_content(root))
-    return (
-        text_of(t, set()) if t else "", json.dumps(links(crumbs) if crumbs else [], ensure_ascii=False), text_of(main_content(root)), rag_markdown(root), len(found),
-        json.dumps(found, ensure_ascii=False), len(root.find("table")), len(root.find("img")),
-    )
+    return json.dumps(links(crumbs) if crumbs else [], ensure_ascii=False)
+
+
+#: How each part of a page is found in its tree.
+PARTS = {
+    "title": _title, "breadcrumbs": _crumbs, "text": lambda r: text_of(main_content(r)), "markdown": rag_markdown, "n_links": lambda r: len(links(main_content(r))),
+    "links": lambda r: json.dumps(links(main_content(r)), ensure_ascii=False), "n_tables": lambda r: len(r.find("table")), "n_images": lambda r: len(r.find("img")),
+}
+
+
+def page(html: str, parts: list[str] | None = None) -> tuple:
+    root = parse(html)
+    return tuple(PARTS[p](root) for p in parts or PARTS)
 
 
-def pages(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """A row for each page with its parts; a null page is an empty one."""
+def pages(df: DataFrame, key: str = "page_id", html: str = "html", parts: list[str] | None = None) -> DataFrame:
+    """A row for each page with its parts (all of them, unless some are named: only those are worked out); a null page is an empty one."""
+    names = parts or list(PARTS)
+    kinds = dict(x.split() for x in PAGE.split(", "))
 
     def run(frames):
-        names = [x.split()[0] for x in PAGE.split(", ")]
         for f in frames:
-            rows = [page(h if isinstance(h, str) else "") for h in f[html]]
+            rows = [page(h if isinstance(h, str) else "", names) for h in f[html]]
             yield pd.concat([f[[key]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
 
-    return df.select(key, html).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, {PAGE}")
+    return df.select(key, html).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} {kinds[n]}" for n in names))
 
 
 def blocks(df: DataFrame, key: str, markdown: str) -> DataFrame:

@@ -18,6 +18,8 @@ from .best import Best, ranked, rounded
 
 #: Bytes of the queries that are sent to all tasks for one scan of the rows.
 BLOCK_BYTES = 64 << 20
+#: The most pairs that are given where none is left out.
+PAIRS = 10**9
 #: Queries and rows of a matrix product.
 QUERIES, ROWS = 512, 2048
 
@@ -49,7 +51,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 def knn(queries: DataFrame, rows: DataFrame, k: int | None, metric: str = "cosine", query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", where: Column | None = None, least: float | None = None, digits: int = 4, per: str | None = None) -> DataFrame:
     """query_key, key, score, rank (and per): the k best rows for each query, or for each query and value of per; all of them if k is None,
-    which is for small tables of queries only, since it gives every pair.
+    which is refused where it would give more than PAIRS of them.
 
     Scores are rounded, and ties are ordered by key. where holds before the ranking; least leaves out lower scores. Null vectors and keys are
     left out. An empty table on either side gives an empty result.
@@ -59,6 +61,8 @@ def knn(queries: DataFrame, rows: DataFrame, k: int | None, metric: str = "cosin
     asked = queries.where(F.col(vector).isNotNull()).select(query_key, vector)
     size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim")).first()
     blocks = max(1, -(-size["n"] * size["dim"] * 8 // BLOCK_BYTES))
+    if k is None and size["n"] * rows.count() > PAIRS:
+        raise ValueError(f"all pairs would be more than {PAIRS}; give k")
     fields = [T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, rows.schema["key"].dataType), T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields + ([T.StructField(per, rows.schema["per"].dataType)] if per else []))
     out = None

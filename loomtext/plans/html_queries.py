@@ -26,27 +26,27 @@ def pages(spark, sf):
 
 @query("m1_titles", "SELECT page_id, replace(replace(replace(replace(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&') AS title FROM pages")
 def m1(spark, sf):
-    return html.pages(pages(spark, sf)).select("page_id", "title")
+    return html.pages(pages(spark, sf), parts=["title"])
 
 
 @query("m2_main_content")
 def m2(spark, sf):
-    return html.pages(pages(spark, sf)).select("page_id", "title", "breadcrumbs", "text", "n_images")
+    return html.pages(pages(spark, sf), parts=["title", "breadcrumbs", "text", "n_images"])
 
 
 @query("m7_rag_markdown")
 def m7(spark, sf):
-    return html.pages(pages(spark, sf)).select("page_id", "markdown", "n_tables")
+    return html.pages(pages(spark, sf), parts=["markdown", "n_tables"])
 
 
 @query("m9_blocks")
 def m9(spark, sf):
-    return html.blocks(html.pages(pages(spark, sf)).select("page_id", "markdown"), "page_id", "markdown")
+    return html.blocks(html.pages(pages(spark, sf), parts=["markdown"]), "page_id", "markdown")
 
 
 @query("m10_links")
 def m10(spark, sf):
-    return html.pages(pages(spark, sf)).select("page_id", "n_links", "links")
+    return html.pages(pages(spark, sf), parts=["n_links", "links"])
 
 
 @query("m12_frontmatter", "SELECT page_id, '{\"page_id\":' || page_id || ',\"url\":\"' || url || '\"}' AS front FROM pages")

@@ -132,7 +132,7 @@ def loaded(files: DataFrame, path: str = "path", content: str = "content", prett
     def run(frames):
         for f in frames:
             pages = f["extension"].map(KINDS) == "page"
-            f.loc[pages, "text"] = [p[2] if p[2].startswith(p[0]) else f"{p[0]}\n{p[2]}".strip() for p in map(html.page, f.loc[pages, "text"])]
+            f.loc[pages, "text"] = [b if b.startswith(a) else f"{a}\n{b}".strip() for a, b in (html.page(x, ["title", "text"]) for x in f.loc[pages, "text"])]
             if pretty:
                 whole = (f["extension"] == "json") & f["text"].str.startswith(("{", "["))
                 f.loc[whole, "text"] = [laid_out(t) for t in f.loc[whole, "text"]]
