@@ -127,7 +127,7 @@ class Mix:
         self.sources = self.spark.createDataFrame(table, "src int, source_name string, source_size long, target double, take long")
         units = self.rows.groupBy(*UNIT).agg(F.count("*").alias("copies"))
         units = units.join(self.sources, F.col("source").eqNullSafe(F.col("source_name"))).drop("source_name").withColumn("words", F.col("size") * F.col("copies"))
-        shuffled = F.xxhash64(F.col("key"), F.col("text_hash"), F.lit(seed))
+        shuffled = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("key").cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
         self.units = running(units.withColumn("shuffled", shuffled), "src", ["shuffled", "key", "text_hash"], "words", "stream").drop("before_rows", "shuffled")
 
     def spans(self) -> DataFrame:
@@ -203,4 +203,17 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op7_mixing": op7_mixing}
-ORACLES: dict[str, str] = {}
+#: Sources are full in the order of their limits by weight. Each gives its take from a stream that begins again: whole rounds, and what the
+#: last round has of a document. The schedule decides when words are taken, not which.
+ORACLES = {
+    "op7_mixing": r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, ('0x' || substr(md5(doc_id || '/7'), 1, 15))::BIGINT AS shuffled FROM documents),
+n AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
+w AS (SELECT source, n, 2.0 * n AS most, [5.0, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM n),
+o AS (SELECT *, 1.5 * sum(n) OVER () AS total, coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
+f AS (SELECT *, (total - before) * w / rest > most AS full_up FROM o),
+t AS (SELECT source, n, (CASE WHEN full_up THEN most ELSE (total - coalesce(sum(CASE WHEN full_up THEN most END) OVER (), 0)) * w / sum(CASE WHEN full_up THEN 0 ELSE w END) OVER () END)::DOUBLE AS target FROM f),
+k AS (SELECT *, least(floor(target + 0.000001), 2 * n)::BIGINT AS take FROM t),
+p AS (SELECT d.*, k.n, k.target, k.take, (sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, doc_id) - size)::BIGINT AS a FROM d JOIN k ON k.source IS NOT DISTINCT FROM d.source)
+SELECT doc_id, size, n AS source_size, target, CASE WHEN n = 0 THEN 0 ELSE take // n * size + least(greatest(take % n - a, 0), size) END AS taken FROM p"""
+}

@@ -116,4 +116,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_sharding": op9_sharding}
-ORACLES: dict[str, str] = {}  # DuckDB has no crc32; the tests hold the query against plain Python
+_DRAW = "-ln((('0x' || substr(md5(doc_id || '/{}/' || {}), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)"
+#: crc32 bit by bit; the tree of eight shards level by level, where siblings weigh the same, and the ninth in a region of its own.
+ORACLES = {
+    "op9_sharding": f"""
+WITH b AS (SELECT doc_id, coalesce(text, '') AS body, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, strlen(body) + 1 AS size, xor(list_reduce(bytes, lambda a, x: list_reduce([0, 1, 2, 3, 4, 5, 6, 7], lambda s, k: xor(s >> 1, 3988292384 * (s & 1)), xor(a, x)), 4294967295::BIGINT), 4294967295) AS crc FROM b),
+r AS (SELECT *, {_DRAW.format('region', 0)} AS r0, {_DRAW.format('region', 1)} AS r1, {_DRAW.format('region', 2)} AS r2 FROM c),
+g AS (SELECT *, CASE WHEN r0 <= r1 THEN 0 ELSE 1 END AS region FROM r),
+k AS (SELECT *, CASE WHEN {_DRAW.format('rack', '(2 * region)')} <= {_DRAW.format('rack', '(2 * region + 1)')} THEN 2 * region ELSE 2 * region + 1 END AS rack FROM g),
+s AS (SELECT *, CASE WHEN {_DRAW.format('shard', '(2 * rack)')} <= {_DRAW.format('shard', '(2 * rack + 1)')} THEN 2 * rack ELSE 2 * rack + 1 END AS shard FROM k)
+SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot,
+       (CASE WHEN r2 < least(r0, r1) / 4 THEN 8 ELSE shard END)::INTEGER AS grown_shard FROM s"""
+}
