@@ -330,13 +330,14 @@ class NgramJoin:
         self.shared = materialize(shared.select("token", "cls", "n", own, place, "pivot_cls", "pivot_n").select("*", before), "shared")
         star = self.shared.where("cls <> pivot_cls").select(F.col("pivot_cls").alias("a"), F.col("cls").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb"))
         star = materialize(star.where(self._sizes("na", "nb")).select("a", "b").distinct(), "star")
-        self.texts = materialize(self._texts(), "texts")
+        wanted = materialize(self.shared.select("cls").distinct().join(self.classes, "cls").select("cls", *IDENTITY), "wanted")
+        self.texts = materialize(self._texts(wanted), "texts")
         found = materialize(self._verified(star), "links")
         self.near = components(found)
         rest = materialize(self._rest(star, self.near), "pairs")
         self.rest = materialize(self._verified(rest, few=True), "links")
         self.far = self._joined(self.rest, self.near)
-        release(star, rest, found)
+        release(star, rest, found, wanted)
 
     def _of_long_lists(self, lists: DataFrame, rank) -> DataFrame:
         """Parts of a list get one pivot: the first of their first ones. The lists in parts are among the frequent shingles, whose number is
@@ -375,9 +376,8 @@ class NgramJoin:
     def _sizes(self, a: str, b: str):
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
-    def _texts(self) -> DataFrame:
-        """(cls, text) of the classes that have a candidate: their first documents'. Repeated rows are made one before they are sent."""
-        wanted = materialize(self.shared.select("cls").distinct().join(self.classes, "cls").select("cls", *IDENTITY), "wanted")
+    def _texts(self, wanted: DataFrame) -> DataFrame:
+        """(cls, text) of the classes in wanted: their first documents'. Repeated rows are made one before they are sent."""
         near = likely(self.docs.select(*_identity("id", "text"), F.coalesce("text", F.lit("")).alias("text")), wanted, ["id0", "body"])
         return near.groupBy(*IDENTITY).agg(F.first("text").alias("text")).join(wanted, IDENTITY).select("cls", "text")
 
@@ -391,7 +391,9 @@ class NgramJoin:
         places = heads.unionByName(dealt.select(F.col("b").alias("cls"), "a", "part", "b"))
         texts = self.texts
         if few:
-            texts = likely(texts, materialize(places.select("cls").distinct(), "wanted"), ["cls"])
+            wanted = materialize(places.select("cls").distinct(), "wanted")
+            texts = likely(texts, wanted, ["cls"])
+            release(wanted)
         rows = texts.hint("merge").join(places, "cls").select("a", "part", "b", "text")
         rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
         return rows.mapInArrow(_verify(self.k, self.num, self.den), "a long, b long, n_both long, n_union long")
