@@ -257,11 +257,13 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def dictionary(body: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
-    """The different strings among those laid end to end in body, and each one's place among them. Bytes are compared, not hashes."""
+def dictionary(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different strings among those laid end to end in body, laid end to end; where each begins (one more entry); and each string's
+    place among them. Bytes are compared, not hashes."""
     ends = pa.py_buffer(np.append(starts, len(body)).astype(np.int32))
     coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, ends, pa.py_buffer(np.ascontiguousarray(body))]).dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    data, at = text_bytes(coded.dictionary)
+    return data, at, coded.indices.to_numpy()
 
 
 #: Masks of the first n bytes of 8.

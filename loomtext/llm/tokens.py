@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from .common import AT_ONCE, SPACE, dictionary, slices, text_bytes
+from .common import AT_ONCE, SPACE, dictionary, hash_spans, slices, text_bytes
 
 #: White space of Unicode outside ASCII, and separators that some engines count as such.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
@@ -29,10 +29,38 @@ _LEAD = np.zeros(256, bool)
 _LEAD[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places begin, begin + 1, ... of runs of these sizes, one run after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class Runs:
+    """Runs of numbers laid end to end, to which others are added."""
+
+    def __init__(self, kind):
+        self.flat, self.at, self.n = np.zeros(1 << 16, kind), np.zeros(1 << 16, np.int64), 0
+
+    def add(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        used = int(self.at[self.n])
+        while used + len(values) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.n + len(sizes) >= len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.flat[used : used + len(values)] = values
+        self.at[self.n + 1 : self.n + 1 + len(sizes)] = used + np.cumsum(sizes)
+        self.n += len(sizes)
+
+    def take(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of the runs i, end to end, and the runs' sizes."""
+        size = self.at[i + 1] - self.at[i]
+        return self.flat[_spread(self.at[i], size)], size
+
+
 class Encoder:
-    """Keeps the ids of up to `words` different chunks of `room` bytes together, and forgets them all when there are more."""
+    """Keeps the bytes and ids of up to `words` different chunks, and forgets them all when there are more. They are found by a hash, and what
+    is found is compared byte by byte."""
 
-    def __init__(self, path: str, words: int = 500_000, room: int = 32 << 20):
+    def __init__(self, path: str, words: int = 1_500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -45,49 +73,87 @@ class Encoder:
         byte_level = self.split is not None and type(self.split).__name__ == "ByteLevel" and self.tokenizer.normalizer is None
         if not byte_level or [x for x, _ in plain] != ["".join(self.visible[b] for b in " \u00e9".encode())]:
             raise ValueError("only byte-level BPE without normalizer can be encoded chunk by chunk")
-        self.words, self.room = words, room
+        self.words, self.bits = words, int(words * 1.4).bit_length()
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.ends, self.used, self.held = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int64), 0, 0
+        self.hashes, self.codes = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        self.chunks, self.ids = Runs(np.uint8), Runs(np.int32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The code that a hash stands for, -1 for none."""
+        mask = (1 << self.bits) - 1
+        slot = (h & np.uint64(mask)).astype(np.int64)
+        out = self.codes[slot]
+        todo = np.flatnonzero((out >= 0) & (self.hashes[slot] != h))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & mask
+            out[todo] = self.codes[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.hashes[slot[todo]] != h[todo])]
+        return out.astype(np.int64)
+
+    def _insert(self, h: np.ndarray, code: np.ndarray) -> None:
+        mask = (1 << self.bits) - 1
+        slot = (h & np.uint64(mask)).astype(np.int64)
+        todo = np.arange(len(h))
+        while len(todo):
+            free = todo[self.codes[slot[todo]] < 0]
+            self.codes[slot[free]] = code[free]  # of several that want a slot, the last one gets it
+            won = free[self.codes[slot[free]] == code[free]]
+            self.hashes[slot[won]] = h[won]
+            lost = np.ones(len(h), bool)
+            lost[won] = False
+            todo = todo[lost[todo]]
+            slot[todo] = (slot[todo] + 1) & mask
 
     def _whole(self, raw: bytes) -> bool:
         return any(t in raw for t in self.added) or OTHER_SPACE.search(raw.decode()) is not None
 
     def _chunk_ids(self, chunk: bytes) -> list[int]:
+        tokenize = self.model.tokenize
+        space = chunk[:1] == b" "
+        if chunk[1:].isalpha() if space else chunk.isalpha():  # bytes: letters of ASCII only
+            return [x.id for x in tokenize(self.visible[32] + chunk[1:].decode() if space else chunk.decode())]
         text = chunk.decode()
-        tokenize, space = self.model.tokenize, text[:1] == " "
-        body = text[1:] if space else text
-        if LATIN.fullmatch(body):
+        if LATIN.fullmatch(text[1:] if space else text):
             return [x.id for x in tokenize(chunk.decode("latin-1").translate(self.visible))]
         if self._whole(chunk):
             return self.tokenizer.encode(text, add_special_tokens=False).ids
         return [x.id for piece, _ in self.split.pre_tokenize_str(text) for x in tokenize(piece)]
 
-    def _codes(self, chunks: list[bytes]) -> np.ndarray:
-        """The places of chunks among those known; others are learnt."""
-        codes = np.fromiter((self.known.get(c, -1) for c in chunks), np.int64, len(chunks))
-        missing = np.flatnonzero(codes < 0)
-        if not len(missing):
-            return codes
-        if len(self.known) + len(missing) > self.words or self.used > 32 * self.words or self.held > self.room:
+    def _codes(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The codes of different chunks laid end to end; new ones are learnt."""
+        h, size = hash_spans(data, at[:-1], at[1:]), np.diff(at)
+        code = self._find(h)
+        known = np.flatnonzero(code >= 0)
+        if len(known):
+            body, n = self.chunks.take(code[known])
+            same = n == size[known]
+            if not same.all():
+                body = self.chunks.take(code[known[same]])[0]
+            own = known[same]
+            apart = np.flatnonzero(body != data[_spread(at[own], size[own])])
+            same[np.flatnonzero(same)[np.unique(np.searchsorted(np.cumsum(size[own]), apart, side="right"))]] = False
+            code[known[~same]] = -2  # another chunk of the same hash: it is encoded, but not to be found again
+        new = np.flatnonzero(code < 0)
+        if not len(new):
+            return code
+        if self.chunks.n + len(new) > self.words or self.ids.at[self.ids.n] > 16 * self.words or self.chunks.at[self.chunks.n] > 32 * self.words:
             self.clear()
-            missing = np.arange(len(chunks))
-        new = [chunks[i] for i in missing]
-        ids = [self._chunk_ids(c) for c in new]
-        sizes, n = np.fromiter(map(len, ids), np.int64, len(ids)), len(self.known)
-        total = int(sizes.sum())
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat), np.int32)])
-        while n + len(ids) > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros(len(self.ends), np.int64)])
-        self.flat[self.used : self.used + total] = np.fromiter((x for i in ids for x in i), np.int32, total)
-        self.ends[n : n + len(ids)] = self.used + np.cumsum(sizes)
-        self.known.update(zip(new, range(n, n + len(new))))
-        self.used, self.held = self.used + total, self.held + sum(map(len, new))
-        codes[missing] = np.arange(n, n + len(new))
-        return codes
+            new, code = np.arange(len(h)), np.full(len(h), -1)
+            if len(new) > self.words:
+                self.bits = max(self.bits, int(2 * len(new)).bit_length())
+                self.clear()
+        raw = data.tobytes()
+        ids = [self._chunk_ids(raw[a:b]) for a, b in zip(at[new].tolist(), at[new + 1].tolist())]
+        numbers = np.arange(self.chunks.n, self.chunks.n + len(new))
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.ids.add(np.fromiter((x for i in ids for x in i), np.int32, int(n.sum())), n)
+        self.chunks.add(data[_spread(at[new], size[new])], size[new])
+        first = code[new] == -1
+        self._insert(h[new[first]], numbers[first].astype(np.int32))
+        code[new] = numbers
+        return code
 
     def _encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts laid end to end, and where each text's ids start."""
@@ -106,14 +172,10 @@ class Encoder:
             if at[r] < at[r + 1] and self._whole(data[at[r] : at[r + 1]].tobytes()):
                 start[at[r] + 1 : at[r + 1]] = False
         s = np.flatnonzero(start)
-        chunks, place = dictionary(data, s)
-        code = self._codes(chunks)[place]
-        ends = self.ends[code]
-        begins = np.where(code > 0, self.ends[code - 1], 0)
-        n = ends - begins
-        to = np.cumsum(n)
-        ids = self.flat[np.repeat(begins - (to - n), n) + np.arange(to[-1])]
-        return ids, np.concatenate([[0], to])[np.searchsorted(s, at)]
+        chunks, ends, place = dictionary(data, s)
+        code = self._codes(chunks, ends)  # may forget all that was known
+        ids, n = self.ids.take(code[place])
+        return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(s, at)]
 
     def encode(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a column (null: empty), end_id after each, and where each text's ids start (one more entry)."""

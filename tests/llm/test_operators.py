@@ -88,6 +88,18 @@ def test_chunked_encoding_is_whole_encoding(text):
     assert ids.tolist() == 2 * fresh_tokenizer().encode(text, add_special_tokens=False).ids and len(at) == 4
 
 
+def test_chunks_of_one_hash_are_told_apart(monkeypatch):
+    """Hashes of four bits: whatever is found has to be compared. Few chunks are kept, so that all are forgotten now and then."""
+    plain = common.hash_spans
+    monkeypatch.setattr(tokens, "hash_spans", lambda *x: plain(*x) & np.uint64(15))
+    e, tok = tokens.Encoder(tokens.tokenizer_path(), words=50), fresh_tokenizer()
+    r = random.Random(1)
+    for _ in range(30):
+        texts = [prose(r, r.randrange(1, 30)) + " é, ñ. 3.5" for _ in range(3)]
+        ids, at = e.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def thue_morse(n):
     """Two strings on which polynomial hashes modulo a power of two agree, whatever their base."""
     x = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
@@ -705,7 +717,7 @@ def test_plan_places_each_piece_once():
             assert ends[-1] <= 100
 
 
-@pytest.mark.parametrize("module, name", [(ngram_join, "op2_ngram_join"), (mixing, "op7_mixing"), (exact_dedup, "op8_exact_dedup"), (sharding, "op9_sharding")])
+@pytest.mark.parametrize("module, name", [(ngram_join, "op2_ngram_join"), (ngram_join, "op2_ngram_links"), (mixing, "op7_mixing"), (exact_dedup, "op8_exact_dedup"), (sharding, "op9_sharding")])
 def test_queries_against_sql(spark, module, name):
     import duckdb
 
