@@ -385,13 +385,6 @@ def e1(spark, sf):
     return context.recall_at(found, q.join(e.select("vec_id", "label"), "label"), [1, 5, 10], "vec_id")
 
 
-@query("e5_cross_lingual", f"SELECT a.lang AS lang_a, b.lang AS lang_b, round(avg(abs(a.n - b.n)), 4) AS mean FROM (SELECT lang, source, avg(length(text)) AS n FROM documents GROUP BY ALL) a JOIN (SELECT lang, source, avg(length(text)) AS n FROM documents GROUP BY ALL) b ON a.source = b.source AND a.lang < b.lang GROUP BY ALL")
-def e5(spark, sf):
-    a = docs(spark, sf).groupBy("lang", "source").agg(F.avg(F.length("text")).alias("n"))
-    b = a.select(F.col("lang").alias("lang_b"), "source", F.col("n").alias("m"))
-    return a.withColumnRenamed("lang", "lang_a").join(b, "source").where("lang_a < lang_b").groupBy("lang_a", "lang_b").agg(F.round(F.avg(F.abs(F.col("n") - F.col("m"))), 4).alias("mean"))
-
-
 _PAIR_SIMILARITY = f"""WITH d AS (SELECT doc_id, lang, cell, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, lang, ('0x' || substr(md5(term), 1, 2))::INTEGER AS cell, count(*) AS n FROM (SELECT doc_id, lang, unnest({_T}) AS term FROM documents) GROUP BY ALL)),
  c AS (SELECT lang, count(*) AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang), s AS (SELECT lang, cell, sum(x) AS x FROM d WHERE lang IS NOT NULL GROUP BY ALL),
  p AS (SELECT a.lang AS lang_a, b.lang AS lang_b, sum(a.x * b.x) AS dot FROM s a JOIN s b ON a.cell = b.cell AND a.lang < b.lang GROUP BY ALL),
@@ -399,9 +392,9 @@ _PAIR_SIMILARITY = f"""WITH d AS (SELECT doc_id, lang, cell, n / sqrt(sum(n * n)
  SELECT lang_a, lang_b, mean, CASE WHEN mean > 0.8 THEN 'high' WHEN mean > 0.6 THEN 'medium' ELSE 'low' END AS bucket FROM m"""
 
 
-@query("e5_pair_similarity", _PAIR_SIMILARITY)
-def e5_similarity(spark, sf):
-    """Over all pairs of texts in two languages; e5_cross_lingual compares lengths, as its SQL does."""
+@query("e5_cross_lingual", _PAIR_SIMILARITY)
+def e5(spark, sf):
+    """Over all pairs of texts in two languages."""
     d = docs(spark, sf).where("text IS NOT NULL")
     v = lexical.hashed_vectors(d.select(F.struct("doc_id", "lang").alias("k"), "text"), "k", "text")
     return lexical.mean_similarity(v.select("k.lang", "embedding"), "lang")

