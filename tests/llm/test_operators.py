@@ -729,3 +729,26 @@ def test_queries_against_sql(spark, module, name):
     df = module.QUERIES[name](spark, sf)
     assert sorted(df.columns) == sorted(columns)
     assert sorted(map(tuple, df.select(columns).collect())) == sorted(want.fetchall())
+
+
+def test_missing_identifiers(spark, tmp_path):
+    """Rows without identifier come first in token files and last in suffix order; they are stored, mixed, placed and packed like others."""
+    r = random.Random(12)
+    a, b = prose(r, 60), prose(r, 60)
+    rows = [(None, a), (3, a), (None, b), (None, b), (5, ""), (6, None)]
+    docs = spark.createDataFrame([(d, t, "s", "x") for d, t in rows], "doc_id long, text string, source string, key string").repartition(3)
+    tok = fresh_tokenizer()
+    n = {t: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows}
+    files = token_files.TokenFiles.write(docs, f"file://{tmp_path}/t").digests().collect()
+    assert [(x["doc_id"], x["n_tokens"]) for x in sorted(files, key=lambda x: x["start"])][-3:] == [(3, n[a]), (5, 1), (6, 1)]
+    assert sorted(x["n_tokens"] for x in files if x["doc_id"] is None) == sorted([n[a], n[b], n[b]])
+    media = audio.extract(audio.encode(docs)).collect()
+    assert sorted(x["n_bytes"] for x in media if x["doc_id"] is None) == sorted([len(a.encode()), len(b.encode()), len(b.encode())]) and len(media) == 6
+    cut = sorted(((x["doc_id"], x["n_bytes"], x["n_removed"]) for x in suffix_dedup.SuffixDedup(docs).documents().collect()), key=str)
+    assert cut == sorted([(None, len(a.encode()), len(a.encode())), (3, len(a.encode()), 0), *[(None, len(b.encode()), 0)] * 2, (5, 0, 0), (6, 0, 0)], key=str)
+    taken = mixing.Mix(docs, block=16).taken().collect()
+    assert len(taken) == 6 and sum(x["taken"] for x in taken) in range(357, 361) and all(x["taken"] <= 2 * x["size"] for x in taken)
+    packed = packing.pack(packing.pieces(docs)).collect()
+    assert len(packed) == 6 and len({(x["sequence_id"], x["offset"]) for x in packed}) == 6
+    groups = {(x["doc_id"], x["keep_id"], x["group_size"]) for x in exact_dedup.exact_groups(docs).collect()}
+    assert groups == {(None, 3, 2), (3, 3, 2), (None, None, 2), (5, 6, 2), (6, 6, 2)}
