@@ -506,8 +506,7 @@ def op2_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_ngram_join": op2_ngram_join, "op2_ngram_links": op2_ngram_links}
-ORACLES = {
-    "op2_ngram_join": r"""
+_LINKED = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, hash(list_slice(words, i, i + 4)) AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM w WHERE len(words) > 0)),
@@ -515,7 +514,14 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
 e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l),
-r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)
+r AS (SELECT doc_id AS u, doc_id AS v FROM documents UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v)"""
+ORACLES = {
+    "op2_ngram_join": f"""{_LINKED}
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.v) AS component_id
-FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.u = d.doc_id GROUP BY d.doc_id, n.n"""
+FROM documents d LEFT JOIN n USING (doc_id) JOIN r ON r.u = d.doc_id GROUP BY d.doc_id, n.n""",
+    "op2_ngram_links": f"""{_LINKED},
+k AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY sig) AS class_id FROM (SELECT doc_id, md5(string_agg(g::VARCHAR, ',' ORDER BY g)) AS sig FROM s GROUP BY doc_id)),
+o AS (SELECT x.class_id AS c, count(DISTINCT y.class_id) AS n_links FROM e JOIN k x ON x.doc_id = e.u JOIN k y ON y.doc_id = e.v WHERE x.class_id <> y.class_id GROUP BY x.class_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(any_value(o.n_links), 0)::BIGINT AS n_links, min(r.v) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN o ON o.c = k.class_id JOIN r ON r.u = d.doc_id GROUP BY d.doc_id, n.n, k.class_id""",
 }
