@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,11 +66,18 @@ class _Asked:
 
 
 def _ranked(queries: DataFrame, docs: DataFrame, k: int, query_key: str, key: str, text: str, tokens, length, digits: int, weigh) -> DataFrame:
-    """length: the column that a document's length is; weigh(tf, lengths, df, documents, total length) gives each term's part of a score."""
+    """length: the column that a document's length is, or None for the number of its words; weigh(tf, lengths, df, documents, total length) gives each term's part of a score."""
     spark = docs.sparkSession
     asked = queries.select(query_key, tokens(F.col(text)).alias("words"))
     scans = -(-queries.count() // AT_ONCE)
-    words = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"), length.cast("long").alias("n"))
+    words = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"), *([] if length is None else [length.cast("long").alias("n")]))
+    columns, given = words.columns[1:], length is not None
+
+    def lengths(part, at):
+        """A document's length: its own column after the words', or their number."""
+        n = part.column(at + 1) if given else part.column(at).value_lengths()
+        return n.fill_null(0).to_numpy().astype(float)
+
     kinds = [queries.schema[query_key].dataType, docs.schema[key].dataType]
     schema = T.StructType([T.StructField(query_key, kinds[0]), T.StructField(key, kinds[1]), T.StructField("score", T.DoubleType())])
     out = None
@@ -85,11 +91,11 @@ def _ranked(queries: DataFrame, docs: DataFrame, k: int, query_key: str, key: st
                 for lo in range(0, batch.num_rows, 1024):
                     part = batch.slice(lo, 1024)
                     df += np.bincount(q.value.counts(part.column(0))[1], minlength=len(df))
-                    docs, total = docs + part.num_rows, total + (pc.sum(part.column(1)).as_py() or 0)
+                    docs, total = docs + part.num_rows, total + int(lengths(part, 0).sum())
             at = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *at.tolist()], pa.int64()), pa.array([docs, total, *df[at].tolist()], pa.int64())], names=["term", "n"])
 
-        sums = {r["term"]: r["n"] for r in words.select("words", "n").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        sums = {r["term"]: r["n"] for r in words.select(*columns).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
         df = np.ones(max(len(q.value.terms), 1))
         for t, n in sums.items():
             if t >= 0:
@@ -102,7 +108,7 @@ def _ranked(queries: DataFrame, docs: DataFrame, k: int, query_key: str, key: st
                 kind = batch.schema.field(0).type
                 for lo in range(0, batch.num_rows, 1024):
                     part = batch.slice(lo, 1024)
-                    n = part.column(2).fill_null(0).to_numpy().astype(float)
+                    n = lengths(part, 1)
                     doc, term, tf = q.value.counts(part.column(1))
                     value = weigh(tf, n[doc], df[term], stats[1], stats[2])
                     order = np.argsort(term, kind="stable")
@@ -129,7 +135,7 @@ def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query_key: str = "que
     def weigh(tf, n, df, docs, total):
         return np.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / max(total / max(docs, 1), 1e-300)))
 
-    return _ranked(queries, docs, k, query_key, key, text, tokens, F.greatest(F.size(tokens(F.col(text))), F.lit(0)), 4, weigh)
+    return _ranked(queries, docs, k, query_key, key, text, tokens, None, 4, weigh)
 
 
 def tf_idf(queries: DataFrame, docs: DataFrame, k: int = 5, query_key: str = "query_id", key: str = "doc_id", text: str = "text", tokens=terms) -> DataFrame:
