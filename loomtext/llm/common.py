@@ -251,6 +251,8 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
+#: Bytes of text that numpy works on at once.
+AT_ONCE = 4 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -266,6 +268,27 @@ def dictionary(body: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     return data, at, coded.indices.to_numpy()
 
 
+def coded_words(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Of texts laid end to end: the text and the code of each word, and the different words by their codes. Words are compared, not hashed."""
+    s, e, texts = word_spans(data, at, space) if len(data) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64))
+    if not len(s):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    body, bounds, codes = dictionary(data[~space[data]], np.cumsum(e - s) - (e - s))
+    raw, bounds = body.tobytes(), bounds.tolist()
+    return np.repeat(np.arange(len(at) - 1), np.diff(texts)), codes.astype(np.int64), [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def parts(data: np.ndarray, space: np.ndarray = SPACE, limit: int = AT_ONCE):
+    """A very long text in parts of about limit bytes, cut before a byte that ends words."""
+    cut = 0
+    while cut < len(data):
+        stop = min(len(data), cut + limit)
+        while stop < len(data) and not space[data[stop]]:
+            stop += 1
+        yield data[cut:stop]
+        cut = stop
+
+
 #: Masks of the first n bytes of 8.
 FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
@@ -340,10 +363,6 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarra
     return mix64(out), starts
 
 
-#: Bytes of text that numpy works on at once.
-AT_ONCE = 4 << 20
-
-
 def slices(at: np.ndarray, limit: int = AT_ONCE) -> list[tuple[int, int]]:
     """Runs of rows whose texts hold limit bytes together at most; a longer text is a run of its own."""
     out, lo, n = [], 0, len(at) - 1
