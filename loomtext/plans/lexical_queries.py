@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import context, fusion, lexical, vector
+from ..operators.text_index import TextIndex
+from ..sources.shared import scratch
 from .vector_queries import asked as vector_asked
 from .vector_queries import emb
 
@@ -76,6 +78,30 @@ def k4(spark, sf):
     return sparse(spark, sf)
 
 
+def _index(spark, sf) -> TextIndex:
+    """A stored index, made in two batches; then every 97th document is replaced."""
+    d, index = docs(spark, sf), TextIndex(spark, scratch(spark, "index"))
+    index.add(d.where("doc_id % 2 = 0"))
+    index.add(d.where("doc_id % 2 = 1"))
+    index.update(d.where("doc_id % 97 = 5").withColumn("text", F.concat(F.lit("the river "), F.coalesce("text", F.lit("")))))
+    return index
+
+
+_UPDATED = _BM25.replace("FROM documents", "FROM (SELECT doc_id, CASE WHEN doc_id % 97 = 5 THEN 'the river ' || coalesce(text, '') ELSE text END AS text FROM documents)")
+
+
+@query("w6_index_update", f"WITH {_UPDATED} SELECT query_id, doc_id, score, rank FROM sparse")
+def w6(spark, sf):
+    """The stored index is searched, not the documents."""
+    return _index(spark, sf).search(asked(spark, sf), 10)
+
+
+@query("w6_blocks_read")
+def w6_blocks(spark, sf):
+    """How many blocks of its terms' postings each query's search has read."""
+    return _index(spark, sf).blocks_read(asked(spark, sf), 10)
+
+
 @query("k3_tf_idf_search", f"{_BOTH} SELECT query_id, doc_id, score, rank FROM dense")
 def k3(spark, sf):
     return other(spark, sf)

@@ -246,9 +246,9 @@ def u1(spark, sf):
     return spark.sql("SELECT d.doc_id, count(*) AS n, sum(length(c.text)) AS chars FROM {d} d, LATERAL loom_pieces(d.text) c GROUP BY d.doc_id", d=docs(spark, sf))
 
 
-@query("w6_index_update", f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_W}) AS term FROM documents) GROUP BY term")
-def w6(spark, sf):
-    """Document frequencies from the postings of two batches, as after an update of an index."""
+@query("k2_frequencies", f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_W}) AS term FROM documents) GROUP BY term")
+def k2_frequencies(spark, sf):
+    """Document frequencies from the postings of two batches."""
     d = docs(spark, sf)
     both = [lexical.postings(d.where(F.col("source").isNotNull() & (F.col("source") < "src2")), "doc_id", "text"), lexical.postings(d.where(F.col("source").isNull() | (F.col("source") >= "src2")), "doc_id", "text")]
     return both[0].unionByName(both[1]).groupBy("term").agg(F.count("*").alias("df"))
