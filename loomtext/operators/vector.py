@@ -18,8 +18,6 @@ from .best import Best, ranked, rounded
 
 #: Bytes of the queries that are sent to all tasks for one scan of the rows.
 BLOCK_BYTES = 64 << 20
-#: The most pairs that are given where none is left out.
-PAIRS = 10**9
 #: Queries and rows of a matrix product.
 QUERIES, ROWS = 512, 2048
 
@@ -49,35 +47,125 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int | None, metric: str = "cosine", query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", where: Column | None = None, least: float | None = None, digits: int = 4, per: str | None = None) -> DataFrame:
-    """query_key, key, score, rank (and per): the k best rows for each query, or for each query and value of per; all of them if k is None,
-    which is refused where it would give more than PAIRS of them.
+def knn(queries: DataFrame, rows: DataFrame, k: int | None, metric: str = "cosine", query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", where: Column | None = None, least: float | None = None, digits: int = 4, per: str | None = None, asks: str | None = None) -> DataFrame:
+    """query_key, key, score, rank (and per): the k best rows for each query, or for each query and value of per; all of them, ranked, if k is
+    None (pairs() gives them without ranks, extremes() and score_counts() what is mostly wanted of them).
 
+    asks: a column of the queries, the list of the values of per that a query wants; all without it.
     Scores are rounded, and ties are ordered by key. where holds before the ranking; least leaves out lower scores. Null vectors and keys are
     left out. An empty table on either side gives an empty result.
     """
     rows = rows.where(where) if where is not None else rows
     rows = rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(vector).alias("v"), F.col(key).alias("key"), *([F.col(per).alias("per")] if per else []))
-    asked = queries.where(F.col(vector).isNotNull()).select(query_key, vector)
-    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim")).first()
-    blocks = max(1, -(-size["n"] * size["dim"] * 8 // BLOCK_BYTES))
-    if k is None and size["n"] * rows.count() > PAIRS:
-        raise ValueError(f"all pairs would be more than {PAIRS}; give k")
     fields = [T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, rows.schema["key"].dataType), T.StructField("score", T.DoubleType())]
     schema = T.StructType(fields + ([T.StructField(per, rows.schema["per"].dataType)] if per else []))
+    out = _held(queries, rows, query_key, vector, lambda sent: _near(sent, k, metric, schema.names, least, digits, per is not None), schema, asks)
+    return ranked(out, [query_key, *([per] if per else [])], key, k)
+
+
+def _held(queries: DataFrame, rows: DataFrame, query_key: str, vector: str, run, schema, asks: str | None = None) -> DataFrame:
+    """What run(sent) makes of the rows, for each block of the queries: sent holds a block's keys and vectors, and the lists in asks."""
+    asked = queries.where(F.col(vector).isNotNull()).select(query_key, vector, *([asks] if asks else []))
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dim")).first()
+    blocks = max(1, -(-size["n"] * size["dim"] * 8 // BLOCK_BYTES))
     out = None
     for b in range(blocks):
         own = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)).toArrow()
-        sent = rows.sparkSession.sparkContext.broadcast((own.column(0).combine_chunks(), matrix(own.column(1).combine_chunks())))
-        found = rows.mapInArrow(_near(sent, k, metric, schema.names, least, digits, per is not None), schema)
+        lists = [x or [] for x in own.column(2).to_pylist()] if asks else None
+        sent = rows.sparkSession.sparkContext.broadcast((own.column(0).combine_chunks(), matrix(own.column(1).combine_chunks()), lists))
+        found = rows.mapInArrow(run(sent), schema)
         out = found if out is None else out.unionByName(found)
-    return ranked(out, [query_key, *([per] if per else [])], key, k)
+    return out
+
+
+def _parts(sent, batches):
+    """Blocks of queries against blocks of rows: where the queries begin, their vectors, the rows' keys and vectors."""
+    q = sent.value[1]
+    for batch in batches:
+        for lo in range(0, batch.num_rows if len(q) else 0, ROWS):
+            part = batch.slice(lo, ROWS)
+            x = matrix(part.column(0))
+            for first in range(0, len(q), QUERIES):
+                yield first, q[first : first + QUERIES], part.column(1), x
+
+
+def _plain(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    return rows.where(F.col(vector).isNotNull() & F.col(key).isNotNull()).select(F.col(vector).alias("v"), F.col(key).alias("key"))
+
+
+def pairs(queries: DataFrame, rows: DataFrame, metrics: tuple[str, ...] = ("cosine",), query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", digits: int = 4) -> DataFrame:
+    """query_key, key and a column for each metric (distances are positive): every query with every row, in one pass. The result is as large as
+    that; nothing is shuffled or held but a block of it."""
+
+    def run(sent):
+        def each(batches):
+            for first, q, keys, x in _parts(sent, batches):
+                n = len(q)
+                found = [rounded(np.abs(s) if m in ("l1", "l2") else s, digits) for m in metrics for s in [scores(q, x, m)]]
+                ids = sent.value[0].slice(first, n).take(pa.array(np.repeat(np.arange(n), len(x))))
+                yield pa.RecordBatch.from_arrays([ids, keys.take(pa.array(np.tile(np.arange(len(x)), n))), *[pa.array(f.ravel()) for f in found]], names=schema.names)
+
+        return each
+
+    own = _plain(rows, key, vector)
+    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, own.schema["key"].dataType), *[T.StructField(m, T.DoubleType()) for m in metrics]])
+    return _held(queries, own, query_key, vector, run, schema)
+
+
+def extremes(queries: DataFrame, rows: DataFrame, metric: str = "cosine", query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", digits: int = 4) -> DataFrame:
+    """query_key, most_similar, most, least_similar, least: the rows at both ends, but for those of the query's own key; ties by the lesser key.
+    Each task keeps one row for each query and end."""
+
+    def run(sent):
+        def each(batches):
+            ends, kind = [Best(len(sent.value[0]), 1), Best(len(sent.value[0]), 1)], None
+            own = sent.value[0].to_numpy(zero_copy_only=False)
+            for first, q, keys, x in _parts(sent, batches):
+                kind, names = keys.type, keys.to_numpy(zero_copy_only=False)
+                s = rounded(scores(q, x, metric), digits)
+                other = own[first : first + len(q), None] != names[None, :]
+                for best, sign in zip(ends, (1, -1)):
+                    best.add(np.where(other, sign * s, -np.inf), names, first)
+            if kind is not None:
+                for i, best in enumerate(ends):
+                    got = best.batch(sent.value[0], kind, schema.names[:3])
+                    yield pa.RecordBatch.from_arrays([*got.columns, pa.array([i] * got.num_rows, pa.int32())], names=schema.names)
+
+        return each
+
+    own = _plain(rows, key, vector)
+    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField(key, own.schema["key"].dataType), T.StructField("score", T.DoubleType()), T.StructField("end", T.IntegerType())])
+    found = _held(queries, own, query_key, vector, run, schema)
+    best = found.groupBy(query_key, "end").agg(F.max("score").alias("score")).join(found, [query_key, "end", "score"]).groupBy(query_key, "end", "score").agg(F.min(key).alias(key))
+    at = lambda c, e: F.max(F.when(F.col("end") == e, F.col(c)))
+    return best.groupBy(query_key).agg(at(key, 0).alias("most_similar"), at("score", 0).alias("most"), at(key, 1).alias("least_similar"), (-at("score", 1)).alias("least"))
+
+
+def score_counts(queries: DataFrame, rows: DataFrame, steps: list[float], metric: str = "cosine", query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding", digits: int = 4) -> DataFrame:
+    """query_key, step, n: how many rows reach each of the falling steps and none above (its place; one more for those that reach none). Tasks
+    count."""
+
+    def run(sent):
+        def each(batches):
+            n = np.zeros((len(sent.value[0]), len(steps) + 1), np.int64)
+            for first, q, _, x in _parts(sent, batches):
+                place = np.searchsorted(-np.array(steps), -rounded(scores(q, x, metric), digits), side="left")
+                for i in range(len(steps) + 1):
+                    n[first : first + len(q), i] += (place == i).sum(axis=1)
+            i, j = np.nonzero(n)
+            yield pa.RecordBatch.from_arrays([sent.value[0].take(pa.array(i)), pa.array(j, pa.int32()), pa.array(n[i, j])], names=schema.names)
+
+        return each
+
+    schema = T.StructType([T.StructField(query_key, queries.schema[query_key].dataType), T.StructField("step", T.IntegerType()), T.StructField("n", T.LongType())])
+    return _held(queries, _plain(rows, key, vector), query_key, vector, run, schema).groupBy(query_key, "step").agg(F.sum("n").alias("n"))
 
 
 def _near(sent, k, metric, names, least, digits, grouped):
     def run(batches):
-        ids, q = sent.value
+        ids, q, asks = sent.value
         best: dict = {}
+        wants: dict = {}
         kinds = None
         for batch in batches:
             kinds = [f.type for f in batch.schema][1:]
@@ -94,12 +182,15 @@ def _near(sent, k, metric, names, least, digits, grouped):
                     if least is not None:
                         s[s < least] = -np.inf
                     for v, own in groups:
+                        if asks is not None and v not in wants:
+                            wants[v] = np.array([v in a for a in asks])
+                        near = s[:, own] if asks is None else np.where(wants[v][first : first + QUERIES, None], s[:, own], -np.inf)
                         if k is not None:
                             if v not in best:
                                 best[v] = Best(len(q), k)
-                            best[v].add(s[:, own], keys[own], first)
+                            best[v].add(near, keys[own], first)
                             continue
-                        i, j = np.nonzero(s[:, own] > -np.inf)
+                        i, j = np.nonzero(near > -np.inf)
                         columns = [ids.take(pa.array(i + first)), part.column(1).take(pa.array(own[j])), pa.array(s[:, own][i, j])]
                         yield pa.RecordBatch.from_arrays([*columns, *([pa.array([v] * len(i), kinds[1])] if grouped else [])], names=names)
         for v, b in best.items():
@@ -154,26 +245,30 @@ def dimension_stats(df: DataFrame, vector: str = "embedding") -> DataFrame:
 
 
 def pca(df: DataFrame, n: int = 2, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Adds the first n principal components. Sums of products (a table of the dimension's square) come to the driver; rows don't. An empty
-    table stays empty."""
+    """Adds the first n principal components. Each task sums its rows' products; these are summed cell by cell over tasks, and a table of the
+    dimension's square comes to the driver, however many tasks there are. Null vectors stay, with null components; an empty table stays empty."""
 
-    def partial(frames):
+    def partial(batches):
         total, square, count = None, None, 0
-        for f in frames:
-            x = np.array([np.asarray(v, float) for v in f[vector]])
+        for batch in batches:
+            x = matrix(batch.column(0))
             if len(x):
                 total = x.sum(0) if total is None else total + x.sum(0)
                 square = x.T @ x if square is None else square + x.T @ x
                 count += len(x)
         if count:
-            yield pd.DataFrame({"n": [count], "s": [total.tolist()], "q": [square.ravel().tolist()]})
+            d = len(total)
+            cell = np.arange(-1 - d, d * d)  # the rows, the sums, the sums of products
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.concatenate([[float(count)], total, square.ravel()]))], names=["cell", "x"])
 
-    got = df.select(vector).mapInPandas(partial, "n long, s array<double>, q array<double>").toPandas()
-    count = got["n"].sum()
-    if not count:
+    sums = df.where(F.col(vector).isNotNull()).select(vector).mapInArrow(partial, "cell long, x double").groupBy("cell").agg(F.sum("x").alias("x"))
+    got = sums.toArrow().combine_chunks().sort_by("cell")
+    if not got.num_rows:
         return df.select("*", *[F.lit(None).cast("double").alias(f"pc{i + 1}") for i in range(n)])
-    mean = np.sum(got["s"].tolist(), axis=0) / count
-    cov = np.sum(got["q"].tolist(), axis=0).reshape(len(mean), -1) / count - np.outer(mean, mean)
+    x = got.column("x").to_numpy()
+    d = -1 - got.column("cell")[0].as_py()
+    mean = x[1 : d + 1] / x[0]
+    cov = x[d + 1 :].reshape(d, d) / x[0] - np.outer(mean, mean)
     axes = np.linalg.eigh(cov)[1][:, ::-1][:, :n]
     axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(n)] < 0, -1, 1)
     v = V.doubles(F.col(vector))
@@ -183,22 +278,27 @@ def pca(df: DataFrame, n: int = 2, key: str = "vec_id", vector: str = "embedding
 def kmeans(df: DataFrame, k: int, rounds: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Adds cluster: Lloyd's rounds from the first k vectors by hash of the key; k centres at a time are on the driver. An empty table stays
     empty."""
-    first = df.select(key, vector).orderBy(F.xxhash64(key), key).limit(k).toPandas()
-    if not len(first):
+    first = df.where(F.col(vector).isNotNull()).select(vector, key).orderBy(F.xxhash64(key), key).limit(k).toArrow().combine_chunks()
+    if not first.num_rows:
         return df.withColumn("cluster", F.lit(None).cast("int"))
-    centers = np.array([np.asarray(v, float) for v in first[vector]])
+    centers = matrix(first.column(0).combine_chunks())
 
     for _ in range(rounds):
 
-        def partial(frames, centers=centers):
-            for f in frames:
-                x = np.array([np.asarray(v, float) for v in f[vector]])
-                if len(x):
-                    c = ((x[:, None, :] - centers[None]) ** 2).sum(2).argmin(1)
-                    yield pd.DataFrame([(int(i), int((c == i).sum()), x[c == i].sum(0).tolist()) for i in np.unique(c)], columns=["c", "n", "s"])
-
-        sums = df.select(vector).mapInPandas(partial, "c int, n long, s array<double>")
-        sums = sums.select("c", "n", F.posexplode("s").alias("d", "x")).groupBy("c", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
+        def partial(batches, centers=centers):
+            n, total = np.zeros(len(centers)), np.zeros_like(centers)
+            for batch in batches:
+                for lo in range(0, batch.num_rows, ROWS):
+                    x = matrix(batch.column(0).slice(lo, ROWS))
+                    c = (scores(x, centers, "l2")).argmax(axis=1)
+                    np.add.at(total, c, x)
+                    n += np.bincount(c, minlength=len(n))
+            c, d = np.indices(total.shape).reshape(2, -1)
+            on = n[c] > 0
+            yield pa.RecordBatch.from_arrays([pa.array(c[on], pa.int32()), pa.array(d[on], pa.int32()), pa.array(total.ravel()[on]), pa.array(n[c][on])], names=["c", "d", "x", "n"])
+
+        sums = df.where(F.col(vector).isNotNull()).select(vector).mapInArrow(partial, "c int, d int, x double, n double")
+        sums = sums.groupBy("c", "d").agg(F.sum("x").alias("x"), F.sum("n").alias("n")).toPandas()
         new = centers.copy()
         new[sums["c"], sums["d"]] = sums["x"] / sums["n"]
         done = np.allclose(new, centers)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import filters, vector
+from ..operators.vector_index import VectorIndex
+from ..sources.shared import scratch
 
 QUERIES, ORACLES = {}, {}
 
@@ -60,27 +62,18 @@ def v3(spark, sf):
 
 @query("v4_distances", f"WITH {_E} SELECT query_id, vec_id, round(list_distance(qv, v), 4) AS l2, round(list_sum(list_transform(list_zip(qv, v), lambda p: abs(p[1] - p[2]))), 4) AS l1, round(1 - list_cosine_similarity(qv, v), 4) AS cosine FROM q CROSS JOIN e")
 def v4(spark, sf):
-    q, e = asked(spark, sf), emb(spark, sf)
-    out = None
-    for m in ("l2", "l1", "cosine"):
-        d = F.round(-F.col("score") if m != "cosine" else 1 - F.col("score"), 4)
-        part = vector.knn(q, e, None, m, digits=9).select("query_id", "vec_id", d.alias(m))
-        out = part if out is None else out.join(part, ["query_id", "vec_id"])
-    return out
+    d = vector.pairs(asked(spark, sf), emb(spark, sf), ("l2", "l1", "cosine"), digits=9)
+    return d.select("query_id", "vec_id", F.round("l2", 4).alias("l2"), F.round("l1", 4).alias("l1"), F.round(1 - F.col("cosine"), 4).alias("cosine"))
 
 
 @query("v5_extremes", f"WITH {_E}, s AS (SELECT query_id, vec_id, {_S} AS score FROM q CROSS JOIN e WHERE query_id <> vec_id) SELECT query_id, arg_max(vec_id, score * 1000000 - vec_id / 1000000.0) AS most_similar, max(score) AS most, arg_min(vec_id, score * 1000000 + vec_id / 1000000.0) AS least_similar, min(score) AS least FROM s GROUP BY query_id")
 def v5(spark, sf):
-    s = vector.knn(asked(spark, sf), emb(spark, sf), None).where("query_id <> vec_id")
-    return s.groupBy("query_id").agg(
-        F.max_by("vec_id", F.struct("score", -F.col("vec_id"))).alias("most_similar"), F.max("score").alias("most"),
-        F.min_by("vec_id", F.struct("score", "vec_id")).alias("least_similar"), F.min("score").alias("least"),
-    )
+    return vector.extremes(asked(spark, sf), emb(spark, sf))
 
 
 @query("v6_many_to_many", f"WITH {_E} SELECT query_id, vec_id, {_S} AS score FROM q CROSS JOIN e")
 def v6(spark, sf):
-    return vector.knn(asked(spark, sf), emb(spark, sf), None).select("query_id", "vec_id", "score")
+    return vector.pairs(asked(spark, sf), emb(spark, sf)).withColumnRenamed("cosine", "score")
 
 
 @query("v7_top_k", _ranked())
@@ -100,17 +93,16 @@ def v9(spark, sf):
 
 @query("v10_conversions", f"WITH {_E} SELECT query_id, vec_id, round(1 / (1 + round(list_distance(qv, v), 4)), 4) AS inverse, greatest(0, round(1 - round(list_distance(qv, v), 4), 4)) AS complement, round(({_S} + 1) / 2, 5) AS shifted FROM q CROSS JOIN e")
 def v10(spark, sf):
-    q, e = asked(spark, sf), emb(spark, sf)
-    d = vector.knn(q, e, None, "l2").select("query_id", "vec_id", (-F.col("score")).alias("d"))
-    c = vector.knn(q, e, None).select("query_id", "vec_id", "score")
-    s = V.similarity_of_distance
-    return d.join(c, ["query_id", "vec_id"]).select("query_id", "vec_id", F.round(s(F.col("d")), 4).alias("inverse"), F.round(s(F.col("d"), "complement"), 4).alias("complement"), F.round(s(F.col("score"), "shifted"), 5).alias("shifted"))
+    d, c, s = F.col("l2"), F.col("cosine"), V.similarity_of_distance
+    both = vector.pairs(asked(spark, sf), emb(spark, sf), ("l2", "cosine"))
+    return both.select("query_id", "vec_id", F.round(s(d), 4).alias("inverse"), F.round(s(d, "complement"), 4).alias("complement"), F.round(s(c, "shifted"), 5).alias("shifted"))
 
 
 @query("v11_interpretation", f"WITH {_E} SELECT query_id, CASE WHEN s >= 0.8 THEN 'very similar' WHEN s >= 0.6 THEN 'similar' WHEN s >= 0.4 THEN 'somewhat similar' ELSE 'different' END AS likeness, count(*) AS n FROM (SELECT query_id, {_S} AS s FROM q CROSS JOIN e) GROUP BY ALL")
 def v11(spark, sf):
-    s = vector.knn(asked(spark, sf), emb(spark, sf), None)
-    return s.groupBy("query_id", V.bucket(F.col("score"), V.COSINE_STEPS, "different").alias("likeness")).agg(F.count("*").alias("n"))
+    n = vector.score_counts(asked(spark, sf), emb(spark, sf), [least for least, _ in V.COSINE_STEPS])
+    names = F.array(*[F.lit(name) for _, name in V.COSINE_STEPS], F.lit("different"))
+    return n.select("query_id", names[F.col("step")].alias("likeness"), "n")
 
 
 @query("v12_threshold", _ranked(where=f"{_S} >= 0.3"))
@@ -156,10 +148,11 @@ def v17(spark, sf):
  c AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS n FROM w), f AS (SELECT query_id, vec_id, label, round(score * (0.7 + 0.3 * CASE WHEN own THEN 1.0 ELSE 0.6 END), 4) AS weighted FROM c WHERE n <= 5),
  r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY weighted DESC, vec_id))::INTEGER AS rank FROM f) SELECT query_id, vec_id, label, weighted, rank FROM r WHERE rank <= 5""")
 def v18(spark, sf):
-    q = emb(spark, sf).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"))
-    near = vector.knn(asked(spark, sf), emb(spark, sf), 5, per="label").drop("rank").join(q, "query_id")
-    own = F.when(F.col("label") == F.col("query_label"), 1.0).when(F.col("label") == (F.col("query_label") + 1) % 10, 0.6)
-    both = near.withColumn("w", own).where("w IS NOT NULL").withColumn("weighted", F.round(F.col("score") * (0.7 + 0.3 * F.col("w")), 4))
+    label = F.col("label")
+    q = emb(spark, sf).where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding", label.alias("own"), F.array(label, (label + 1) % 10).alias("asks"))
+    near = vector.knn(q, emb(spark, sf), 5, per="label", asks="asks").drop("rank").join(q.select("query_id", "own"), "query_id")
+    near = near.withColumn("w", F.when(label == F.col("own"), 1.0).otherwise(0.6))
+    both = near.withColumn("weighted", F.round(F.col("score") * (0.7 + 0.3 * F.col("w")), 4))
     w = Window.partitionBy("query_id").orderBy(F.desc("weighted"), "vec_id")
     return both.withColumn("rank", F.row_number().over(w)).where("rank <= 5").select("query_id", "vec_id", "label", "weighted", "rank")
 
@@ -204,6 +197,44 @@ def v24_recall(spark, sf):
     return both.agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"), F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
 
 
+def _index(spark, sf) -> VectorIndex:
+    index = VectorIndex(spark, scratch(spark, "vectors"))
+    index.build(emb(spark, sf))
+    return index
+
+
+@query("v24_ivf")
+def v24_ivf(spark, sf):
+    """Search of a stored inverted file: as many cells as reach a recall of 0.93 on sampled rows."""
+    index = _index(spark, sf)
+    return index.search(asked(spark, sf), 5, index.calibrate(0.93))
+
+
+@query("v24_ivf_recall")
+def v24_ivf_recall(spark, sf):
+    """The share of the true neighbours that v24_ivf finds, and of the rows that its cells hold, over all queries."""
+    index = _index(spark, sf)
+    probes = index.calibrate(0.93)
+    found = index.search(asked(spark, sf), 5, probes).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = v7(spark, sf).select("query_id", "vec_id").join(found, ["query_id", "vec_id"], "left").agg(F.count("*").alias("neighbours"), F.count("hit").alias("found"))
+    read = index.probed(asked(spark, sf), probes).agg(F.sum("rows_read").alias("rows_read"), F.sum("rows").alias("rows"))
+    return both.crossJoin(read).select("neighbours", "found", F.round(F.col("found") / F.col("neighbours"), 4).alias("recall"), "rows_read", "rows")  # one row each
+
+
+@query("v24_pq_recall")
+def v24_pq_recall(spark, sf):
+    """Bytes of a vector and of its code; the share of the true neighbours found by codes alone, and when the best 50 are scored again."""
+    index = _index(spark, sf)
+    cells = len(index.books().cells)
+    true = v7(spark, sf).select("query_id", "vec_id")
+    for name, rerank in (("by_codes", 0), ("reranked", 10)):
+        found = index.search(asked(spark, sf), 5, cells, codes=True, rerank=rerank).select("query_id", "vec_id", F.lit(1).alias(name))
+        true = true.join(found, ["query_id", "vec_id"], "left")
+    share = lambda c: F.round(F.count(c) / F.count("*"), 4).alias(c)
+    size = index.rows().agg(F.max(F.size("v") * 4).alias("vector_bytes"), F.max(F.length("code")).alias("code_bytes"))
+    return true.agg(F.count("*").alias("neighbours"), share("by_codes"), share("reranked")).crossJoin(size)  # one row each
+
+
 @query("v25_dimensions", "WITH x AS (SELECT unnest(range(0, 64))::INTEGER AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT dim, round(min(x), 5) AS least, round(max(x), 5) AS most, round(avg(x), 5) AS mean, round(stddev_pop(x), 5) AS std FROM x GROUP BY dim")
 def v25(spark, sf):
     d = vector.dimension_stats(emb(spark, sf))
