@@ -364,17 +364,29 @@ def cell_parts(cell: Node, whole: int = 500, size: int = 600) -> list[str]:
     return [x for x in parts if x]
 
 
-def nested_lines(table: Node, depth: int = 0, deepest: int = 3) -> list[str]:
-    """A table as lines, a row each, `header: value` with a header row; tables within its cells follow, indented by their depth."""
-    rows, heads = grid(table, DROPPED | {"table"})
-    names = headers(rows, heads) if heads else []
-    shift = "  " * depth
-    out = [shift + "- " + ", ".join((f"{names[j]}: {c}" if names and names[j] else c) for j, c in enumerate(r) if c) for r in rows[heads:]]
-    if depth < deepest:
-        for row in own_rows(table):
-            for cell in (c for c in row.children if isinstance(c, Node) and c.tag in ("td", "th")):
-                if inner := cell.first("table"):
-                    out += nested_lines(inner, depth + 1, deepest)
+def inner_tables(node: Node) -> list[Node]:
+    """The tables below a node that lie in no other table below it, in order."""
+    out, stack = [], list(reversed(node.children))
+    while stack:
+        n = stack.pop()
+        if isinstance(n, Node):
+            if n.tag == "table":
+                out.append(n)
+            else:
+                stack += reversed(n.children)
+    return out
+
+
+def nested_lines(table: Node) -> list[str]:
+    """A table as lines, a row each, `header: value` with a header row; all tables within its cells follow, each with those within it, however
+    deep, indented by their depth."""
+    out, stack = [], [(table, 0)]
+    while stack:
+        t, depth = stack.pop()
+        rows, heads = grid(t, DROPPED | {"table"})
+        names = headers(rows, heads) if heads else []
+        out += ["  " * depth + "- " + ", ".join((f"{names[j]}: {c}" if names and names[j] else c) for j, c in enumerate(r) if c) for r in rows[heads:]]
+        stack += [(x, depth + 1) for x in reversed(inner_tables(t))]
     return [x for x in out if x.strip(" -")]
 
 
@@ -414,13 +426,12 @@ def parts(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
 
 def nested(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """key, line, value: outer tables, with the tables within them flattened."""
+    return _each(df, key, html, "line int, value string", lambda root: enumerate((x for t in inner_tables(root) for x in nested_lines(t)), 1))
 
-    def rows_of(root):
-        tables = root.find("table")
-        inner = {id(x) for t in tables for c in t.children if isinstance(c, Node) for x in c.find("table")}
-        return enumerate((x for t in tables if id(t) not in inner for x in nested_lines(t)), 1)
 
-    return _each(df, key, html, "line int, value string", rows_of)
+def table_texts(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """key, markdown: all of a page's tables in Markdown, a row for each page."""
+    return _each(df, key, html, "markdown string", lambda root: [("\n".join(table_markdown(t) for t in root.find("table")),)])
 
 
 def tree(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NUMBERS = ("int", "bigint", "double", "float", "smallint", "tinyint")
 
@@ -24,9 +27,16 @@ def any_column_has(df: DataFrame, words: list[str]) -> DataFrame:
     return df.where(reduce(lambda a, b: a | b, [F.contains(line, F.lit(w)) for w in words], F.lit(False)))
 
 
+def search_tables(tables: dict[str, tuple[DataFrame, str]], words: list[str], k: int = 10) -> DataFrame:
+    """source, key, row (as JSON): of each table (by its name, with the column of its key) the first k rows by key of which any column has one of
+    the words."""
+    found = [any_column_has(df, words).orderBy(key).limit(k).select(F.lit(name).alias("source"), F.col(key).cast("string").alias("key"), F.to_json(F.struct("*")).alias("row")) for name, (df, key) in tables.items()]
+    return reduce(DataFrame.unionByName, found)
+
+
 def profile(df: DataFrame) -> DataFrame:
-    """A row for each column: rows, nulls, distinct values; least, most and mean of numbers or of the lengths of texts. Sums take one pass with
-    a row for each task; distinct values take one for each column, whose different values alone are shuffled."""
+    """A row for each column: rows, nulls, distinct values; least, most and mean of numbers or of the lengths of texts. One scan gives the sums, a
+    row for each task; another one gives all columns' values at once, and of these the different ones alone are shuffled."""
     kinds = dict(df.dtypes)
     aggregates, parts = [F.count("*").alias("n")], []
     for i, c in enumerate(df.columns):
@@ -34,8 +44,9 @@ def profile(df: DataFrame) -> DataFrame:
         aggregates += [F.sum(F.col(c).isNull().cast("int")).alias(f"nulls{i}"), F.min(x).alias(f"least{i}"), F.max(x).alias(f"most{i}"), F.round(F.avg(x), 4).alias(f"mean{i}")]
         parts.append(F.struct(F.lit(c).alias("column"), "n", *[F.col(f"{m}{i}").alias(m) for m in ("nulls", "least", "most", "mean")]))
     sums = df.agg(*aggregates).select(F.explode(F.array(*parts)).alias("r")).select("r.*")
-    each = [df.select(F.col(c).cast("string").alias("v")).distinct().agg(F.count("v").alias("distinct_values")).select(F.lit(c).alias("column"), "distinct_values") for c in df.columns]
-    return sums.join(F.broadcast(reduce(DataFrame.unionByName, each)), "column").select("column", "n", "nulls", "distinct_values", "least", "most", "mean")
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in df.columns])).alias("r")).select("r.*")
+    each = values.groupBy("column", "v").agg(F.lit(1).alias("one")).groupBy("column").agg(F.count("v").alias("distinct_values"))
+    return sums.join(F.broadcast(each), "column", "left").select("column", "n", "nulls", F.coalesce("distinct_values", F.lit(0).cast("long")).alias("distinct_values"), "least", "most", "mean")
 
 
 def frequent_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
@@ -79,9 +90,40 @@ def sessions(df: DataFrame, user: str, ts: str, gap: str) -> DataFrame:
 
 
 def cache_hits(df: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Adds hit: whether the same key came within so many seconds before."""
-    age = F.unix_micros(F.col(ts)) - F.lag(F.unix_micros(F.col(ts))).over(Window.partitionBy(key).orderBy(ts))
-    return df.withColumn("hit", F.coalesce(age < seconds * 1_000_000, F.lit(False)))
+    """Adds hit and expired: a row within so many seconds of its key's last fetch is a hit; any other fetches anew, and expired says that an older
+    fetch was there. A hit does not prolong an entry. Rows of a key are taken in the order of their time in one task, of which no more is kept than
+    the last fetch; rows without a time are neither."""
+    live, at = seconds * 1_000_000, len(df.columns)
+    names = df.columns
+
+    def run(batches):
+        last, fetched = object(), None
+        for batch in batches:
+            keys, t = batch.column(at + 1), batch.column(at).to_numpy(zero_copy_only=False)
+            known = ~np.array(batch.column(at).is_null())
+            hit, expired = np.zeros(len(t), bool), np.zeros(len(t), bool)
+            code = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(t)] if len(t) else [0]
+            for lo, hi in zip(cuts, cuts[1:]):
+                name = keys[lo].as_py()
+                if name != last:
+                    last, fetched = name, None
+                lo += int((~known[lo:hi]).sum())  # nulls come first
+                own = t[lo:hi].astype(np.int64)
+                i = 0
+                while i < len(own):
+                    if fetched is None or own[i] - fetched >= live:
+                        expired[lo + i] = fetched is not None
+                        fetched = int(own[i])
+                        i += 1
+                    j = int(np.searchsorted(own, fetched + live))
+                    hit[lo + i : lo + max(j, i)] = True
+                    i = max(j, i)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(hit), pa.array(expired)], names=[*names, "hit", "expired"])
+
+    rows = df.select("*", F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col(key).alias("_key"))
+    schema = T.StructType([*df.schema.fields, T.StructField("hit", T.BooleanType()), T.StructField("expired", T.BooleanType())])
+    return rows.repartition("_key").sortWithinPartitions("_key", "_at").mapInArrow(run, schema)
 
 
 def bid_score(cost: Column, weeks: Column, risk: Column, performance: Column, weights: tuple[float, float, float, float] = (0.3, 0.2, 0.25, 0.25)) -> Column:

@@ -92,12 +92,19 @@ def m4(spark, sf):
     return html.cells(_tables(spark, sf), "s_nationkey")
 
 
-@query("m5_nested", "SELECT r_regionkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY k)::INTEGER AS line, v AS value FROM (SELECT r_regionkey, -1 AS k, '- region ' || r_name AS v FROM region UNION ALL SELECT n_regionkey, n_nationkey, '  - key: ' || n_nationkey || ', name: ' || n_name FROM nation)")
+@query("m5_nested", """WITH c AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey), s AS (SELECT n_regionkey, n_nationkey, s_suppkey FROM supplier JOIN nation ON n_nationkey = s_nationkey),
+ u AS (SELECT r_regionkey, 0 AS a, 0 AS b, 0 AS c, '- region ' || r_name AS v FROM region UNION ALL SELECT n_regionkey, 1, n_nationkey, -1, '  - key: ' || n_nationkey || ', name: ' || n_name FROM nation
+  UNION ALL SELECT n_regionkey, 2, n_nationkey, 2 * s_suppkey, '    - supplier ' || s_suppkey FROM s UNION ALL SELECT n_regionkey, 2, n_nationkey, 1 + 2 * max(s_suppkey), '      - last' FROM s GROUP BY ALL UNION ALL SELECT n_regionkey, 3, 0, 0, '  - nations ' || n FROM c)
+ SELECT r_regionkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY a, b, c)::INTEGER AS line, v AS value FROM u""")
 def m5(spark, sf):
-    """A region's table holds a table of its nations."""
-    n, r = spark.read.parquet(f"{sf}/nation.parquet"), spark.read.parquet(f"{sf}/region.parquet")
-    rows = _joined(n, "n_regionkey", "n_nationkey", _tag("tr", _tag("td", "n_nationkey"), _tag("td", "n_name")), "rows")
-    inner = F.concat(F.lit("<table><tr><th>key</th><th>name</th></tr>"), "rows", F.lit("</table>"))
+    """A region's cell holds two tables; cells of the first one hold tables of suppliers, and the last of these a table of its own."""
+    n, r, s = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("nation", "region", "supplier"))
+    leaves = _joined(s, "s_nationkey", "s_suppkey", _tag("tr", _tag("td", F.lit("supplier "), "s_suppkey")), "leaves")
+    third = F.concat(F.lit("<table>"), F.regexp_replace("leaves", "</td></tr>$", ""), F.lit("<table><tr><td>last</td></tr></table></td></tr></table>"))
+    n = n.join(leaves, n["n_nationkey"] == leaves["s_nationkey"], "left").withColumn("sub", F.coalesce(third, F.lit("")))
+    rows = _joined(n, "n_regionkey", "n_nationkey", _tag("tr", _tag("td", "n_nationkey"), _tag("td", "n_name", "sub")), "rows")
+    rows = rows.join(n.groupBy("n_regionkey").agg(F.count("*").cast("string").alias("many")), "n_regionkey")
+    inner = F.concat(F.lit("<table><tr><th>key</th><th>name</th></tr>"), "rows", F.lit("</table><table><tr><td>nations "), "many", F.lit("</td></tr></table>"))
     outer = F.concat(F.lit("<table><tr><td>region "), "r_name", inner, F.lit("</td></tr></table>"))
     return html.nested(rows.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", outer.alias("html")), "r_regionkey")
 
@@ -118,7 +125,7 @@ def m6(spark, sf):
 
 @query("m8_markdown_tables", f"WITH {_ROWS} SELECT s_nationkey, '| nation | supplier > key | supplier > name | state |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || s_suppkey || ' | ' || s_name || ' | ' || state || ' |', chr(10) ORDER BY place) AS markdown FROM s GROUP BY s_nationkey")
 def m8(spark, sf):
-    return html._each(_tables(spark, sf), "s_nationkey", "html", "markdown string", lambda root: [("\n".join(html.table_markdown(t) for t in root.find("table")),)])
+    return html.table_texts(_tables(spark, sf), "s_nationkey")
 
 
 @query("m11_page_tree", """WITH n AS (SELECT n_regionkey, n_nationkey, n_name FROM nation), s AS (SELECT n_regionkey, n_nationkey, s_suppkey, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey),
