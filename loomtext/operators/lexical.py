@@ -1,8 +1,8 @@
 """Lexical ranking: postings, TF-IDF, BM25, keyword counts. Queries are a table, so that many cost one job.
 
-Documents are ranked where they are read: the queries' terms (with their weights) are sent to all tasks, each task scores its own documents
-against all queries by matrix products and keeps its best k for each query. A first pass counts documents, lengths and the documents that
-have each term. So frequent terms make no rows, and no term is a key of a shuffle.
+Documents are ranked where they are read: the queries' terms are sent to all tasks, a pass over the documents keeps what they have of these terms
+as a table, and from that frequencies are counted and each task scores its own documents against all queries by matrix products, keeping its best
+k for each query. So documents are tokenised once, and no text is shuffled.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from ..sources.shared import stored
 from .best import Best, ranked, rounded
 
 
@@ -32,27 +33,28 @@ def top(df: DataFrame, query_key: str, key: str, k: int, score: str = "score") -
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-#: Queries that are held against all documents in one scan; a larger table of queries takes several.
-AT_ONCE = 1 << 16
-#: Queries of a matrix product.
-BLOCK = 256
+#: Bytes of the queries' terms that are held against all documents in one scan; more queries take several.
+ASKED_BYTES = 64 << 20
+#: Queries of a matrix product, and cells of its largest matrix.
+BLOCK, CELLS = 256, 1 << 22
 
 
 class _Asked:
-    """The queries' terms: ids, and for each block of queries its terms and how often each query has them."""
+    """The queries' terms, sparse: ids; for each block of queries its (term, query, times) in the order of terms."""
 
     def __init__(self, rows: pa.Table):
         self.ids = rows.column(0).combine_chunks()
-        self.terms: dict[str, int] = {}
+        words = rows.column(1).combine_chunks()
+        size = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        flat = words.flatten().dictionary_encode() if len(words) else pa.array([], pa.string()).dictionary_encode()
+        self.terms = {t: i for i, t in enumerate(flat.dictionary.to_pylist())}
+        query, term, n = np.repeat(np.arange(len(size)), size), flat.indices.to_numpy().astype(np.int64), max(len(self.terms), 1)
+        both, times = np.unique((query // BLOCK * n + term) * BLOCK + query % BLOCK, return_counts=True)
+        cell, q = both // BLOCK, both % BLOCK
         self.blocks = []
-        words = [w or [] for w in rows.column(1).to_pylist()]
-        for lo in range(0, len(words), BLOCK):
-            own = [(self.terms.setdefault(t, len(self.terms)), q) for q, w in enumerate(words[lo : lo + BLOCK]) for t in w]
-            term, q = (np.array(c, np.int64) for c in zip(*own)) if own else (np.zeros(0, np.int64),) * 2
-            used, place = np.unique(term, return_inverse=True)
-            times = np.zeros((len(used), min(BLOCK, len(words) - lo)))
-            np.add.at(times, (place, q), 1)
-            self.blocks.append((lo, used, times))
+        for first in range(0, len(size), BLOCK):
+            lo, hi = np.searchsorted(cell, [first // BLOCK * n, (first // BLOCK + 1) * n])
+            self.blocks.append((first, (cell[lo:hi] % n).astype(np.int32), q[lo:hi].astype(np.int16), times[lo:hi].astype(np.int32)))
 
     def counts(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of documents' word lists: (document, term, number) of the terms that are asked for."""
@@ -64,87 +66,124 @@ class _Asked:
         both, n = np.unique(doc * max(len(self.terms), 1) + term[term >= 0], return_counts=True)
         return both // max(len(self.terms), 1), both % max(len(self.terms), 1), n
 
-
-def _ranked(queries: DataFrame, docs: DataFrame, k: int, query_key: str, key: str, text: str, tokens, length, digits: int, weigh) -> DataFrame:
-    """length: the column that a document's length is, or None for the number of its words; weigh(tf, lengths, df, documents, total length) gives each term's part of a score."""
+    def scores(self, docs: int, doc: np.ndarray, term: np.ndarray, value: np.ndarray):
+        """For each block: its first query, and the sums of value * times of queries x documents. Only terms that these documents have, and that the
+        block asks for, are cells of the matrices; of more terms than CELLS allow, so many at a time."""
+        for first, asked, q, times in self.blocks:
+            width = min(BLOCK, len(self.ids) - first)
+            out = np.zeros((width, docs))
+            present = np.intersect1d(asked, term)
+            step = max(1, CELLS // max(docs, width))
+            for lo in range(0, len(present), step):
+                some = present[lo : lo + step]
+                at, own = np.searchsorted(some, term), np.searchsorted(some, asked)
+                hit, wanted = some[np.minimum(at, len(some) - 1)] == term, some[np.minimum(own, len(some) - 1)] == asked
+                m, t = np.zeros((docs, len(some))), np.zeros((width, len(some)))
+                m[doc[hit], at[hit]] = value[hit]
+                t[q[wanted], own[wanted]] = times[wanted]
+                out += t @ m.T
+            yield first, out
+
+
+class Way:
+    """A ranking: how many rows, digits of the score, a document's length as a column (or None for the number of its words), and weigh(tf, lengths,
+    df, documents, total length), each term's part of a score."""
+
+    def __init__(self, k: int, digits: int, length: Column | None, weigh):
+        self.k, self.digits, self.length, self.weigh = k, digits, length, weigh
+
+
+def rank(queries: DataFrame, docs: DataFrame, ways: list[Way], query_key: str = "query_id", key: str = "doc_id", text: str = "text", tokens=terms) -> list[DataFrame]:
+    """query_key, key, score, rank for each way. The documents are tokenised once, whatever the number of ways: what they have of the asked terms
+    is kept as a table, from which frequencies are counted and scores worked out. Null texts have no words; rows without key are counted but not
+    found."""
     spark = docs.sparkSession
+    plain = [(w.k, w.digits, w.length is None, w.weigh) for w in ways]  # what tasks are sent: no columns
     asked = queries.select(query_key, tokens(F.col(text)).alias("words"))
-    scans = -(-queries.count() // AT_ONCE)
-    words = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"), *([] if length is None else [length.cast("long").alias("n")]))
-    columns, given = words.columns[1:], length is not None
-
-    def lengths(part, at):
-        """A document's length: its own column after the words', or their number."""
-        n = part.column(at + 1) if given else part.column(at).value_lengths()
-        return n.fill_null(0).to_numpy().astype(float)
-
+    size = asked.agg(F.coalesce(F.sum(F.size("words").cast("long") * 16 + F.length(F.array_join("words", ""))), F.lit(0)).alias("n")).first()["n"]
+    scans = max(1, -(-size // ASKED_BYTES))
+    given = [w.length.cast("long") for w in ways if w.length is not None]
+    words = docs.select(F.col(key).alias("key"), tokens(F.col(text)).alias("words"), *[c.alias(f"n{i}") for i, c in enumerate(given)])
     kinds = [queries.schema[query_key].dataType, docs.schema[key].dataType]
-    schema = T.StructType([T.StructField(query_key, kinds[0]), T.StructField(key, kinds[1]), T.StructField("score", T.DoubleType())])
-    out = None
-    for scan in range(max(scans, 1)):
-        some = asked if scans <= 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(scans)) == scan)
-        q = spark.sparkContext.broadcast(_Asked(some.toArrow()))
-
-        def count(batches, q=q):
-            df, docs, total = np.zeros(len(q.value.terms), np.int64), 0, 0
+    schema = T.StructType([T.StructField(query_key, kinds[0]), T.StructField(key, kinds[1]), T.StructField("score", T.DoubleType()), T.StructField("way", T.IntegerType())])
+    lengths = [T.StructField(f"n{i}", T.LongType()) for i in range(len(ways))]
+    counted = T.StructType([T.StructField("key", kinds[1]), *lengths, T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("tfs", T.ArrayType(T.IntegerType()))])
+    names, out = counted.names, None
+    for scan in range(scans):
+        some = asked if scans == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(scans)) == scan)
+        sent = spark.sparkContext.broadcast(_Asked(some.toArrow()))
+
+        def count(batches, sent=sent):
             for batch in batches:
                 for lo in range(0, batch.num_rows, 1024):
                     part = batch.slice(lo, 1024)
-                    df += np.bincount(q.value.counts(part.column(0))[1], minlength=len(df))
-                    docs, total = docs + part.num_rows, total + int(lengths(part, 0).sum())
-            at = np.flatnonzero(df)
-            yield pa.RecordBatch.from_arrays([pa.array([-1, -2, *at.tolist()], pa.int64()), pa.array([docs, total, *df[at].tolist()], pa.int64())], names=["term", "n"])
-
-        sums = {r["term"]: r["n"] for r in words.select(*columns).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-        df = np.ones(max(len(q.value.terms), 1))
-        for t, n in sums.items():
-            if t >= 0:
-                df[t] = n
-        stats = (df, sums.get(-1) or 0, sums.get(-2) or 0)
-
-        def score(batches, q=q, stats=stats):
-            df, best, kind = stats[0], Best(len(q.value.ids), k), None
+                    doc, term, n = sent.value.counts(part.column(1))
+                    ends = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32())
+                    own, k = [], 2
+                    for _, _, counted_words, _ in plain:
+                        own.append(part.column(1).value_lengths().cast(pa.int64()) if counted_words else part.column(k))
+                        k += not counted_words
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (term, n)]
+                    yield pa.RecordBatch.from_arrays([part.column(0), *[x.fill_null(0) for x in own], *lists], names=names)
+
+        rows = stored(words.mapInArrow(count, counted), "counts")
+        sums = rows.agg(F.count("*"), *[F.coalesce(F.sum(f.name), F.lit(0)) for f in lengths]).first()
+        found = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).toArrow()  # a row for each asked term
+        df = np.ones(max(len(sent.value.terms), 1))
+        df[found.column("term").to_numpy()] = found.column("n").to_numpy()
+
+        def score(batches, sent=sent, stats=(df, sums)):
+            q, (df, sums) = sent.value, stats
+            best, kind = [Best(len(q.ids), k) for k, _, _, _ in plain], None
             for batch in batches:
                 kind = batch.schema.field(0).type
                 for lo in range(0, batch.num_rows, 1024):
                     part = batch.slice(lo, 1024)
-                    n = lengths(part, 1)
-                    doc, term, tf = q.value.counts(part.column(1))
-                    value = weigh(tf, n[doc], df[term], stats[1], stats[2])
-                    order = np.argsort(term, kind="stable")
-                    doc, term, value = doc[order], term[order], value[order]
-                    for first, used, times in q.value.blocks:
-                        at = np.minimum(np.searchsorted(used, term), max(len(used) - 1, 0))
-                        hit = used[at] == term if len(used) else np.zeros(len(term), bool)
-                        m = np.zeros((part.num_rows, len(used)))
-                        m[doc[hit], at[hit]] = value[hit]
-                        s = rounded((m @ times).T, digits)
-                        best.add(np.where(s > 0, s, -np.inf), part.column(0).to_numpy(zero_copy_only=False), first)
+                    size = part.column("terms").value_lengths().to_numpy()
+                    doc, term, tf = np.repeat(np.arange(part.num_rows), size), part.column("terms").flatten().to_numpy(), part.column("tfs").flatten().to_numpy().astype(float)
+                    keys = part.column(0).to_numpy(zero_copy_only=False)
+                    for i, ((_, digits, _, weigh), b) in enumerate(zip(plain, best)):
+                        n = part.column(f"n{i}").to_numpy().astype(float)
+                        value = weigh(tf, n[doc], df[term], sums[0], sums[1 + i])
+                        for first, s in q.scores(part.num_rows, doc, term, value):
+                            s = rounded(s, digits)
+                            b.add(np.where(s > 0, s, -np.inf), keys, first)
             if kind is not None:
-                yield best.batch(q.value.ids, kind, [query_key, key, "score"])
+                for i, b in enumerate(best):
+                    got = b.batch(q.ids, kind, schema.names[:3])
+                    yield pa.RecordBatch.from_arrays([*got.columns, pa.array([i] * got.num_rows, pa.int32())], names=schema.names)
 
-        found = words.where(F.col("key").isNotNull()).mapInArrow(score, schema)
-        out = found if out is None else out.unionByName(found)
-    return ranked(out, [query_key], key, k)
+        part = rows.where(F.col("key").isNotNull()).mapInArrow(score, schema)
+        out = part if out is None else out.unionByName(part)
+    if len(ways) == 1:
+        return [ranked(out.drop("way"), [query_key], key, ways[0].k)]
+    best = stored(out, "best")  # k rows of each query, way and task
+    return [ranked(best.where(F.col("way") == i).drop("way"), [query_key], key, w.k) for i, w in enumerate(ways)]
 
 
-def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query_key: str = "query_id", key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, tokens=terms) -> DataFrame:
-    """query_key, key, score, rank with idf ln(1 + (N - df + 0.5) / (df + 0.5)), which is never negative; rows without a common term don't
-    occur. A word that a query repeats counts as often. A null text has no words, a row without key is counted but not found."""
-
+def bm25_way(k: int = 10, k1: float = 1.5, b: float = 0.75) -> Way:
     def weigh(tf, n, df, docs, total):
         return np.log(1 + (docs - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / max(total / max(docs, 1), 1e-300)))
 
-    return _ranked(queries, docs, k, query_key, key, text, tokens, None, 4, weigh)
-
+    return Way(k, 4, None, weigh)
 
-def tf_idf(queries: DataFrame, docs: DataFrame, k: int = 5, query_key: str = "query_id", key: str = "doc_id", text: str = "text", tokens=terms) -> DataFrame:
-    """tf is a term's count over the words between white space, idf is ln(N / df)."""
 
+def tf_idf_way(k: int = 5, text: str = "text") -> Way:
     def weigh(tf, n, df, docs, total):
         return tf / np.maximum(n, 1) * np.log(docs / df)
 
-    return _ranked(queries, docs, k, query_key, key, text, tokens, F.greatest(F.size(X.words(F.col(text))), F.lit(0)), 6, weigh)
+    return Way(k, 6, F.greatest(F.size(X.words(F.col(text))), F.lit(0)), weigh)
+
+
+def bm25(queries: DataFrame, docs: DataFrame, k: int = 10, query_key: str = "query_id", key: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, tokens=terms) -> DataFrame:
+    """query_key, key, score, rank with idf ln(1 + (N - df + 0.5) / (df + 0.5)), which is never negative; rows without a common term don't
+    occur. A word that a query repeats counts as often. A null text has no words, a row without key is counted but not found."""
+    return rank(queries, docs, [bm25_way(k, k1, b)], query_key, key, text, tokens)[0]
+
+
+def tf_idf(queries: DataFrame, docs: DataFrame, k: int = 5, query_key: str = "query_id", key: str = "doc_id", text: str = "text", tokens=terms) -> DataFrame:
+    """tf is a term's count over the words between white space, idf is ln(N / df)."""
+    return rank(queries, docs, [tf_idf_way(k, text)], query_key, key, text, tokens)[0]
 
 
 def keyword_count(df: DataFrame, words: list[str], text: str = "text") -> DataFrame:

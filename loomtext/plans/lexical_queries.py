@@ -73,6 +73,11 @@ def other(spark, sf):
     return lexical.tf_idf(asked(spark, sf), docs(spark, sf), 10)
 
 
+def both(spark, sf):
+    """TF-IDF and BM25 from one pass over the documents."""
+    return lexical.rank(asked(spark, sf), docs(spark, sf), [lexical.tf_idf_way(10), lexical.bm25_way(10)])
+
+
 @query("k4_bm25_search", f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM sparse")
 def k4(spark, sf):
     return sparse(spark, sf)
@@ -135,7 +140,7 @@ def _fused(weight: float, how: str, base: str = _BOTH) -> str:
 
 @query("f1_weighted_max", _fused(0.7, "max"))
 def f1(spark, sf):
-    return fusion.weighted(other(spark, sf), sparse(spark, sf), 0.7, 5).select("query_id", "doc_id", "score", "rank")
+    return fusion.weighted(*both(spark, sf), 0.7, 5).select("query_id", "doc_id", "score", "rank")
 
 
 _SEMANTIC = f"WITH {_BM25}, {_HASHED}, {_semantic(10)}"
@@ -149,12 +154,12 @@ def f1_semantic(spark, sf):
 
 @query("f2_weighted_half", _fused(0.5, "max"))
 def f2(spark, sf):
-    return fusion.weighted(other(spark, sf), sparse(spark, sf), 0.5, 5).select("query_id", "doc_id", "score", "rank")
+    return fusion.weighted(*both(spark, sf), 0.5, 5).select("query_id", "doc_id", "score", "rank")
 
 
 @query("f3_weighted_minmax", _fused(0.5, "minmax"))
 def f3(spark, sf):
-    return fusion.weighted(other(spark, sf), sparse(spark, sf), 0.5, 5, "minmax").select("query_id", "doc_id", "score", "rank")
+    return fusion.weighted(*both(spark, sf), 0.5, 5, "minmax").select("query_id", "doc_id", "score", "rank")
 
 
 def _rrf(a: str, b: str) -> str:
@@ -164,18 +169,18 @@ def _rrf(a: str, b: str) -> str:
 
 @query("f4_rrf", _rrf("1.0", "1.0"))
 def f4(spark, sf):
-    return fusion.rrf([other(spark, sf), sparse(spark, sf)], 5)
+    return fusion.rrf(both(spark, sf), 5)
 
 
 @query("f5_weighted_ranks", _rrf("0.7", "0.3"))
 def f5(spark, sf):
-    return fusion.rrf([other(spark, sf), sparse(spark, sf)], 5, weights=[0.7, 0.3])
+    return fusion.rrf(both(spark, sf), 5, weights=[0.7, 0.3])
 
 
 @query("f6_union", f"""{_BOTH}, u AS (SELECT query_id, doc_id, max(score) AS score FROM (SELECT query_id, doc_id, score FROM dense UNION ALL SELECT query_id, doc_id, score FROM sparse) GROUP BY ALL),
  r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM u) SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 10""")
 def f6(spark, sf):
-    return fusion.best_of([other(spark, sf), sparse(spark, sf)], 10)
+    return fusion.best_of(both(spark, sf), 10)
 
 
 def _bm25_of(queries: str, name: str, tag: str) -> str:
