@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import context, fusion, lexical, vector
+from ..operators import context, fusion, lexical, sampling, vector
+from ..operators.pair_model import PairModel
 from ..operators.text_index import TextIndex
-from ..sources.shared import scratch
+from ..sources.shared import scratch, stored
 from .vector_queries import asked as vector_asked
 from .vector_queries import emb
 
@@ -431,10 +432,12 @@ def e5(spark, sf):
     return lexical.mean_similarity(v.select("k.lang", "embedding"), "lang")
 
 
-@query("e6_training_pairs", "SELECT doc_id, CASE WHEN ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::INTEGER % 10 = 0 THEN 'test' ELSE 'train' END AS split, toxic AS label FROM labels")
+@query("e6_training_pairs", """WITH k AS (SELECT DISTINCT toxic, doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 15))::BIGINT AS h FROM labels), r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY h, doc_id) AS place, count(*) OVER (PARTITION BY toxic) AS n FROM k)
+ SELECT doc_id, CASE WHEN place <= floor(n * 0.1 + 0.5) THEN 'test' ELSE 'train' END AS split, labels.toxic AS label FROM labels JOIN r USING (doc_id, toxic)""")
 def e6(spark, sf):
-    h = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 4), 16, 10).cast("int")
-    return spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.when(h % 10 == 0, "test").otherwise("train").alias("split"), F.col("toxic").alias("label"))
+    """A tenth of each label, exactly."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("toxic").alias("label"))
+    return sampling.stratified_split(labels, "doc_id", "label", 0.1).select("doc_id", "split", "label")
 
 
 _ASK = "CASE j WHEN 0 THEN substr(text, 1, 60) ELSE substr(text, -60) END"
@@ -451,6 +454,41 @@ def e6_pairs(spark, sf):
     return fusion.training_pairs(q, p.select(F.col("item_id").alias("passage_id")), ["item_id", "j"], "item_id", "passage_id", 3)
 
 
+def _labelled(spark, sf) -> DataFrame:
+    """The pairs of e6_pairs with their texts; a tenth of the questions' passages, exactly, is held out."""
+    p = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
+    ask = F.when(F.col("j") == 0, F.substring("text", 1, 60)).otherwise(F.substring("text", -60, 60))
+    q = p.select("item_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"), "text").select("item_id", "j", ask.alias("question"))
+    rows = e6_pairs(spark, sf).join(q, ["item_id", "j"]).join(p.select(F.col("item_id").alias("passage_id"), F.col("text").alias("passage")), "passage_id")
+    return sampling.stratified_split(rows.withColumn("one", F.lit(1)), "item_id", "one", 0.2)
+
+
+@query("rr4_trained")
+def rr4_trained(spark, sf):
+    """Hits in the order of a scorer fitted to labelled pairs."""
+    model = PairModel.train(_labelled(spark, sf), "question", "passage")
+    scored = model.score(hits(spark, sf).withColumnRenamed("score", "original"), "query_text", "text", ["query_id", "doc_id", "original"])
+    return lexical.top(scored, "query_id", "doc_id", 5)
+
+
+@query("rr4_held_out")
+def rr4_held_out(spark, sf):
+    """scorer, pairs, chosen, right, precision, recall: pairs of held-out passages that the trained scorer and the overlap of words score 0.5 or
+    more, each question's best pair alone (precision_at_1) beside it."""
+    rows = stored(_labelled(spark, sf), "labelled")
+    model = PairModel.train(rows.where("split = 'train'"), "question", "passage")
+    held = rows.where("split = 'test'")
+    by_model = model.score(held, "question", "passage", ["item_id", "j", "passage_id", "label"]).withColumn("scorer", F.lit("trained"))
+    overlap = fusion.sigmoid(10 * fusion.jaccard(F.col("question"), F.col("passage")) - 5)
+    by_words = held.select("item_id", "j", "passage_id", "label", overlap.alias("score"), F.lit("overlap").alias("scorer"))
+    first = F.row_number().over(Window.partitionBy("scorer", "item_id", "j").orderBy(F.desc("score"), "passage_id")) == 1
+    both = by_model.unionByName(by_words).withColumn("first", first)
+    chosen, right = F.col("score") >= 0.5, F.col("label") == 1
+    n = lambda c: F.count_if(c)
+    share = lambda a, b: F.round(F.coalesce(F.try_divide(n(a), n(b)), F.lit(0.0)), 4)
+    return both.groupBy("scorer").agg(F.count("*").alias("pairs"), n(chosen).alias("chosen"), n(chosen & right).alias("right"), share(chosen & right, chosen).alias("precision"), share(chosen & right, right).alias("recall"), share(F.col("first") & right, F.col("first")).alias("precision_at_1"))
+
+
 @query("z21_nearest_patterns", f"""WITH rv AS (SELECT conv_id, turn, cell, n / sqrt(sum(n * n) OVER (PARTITION BY conv_id, turn)) AS x FROM (SELECT conv_id, turn, ('0x' || substr(md5(term), 1, 2))::INTEGER AS cell, count(*) AS n FROM (SELECT conv_id, turn, unnest({_T}) AS term FROM conversations WHERE role = 'user' AND conv_id % 50 = 0) GROUP BY ALL)),
  pv AS (SELECT item_id, cell, n / sqrt(sum(n * n) OVER (PARTITION BY item_id)) AS x FROM (SELECT item_id, ('0x' || substr(md5(term), 1, 2))::INTEGER AS cell, count(*) AS n FROM (SELECT item_id, unnest({_T}) AS term FROM benchmark) GROUP BY ALL)),
  r AS (SELECT conv_id, turn FROM conversations WHERE role = 'user' AND conv_id % 50 = 0 AND text IS NOT NULL), a AS (SELECT r.conv_id, r.turn, b.item_id, round(coalesce(sum(rv.x * pv.x), 0), 4) AS similarity FROM r CROSS JOIN (SELECT item_id FROM benchmark WHERE text IS NOT NULL) b LEFT JOIN (rv JOIN pv USING (cell)) ON rv.conv_id = r.conv_id AND rv.turn = r.turn AND pv.item_id = b.item_id GROUP BY ALL),
