@@ -3,7 +3,8 @@
 A text's UTF-8 bytes, with bytes 255 up to a positive multiple of 576, are 8-bit mono samples of a WAV file of 16 kHz, stored without loss in
 a Parquet table in the shared folder and read back. From the stored bytes come: samples at 12 kHz (polyphase resampling by 3/4 with a
 windowed sinc), log-mel frames (256 samples, every 128th, 24 bands), segments of sound (hysteresis between two levels above the clip's
-floor), and clips of 64 frames as Arrow tensors of fixed shape with their time spans, in one Arrow IPC stream for each document.
+floor), and clips of 64 frames as Arrow tensors of fixed shape with their time spans, in one Arrow IPC stream for each document. Streams and
+segments are a table in the shared folder too; the line of features that the query gives is worked out from what is read back of it.
 
 All is computed in blocks, so a very long text needs no more memory than its bytes and features. Values are rounded to quarter decibels, so
 that equal texts have equal features. Nulls: a null text is empty, and has the 576 bytes of padding. Repeated rows are stored each. An empty
@@ -134,17 +135,32 @@ def clips(mel: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.ExtensionArray.from_storage(TENSOR, storage), pa.array(at * second), pa.array(end), pa.array(frames.astype(np.int32))], schema=CLIPS)
 
 
-def features(payload) -> tuple[bytes, list[tuple[float, float]], str]:
-    """The clips as an Arrow IPC stream, the segments' time spans in seconds, and a line that sums them up."""
+#: Seconds from one frame to the next.
+STEP = HOP * DOWN / (RATE * UP)
+
+
+def features(payload) -> tuple[bytes, list[tuple[float, float]]]:
+    """The clips as an Arrow IPC stream, and the segments' time spans in seconds."""
     mel = log_mel(np.frombuffer(payload, np.uint8))
-    own, second = segments(mel), HOP * DOWN / (RATE * UP)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, CLIPS) as w:
         w.write_batch(clips(mel))
-    spans = [(round(a * second, 6), round(b * second, 6)) for a, b in own.tolist()]
+    return sink.getvalue().to_pybytes(), [(round(a * STEP, 6), round(b * STEP, 6)) for a, b in segments(mel).tolist()]
+
+
+def frames_of(tensors: bytes) -> np.ndarray:
+    """Frames x bands in quarter decibels, from a stream of clips. Quarters of this size are exact in 16 bits."""
+    table = pa.ipc.open_stream(tensors).read_all().combine_chunks()
+    full = table.column("tensor").chunk(0).storage.flatten().to_numpy().reshape(-1, CLIP, BANDS)
+    return np.concatenate([t[:n] for t, n in zip(full, table.column("frames").to_pylist())]).astype(np.float32) * 4
+
+
+def line(tensors: bytes, spans: list[tuple[float, float]]) -> str:
+    """A line that sums up what is stored of a document."""
+    mel = frames_of(tensors).astype(np.int16)
     means = ",".join(str(x) for x in (mel.astype(np.int64).sum(axis=0) // len(mel)).tolist())
-    line = f"frames={len(mel)};bands={BANDS};segments={len(own)};sound={int((own[:, 1] - own[:, 0]).sum())};mean={means};crc={zlib.crc32(mel.astype('<i2').tobytes()):08x}"
-    return sink.getvalue().to_pybytes(), spans, line
+    sound = sum(round((b - a) / STEP) for a, b in spans)
+    return f"frames={len(mel)};bands={BANDS};segments={len(spans)};sound={sound};mean={means};crc={zlib.crc32(mel.astype('<i2').tobytes()):08x}"
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,30 +177,51 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return materialize(rows.mapInArrow(run, "key long, n_bytes long, media binary"), "media")
 
 
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, spans array<struct<start_s: double, end_s: double>>, tensors binary"
+SUMS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+STORED = f"{SUMS}, spans array<struct<start_s: double, end_s: double>>, tensors binary"
+SPANS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
 
 
-def extract(media: DataFrame) -> DataFrame:
-    """One row per stored file: sums of its bytes, the features' line, the segments' spans, and the tensors."""
+def tensors(media: DataFrame) -> DataFrame:
+    """The stored feature table, one row per stored file: sums of its bytes, the segments' spans, and the stream of tensors."""
 
     def run(batches):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])), pa.binary()]
-        names = [x.split()[0] for x in FEATURES.split(", ")[:9]] + ["tensors"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), SPANS, pa.binary()]
+        names = [x.split()[0] for x in SUMS.split(", ")] + ["spans", "tensors"]
         for batch in batches:
             for some in shares(batch, 2, rows=256):
                 rows = []
                 for k, n, m in zip(*(c.to_pylist() for c in some.columns)):
                     payload = samples(m)
-                    tensors, spans, line = features(payload)
-                    rows.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), line, [{"start_s": a, "end_s": b} for a, b in spans], tensors))
+                    stream, spans = features(payload)
+                    rows.append((k, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), [{"start_s": a, "end_s": b} for a, b in spans], stream))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return media.select("key", "n_bytes", "media").mapInArrow(run, FEATURES)
+    return materialize(media.select("key", "n_bytes", "media").mapInArrow(run, STORED), "tensors")
+
+
+def described(stored: DataFrame, keep: bool = False) -> DataFrame:
+    """One row per stored row: the sums, and the features' line, from the tensors and spans that are read; these too if they are to be kept."""
+    n = len(SUMS.split(", "))
+
+    def run(batches):
+        for batch in batches:
+            for some in shares(batch, n + 1, rows=256):
+                lines = [line(t, [(x["start_s"], x["end_s"]) for x in spans]) for spans, t in zip(some.column(n).to_pylist(), some.column(n + 1).to_pylist())]
+                rest = some.columns[n:] if keep else []
+                yield pa.RecordBatch.from_arrays([*some.columns[:n], pa.array(lines, pa.string()), *rest], names=[*some.schema.names[:n], "feature", *(some.schema.names[n:] if keep else [])])
+
+    return stored.mapInArrow(run, f"{SUMS}, feature string" + (STORED.removeprefix(SUMS) if keep else ""))
+
+
+def extract(media: DataFrame) -> DataFrame:
+    """The stored features of stored files: sums, the features' line, spans and tensors."""
+    return described(tensors(media), keep=True)
 
 
 def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(encode(documents(spark, sf_dir))).drop("spans", "tensors")
+    return described(tensors(encode(documents(spark, sf_dir))))
 
 
 QUERIES = {"op4_audio": op4_audio}
