@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import context, fusion, lexical, sampling, vector
+from ..operators.learnt_vectors import TextVectors
 from ..operators.pair_model import PairModel
+from ..operators.summary import summarize
 from ..operators.text_index import TextIndex
 from ..sources.shared import scratch, stored
 from .vector_queries import asked as vector_asked
@@ -366,9 +368,21 @@ def x6(spark, sf):
     return context.select(hits(spark, sf).withColumn("score", F.round(F.col("score") / 20, 4)), "text", 2000)
 
 
-@query("x7_summaries", f"{_H} SELECT query_id, doc_id, substr(text, 1, greatest(1, length(text) // 5)) AS summary FROM h")
+_SUMMARIES = _H.replace("WITH ", "WITH RECURSIVE ", 1) + r""", d AS (SELECT DISTINCT doc_id, text FROM h),
+ l AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\r]+', '\1' || chr(10), 'g'), chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')), lambda x: x <> '') AS l FROM d),
+ sn AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS s FROM l), nn AS (SELECT doc_id, count(*) AS n FROM sn GROUP BY doc_id),
+ sw AS (SELECT DISTINCT doc_id, pos, unnest(regexp_extract_all(lower(s), '[가-힣a-zA-Z0-9]+')) AS w FROM sn), sz AS (SELECT doc_id, pos, count(*) AS k FROM sw GROUP BY ALL), wc AS (SELECT doc_id, w, count(*) AS c FROM sw GROUP BY ALL),
+ walk AS (SELECT doc_id, pos, 0 AS round, 1.0::DOUBLE / n AS r FROM sz JOIN nn USING (doc_id)
+  UNION ALL SELECT doc_id, pos, round + 1, 0.15 / n + 0.85 * sum(mass / c) FROM (SELECT doc_id, w, round, sum(r / k) AS mass FROM walk JOIN sw USING (doc_id, pos) JOIN sz USING (doc_id, pos) WHERE round < 20 GROUP BY doc_id, w, round) m JOIN sw USING (doc_id, w) JOIN wc USING (doc_id, w) JOIN nn USING (doc_id) GROUP BY doc_id, pos, round, n),
+ sr AS (SELECT doc_id, pos, s, greatest(1, length(text) // 5) AS room, row_number() OVER (PARTITION BY doc_id ORDER BY round(coalesce(r, 0.15 / n), 9) DESC, pos) AS place, sum(length(s)) OVER (PARTITION BY doc_id ORDER BY round(coalesce(r, 0.15 / n), 9) DESC, pos) AS used
+  FROM sn JOIN nn USING (doc_id) JOIN d USING (doc_id) LEFT JOIN (SELECT * FROM walk WHERE round = 20) w USING (doc_id, pos)),
+ su AS (SELECT doc_id, string_agg(substr(s, 1, room), ' ' ORDER BY pos) AS summary FROM sr WHERE used <= room OR place = 1 GROUP BY doc_id)"""
+
+
+@query("x7_summaries", f"{_SUMMARIES} SELECT query_id, doc_id, coalesce(summary, '') AS summary FROM h LEFT JOIN su USING (doc_id)")
 def x7(spark, sf):
-    return hits(spark, sf).select("query_id", "doc_id", F.col("text").substr(F.lit(1), F.greatest(F.lit(1), F.floor(F.length("text") / 5).cast("int"))).alias("summary"))
+    """A fifth of each text: the sentences that a walk over shared words comes to most."""
+    return summarize(hits(spark, sf), "text", 0.2).select("query_id", "doc_id", "summary")
 
 
 @query("x8_formatted", f"{_H} SELECT query_id, md5(string_agg('[' || rank || '] (' || lang || ', ' || source || ') ' || substr(text, 1, 100), E'\\n' ORDER BY rank)) AS body FROM h GROUP BY query_id")
@@ -417,6 +431,46 @@ def e1(spark, sf):
     return context.recall_at(found, q.join(e.select("vec_id", "label"), "label"), [1, 5, 10], "vec_id")
 
 
+@query("v1_learnt_vectors")
+def v1_learnt(spark, sf):
+    """Vectors of all documents from the texts themselves."""
+    d = docs(spark, sf)
+    v = TextVectors.fit(d, "doc_id", "text", 64).vectors(d, "doc_id", "text")
+    return v.select("doc_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
+
+
+@query("k5_learnt_search")
+def k5_learnt(spark, sf):
+    """The documents nearest to each benchmark text by learnt vectors."""
+    d = docs(spark, sf)
+    learnt = TextVectors.fit(d, "doc_id", "text", 128)
+    return vector.knn(learnt.vectors(asked(spark, sf), "query_id", "text"), learnt.vectors(d, "doc_id", "text"), 10, key="doc_id")
+
+
+@query("e1_learnt_recall")
+def e1_learnt(spark, sf):
+    """method, queries, recall: of the documents that hold a benchmark text, the share among the ten nearest, by learnt and by hashed vectors of as
+    many dimensions."""
+    d, q = docs(spark, sf), asked(spark, sf)
+    # a text that holds another one has its rarest word: the pairs that can be are found by that word, in step with the documents
+    flat = lambda c: F.concat(F.lit(" "), F.array_join(lexical.terms(c), " "), F.lit(" "))
+    words = q.select("query_id", flat(F.col("text")).alias("q"), F.explode(F.array_distinct(lexical.terms(F.col("text")))).alias("w"))
+    own = d.select("doc_id", F.explode(F.array_distinct(lexical.terms(F.col("text")))).alias("w"))
+    known = own.join(words.select("w").distinct(), "w").groupBy("w").agg(F.count("*").alias("n"))
+    rarest = words.join(known, "w").groupBy("query_id", "q").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
+    held = own.join(rarest, "w").join(d.select("doc_id", flat(F.col("text")).alias("t")), "doc_id").where(F.contains("t", "q")).select("query_id", "doc_id")
+    held = stored(held, "held")
+    learnt = TextVectors.fit(d, "doc_id", "text", 256)
+    sides = {"learnt": (learnt.vectors(q, "query_id", "text"), learnt.vectors(d, "doc_id", "text")), "hashed": (lexical.hashed_vectors(q, "query_id", "text"), lexical.hashed_vectors(d, "doc_id", "text"))}
+    out = None
+    for name, (a, b) in sides.items():
+        found = vector.knn(a, b, 10, key="doc_id").select("query_id", "doc_id", F.lit(1).alias("hit"))
+        each = held.join(found, ["query_id", "doc_id"], "left").groupBy("query_id").agg((F.count("hit") / F.least(F.count("*"), F.lit(10))).alias("r"))
+        part = each.agg(F.lit(name).alias("method"), F.count("*").alias("queries"), F.round(F.avg("r"), 4).alias("recall"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 _PAIR_SIMILARITY = f"""WITH d AS (SELECT doc_id, lang, cell, n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)) AS x FROM (SELECT doc_id, lang, ('0x' || substr(md5(term), 1, 2))::INTEGER AS cell, count(*) AS n FROM (SELECT doc_id, lang, unnest({_T}) AS term FROM documents) GROUP BY ALL)),
  c AS (SELECT lang, count(*) AS n FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY lang), s AS (SELECT lang, cell, sum(x) AS x FROM d WHERE lang IS NOT NULL GROUP BY ALL),
  p AS (SELECT a.lang AS lang_a, b.lang AS lang_b, sum(a.x * b.x) AS dot FROM s a JOIN s b ON a.cell = b.cell AND a.lang < b.lang GROUP BY ALL),
