@@ -439,13 +439,20 @@ def tree(df: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     return _each(df, key, html, "place int, page string, parent string, level int, title string", lambda root: ((i, r["page"], r["parent"], r["level"], r["title"]) for i, r in enumerate(page_tree(root), 1)))
 
 
-def structure_files(spark, path: str, out: str) -> DataFrame:
-    """Reads all HTML files below path, writes a JSON row for each with its parts and blocks, and returns what was written."""
+def structured(files: DataFrame, out: str) -> DataFrame:
+    """files: path, text (markup) and other columns. Writes a JSON row for each page with its parts and blocks, and returns what was written."""
     from pyspark.sql import functions as F
 
+    parts = pages(files, "path", "text")
+    found = blocks(parts, "path", "markdown").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block", "type", "title", "data"))).alias("blocks"))
+    rest = [c for c in files.columns if c not in (*parts.columns, "text")]
+    whole = parts.join(found, "path", "left")
+    (whole.join(files.select("path", *rest), "path", "left") if rest else whole).write.mode("overwrite").json(out)
+    return files.sparkSession.read.json(out)
+
+
+def structure_files(spark, path: str, out: str) -> DataFrame:
+    """All HTML files below path, structured()."""
     from ..sources.collections import read_texts
 
-    files = pages(read_texts(spark, path, ("html", "htm")), "path", "text")
-    found = blocks(files, "path", "markdown").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("block", "type", "title", "data"))).alias("blocks"))
-    files.join(found, "path", "left").write.mode("overwrite").json(out)
-    return spark.read.json(out)
+    return structured(read_texts(spark, path, ("html", "htm")).select("path", "text"), out)

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions import registered
 from ..functions import text as X
-from ..operators import chunk, context, lexical, vector
+from ..operators import chunk, context, html, lexical, vector
 from ..sources import collections as C
 from ..sources import generated
 from ..sources import tables as S
+from ..sources.shared import scratch
 from .lexical_queries import _BM25, docs, hits
 from .vector_queries import _E, asked, emb
 
@@ -108,6 +109,95 @@ def s11(spark, sf):
     return S.catalog({n: t(spark, sf, n) for n in ("nation", "region")})
 
 
+@query("s11_samples", """SELECT 'nation' AS "table", row_number() OVER (ORDER BY n_nationkey)::INTEGER AS place, '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS "row" FROM nation QUALIFY place <= 3
+ UNION ALL SELECT 'orders', row_number() OVER (ORDER BY o_orderkey)::INTEGER AS place, '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}' FROM orders QUALIFY place <= 3""")
+def s11_samples(spark, sf):
+    """Three rows of each table."""
+    return S.samples({"nation": (t(spark, sf, "nation"), "n_nationkey"), "orders": (t(spark, sf, "orders", "o_orderkey", "o_orderstatus"), "o_orderkey")})
+
+
+@query("s9_files", "SELECT 'csv' AS kind, o_orderkey, o_orderpriority, o_totalprice FROM orders UNION ALL SELECT 'json', o_orderkey, o_orderpriority, o_totalprice FROM orders")
+def s9_files(spark, sf):
+    """A table written as csv and as json files, read back."""
+    o = t(spark, sf, "orders", "o_orderkey", "o_orderpriority", "o_totalprice")
+    both = [S.exported(o, scratch(spark, "export"), kind).withColumn("kind", F.lit(kind)) for kind in ("csv", "json")]
+    return both[0].unionByName(both[1]).select("kind", *o.columns)
+
+
+def _stored(spark, sf) -> C.Collections:
+    """Three collections of documents as chunks of 400 characters: by language, changed, cleared and made anew."""
+    c = C.Collections(spark, scratch(spark, "collections"))
+    d = docs(spark, sf).where("length(text) > 0").select("doc_id", "lang", "source", "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 400).cast("int"))).alias("i"))
+    m = F.create_map(F.lit("doc_id"), F.col("doc_id").cast("string"), F.lit("filename"), F.coalesce("source", F.lit("unknown")))
+    rows = d.select("doc_id", "lang", F.concat_ws("_", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("id"), F.substring("text", F.col("i") * 400 + 1, 400).alias("text"), F.array(F.lit(1.0)).alias("embedding"), m.alias("metadata"))
+    for name, metric in (("en", "cosine"), ("rest", "l2"), ("old", "ip")):
+        c.create(name, metric)
+    c.add("en", rows.where("lang = 'en'"))
+    c.add("rest", rows.where("lang IS NULL OR lang <> 'en'"))
+    c.add("old", rows.where("lang = 'de'"))
+    c.add("en", rows.where("lang = 'en' AND doc_id % 3 = 0").withColumn("text", F.lit("")))  # known ones are passed over
+    c.add("en", rows.where("lang = 'en' AND doc_id % 5 = 0").withColumn("text", F.lit("new")), skip_known=False)
+    c.delete("rest", rows.where("doc_id % 4 = 0").select("id"))
+    c.create("old", "l2", reset=True)
+    c.update_metric("rest", "ip")
+    return c
+
+
+_CHUNKS = "k AS (SELECT doc_id, lang, coalesce(source, 'unknown') AS source, unnest(range(0, (length(text) + 399) // 400)) AS i, text FROM documents WHERE length(text) > 0)"
+
+
+@query("s12_collections", f"WITH {_CHUNKS} SELECT 'en' AS name, 'cosine' AS metric, count(*) AS rows, 'active' AS state FROM k WHERE lang = 'en' UNION ALL SELECT 'rest', 'ip', count(*), 'active' FROM k WHERE (lang IS NULL OR lang <> 'en') AND doc_id % 4 > 0 UNION ALL SELECT 'old', 'l2', 0, 'empty'")
+def s12(spark, sf):
+    """Collections made, filled, changed, made anew and listed."""
+    return _stored(spark, sf).stats()
+
+
+@query("s17_collection_documents", f"WITH {_CHUNKS} SELECT doc_id::VARCHAR AS doc_id, any_value(source) AS filename, count(*) AS chunks, sum(CASE WHEN doc_id % 5 = 0 THEN 3 ELSE length(substr(text, i * 400 + 1, 400)) END)::BIGINT AS characters FROM k WHERE lang = 'en' GROUP BY doc_id")
+def s17_collection(spark, sf):
+    """The documents of a stored collection after some of its rows were replaced, and after it was compacted."""
+    c = _stored(spark, sf)
+    c.compact("en")
+    return c.documents("en")
+
+
+@query("z22_footprint")
+def z22(spark, sf):
+    """name, files, bytes of each collection that is stored."""
+    c = _stored(spark, sf)
+    return spark.createDataFrame([(n, *c.footprint(n)) for n in c.names()], "name string, files long, bytes long")
+
+
+@query("z24_settings", f"WITH {_CHUNKS} SELECT id, metric FROM (SELECT doc_id || '_' || i AS id, 'ip' AS metric FROM k WHERE lang IS NULL OR lang <> 'en') WHERE split_part(id, '_', 1)::BIGINT % 4 > 0")
+def z24_settings(spark, sf):
+    """A collection's rows under its new settings."""
+    c = _stored(spark, sf)
+    return c.get("rest").select("id", F.lit(c.metric("rest")).alias("metric"))
+
+
+@query("s8_feedback", "SELECT CASE WHEN value > 80 THEN 'good' WHEN value > 20 THEN 'fair' ELSE 'bad' END AS rating, count(*) AS n, max(event_id) AS last_id FROM events WHERE event_type <> 'error' GROUP BY ALL")
+def s8(spark, sf):
+    """Feedback added in two batches and read back."""
+    path, e = scratch(spark, "feedback"), t(spark, sf, "events", "event_id", "event_type", "value").where("event_type <> 'error'")
+    rating = F.when(F.col("value") > 80, "good").when(F.col("value") > 20, "fair").otherwise("bad")
+    for even in (0, 1):
+        C.append_feedback(e.where(F.col("event_id") % 2 == even).select("event_id", rating.alias("rating")), path)
+    return spark.read.schema("event_id long, rating string").json(path).groupBy("rating").agg(F.count("*").alias("n"), F.max("event_id").alias("last_id"))
+
+
+@query("z5_uploaded", "SELECT '/in/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.MD' ELSE '.json' END AS path, md5(CASE WHEN doc_id % 8 = 6 THEN '{' || chr(10) || '  \"key\": ' || doc_id || chr(10) || '}' ELSE coalesce(text, '') END) AS body FROM documents WHERE doc_id % 4 < 3")
+def z5(spark, sf):
+    """Uploads: JSON without a content of its own is laid out."""
+    return C.loaded(_files(spark, sf), pretty=True).select("path", F.md5("text").alias("body"))
+
+
+@query("m13_page_files", "SELECT (SELECT count(*) FROM pages) AS pages, (SELECT count(*) FROM pages) AS written, (SELECT count(DISTINCT url) FROM pages) AS urls")
+def m13(spark, sf):
+    """Pages written as JSON, a row for each with its parts and blocks, and counted where they are read again."""
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    got = html.structured(p.select(F.col("page_id").cast("string").alias("path"), F.col("html").alias("text"), "url"), scratch(spark, "pages"))
+    return p.agg(F.count("*").alias("pages")).crossJoin(got.agg(F.count("*").alias("written"), F.count_distinct("url").alias("urls")))  # one row each
+
+
 @query("z3_row_counts", " UNION ALL ".join(f"SELECT '{n}' AS \"table\", count(*) AS n, CASE WHEN count(*) > 0 THEN 'active' ELSE 'empty' END AS state FROM {n}" for n in SMALL))
 def z3(spark, sf):
     return S.row_counts({n: t(spark, sf, n) for n in SMALL})

@@ -1,7 +1,8 @@
-"""Collections: named Parquet tables of (id, text, embedding, metadata) in one folder, and file readers.
+"""Collections: named tables of (id, text, embedding, metadata) in one folder, and file readers.
 
-A collection's metric and rows are kept beside each other; a change writes a new version of the rows and then the pointer to it, so that
-readers never see half of one. Folders are reached through Spark alone.
+A change writes a part with what is new, or a list of what goes, and then a version that names the parts and lists of every collection. A version
+can be made once: readers never see half of a change, and of two writers at the same time the second one fails. Nothing is written again but by
+compact(). Folders are reached through Spark alone.
 """
 
 from __future__ import annotations
@@ -13,70 +14,104 @@ from pyspark.sql import functions as F
 
 METRICS = ("cosine", "l2", "ip")
 SCHEMA = "id string, text string, embedding array<float>, metadata map<string, string>"
+VERSION = "version long, collections array<struct<name:string,metric:string,parts:array<string>,gone:array<string>>>"
 
 
 class Collections:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _pointer(self) -> DataFrame:
+    def _state(self) -> tuple[int, dict[str, dict]]:
         try:
-            return self.spark.read.schema("name string, metric string, version string, at long").json(f"{self.path}/_names")
+            rows = self.spark.read.schema(VERSION).json(f"{self.path}/_versions").orderBy(F.desc("version")).limit(1).collect()
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], "name string, metric string, version string, at long")
-            raise
-
-    def _known(self) -> dict[str, tuple[str, str]]:
-        rows = self._pointer().groupBy("name").agg(F.max_by(F.struct("metric", "version"), "at").alias("x")).collect()
-        return {r["name"]: (r["x"]["metric"], r["x"]["version"]) for r in rows if r["x"]["version"]}
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            rows = []
+        return (rows[0]["version"], {c["name"]: c.asDict() for c in rows[0]["collections"]}) if rows else (0, {})
 
-    def _point(self, name: str, metric: str, version: str | None) -> None:
-        at = (self._pointer().agg(F.max("at").alias("m")).first()["m"] or 0) + 1
-        self.spark.createDataFrame([(name, metric, version, at)], "name string, metric string, version string, at long").write.mode("append").json(f"{self.path}/_names")
+    def _commit(self, version: int, known: dict[str, dict]) -> None:
+        rows = [(version + 1, [tuple(c[k] for k in ("name", "metric", "parts", "gone")) for c in known.values()])]
+        self.spark.createDataFrame(rows, VERSION).coalesce(1).write.mode("error").json(f"{self.path}/_versions/at={version + 1}")
 
-    def _store(self, name: str, metric: str, rows: DataFrame) -> None:
-        version = uuid.uuid4().hex
-        rows.write.parquet(f"{self.path}/{name}/{version}")
-        self._point(name, metric, version)
+    def _put(self, name: str, **changes) -> None:
+        version, known = self._state()
+        self._commit(version, known | {name: {"name": name, "metric": "cosine", "parts": [], "gone": []} | known.get(name, {}) | changes})
 
     def names(self) -> list[str]:
-        return sorted(self._known())
+        return sorted(self._state()[1])
 
     def create(self, name: str, metric: str = "cosine", reset: bool = False) -> None:
+        """A collection that is there stays as it is, unless it is to be made anew, with this metric."""
         if metric not in METRICS:
             raise ValueError(f"unknown metric {metric}")
-        if name not in self._known() or reset:
-            self._store(name, metric, self.spark.createDataFrame([], SCHEMA))
+        if name not in self._state()[1] or reset:
+            self._put(name, metric=metric, parts=[], gone=[])
 
     def delete_collection(self, name: str) -> None:
-        self._point(name, self.metric(name), None)
+        version, known = self._state()
+        del known[name]
+        self._commit(version, known)
 
     def metric(self, name: str) -> str:
-        return self._known()[name][0]
+        return self._state()[1][name]["metric"]
+
+    def update_metric(self, name: str, metric: str) -> None:
+        """Changes how a collection is searched; its rows stay."""
+        if metric not in METRICS:
+            raise ValueError(f"unknown metric {metric}")
+        self.metric(name)
+        self._put(name, metric=metric)
+
+    def _rows(self, c: dict, numbered: bool = False) -> DataFrame:
+        """The rows of all parts but those that a later list takes out; numbered: with the place of their part."""
+        own = self.spark.createDataFrame([], f"{SCHEMA}, _part int")
+        if c["parts"]:
+            number = F.element_at(F.create_map(*[F.lit(x) for i, p in enumerate(c["parts"]) for x in (p, i)]), F.element_at(F.split(F.input_file_name(), "/"), -2))
+            own = self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{c['name']}/{p}" for p in c["parts"]]).withColumn("_part", number)
+        if c["gone"]:
+            gone = self.spark.read.schema("id string, upto int").parquet(*[f"{self.path}/{c['name']}/{g}" for g in c["gone"]]).groupBy("id").agg(F.max("upto").alias("upto")).alias("g")
+            own = own.alias("r").join(gone, (F.col("r.id") == F.col("g.id")) & (F.col("_part") < F.col("upto")), "left_anti")
+        return own if numbered else own.drop("_part")
 
     def get(self, name: str, ids: list[str] | None = None) -> DataFrame:
-        df = self.spark.read.schema(SCHEMA).parquet(f"{self.path}/{name}/{self._known()[name][1]}")
+        df = self._rows(self._state()[1][name])
         return df if ids is None else df.where(F.col("id").isin(ids))
 
     def count(self, name: str) -> int:
         return self.get(name).count()
 
+    def _write(self, name: str, rows: DataFrame) -> str:
+        part = uuid.uuid4().hex
+        rows.write.parquet(f"{self.path}/{name}/{part}")
+        return part
+
     def add(self, name: str, rows: DataFrame, skip_known: bool = True) -> None:
-        """Adds rows; known identifiers are passed over, or replaced."""
-        old, new = self.get(name), rows.select("id", "text", F.col("embedding").cast("array<float>").alias("embedding"), "metadata").dropDuplicates(["id"])
-        if skip_known:
-            out = old.unionByName(new.join(old.select("id"), "id", "left_anti").select(old.columns))
-        else:
-            out = old.join(new.select("id"), "id", "left_anti").select(old.columns).unionByName(new)
-        self._store(name, self.metric(name), out)
+        """Adds rows as a part; known identifiers are passed over, or replaced."""
+        c = self._state()[1][name]
+        new, gone = rows.select("id", "text", F.col("embedding").cast("array<float>").alias("embedding"), "metadata").dropDuplicates(["id"]), []
+        if c["parts"]:
+            if skip_known:
+                new = new.join(self._rows(c).select("id"), "id", "left_anti").select(new.columns)
+            else:
+                gone = [self._write(name, new.select("id", F.lit(len(c["parts"])).alias("upto")))]
+        part = self._write(name, new)
+        self._put(name, parts=[*c["parts"], part], gone=[*c["gone"], *gone])
 
     def delete(self, name: str, ids: DataFrame) -> None:
-        self._store(name, self.metric(name), self.get(name).join(ids.select("id"), "id", "left_anti"))
+        c = self._state()[1][name]
+        if c["parts"]:
+            self._put(name, gone=[*c["gone"], self._write(name, ids.select(F.col("id").cast("string").alias("id"), F.lit(len(c["parts"])).alias("upto")))])
 
     def clear(self, name: str) -> None:
         """Takes all rows out; the collection and its metric stay."""
-        self._store(name, self.metric(name), self.spark.createDataFrame([], SCHEMA))
+        self.metric(name)
+        self._put(name, parts=[], gone=[])
+
+    def compact(self, name: str) -> None:
+        """One part with the rows that are left."""
+        c = self._state()[1][name]
+        self._put(name, parts=[self._write(name, self._rows(c))], gone=[])
 
     def documents(self, name: str) -> DataFrame:
         """doc_id, filename, chunks, characters of the documents whose chunks are stored, by the chunks' metadata."""
@@ -86,23 +121,33 @@ class Collections:
 
     def delete_document(self, name: str, doc_id: str) -> bool:
         """Takes a document's chunks out; says whether there were any."""
-        own = F.coalesce(F.col("metadata")["doc_id"] == doc_id, F.lit(False))
-        rows = self.get(name)
-        if not rows.where(own).limit(1).count():
+        own = self.get(name).where(F.col("metadata")["doc_id"] == doc_id).select("id")
+        if not own.limit(1).count():
             return False
-        self._store(name, self.metric(name), rows.where(~own))
+        self.delete(name, own)
         return True
 
     def footprint(self, name: str) -> tuple[int, int]:
-        """Files and bytes of the rows that are stored now."""
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{self.path}/{name}/{self._known()[name][1]}").select("length")
+        """Files and bytes of the parts and lists that are read now."""
+        c = self._state()[1][name]
+        paths = [f"{self.path}/{name}/{p}" for p in (*c["parts"], *c["gone"])]
+        if not paths:
+            return 0, 0
+        files = self.spark.read.format("binaryFile").load(paths).select("length")
         r = files.agg(F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("b")).first()
         return r["n"], r["b"]
 
     def stats(self) -> DataFrame:
-        """name, rows, state."""
-        rows = [(n, self.count(n)) for n in self.names()]
-        return self.spark.createDataFrame([(n, c, "active" if c else "empty") for n, c in rows], "name string, rows long, state string")
+        """name, metric, rows, state of all collections, in one job."""
+        out = self.spark.createDataFrame([(c["name"], c["metric"]) for c in self._state()[1].values()], "name string, metric string")
+        rows = None
+        for c in self._state()[1].values():
+            own = self._rows(c).select(F.lit(c["name"]).alias("name"))
+            rows = own if rows is None else rows.unionByName(own)
+        if rows is None:
+            return out.select("name", "metric", F.lit(0).cast("long").alias("rows"), F.lit("empty").alias("state"))
+        n = F.coalesce("rows", F.lit(0).cast("long"))
+        return out.join(rows.groupBy("name").agg(F.count("*").alias("rows")), "name", "left").select("name", "metric", n.alias("rows"), F.when(n > 0, "active").otherwise("empty").alias("state"))
 
 
 KINDS = {"txt": "text", "text": "text", "md": "text", "markdown": "text", "json": "json", "html": "page", "htm": "page"}

@@ -17,6 +17,22 @@ def catalog(tables: dict[str, DataFrame]) -> DataFrame:
     return next(iter(tables.values())).sparkSession.createDataFrame(rows, "table string, column string, type string, place int")
 
 
+def samples(tables: dict[str, tuple[DataFrame, str]], n: int = 3) -> DataFrame:
+    """table, place, row (as JSON): the first rows of each table by its key."""
+    each = [df.orderBy(key).limit(n).select(F.lit(t).alias("table"), F.row_number().over(Window.orderBy(key)).alias("place"), F.to_json(F.struct("*")).alias("row")) for t, (df, key) in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def exported(df: DataFrame, path: str, kind: str) -> DataFrame:
+    """Writes a table as csv (with a header, quoted where a value needs it) or json files, and gives what a reader of these files has."""
+    if kind not in ("csv", "json"):
+        raise ValueError(f"kind is csv or json, not {kind}")
+    out = df.write.mode("error").option("escape", '"')
+    (out.option("header", "true").csv(path) if kind == "csv" else out.json(path))
+    read = df.sparkSession.read.schema(df.schema)
+    return read.option("header", "true").option("escape", '"').option("multiLine", "true").csv(path) if kind == "csv" else read.json(path)
+
+
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
     """table, n, state (active or empty)."""
     each = [df.agg(F.count("*").alias("n")).select(F.lit(t).alias("table"), "n") for t, df in tables.items()]

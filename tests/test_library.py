@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from loomtext.functions import text as X
 from loomtext.functions import vectors as V
 from loomtext.operators import chunk, context, filters, fusion, html, lexical, records, vector
-from loomtext.sources import collections
+from loomtext.sources import collections, tables
 
 CHUNKERS = [chunk.sentence_end, chunk.fixed, chunk.boundary, chunk.separators, chunk.list_aware, chunk.semantic, chunk.recursive]
 
@@ -236,6 +236,46 @@ def test_collections(spark, tmp_path):
     assert c.names() == []
 
 
+def test_collections_change_by_parts(spark, tmp_path):
+    c = collections.Collections(spark, f"file://{tmp_path}/c")
+    rows = lambda text, *ids: spark.createDataFrame([(i, text, [1.0], {"doc_id": i[0]}) for i in ids], "id string, text string, embedding array<double>, metadata map<string,string>")
+    assert c.names() == [] and c.stats().count() == 0
+    c.create("a", "l2")
+    c.create("b")
+    c.add("a", rows("one", "x1", "x2", "y1"))
+    c.add("a", rows("two", "x2", "z1"))
+    c.add("a", rows("three", "x1", "w1"), skip_known=False)
+    texts = lambda: {r["id"]: r["text"] for r in c.get("a").collect()}
+    assert texts() == {"x1": "three", "x2": "one", "y1": "one", "z1": "two", "w1": "three"}
+    c.delete("a", rows("", "x1", "unknown").select("id"))
+    assert "x1" not in texts() and c.count("a") == 4
+    c.add("a", rows("four", "x1"))  # what was deleted can come again
+    before = texts()
+    assert before["x1"] == "four"
+    old = c._state()
+    c.compact("a")
+    assert texts() == before and len(c._state()[1]["a"]["parts"]) == 1 and not c._state()[1]["a"]["gone"]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        c._commit(*old)  # a second writer that started from the same version
+    c.create("a", "ip")
+    assert c.metric("a") == "l2" and c.count("a") == 5
+    c.update_metric("a", "cosine")
+    assert sorted(map(tuple, c.stats().collect())) == [("a", "cosine", 5, "active"), ("b", "cosine", 0, "empty")] and c.footprint("b") == (0, 0)
+    c.create("a", "ip", reset=True)
+    assert c.metric("a") == "ip" and c.count("a") == 0
+
+
+def test_exports_and_samples(spark, tmp_path):
+    df = spark.createDataFrame([(2, 'a "b", c\nd', 1.5), (1, None, None), (3, "é", -1.0), (4, "", 0.0)], "k int, t string, x double")
+    csv = tables.exported(df, f"file://{tmp_path}/csv", "csv")
+    assert sorted((r["k"], r["t"] or "", r["x"]) for r in csv.collect()) == sorted((r["k"], r["t"] or "", r["x"]) for r in df.collect())
+    assert sorted(map(tuple, tables.exported(df, f"file://{tmp_path}/json", "json").collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    with pytest.raises(ValueError):
+        tables.exported(df, f"file://{tmp_path}/x", "xml")
+    got = tables.samples({"t": (df, "k"), "u": (df.limit(0), "k")}).collect()
+    assert [(r["table"], r["place"]) for r in got] == [("t", 1), ("t", 2), ("t", 3)] and got[0]["row"] == '{"k":1}'
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes(b"hello \xff")
     (tmp_path / "b.json").write_text('{"content": "inner", "deep": {"list": ["a long enough string", "x"]}}')
