@@ -30,6 +30,10 @@ class Shard:
     weight: float = 1.0
 
 
+#: Shards that a tree is planned with where nothing else is said; with fewer it is planned with these.
+PLANNED = 8
+
+
 def topology(shards: int, per_rack: int = 2, racks: int = 2, planned: int | None = None) -> list[Shard]:
     """The planned shards (all, unless told otherwise) fill racks, and racks fill regions; each later one has a region of its own."""
     planned = shards if planned is None else planned
@@ -87,8 +91,9 @@ def _branch(i: Column, ends: list[Column]) -> Column:
 
 def assign(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "text", planned: int | None = None) -> DataFrame:
     """One row per document: key, size, text_crc32, law, shard, its place (slot) in the shard in key order, grown_shard with one more shard.
-    planned: of how many shards the tree was made, if it has grown since."""
-    planned = shards if planned is None else planned
+    planned: of how many shards the tree was made, if it has grown since; PLANNED at most unless it is given. So from that number on, the shards
+    of one more are always the grown_shard of this many."""
+    planned = min(shards, PLANNED) if planned is None else planned
     body = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).alias("key"), (F.octet_length(body).cast("long") + 1).alias("size"), F.crc32(body.cast("binary")).alias("crc"))
     rows = place(place(rows, "key", topology(shards, planned=planned), "shard"), "key", topology(shards + 1, planned=planned), "grown_shard")
@@ -96,12 +101,14 @@ def assign(docs: DataFrame, shards: int = 8, key: str = "doc_id", text: str = "t
     return ranked.select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.lit("key").alias("law"), "shard", F.col("before_rows").alias("slot"), "grown_shard")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8, key: str = "doc_id", text: str = "text", file_bytes: int = 128 << 20) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = 8, key: str = "doc_id", text: str = "text", file_bytes: int = 128 << 20, planned: int | None = None) -> None:
     """The documents themselves, a folder shard=0, shard=1, ... of Parquet files for each shard, of about file_bytes of text each: a large
-    shard is written by as many tasks. A table that has a column named shard already is refused."""
+    shard is written by as many tasks. planned: as for assign(), so that folders of more shards are those of fewer but for what the new ones take.
+    Rows with a null key go to that key's shard, null and empty texts are written as they are. A table that has a column named shard already is
+    refused."""
     if "shard" in [c.lower() for c in docs.columns]:
         raise ValueError("the table has a column named shard already")
-    own = docs.withColumn("shard", descent(F.col(key), topology(shards)))
+    own = docs.withColumn("shard", descent(F.col(key), topology(shards, planned=min(shards, PLANNED) if planned is None else planned)))
     sums = own.groupBy("shard").agg(F.sum(F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 64).alias("n")).collect()  # a row for each shard
     files = {r["shard"]: -(-r["n"] // file_bytes) for r in sums}
     count = F.lit(1)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from loomtext.llm import filter_audit, importance, personal_data
+from loomtext.llm import filter_audit, importance, personal_data, sharding
 
 SCHEMA = "doc_id long, text string, lang string, id long, part string, mask string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -311,3 +311,17 @@ def test_personal_data_of_no_rows(spark):
     assert personal_data.personal_data(none).count() == 0
     plain = spark.createDataFrame([(1, "nothing here"), (1, None)], "doc_id long, text string")
     assert {r["spans"] for r in personal_data.personal_data(plain).collect()} == {""}
+
+
+def test_shards_grow_without_moving_others(spark, docs, tmp_path):
+    """Beyond the planned number each shard takes rows only into itself, in tables and in folders."""
+    at = {n: {r["doc_id"]: (r["shard"], r["grown_shard"]) for r in sharding.assign(docs, n).collect()} for n in (8, 9, 10, 11)}
+    for n in (8, 9, 10):
+        assert all(at[n][k][1] == at[n + 1][k][0] for k in at[n])
+        assert all(was == now or now == n for was, now in at[n].values())
+    own = docs.select("doc_id", "text", "lang")
+    for n in (9, 10):
+        sharding.write_shards(own, f"file://{tmp_path}/{n}", n)
+        assert {(r["doc_id"], r["shard"]) for r in spark.read.parquet(f"file://{tmp_path}/{n}").collect()} == {(k, v[0]) for k, v in at[n].items()}
+    sharding.write_shards(own, f"file://{tmp_path}/p", 5, planned=4)
+    assert spark.read.parquet(f"file://{tmp_path}/p").count() == own.count()
