@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bpe
+from ..functions import bpe, stems
 from ..functions import text as X
 from ..operators import chunk
 
@@ -76,6 +76,15 @@ def t6(spark, sf):
     return docs(spark, sf).select("doc_id", F.concat_ws(" ", X.plain_terms(F.col("text"))).alias("terms"))
 
 
+@query("t6_stems")
+def t6_stems(spark, sf):
+    """lang, stem, forms, n: words of each language by their stems. Words are counted first, and each different one is taken to its stem once."""
+    words = docs(spark, sf).select(F.coalesce("lang", F.lit("")).alias("lang"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit("\\p{L}+"), F.lit(0))).alias("w"))
+    counted = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
+    own = counted.select("lang", stems.stems(F.array("w"), F.col("lang"))[0].alias("stem"), "n")
+    return own.groupBy("lang", "stem").agg(F.count("*").alias("forms"), F.sum("n").alias("n"))
+
+
 _KEYWORDS = f"list_filter(regexp_extract_all(text, '[가-힣a-zA-Z0-9]+'), lambda x: length(x) > 1 AND lower(x) NOT IN ({_in(X.ENGLISH_STOPS)}))"
 
 
