@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import filters, vector
+from ..operators import filters, tsne, vector
 from ..operators.vector_index import VectorIndex
 from ..sources.shared import scratch
 
@@ -172,6 +172,12 @@ def v21(spark, sf):
     return vector.pca(emb(spark, sf), 2).select("vec_id", F.round("pc1", 4).alias("pc1"), F.round("pc2", 4).alias("pc2"))
 
 
+@query("v21_tsne")
+def v21_tsne(spark, sf):
+    """A map of all vectors by the layout of some."""
+    return tsne.tsne(emb(spark, sf)).select("vec_id", "label", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query("v22_clusters")
 def v22(spark, sf):
     return vector.kmeans(emb(spark, sf), 10).groupBy("cluster", "label").agg(F.count("*").alias("n"))
