@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .lexical import terms, top
 
 Q, D = "query_id", "doc_id"
@@ -99,15 +100,24 @@ def training_pairs(questions: DataFrame, passages: DataFrame, question_key: list
     """question_key, key, label: each question with the passage that it belongs to (1), and with some others (0).
 
     Passages are dealt to buckets by hash, about sixteen for each negative asked for; a question takes from one bucket those whose hash with it
-    is least. So a question meets a bounded number of passages, whatever the table, and reruns agree. A bucket with too few gives fewer.
+    is least, and what is lacking from the next ones, as long as there are any. So a question meets a bounded number of passages, whatever the
+    table, and reruns agree.
     """
     buckets = max(1, passages.count() // (16 * negatives))
     text = F.concat_ws("/", *question_key)
     bucket = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % buckets
-    q = questions.withColumn("bucket", bucket(text))
+    q = questions.withColumn("bucket", bucket(text)).withColumn("lacking", F.lit(negatives))
     p = passages.select(key, bucket(F.col(key).cast("string")).alias("bucket"))
-    met = q.join(p, "bucket").where(F.col(own) != F.col(key)).withColumn("h", F.md5(F.concat_ws("/", text, F.col(key))))
     w = Window.partitionBy(*question_key).orderBy("h", key)
-    others = met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= negatives)
+    others = None
+    for further in range(buckets):
+        met = q.join(p, "bucket").where(F.col(own) != F.col(key)).withColumn("h", F.md5(F.concat_ws("/", text, F.col(key))))
+        part = stored(met.withColumn("place", F.row_number().over(w)).where(F.col("place") <= F.col("lacking")).select(*question_key, key), "negatives")
+        others = part if others is None else others.unionByName(part)
+        had = part.groupBy(*question_key).agg(F.count("*").alias("had"))
+        q = q.join(had, question_key, "left").withColumn("lacking", F.col("lacking") - F.coalesce("had", F.lit(0))).where("lacking > 0").drop("had")
+        q = stored(q.withColumn("bucket", (F.col("bucket") + 1) % buckets), "lacking")
+        if not q.limit(1).count():
+            break
     positive = questions.select(*question_key, F.col(own).alias(key), F.lit(1).alias("label"))
     return positive.unionByName(others.select(*question_key, key, F.lit(0).alias("label")))
