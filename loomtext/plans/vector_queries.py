@@ -115,12 +115,24 @@ def candidates(spark, sf, k):
     return vector.knn(asked(spark, sf), e, k).join(e, "vec_id")
 
 
-@query("v13_mmr")
+#: Candidates of each query in their order, with their cosines to each other.
+_CANDIDATES = f"""WITH RECURSIVE {_E}, s AS (SELECT query_id, vec_id, {_S} AS score, v FROM q CROSS JOIN e), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s),
+ c AS (SELECT * FROM k WHERE {{}}), m AS (SELECT a.query_id, a.vec_id, any_value(a.score) AS score, any_value(a.place) AS place, map_from_entries(list((b.vec_id, CASE WHEN list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v) > 0 THEN list_cosine_similarity(a.v, b.v) ELSE 0 END))) AS near FROM c a JOIN c b USING (query_id) GROUP BY a.query_id, a.vec_id)"""
+_MMR = _CANDIDATES.format("place <= 10") + """, g AS (SELECT query_id, 0 AS step, []::BIGINT[] AS taken FROM m GROUP BY query_id
+  UNION ALL SELECT query_id, step + 1, list_append(taken, vec_id) FROM (SELECT g.query_id, step, taken, vec_id, row_number() OVER (PARTITION BY g.query_id ORDER BY round(0.7 * score - 0.3 * coalesce(list_max(list_transform(taken, lambda t: near[t])), 0), 9) DESC, place) AS n FROM g JOIN m USING (query_id) WHERE step < 5 AND NOT list_contains(taken, vec_id)) WHERE n = 1),
+ x AS (SELECT query_id, unnest(taken) AS vec_id, unnest(range(1, 6)) AS rank FROM g WHERE step = 5)
+ SELECT query_id, vec_id, score, rank::INTEGER AS rank FROM x JOIN m USING (query_id, vec_id)"""
+_APART = _CANDIDATES.format("place <= 20 AND score >= 0.3") + """, g AS (SELECT query_id, 0::BIGINT AS step, []::BIGINT[] AS kept FROM m GROUP BY query_id
+  UNION ALL SELECT g.query_id, step + 1, CASE WHEN coalesce(list_max(list_transform(kept, lambda t: near[t])), 0) <= 0.8 THEN list_append(kept, vec_id) ELSE kept END FROM g JOIN m ON m.query_id = g.query_id AND m.place = step + 1)
+ SELECT query_id, vec_id, score FROM (SELECT query_id, unnest(kept) AS vec_id FROM (SELECT query_id, arg_max(kept, step) AS kept FROM g GROUP BY query_id)) JOIN m USING (query_id, vec_id)"""
+
+
+@query("v13_mmr", _MMR)
 def v13(spark, sf):
     return vector.mmr(candidates(spark, sf, 10), 5, 0.7)
 
 
-@query("v14_redundancy")
+@query("v14_redundancy", _APART)
 def v14(spark, sf):
     return vector.drop_redundant(candidates(spark, sf, 20).where("score >= 0.3"), 0.8)
 
