@@ -187,6 +187,13 @@ class TextIndex:
         gone = self._gone(state).agg(F.count("*"), F.coalesce(F.sum("len"), F.lit(0))).first()
         return sum(s["docs"] for s in state["segments"]) - gone[0], sum(s["words"] for s in state["segments"]) - gone[1]
 
+    def documents(self) -> DataFrame:
+        """key, words, terms (different ones) and segment of the documents as they are."""
+        state = self._state()
+        rows = self._ranges(state).select("seg", "range", F.posexplode("keys").alias("slot", "key"), "lens", "starts")
+        rows = rows.join(self._gone(state).select("seg", "range", "slot"), ["seg", "range", "slot"], "left_anti")
+        return rows.select("key", self._at("lens").alias("words"), (self._at("starts", 1) - self._at("starts")).alias("terms"), F.col("seg").alias("segment"))
+
     def search(self, queries: DataFrame, k: int = 10, query_key: str = "query_id", key: str = "doc_id", text: str = "text") -> DataFrame:
         """query_key, key, score, rank: as lexical.bm25() over the documents as they are."""
         hits, _, _ = self._search(queries, k, query_key, text)

@@ -161,6 +161,11 @@ def score_counts(queries: DataFrame, rows: DataFrame, steps: list[float], metric
     return _held(queries, _plain(rows, key, vector), query_key, vector, run, schema).groupBy(query_key, "step").agg(F.sum("n").alias("n"))
 
 
+def text_search(queries: DataFrame, docs: DataFrame, embed, k: int, query_key: str = "query_id", key: str = "doc_id", text: str = "text", metric: str = "cosine") -> DataFrame:
+    """knn() over texts by an embedding of one's own: embed(df, key, text) gives key and embedding, a list of one length, for each row of df."""
+    return knn(embed(queries, query_key, text), embed(docs, key, text), k, metric, query_key=query_key, key=key)
+
+
 def _near(sent, k, metric, names, least, digits, grouped):
     def run(batches):
         ids, q, asks = sent.value

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import registered
 from ..functions import text as X
 from ..operators import chunk, context, html, lexical, vector
+from ..operators.text_index import TextIndex
 from ..sources import collections as C
 from ..sources import generated
 from ..sources import tables as S
@@ -259,6 +260,33 @@ def z1(spark, sf):
     return docs(spark, sf).select("doc_id", F.length("text").cast("long").alias("n_chars"), X.token_estimate(F.col("text")).alias("n_tokens"), F.floor(F.col("doc_id") / 32).alias("batch"))
 
 
+@query("z1_built", f"SELECT doc_id, len({_W})::INTEGER AS words, len(list_distinct({_W}))::INTEGER AS terms, (doc_id % 3)::INTEGER AS segment FROM documents")
+def z1_built(spark, sf):
+    """What an index built in three batches knows of its documents."""
+    index = TextIndex(spark, scratch(spark, "built"))
+    for i in range(3):
+        index.add(docs(spark, sf).where(F.col("doc_id") % 3 == i))
+    return index.documents().withColumnRenamed("key", "doc_id")
+
+
+_LETTERS = "aeinorst"
+
+
+@query("u2_own_vectors", f"""WITH q AS (SELECT item_id AS query_id, {{}} AS qv FROM benchmark), d AS (SELECT doc_id, {{}} AS v FROM documents),
+ s AS (SELECT query_id, doc_id, CASE WHEN list_dot_product(qv, qv) * list_dot_product(v, v) > 0 THEN round(list_cosine_similarity(qv, v), 4) ELSE 0 END AS score FROM q CROSS JOIN d)
+ SELECT query_id, doc_id, score, rank FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id))::INTEGER AS rank FROM s) WHERE rank <= 5""".replace("{}", "[" + ", ".join(f"(length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{c}', '')))::DOUBLE" for c in _LETTERS) + "]"))
+def u2(spark, sf):
+    """Search by an embedding of one's own: how often a text has each of some letters."""
+    count = lambda t, c: (F.length(t) - F.length(F.replace(t, F.lit(c)))).cast("double")
+
+    def embed(df, key, text):
+        t = F.coalesce(text, F.lit(""))
+        return df.select(key, F.array(*[count(t, c) for c in _LETTERS]).alias("embedding"))
+
+    q = t(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return vector.text_search(q, docs(spark, sf), embed, 5)
+
+
 @query("z2_typed", """SELECT 'knowledge_' || doc_id AS id, md5(substr(text, 1, 500)) AS body, coalesce(lang, 'general') AS category, '["' || source || '"]' AS tags FROM documents WHERE source IS NOT NULL
  UNION ALL SELECT 'conversations_' || (conv_id * 1000 + turn), md5(substr(text, 1, 500)), role, '[]' FROM conversations UNION ALL SELECT 'intents_' || item_id, md5(substr(text, 1, 500)), 'general', '["benchmark"]' FROM benchmark
  UNION ALL SELECT 'apis_' || event_id, md5(substr(props, 1, 500)), event_type, '["' || event_type || '","event"]' FROM events""")

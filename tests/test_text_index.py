@@ -1,6 +1,7 @@
 """The stored index against BM25 over the documents as they are, through changes and merges."""
 
 import random
+import re
 
 import pytest
 
@@ -54,6 +55,8 @@ def test_search_equals_bm25_through_changes(spark, rows, asked, tmp_path):
     live = live.where("doc_id IS NULL OR doc_id % 10 <> 4")
     before = same(index, asked, live, 5)
     assert index.statistics()[0] == live.count()
+    known = index.documents()
+    assert sorted(((r["key"], r["words"], r["terms"]) for r in known.collect()), key=repr) == sorted(((r["doc_id"], len(w := re.findall("[a-z0-9]+", (r["text"] or "").lower())), len(set(w))) for r in live.collect()), key=repr)
     index.merge()
     assert same(index, asked, live, 5) == before and len(index._state()["segments"]) == 1 and not index._state()["gone"]
     again = TextIndex(spark, f"file://{tmp_path}/index", span=4)  # opened anew
