@@ -32,6 +32,10 @@ POSTING = "term string, seg int, range long, n int, slots array<int>, tfs array<
 STATE = "version long, segments array<struct<seg:int,folder:string,docs:long,words:long>>, gone array<string>"
 #: Words after which a range is closed, even if it has fewer documents.
 RANGE_WORDS = 1 << 20
+#: Bytes of the queries' weights that are sent to all tasks at once; more queries take several rounds.
+ASKED_BYTES = 64 << 20
+#: Numbers that a task holds for ranges by queries (and documents), and rows that it spreads over their terms' queries at once.
+CELLS, SPREAD = 1 << 22, 4096
 #: The most terms whose values are handed to the scan of the postings; with more, a join alone finds them.
 PUSHED = 1000
 
@@ -217,27 +221,42 @@ class TextIndex:
         idf = F.log(1 + (F.lit(float(docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weighed = stored(asked.join(df.where("df > 0"), "term").select("q", "term", (F.col("times") * idf).alias("w")), "weights")
         mean = max(words / max(docs, 1), 1e-300)
-        part = lambda tf, n: tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * n / mean))
+        size = weighed.agg(F.coalesce(F.sum(F.length("term") + 32), F.lit(0)).alias("n")).first()["n"]
+        rounds = max(1, -(-size // ASKED_BYTES))
+        parts = [self._asked_part(state, weighed.where(F.pmod(F.xxhash64("q"), F.lit(rounds)) == i), postings, gone, mean, k) for i in range(rounds)]
+        return tuple(reduce(DataFrame.unionByName, x) for x in zip(*parts))
+
+    def _asked_part(self, state: dict, weighed: DataFrame, postings: DataFrame, gone: DataFrame, mean: float, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The search for some queries, whose terms' weights are sent to all tasks: a block of postings moves once to where its range is worked out,
+        however many queries have its term."""
+        sent = self.spark.sparkContext.broadcast(_Weights(weighed.toArrow()))
+        kind, k1, b = weighed.schema["q"].dataType.simpleString(), self.k1, self.b
+        part = lambda tf, n: tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / mean))
+        live = postings.where("range >= 0")
         most = F.array_max(F.zip_with("top_tfs", "top_lens", part))
-        blocks = postings.where("range >= 0").select("term", "seg", "range", most.alias("most")).join(weighed, "term")
-        bounds = stored(blocks.groupBy("q", "seg", "range").agg(F.sum(F.col("w") * F.col("most")).alias("bound"), F.count("*").alias("blocks")), "bounds")
+        blocks = live.select("term", "seg", "range", most.alias("most")).mapInArrow(_coded(sent), "code int, seg int, range long, most double")
+        blocks = blocks.repartition("seg", "range").sortWithinPartitions("seg", "range").mapInArrow(_bounds(sent), f"q {kind}, at int, seg int, range long, bound double, blocks long")
+        bounds = stored(blocks, "bounds")
 
         def scored(chosen: DataFrame) -> DataFrame:
-            """q, seg, range, slot, score of all documents of chosen ranges that have a term."""
-            rows = postings.where("range >= 0").select("term", "seg", "range", F.arrays_zip("slots", "tfs", "lens").alias("x")).join(weighed, "term").join(chosen, ["q", "seg", "range"])
-            rows = rows.select("q", "seg", "range", "w", F.inline("x")).groupBy("q", "seg", "range", F.col("slots").alias("slot"))
-            sums = rows.agg(F.sum(F.col("w") * part(F.col("tfs"), F.col("lens"))).alias("s")).select("q", "seg", "range", "slot", rounded(F.col("s")).alias("score"))
-            return sums.join(gone.select("seg", "range", "slot"), ["seg", "range", "slot"], "left_anti").where("score > 0")
+            """q, seg, range, slot, score of all documents of chosen ranges that have a term. A range's list of queries goes with its blocks."""
+            lists = "code int, seg int, range long, slots array<int>, tfs array<int>, lens array<int>"
+            none = F.lit(None).cast("array<int>")
+            who = chosen.groupBy("seg", "range").agg(F.collect_list("at").alias("slots")).select(F.lit(-1).alias("code"), "seg", "range", "slots", none.alias("tfs"), none.alias("lens"))
+            rows = live.select("term", "seg", "range", "slots", "tfs", "lens").mapInArrow(_coded(sent), lists).join(chosen.select("seg", "range").distinct(), ["seg", "range"], "left_semi")
+            rows = rows.select(*[c.split()[0] for c in lists.split(", ")]).unionByName(who).repartition("seg", "range").sortWithinPartitions("seg", "range", "code")
+            sums = rows.mapInArrow(_scores(sent, part), f"q {kind}, seg int, range long, slot int, score double")
+            return sums.join(gone.select("seg", "range", "slot"), ["seg", "range", "slot"], "left_anti") if state["gone"] else sums
 
         # the most promising ranges of each query: k of them give k documents in most cases
         first = Window.partitionBy("q").orderBy(F.desc("bound"), "seg", "range")
-        seeds = stored(bounds.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).select("q", "seg", "range"), "seeds")
+        seeds = stored(bounds.withColumn("place", F.row_number().over(first)).where(F.col("place") <= k).select("q", "at", "seg", "range"), "seeds")
         found = stored(scored(seeds), "found")
         best = Window.partitionBy("q").orderBy(F.desc("score"))
         least = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).groupBy("q").agg(F.min("score").alias("least"), F.count("*").alias("n"))
         least = stored(least.where(F.col("n") == k).select("q", "least"), "least")
         reach = bounds.join(least, "q", "left").where(F.col("least").isNull() | (F.col("bound") + 1e-4 >= F.col("least")))
-        rest = stored(reach.join(seeds, ["q", "seg", "range"], "left_anti").select("q", "seg", "range"), "rest")
+        rest = stored(reach.join(seeds, ["q", "seg", "range"], "left_anti").select("q", "at", "seg", "range"), "rest")
         every = found.unionByName(scored(rest)).join(least, "q", "left").where(F.col("least").isNull() | (F.col("score") >= F.col("least"))).drop("least")
         keys = self._ranges(state).select("seg", "range", "keys")
         named = every.join(keys, ["seg", "range"]).select("q", self._at("keys").alias("key"), "score")
@@ -252,9 +271,113 @@ class TextIndex:
         return postings.where(reduce(lambda x, y: x | y, (F.col("term").isin(known[i : i + 10]) for i in range(0, len(known), 10))))
 
 
-def rounded(x: Column, digits: int = 4) -> Column:
-    """As best.rounded()."""
-    return F.floor(x * 10**digits + 0.5) / 10**digits
+class _Weights:
+    """Queries by their numbers, terms by their codes, and for each term its queries and weights."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        q = (rows.column("q").combine_chunks() if rows.num_rows else pa.array([], rows.schema.field("q").type)).dictionary_encode()
+        term = (rows.column("term").combine_chunks() if rows.num_rows else pa.array([], pa.string())).dictionary_encode()
+        order = np.argsort(term.indices.to_numpy(), kind="stable")
+        self.ids, self.terms = q.dictionary, {t: i for i, t in enumerate(term.dictionary.to_pylist())}
+        self.ends = np.searchsorted(term.indices.to_numpy()[order], np.arange(len(self.terms) + 1))
+        self.q, self.w = q.indices.to_numpy()[order].astype(np.int64), rows.column("w").to_numpy()[order].astype(float)
+
+    def spread(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row of codes with each of its term's queries: row, query, weight."""
+        n = self.ends[code + 1] - self.ends[code]
+        row = np.repeat(np.arange(len(code)), n)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + self.ends[code][row]
+        return row, self.q[at], self.w[at]
+
+
+def _coded(sent):
+    """The rows of known terms, with the term's code in its place."""
+
+    def run(batches):
+        for batch in batches:
+            term = batch.column(0).dictionary_encode()
+            of = np.array([sent.value.terms.get(t, -1) for t in term.dictionary.to_pylist()], np.int32)
+            code = of[term.indices.to_numpy()] if len(term) else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(code, pa.int32()), *batch.columns[1:]], names=["code", *batch.schema.names[1:]]).filter(pa.array(code >= 0))
+
+    return run
+
+
+def _whole_ranges(batches, cells: int):
+    """Sorted rows as batches of whole ranges, so many at a time that a number for each range and cell stays below CELLS: the batch, each row's range
+    among the batch's, and where each range begins."""
+    held = None
+    for batch in batches:
+        batch = batch if held is None else pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        seg, number = batch.column("seg").to_numpy(), batch.column("range").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (seg[1:] != seg[:-1]) | (number[1:] != number[:-1])]))
+        held = batch.slice(int(first[-1]))
+        yield from _portions(batch, first[:-1], int(first[-1]), cells)
+    if held is not None and held.num_rows:
+        yield from _portions(held, np.zeros(1, np.int64), held.num_rows, cells)
+
+
+def _portions(batch: pa.RecordBatch, first: np.ndarray, end: int, cells: int):
+    step = max(1, CELLS // max(cells, 1))
+    for lo in range(0, len(first), step):
+        own = first[lo : lo + step]
+        stop = int(first[lo + step]) if lo + step < len(first) else end
+        starts = own - own[0]
+        yield batch.slice(int(own[0]), stop - int(own[0])), np.repeat(np.arange(len(own)), np.diff(np.append(starts, stop - int(own[0])))), starts
+
+
+def _bounds(sent):
+    def run(batches):
+        w = sent.value
+        nq = len(w.ids)
+        for part, group, starts in _whole_ranges(batches, nq):
+            code, most = part.column("code").to_numpy(), part.column("most").to_numpy()
+            bound, blocks = np.zeros(len(starts) * nq), np.zeros(len(starts) * nq, np.int64)
+            for lo in range(0, len(code), SPREAD):
+                row, q, weight = w.spread(code[lo : lo + SPREAD])
+                cell = group[lo + row] * nq + q
+                bound += np.bincount(cell, weight * most[lo + row], len(bound))
+                blocks += np.bincount(cell, minlength=len(bound))
+            on = np.flatnonzero(blocks)
+            g, q = starts[on // nq], on % nq
+            take = lambda c: part.column(c).take(pa.array(g))
+            yield pa.RecordBatch.from_arrays([w.ids.take(pa.array(q)), pa.array(q, pa.int32()), take("seg"), take("range"), pa.array(bound[on]), pa.array(blocks[on])], names=["q", "at", "seg", "range", "bound", "blocks"])
+
+    return run
+
+
+def _scores(sent, weigh):
+    def run(batches):
+        w = sent.value
+        nq = len(w.ids)
+        for part, group, starts in _whole_ranges(batches, nq * 64):
+            code = part.column("code").to_numpy()
+            size = part.column("slots").value_lengths().to_numpy()
+            slot = part.column("slots").flatten().to_numpy()
+            row = np.repeat(np.arange(len(code)), size)
+            who, own = code[row] < 0, code[row] >= 0
+            wanted = np.zeros((len(starts), nq), bool)
+            wanted[group[row[who]], slot[who]] = True
+            row, slot = row[own], slot[own].astype(np.int64)
+            value = weigh(part.column("tfs").flatten().to_numpy().astype(float), part.column("lens").flatten().to_numpy().astype(float))
+            width = int(slot.max(initial=0)) + 1
+            sums = np.zeros(len(starts) * nq * width)
+            for lo in range(0, len(row), SPREAD):
+                i, q, weight = w.spread(code[row[lo : lo + SPREAD]])
+                g = group[row[lo + i]]
+                hit = wanted[g, q]
+                i, q, weight, g = i[hit], q[hit], weight[hit], g[hit]
+                sums += np.bincount((g * nq + q) * width + slot[lo + i], weight * value[lo + i], len(sums))
+            score = np.floor(sums * 10**4 + 0.5) / 10**4
+            on = np.flatnonzero(score > 0)
+            g, q = starts[on // (nq * width)], on // width % nq
+            take = lambda c: part.column(c).take(pa.array(g))
+            yield pa.RecordBatch.from_arrays([w.ids.take(pa.array(q)), take("seg"), take("range"), pa.array(on % width, pa.int32()), pa.array(score[on])], names=["q", "seg", "range", "slot", "score"])
+
+    return run
 
 
 def _alike(batch: pa.RecordBatch) -> pa.RecordBatch:
