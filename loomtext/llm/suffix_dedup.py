@@ -74,13 +74,16 @@ def anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[n
         new = np.concatenate([[True], (p[1:] != p[:-1]) | (s[1:] != s[:-1] + 1)])
         begin = np.flatnonzero(new)
         count = np.diff(np.concatenate([begin, [len(s)]]))
-        a, b = s[begin], s[begin] + count - 1 + length
-        raw, mark = part.tobytes(), ((p[begin] - a) << 8 | count).tolist()
-        seg = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y], z) for x, y, z in zip(a.tolist(), b.tolist(), mark)), np.uint64, len(a))
-        out.append((g[p[begin]], seg, a + lo, p[begin] - a, count))
+        out.append((g[p[begin]], s[begin] + lo, p[begin] + lo, count))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    return tuple(np.concatenate(x) for x in zip(*out))
+    h, a, p, count = (np.concatenate(x) for x in zip(*out))
+    # a run that a block's end cut is made one again: where a text's runs begin must not hang on what lies before it
+    first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (a[1:] != a[:-1] + count[:-1])]))
+    h, a, p, count = h[first], a[first], p[first] - a[first], np.add.reduceat(count, first)
+    raw, ends, mark = memoryview(data), (a + count - 1 + length).tolist(), (p << 8 | count).tolist()
+    seg = np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y], z) for x, y, z in zip(a.tolist(), ends, mark)), np.uint64, len(a))
+    return h, seg, a, p, count
 
 
 #: packed holds the first start (48 bits), the anchor's place after it (8), the number of starts less one (8). deal is 0 for an anchor that a

@@ -447,6 +447,25 @@ def test_suffix_dedup(spark, docs, rows, none, hot, bits):
     assert suffix_dedup.SuffixDedup(none).documents().count() == 0
 
 
+def test_runs_do_not_hang_on_what_lies_before(spark):
+    """A copy whose runs a block's end cuts elsewhere is no earlier match of its own text."""
+    r = random.Random(21)
+    texts = ["".join(r.choice("abcdefghijklmnop") for _ in range(700)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    runs = []
+    for before in (b"", b"x" * 7, b"y" * 12_345):
+        data = np.frombuffer(before + "".join(texts).encode(), np.uint8)
+        at = np.concatenate([[0], len(before) + np.arange(len(texts) + 1) * 700])
+        h, seg, s, p, n = suffix_dedup.anchors(data, at, 100, 24)
+        own = s >= len(before)
+        runs.append(list(zip(*(x[own].tolist() for x in (h, seg, s - len(before), p, n)))))
+    assert runs[0] == runs[1] == runs[2]
+    copies = [(1000, "z" * 20_000), *((d + 2000, t) for d, t in rows)]
+    halves = [spark.createDataFrame(x, "doc_id long, text string").coalesce(1) for x in (rows, copies)]
+    got = suffix_dedup.SuffixDedup(halves[0].unionByName(halves[1])).documents().collect()
+    assert sorted(tuple(x) for x in got) == brute_removed([*rows, *copies])
+
+
 @pytest.mark.parametrize("text", [b"banana_bandana_banana", b"a" * 40, b"abcdefgh", bytes(np.random.default_rng(1).integers(97, 99, 300, np.uint8)), b"zyxwvu" * 9])
 def test_previous_factor(text):
     w = np.array([text[i : i + 3] for i in range(len(text) - 2)], "S3")
