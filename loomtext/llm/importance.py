@@ -1,7 +1,7 @@
 """Importance resampling towards a target distribution.
 
 Every text becomes a row of counts: its runs of one to n words (A-Z in lower case, joined by one space) fall into buckets by their crc32. The
-rows are persisted as blocks of a sparse matrix in CSR form, a Parquet row for each block. Column sums of the blocks give the distribution of
+rows are persisted as small blocks of a sparse matrix in CSR form, a Parquet row for each block (about 4 KB of text, or one longer text). Column sums of the blocks give the distribution of
 the corpus, those of the target's blocks that of the target; the gain of a bucket is the logarithm of the two smoothed shares' ratio, in
 thousandths. The product of each block with the vector of gains gives the sums behind the documents' weights, and Gumbel noise drawn from the
 identifiers by sha256 turns weights into a draw without replacement: the documents of highest score.
@@ -30,6 +30,10 @@ from .common import AT_ONCE, LOWER, coded_words, documents, materialize, parts,
 BUCKETS = 10_000
 #: Words end at any ASCII character but letters and digits.
 BREAK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+#: Bytes of text that a stored block has; Spark reads some thousand rows at once, whatever they hold, so rows have to be small. Blocks that numpy
+#: works on at once.
+STORED = 4 << 10
+BLOCKS_AT_ONCE = 512
 BLOCK = "ids array<long>, indptr array<int>, indices array<int>, counts array<long>"
 
 
@@ -78,15 +82,22 @@ def block(column: pa.Array, lo: int, hi: int, data: np.ndarray, at: np.ndarray,
 
 
 def matrix(docs: DataFrame, key: str | None = "doc_id", text: str = "text", n: int = 1, buckets: int = BUCKETS, limit: int = AT_ONCE) -> DataFrame:
-    """The documents by buckets, as CSR blocks of about limit bytes of text each."""
-    lists = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x if isinstance(x, pa.Array) else pa.array(x, kind))
+    """The documents by buckets, as CSR blocks of about STORED bytes of text each; so many texts as hold limit bytes are counted at once."""
+    lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), x)
 
     def run(batches):
         for batch in batches:
             data, at = text_bytes(batch.column(1))
             for lo, hi in slices(at, limit):
                 ends, cells, counts = block(batch.column(1), lo, hi, data, at, n, buckets, limit)
-                columns = [lists(batch.column(0).slice(lo, hi - lo), None), lists(ends, pa.int32()), lists(cells, pa.int32()), lists(counts, pa.int64())]
+                cuts = np.array([0, *(b for _, b in slices(at[lo : hi + 1], STORED))])
+                size = np.diff(cuts) + 1  # a block has one pointer more than texts
+                own = np.repeat(cuts[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                pointers = ends[own] - np.repeat(ends[cuts[:-1]], size)
+                columns = [
+                    lists(cuts, batch.column(0).slice(lo, hi - lo)), lists(np.concatenate([[0], np.cumsum(size)]), pa.array(pointers, pa.int32())),
+                    lists(ends[cuts], pa.array(cells, pa.int32())), lists(ends[cuts], pa.array(counts, pa.int64())),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=["ids", "indptr", "indices", "counts"])
 
     own = F.lit(None) if key is None else F.col(key)
@@ -99,9 +110,9 @@ def column_sums(blocks: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     def run(batches):
         sums = np.zeros(buckets, np.int64)
         for batch in batches:
-            for i, c in zip(batch.column(0), batch.column(1)):
-                at = i.values.to_numpy()
-                np.add.at(sums, at, c.values.to_numpy())
+            for lo in range(0, batch.num_rows, BLOCKS_AT_ONCE):
+                some = batch.slice(lo, BLOCKS_AT_ONCE)
+                np.add.at(sums, some.column(0).flatten().to_numpy(), some.column(1).flatten().to_numpy())
         at = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["bucket", "n"])
 
@@ -131,10 +142,15 @@ def weights(blocks: DataFrame, gain: np.ndarray, seed: int = 2024) -> DataFrame:
     def run(batches):
         g = sent.value
         for batch in batches:
-            for ids, ends, cells, counts in zip(*batch.columns):
-                ids, ends, c = ids.values, ends.values.to_numpy(), counts.values.to_numpy()
-                total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[ends])
-                n, sums = total(c), total(g[cells.values.to_numpy()] * c)
+            for lo in range(0, batch.num_rows, BLOCKS_AT_ONCE):
+                ids, ends, cells, counts = (c.slice(lo, BLOCKS_AT_ONCE) for c in batch.columns)
+                base = np.concatenate([[0], np.cumsum(cells.value_lengths().to_numpy())])[:-1]
+                size = ends.value_lengths().to_numpy()
+                at, inner = ends.flatten().to_numpy() + np.repeat(base, size), np.ones(size.sum(), bool)
+                inner[np.cumsum(size) - size] = False  # a block's first pointer ends no text
+                ids, c = ids.flatten(), counts.flatten().to_numpy()
+                total = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[at])[inner[1:]]
+                n, sums = total(c), total(g[cells.flatten().to_numpy()] * c)
                 w = np.where(n > 0, sums // np.maximum(n, 1), 0)
                 score = w + np.array([noise(seed, k) for k in ids.to_pylist()], np.int64)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(w), pa.array(score)], names=["id", "n_features", "weight", "score"])

@@ -325,3 +325,13 @@ def test_shards_grow_without_moving_others(spark, docs, tmp_path):
         assert {(r["doc_id"], r["shard"]) for r in spark.read.parquet(f"file://{tmp_path}/{n}").collect()} == {(k, v[0]) for k, v in at[n].items()}
     sharding.write_shards(own, f"file://{tmp_path}/p", 5, planned=4)
     assert spark.read.parquet(f"file://{tmp_path}/p").count() == own.count()
+
+
+def test_stored_blocks_are_small(spark):
+    """Spark reads thousands of rows at once: a row holds a few texts, or one long one, however many are counted together."""
+    r = random.Random(31)
+    rows = [(i, " ".join(r.choice(["river", "light", "stone1", "the"]) for _ in range(r.randrange(400)))) for i in range(300)] + [(300, "word " * 3000)]
+    blocks = importance.matrix(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    sizes = dict((i, len(t)) for i, t in rows)
+    held = [[sizes[k] for k in b["ids"]] for b in blocks]
+    assert sum(map(len, held)) == 301 and all(len(x) == 1 or sum(x) <= importance.STORED for x in held)
