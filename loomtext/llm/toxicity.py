@@ -73,6 +73,22 @@ def features(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.nda
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
+#: Numbers that are worked on at once; the driver holds the whole sample once only.
+PIECE = 1 << 20
+
+
+def _those(row: np.ndarray, f: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where f is one of the places (sorted): the row, and which place."""
+    rows, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, len(f) if len(places) else 0, PIECE):
+        part = f[lo : lo + PIECE]
+        i = np.minimum(np.searchsorted(places, part), len(places) - 1)
+        hit = places[i] == part
+        rows.append(row[lo : lo + PIECE][hit].astype(np.int64))
+        found.append(i[hit])
+    return np.concatenate(rows), np.concatenate(found)
+
+
 @dataclass
 class Linear:
     """Weights of words (place, weight), of the earlier categories' probabilities, and the bias."""
@@ -85,9 +101,8 @@ class Linear:
     def logits(self, row: np.ndarray, f: np.ndarray, n: int, earlier: np.ndarray) -> np.ndarray:
         out = np.full(n, self.bias) + earlier @ self.chain
         if len(self.places):
-            i = np.minimum(np.searchsorted(self.places, f), len(self.places) - 1)
-            hit = self.places[i] == f
-            out += np.bincount(row[hit], self.weights[i[hit]], n)
+            row, i = _those(row, f, self.places)
+            out += np.bincount(row, self.weights[i], n)
         return out
 
 
@@ -101,16 +116,18 @@ def fit(row: np.ndarray, f: np.ndarray, n: int, earlier: np.ndarray, y: np.ndarr
     share = float(y.mean()) if n else 0.0
     if not 0 < share < 1:
         return Linear(np.zeros(0, np.int64), np.zeros(0), np.zeros(earlier.shape[1]), 40.0 if share else -40.0)
-    used, col = np.unique(f, return_inverse=True)
-    count, positive = np.bincount(col, minlength=len(used)), np.bincount(col, y[row], len(used))
+    count, positive = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS)
+    for lo in range(0, len(f), PIECE):
+        count += np.bincount(f[lo : lo + PIECE], minlength=1 << BITS)
+        positive += np.bincount(f[lo : lo + PIECE], y[row[lo : lo + PIECE]], 1 << BITS)
+    used = np.flatnonzero(count)
+    count, positive = count[used], positive[used]
     n1, p = y.sum(), count / n
     z = np.abs(positive / n1 - (count - positive) / (n - n1)) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / (n - n1)))
     chosen = np.sort(np.argsort(np.where(count >= 5, -z, 0), kind="stable")[:most])
     chosen = chosen[(count[chosen] >= 5) & (z[chosen] >= least_z)]
-    place = np.full(len(used), -1)
-    place[chosen] = np.arange(len(chosen))
-    keep = place[col] >= 0
-    row, col, used = row[keep], place[col[keep]], used[chosen]
+    used = used[chosen]
+    row, col = _those(row, f, used)
     m, k = len(used), earlier.shape[1]
     weight = np.where(y > 0, 0.5 / n1, 0.5 / (n - n1))
 
@@ -206,8 +223,8 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], key: str =
     n = got.num_rows
     y = np.column_stack([got.column(c).to_numpy() for c in ys]) if n else np.zeros((0, len(ys)))
     lists = got.column("f").combine_chunks() if n else None
-    row = np.repeat(np.arange(n), lists.value_lengths().to_numpy()) if n else np.zeros(0, np.int64)
-    f = lists.flatten().to_numpy().astype(np.int64) if n else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(n, dtype=np.int32), lists.value_lengths().to_numpy()) if n else np.zeros(0, np.int32)
+    f = lists.flatten().to_numpy() if n else np.zeros(0, np.int32)
     fold = np.array([(k * 2654435761 >> 7) % folds for k in got.column("k").to_pylist()], np.int64)
     return Chain.train(categories, row, f, y, fold, folds)
 

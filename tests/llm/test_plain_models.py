@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -147,3 +148,19 @@ def test_gradient_equals_finite_differences():
             down = loss()
             t.flat[i] = was
             assert abs((up - down) / 2e-5 - g.flat[i]) < 1e-4
+
+
+def test_training_holds_its_sample_once():
+    """What is worked out over the whole sample comes in pieces, so the driver needs little beside the sample itself."""
+    rng = np.random.default_rng(5)
+    n, each = 3000, 1000
+    row = np.repeat(np.arange(n, dtype=np.int32), each)
+    f = rng.integers(1000, 1 << toxicity.BITS, n * each).astype(np.int32)
+    y = (np.arange(n) % 3 == 0).astype(float)
+    f[::each] = np.where(y > 0, 7, 8)
+    tracemalloc.start()
+    model = toxicity.fit(row, f, n, np.zeros((n, 0)), y, steps=20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {7, 8} & set(model.places.tolist()) and ((model.logits(row, f, n, np.zeros((n, 0))) > 0) == (y > 0)).all()
+    assert peak < 70e6
