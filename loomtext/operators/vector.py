@@ -20,6 +20,8 @@ from .best import Best, ranked, rounded
 BLOCK_BYTES = 64 << 20
 #: Queries and rows of a matrix product.
 QUERIES, ROWS = 512, 2048
+#: Bytes of the vectors that are gathered for pairs.
+PAIR_BYTES = 16 << 20
 
 
 def scores(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
@@ -315,6 +317,14 @@ def kmeans(df: DataFrame, k: int, rounds: int = 10, key: str = "vec_id", vector:
     return df.withColumn("_d", d).withColumn("cluster", (F.array_position("_d", F.array_min("_d")) - 1).cast("int")).drop("_d")
 
 
+def pair_products(q: np.ndarray, x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The inner product of q[i] and x[j] for each pair; the vectors of PAIR_BYTES are gathered at once."""
+    out, step = np.empty(len(i)), max(1, PAIR_BYTES // max(16 * q.shape[1], 1))
+    for lo in range(0, len(i), step):
+        out[lo : lo + step] = np.einsum("ij,ij->i", q[i[lo : lo + step]], x[j[lo : lo + step]])
+    return out
+
+
 def lsh_search(queries: DataFrame, rows: DataFrame, k: int, planes: int = 6, tables: int = 24, seed: int = 1, probes: int = 2, query_key: str = "query_id", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Approximate knn(): rows that share a bucket of random hyperplanes with the query in any of several tables, ranked by cosine. In each
     table a query also asks the buckets across each of the few planes (probes) that it is nearest to. As with knn(), queries are sent to all
@@ -335,16 +345,18 @@ def lsh_search(queries: DataFrame, rows: DataFrame, k: int, planes: int = 6, tab
             ids, q = sent.value
             if not len(q):
                 return
-            side, own = buckets(q)
-            across = np.argsort(np.abs(side), axis=2)[:, :, :probes]
-            probed = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << across)], axis=2)  # queries x tables x buckets asked
+            probed = np.empty((len(q), tables, 1 + min(probes, planes)), np.min_scalar_type((1 << planes) - 1))  # queries x tables x buckets asked
+            for first in range(0, len(q), QUERIES):
+                side, own = buckets(q[first : first + QUERIES])
+                across = np.argsort(np.abs(side), axis=2)[:, :, :probes]
+                probed[first : first + QUERIES] = np.concatenate([own[:, :, None], own[:, :, None] ^ (1 << across)], axis=2)
             length, best, kind = np.linalg.norm(q, axis=1), Best(len(q), k), None
             for batch in batches:
                 kind = batch.schema.field(1).type
                 for lo in range(0, batch.num_rows, ROWS):
                     part = batch.slice(lo, ROWS)
                     x, keys = matrix(part.column(0)), part.column(1).to_numpy(zero_copy_only=False)
-                    bucket, norm = buckets(x)[1], np.linalg.norm(x, axis=1)
+                    bucket, norm = buckets(x)[1].astype(probed.dtype), np.linalg.norm(x, axis=1)
                     for first in range(0, len(q), QUERIES):
                         some = probed[first : first + QUERIES]
                         meet = np.zeros((len(some), len(x)), bool)
@@ -353,7 +365,7 @@ def lsh_search(queries: DataFrame, rows: DataFrame, k: int, planes: int = 6, tab
                                 meet |= some[:, t, p, None] == bucket[None, :, t]
                         i, j = np.nonzero(meet)
                         n = length[first + i] * norm[j]
-                        dot = np.einsum("ij,ij->i", q[first + i], x[j])
+                        dot = pair_products(q, x, first + i, j)
                         s = np.full(meet.shape, -np.inf)
                         s[i, j] = rounded(np.divide(dot, n, out=np.zeros_like(n), where=n > 0), 4)
                         best.add(s, keys, first)

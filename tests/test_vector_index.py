@@ -1,6 +1,7 @@
 """Inverted file and product quantisation against plain versions; one-pass operators on pairs."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -128,3 +129,15 @@ def test_components_equal_numpy(rows, points):
     axes = axes * np.where(axes[np.abs(axes).argmax(0), np.arange(2)] < 0, -1, 1)
     assert got[900] == (None, None)
     assert np.allclose([got[i] for i in range(600)], x @ axes, atol=1e-8)
+
+
+def test_pairs_of_a_bucket_search_are_gathered_in_pieces():
+    r = np.random.default_rng(3)
+    q, x = r.normal(size=(512, 64)), r.normal(size=(1024, 64))
+    i, j = np.nonzero(np.ones((512, 1024), bool))
+    tracemalloc.start()
+    got = vector.pair_products(q, x, i, j)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    assert (got[:3000] == np.einsum("ij,ij->i", q[i[:3000]], x[j[:3000]])).all() and len(got) == len(i)
