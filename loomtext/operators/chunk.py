@@ -9,11 +9,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .pieces import rows_of_texts
 
 Chunker = Callable[[str], Iterator[tuple[int, int]]]
 
@@ -51,14 +51,9 @@ def enriched(df: DataFrame, key: str, chunks: str = "chunks") -> DataFrame:
 
 
 def chunked(df: DataFrame, chunker: Chunker, key: str, text: str) -> DataFrame:
-    """key, chunk, start, end, content for each chunk; batches of texts go to Python as Arrow data, and nothing is shuffled."""
+    """key, chunk, start, end, content for each chunk; pieces of batches go to Python as Arrow data, and nothing is shuffled."""
 
-    def run(frames):
-        for frame in frames:
-            rows = [(k, i, a, b, t[a:b]) for k, t in zip(frame[key], frame[text]) if isinstance(t, str) for i, (a, b) in enumerate(chunker(t))]
-            yield pd.DataFrame(rows, columns=[key, "chunk", "start", "end", "content"])
-
-    return df.select(key, text).mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, chunk int, start int, end int, content string")
+    return rows_of_texts(df, key, text, "chunk int, start int, end int, content string", lambda t: ((i, a, b, t[a:b]) for i, (a, b) in enumerate(chunker(t) if t is not None else ())))
 
 
 def _sliding(text: str, size: int, overlap: int, cut: Callable[[int, int], int]) -> Iterator[tuple[int, int]]:
