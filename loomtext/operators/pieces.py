@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes of the texts of a piece (a longer text comes alone), and rows that are sent back at once.
 PIECE_BYTES, PIECE_ROWS = 1 << 20, 4096
+#: Values of the lists of a piece.
+PIECE_VALUES = 1 << 18
 KINDS = {"int": pa.int32(), "string": pa.string()}
 
 
@@ -24,6 +26,17 @@ def pieces(batch: pa.RecordBatch, column: int = 1, limit: int = PIECE_BYTES) ->
         lo = hi
 
 
+def list_pieces(batch: pa.RecordBatch, column: int = 1, values: int = PIECE_VALUES, rows: int = 1024) -> Iterable[pa.RecordBatch]:
+    """Pieces of so many rows, and of so many values of a column of lists (a longer list comes alone)."""
+    size = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < batch.num_rows:
+        before = size[lo - 1] if lo else 0
+        hi = min(lo + rows, max(lo + 1, int(np.searchsorted(size, before + values, side="right"))))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def rows_of_texts(df: DataFrame, key: str, text: str, schema: str, rows_of: Callable[[str | None], Iterable[tuple]]) -> DataFrame:
     """key and the columns of schema (int and string): the rows that rows_of gives for each text."""
     names, kinds = zip(*(x.split() for x in schema.split(", ")))

@@ -434,17 +434,15 @@ def e1(spark, sf):
 @query("v1_learnt_vectors")
 def v1_learnt(spark, sf):
     """Vectors of all documents from the texts themselves."""
-    d = docs(spark, sf)
-    v = TextVectors.fit(d, "doc_id", "text", 64).vectors(d, "doc_id", "text")
+    v = TextVectors.fit(docs(spark, sf), "doc_id", "text", 64).fitted("doc_id")
     return v.select("doc_id", F.transform("embedding", lambda x: F.round(x, 4)).alias("embedding"))
 
 
 @query("k5_learnt_search")
 def k5_learnt(spark, sf):
     """The documents nearest to each benchmark text by learnt vectors."""
-    d = docs(spark, sf)
-    learnt = TextVectors.fit(d, "doc_id", "text", 128)
-    return vector.knn(learnt.vectors(asked(spark, sf), "query_id", "text"), learnt.vectors(d, "doc_id", "text"), 10, key="doc_id")
+    learnt = TextVectors.fit(docs(spark, sf), "doc_id", "text", 128)
+    return vector.knn(learnt.vectors(asked(spark, sf), "query_id", "text"), learnt.fitted("doc_id"), 10, key="doc_id")
 
 
 @query("e1_learnt_recall")
@@ -452,16 +450,13 @@ def e1_learnt(spark, sf):
     """method, queries, recall: of the documents that hold a benchmark text, the share among the ten nearest, by learnt and by hashed vectors of as
     many dimensions."""
     d, q = docs(spark, sf), asked(spark, sf)
-    # a text that holds another one has its rarest word: the pairs that can be are found by that word, in step with the documents
-    flat = lambda c: F.concat(F.lit(" "), F.array_join(lexical.terms(c), " "), F.lit(" "))
-    words = q.select("query_id", flat(F.col("text")).alias("q"), F.explode(F.array_distinct(lexical.terms(F.col("text")))).alias("w"))
-    own = d.select("doc_id", F.explode(F.array_distinct(lexical.terms(F.col("text")))).alias("w"))
-    known = own.join(words.select("w").distinct(), "w").groupBy("w").agg(F.count("*").alias("n"))
-    rarest = words.join(known, "w").groupBy("query_id", "q").agg(F.min_by("w", F.struct("n", "w")).alias("w"))
-    held = own.join(rarest, "w").join(d.select("doc_id", flat(F.col("text")).alias("t")), "doc_id").where(F.contains("t", "q")).select("query_id", "doc_id")
-    held = stored(held, "held")
     learnt = TextVectors.fit(d, "doc_id", "text", 256)
-    sides = {"learnt": (learnt.vectors(q, "query_id", "text"), learnt.vectors(d, "doc_id", "text")), "hashed": (lexical.hashed_vectors(q, "query_id", "text"), lexical.hashed_vectors(d, "doc_id", "text"))}
+    # a text that holds another one has all its cells: the pairs that can be are found by the stored cells, and only these texts are read again
+    flat = lambda c: F.concat(F.lit(" "), F.array_join(lexical.terms(c), " "), F.lit(" "))
+    can = stored(learnt.holding(q, "query_id", "text").withColumnRenamed("key", "doc_id"), "can")
+    held = can.join(d.select("doc_id", "text"), "doc_id").join(q.select("query_id", F.col("text").alias("q")), "query_id").where(F.contains(flat(F.col("text")), flat(F.col("q"))))
+    held = stored(held.select("query_id", "doc_id"), "held")
+    sides = {"learnt": (learnt.vectors(q, "query_id", "text"), learnt.fitted("doc_id")), "hashed": (lexical.hashed_vectors(q, "query_id", "text"), lexical.hashed_vectors(d, "doc_id", "text"))}
     out = None
     for name, (a, b) in sides.items():
         found = vector.knn(a, b, 10, key="doc_id").select("query_id", "doc_id", F.lit(1).alias("hit"))

@@ -10,6 +10,12 @@ def test_pieces_are_bounded_by_bytes():
     assert [p.column(0).to_pylist() for p in pieces.pieces(batch.slice(0), limit=12)] == [[0, 1, 2], [3], [4, 5]] and list(pieces.pieces(batch.slice(0, 0))) == []
 
 
+def test_list_pieces_are_bounded_by_values_and_rows():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array([[1, 2], None, [3] * 5, [4] * 30, [], [5]])], names=["k", "w"])
+    assert [p.column(0).to_pylist() for p in pieces.list_pieces(batch, values=7)] == [[0, 1, 2], [3], [4, 5]]
+    assert [p.num_rows for p in pieces.list_pieces(batch, rows=4)] == [4, 2] and list(pieces.list_pieces(batch.slice(0, 0))) == []
+
+
 def test_rows_of_texts_come_in_pieces(spark):
     """A batch of many texts is sent back in many batches, with the rows in order; keys may be null."""
     rows = [(None if i == 7 else i, None if i == 5 else "w" * 1000) for i in range(4000)]

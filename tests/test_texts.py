@@ -109,3 +109,22 @@ def test_vectors_tell_topics_apart_and_take_new_texts(spark, texts):
     assert all(i % 6 == 3 for i in near)
     none = TextVectors.fit(texts.limit(0), "id", "text", dim=4, cells=64)
     assert not any(none.values) and none.vectors(texts, "id", "text").where(F.exists("embedding", lambda x: x != 0)).count() == 0
+
+
+def test_learnt_texts_are_placed_without_reading_them_again(spark, texts, monkeypatch):
+    """Vectors from the stored cells equal those from the texts; a block of rows is a dense matrix of 256 at most."""
+    assert learnt_vectors.BLOCK <= 256
+    monkeypatch.setattr(learnt_vectors, "BLOCK", 13)
+    learnt = TextVectors.fit(texts, "id", "text", dim=8, cells=256)
+    got = [sorted(((r["id"], r["embedding"]) for r in df.collect()), key=repr) for df in (learnt.fitted("id"), learnt.vectors(texts, "id", "text"))]
+    assert [k for k, _ in got[0]] == [k for k, _ in got[1]] and np.allclose([v for _, v in got[0]], [v for _, v in got[1]])
+
+
+@pytest.mark.parametrize("asked", [2048, 1])
+def test_holding_loses_no_text_that_holds_a_query(spark, monkeypatch, asked):
+    monkeypatch.setattr(learnt_vectors, "ASKED", asked)
+    d = [(1, "the red fox ran"), (2, "red fox"), (3, "fox red red"), (4, None), (5, "a red red fox sat"), (6, ""), (None, "red red fox")]
+    q = [(0, "Red fox"), (1, "red red fox"), (2, None), (3, "never"), (4, "...")]
+    learnt = TextVectors.fit(spark.createDataFrame(d, "id long, text string").repartition(3), "id", "text", dim=4, cells=4096)
+    got = sorted(tuple(r) for r in learnt.holding(spark.createDataFrame(q, "q long, text string"), "q", "text").collect())
+    assert got == [(0, 1), (0, 2), (0, 3), (0, 5), (1, 3), (1, 5)]
