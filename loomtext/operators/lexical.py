@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import text as X
 from ..sources.shared import stored
 from .best import Best, ranked, rounded
+from .pieces import list_pieces
 
 
 def terms(t: Column) -> Column:
@@ -115,8 +116,7 @@ def rank(queries: DataFrame, docs: DataFrame, ways: list[Way], query_key: str =
 
         def count(batches, sent=sent):
             for batch in batches:
-                for lo in range(0, batch.num_rows, 1024):
-                    part = batch.slice(lo, 1024)
+                for part in list_pieces(batch):
                     doc, term, n = sent.value.counts(part.column(1))
                     ends = pa.array(np.searchsorted(doc, np.arange(part.num_rows + 1)), pa.int32())
                     own, k = [], 2
@@ -216,12 +216,13 @@ def hashed_vectors(df: DataFrame, key: str, text: str, dim: int = 256, tokens=te
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
-            row = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-            n = np.bincount(row * dim + lists.flatten().to_numpy(), minlength=batch.num_rows * dim).reshape(-1, dim).astype(float)
-            n /= np.maximum(np.sqrt((n * n).sum(axis=1, keepdims=True)), 1e-300)
-            at = pa.array(np.arange(0, n.size + 1, dim, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(at, pa.array(n.ravel()))], names=[key, "embedding"])
+            for part in list_pieces(batch):
+                lists = part.column(1)
+                row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                n = np.bincount(row * dim + lists.flatten().to_numpy(), minlength=part.num_rows * dim).reshape(-1, dim).astype(float)
+                n /= np.maximum(np.sqrt((n * n).sum(axis=1, keepdims=True)), 1e-300)
+                at = pa.array(np.arange(0, n.size + 1, dim, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(at, pa.array(n.ravel()))], names=[key, "embedding"])
 
     cell = lambda w: (F.conv(F.substring(F.md5(w), 1, 2 if dim <= 256 else 8), 16, 10).cast("long") % dim).cast("int")
     cells = F.transform(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>")), cell).alias("cells")
