@@ -212,37 +212,64 @@ def _keyworded(spark, sf):
     return asked(spark, sf).select("query_id", F.array_join(X.regex_keywords(F.col("text")), " ").alias("text"))
 
 
-def _diverse(spark, sf, k):
-    found = semantic(spark, sf, 2 * k)
-    v = lexical.hashed_vectors(docs(spark, sf), "doc_id", "text")
-    return vector.mmr(found.join(v, "doc_id"), k, 0.7, key="doc_id")
+class Searches:
+    """The rankings that several methods start from, each worked out once, to the greatest depth asked for, and kept: a shallower one is its head.
+    Vectors are made anew for the documents found alone."""
 
+    def __init__(self, spark, sf, k: int, keyworded: bool = False):
+        self.spark, self.sf, self.k, self.keyworded, self.kept = spark, sf, k, keyworded, {}
 
-def _compressed(spark, sf, k):
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self.kept:
+            self.kept[name] = stored(make(), name)
+        return self.kept[name]
+
+    def _near(self) -> DataFrame:
+        """Both kinds of queries in one scan, each with its kind as part of its key."""
+        kinds = [asked(self.spark, self.sf), *([_keyworded(self.spark, self.sf)] if self.keyworded else [])]
+        each = [q.select(F.struct("query_id", F.lit(i).alias("kind")).alias("query_id"), "text") for i, q in enumerate(kinds)]
+        found = semantic(self.spark, self.sf, 2 * self.k, text=reduce(DataFrame.unionByName, each))
+        return found.select("query_id.query_id", "query_id.kind", "doc_id", "score", "rank")
+
+    def semantic(self, k: int, least: float | None = None, kind: int = 0) -> DataFrame:
+        own = self._once("near", self._near).where((F.col("kind") == kind) & (F.col("rank") <= k)).drop("kind")
+        return own if least is None else own.where(F.col("score") >= least)  # the best come first, so ranks stay
+
+    def sparse(self, k: int) -> DataFrame:
+        return self._once("sparse", lambda: sparse(self.spark, self.sf, self.k)).where(F.col("rank") <= k)
+
+    def with_vectors(self, found: DataFrame) -> DataFrame:
+        def own():
+            d = docs(self.spark, self.sf).join(self._once("near", self._near).where("kind = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+            return lexical.hashed_vectors(d, "doc_id", "text")
+
+        return found.join(self._once("vectors", own), "doc_id")
+
+
+def _compressed(s: Searches, k: int) -> DataFrame:
     """Results that are near enough, without those that repeat a better one; then their ranks."""
-    v = lexical.hashed_vectors(docs(spark, sf), "doc_id", "text")
-    kept = vector.drop_redundant(semantic(spark, sf, k, 0.3).join(v, "doc_id"), 0.8, key="doc_id")
-    return lexical.top(kept, "query_id", "doc_id", k)
+    return lexical.top(vector.drop_redundant(s.with_vectors(s.semantic(k, 0.3)), 0.8, key="doc_id"), "query_id", "doc_id", k)
 
 
 METHODS = {
-    "sparse": sparse,
-    "dense": semantic,
-    "hybrid": lambda spark, sf, k: fusion.weighted(semantic(spark, sf, k), sparse(spark, sf, k), 0.5, k),
-    "similarity": semantic,
-    "threshold": lambda spark, sf, k: semantic(spark, sf, k, 0.3),
-    "ensemble": lambda spark, sf, k: fusion.rrf([semantic(spark, sf, k), sparse(spark, sf, k)], k, weights=[0.7, 0.3]),
-    "multi_query": lambda spark, sf, k: fusion.best_of([semantic(spark, sf, k), semantic(spark, sf, k, text=_keyworded(spark, sf))], k),
-    "mmr": _diverse,
+    "sparse": Searches.sparse,
+    "dense": Searches.semantic,
+    "hybrid": lambda s, k: fusion.weighted(s.semantic(k), s.sparse(k), 0.5, k),
+    "similarity": Searches.semantic,
+    "threshold": lambda s, k: s.semantic(k, 0.3),
+    "ensemble": lambda s, k: fusion.rrf([s.semantic(k), s.sparse(k)], k, weights=[0.7, 0.3]),
+    "multi_query": lambda s, k: fusion.best_of([s.semantic(k), s.semantic(k, kind=1)], k),
+    "mmr": lambda s, k: vector.mmr(s.with_vectors(s.semantic(2 * k)), k, 0.7, key="doc_id"),
     "compression": _compressed,
 }
 
 
-def search(spark, sf, method: str, k: int = 5, rerank: bool = False) -> DataFrame:
+def search(spark, sf, method: str, k: int = 5, rerank: bool = False, shared: Searches | None = None) -> DataFrame:
     """One of several methods by name. With rerank, three times as many candidates are searched for, and the pairs' scores choose among them."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method}")
-    found = METHODS[method](spark, sf, 3 * k if rerank else k)
+    deep = 3 * k if rerank else k
+    found = METHODS[method](shared or Searches(spark, sf, deep, method == "multi_query"), deep)
     if rerank:
         q = asked(spark, sf).withColumnRenamed("text", "query_text")
         found = fusion.rerank_by_pairs(found.join(docs(spark, sf).select("doc_id", "text"), "doc_id").join(q, "query_id"), "query_text", "text", k)
@@ -250,7 +277,8 @@ def search(spark, sf, method: str, k: int = 5, rerank: bool = False) -> DataFram
 
 
 def _all(spark, sf, methods: tuple[str, ...]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [search(spark, sf, m).select(F.lit(m).alias("method"), "*") for m in methods])
+    shared = Searches(spark, sf, 5, "multi_query" in methods)
+    return reduce(DataFrame.unionByName, [search(spark, sf, m, shared=shared).select(F.lit(m).alias("method"), "*") for m in methods])
 
 
 _EACH = f"""WITH {_BM25}, {_HASHED}, {_semantic(5)}, {_semantic(5, 'near', 0.3)}, s5 AS (SELECT * FROM sparse WHERE rank <= 5),

@@ -44,3 +44,17 @@ def test_few_cells_at_a_time(monkeypatch):
     whole = [s for _, s in asked.scores(40, doc, term, n.astype(float))]
     monkeypatch.setattr(lexical, "CELLS", 700)
     assert all(np.allclose(a, b) for a, b in zip(whole, (s for _, s in asked.scores(40, doc, term, n.astype(float)))))
+
+
+def test_methods_share_their_scans(spark, monkeypatch):
+    """Vectors of all documents are made once for all methods, later ones of the found documents alone; each method gives what it gives alone."""
+    from loomtext.plans import lexical_queries as Q
+
+    sf, made, methods = "/root/testdata/sf0.001", [], ("mmr", "multi_query", "compression", "threshold", "ensemble")
+    hashed = Q.lexical.hashed_vectors
+    monkeypatch.setattr(Q.lexical, "hashed_vectors", lambda df, *a: made.append(df) or hashed(df, *a))
+    whole = sorted((r["method"], r["query_id"], r["rank"], r["doc_id"], r["score"]) for r in Q._all(spark, sf, methods).collect())
+    n = Q.docs(spark, sf).count()
+    assert sum("doc_id" in df.columns and df.count() == n for df in made) == 1
+    alone = [(m, r["query_id"], r["rank"], r["doc_id"], r["score"]) for m in methods[:3] for r in Q.search(spark, sf, m).collect()]
+    assert sorted(alone) == [r for r in whole if r[0] in methods[:3]]
