@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -38,6 +40,20 @@ def _batches(column, rows: int = 256, size: int = 4 << 20):
         yield held
 
 
+#: A byte-level vocabulary never joins over a place where white space follows anything else: texts are cut there. Those with
+#: other white space than this are not cut.
+PLACE, OTHER_SPACE = re.compile(r"(?<=[^ \t\n\r])[ \t\n\r]"), re.compile(r"[^\S \t\n\r]|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+#: Characters of a text's head for each token.
+HEAD = 6
+
+
+def _cutter(v):
+    """Whether a text may be cut: never under another kind of tokenizer, and not with an added token's content or odd white space."""
+    plain = type(v.pre_tokenizer).__name__ == "ByteLevel" and v.normalizer is None
+    added = [t.content for t in v.get_added_tokens_decoder().values() if t.content]
+    return lambda t: plain and not any(a in t for a in added) and OTHER_SPACE.search(t) is None
+
+
 def with_tokens(df: DataFrame, text: str, out: str = "tokens", name: str = VOCABULARY) -> DataFrame:
     """Adds the number of tokens of each text (null: 0)."""
     at = df.columns.index(text)
@@ -51,18 +67,35 @@ def with_tokens(df: DataFrame, text: str, out: str = "tokens", name: str = VOCAB
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
 
 
+def _head(t: str, size: int) -> str:
+    """The text up to its first place from size on where it may be cut."""
+    place = PLACE.search(t, size)
+    return t if place is None else t[: place.start()]
+
+
 def truncated(df: DataFrame, text: str, tokens: int, out: str = "cut", name: str = VOCABULARY) -> DataFrame:
     """Adds each text up to its first tokens; a text that has no more stays as it is, and so does a null. A character whose bytes are cut
-    apart is written as the replacement character, as the vocabulary's decoder does."""
+    apart is written as the replacement character, as the vocabulary's decoder does. Of a long text a head is encoded, and a longer one until it
+    has more tokens than that."""
     at = df.columns.index(text)
 
     def run(batches):
         v = vocabulary(name)
+        can = _cutter(v)
+
+        def cut(t: str | None) -> str | None:
+            size = HEAD * tokens + 1 if t and can(t) else len(t or "")
+            while t:
+                head = _head(t, size) if size < len(t) else t
+                ids = v.encode(head, add_special_tokens=False).ids
+                if len(ids) > tokens:
+                    return v.decode(ids[:tokens], skip_special_tokens=False)
+                if len(head) == len(t):
+                    break
+                size = max(4 * size, len(head))
+            return t
+
         for batch in batches:
-            cut, column = [], batch.column(at)
-            for some in _batches(column):
-                cut += [t if len(e.ids) <= tokens else v.decode(e.ids[:tokens], skip_special_tokens=False) for t, e in zip(some, v.encode_batch(some, add_special_tokens=False))]
-            cut = [None if not x.is_valid else c for x, c in zip(column, cut)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cut, pa.string())], names=[*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([cut(x.as_py()) for x in batch.column(at)], pa.string())], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))

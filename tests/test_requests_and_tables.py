@@ -1,5 +1,8 @@
 """Requests, changing tables and page structure: nulls, ties, empty tables, texts at the limits."""
 
+import random
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from loomtext.functions import bpe
@@ -177,3 +180,37 @@ def test_training_pairs(spark):
     again = fusion.training_pairs(q.repartition(3), p.repartition(5), ["id", "j"], "id", "passage", 3).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
     assert fusion.training_pairs(q.limit(0), p.limit(0), ["id", "j"], "id", "passage").count() == 0
+
+
+def test_only_heads_of_long_texts_are_encoded(spark, monkeypatch):
+    """Cuts of odd texts equal those of the whole texts' tokens, and a long text is not encoded whole."""
+    v, r, seen = bpe.vocabulary(), random.Random(3), []
+    texts = ["".join(r.choice(a) for _ in range(r.randrange(600))) for a in ("ab1'. \n\t\r\xa0\u00e9\u3000!?  's\x0b\u200b\ud55c", "ab  '\n.1\u00e9\ud55cs") for _ in range(150)]
+    texts += ["x" * 900, " " * 900, "a " * 900, "hello <|endoftext|> " * 90, "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(3)
+    got = [x["cut"] for x in bpe.truncated(df, "t", 9).orderBy("i").collect()]
+    ids = [v.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got == [t if len(e) <= 9 else v.decode(e[:9], skip_special_tokens=False) for t, e in zip(texts, ids)]
+
+    class Spy:
+        def __getattr__(self, name):
+            return getattr(v, name)
+
+        def encode(self, t, **kw):
+            seen.append(len(t))
+            return v.encode(t, **kw)
+
+        def encode_batch(self, some, **kw):
+            seen.extend(map(len, some))
+            return v.encode_batch(some, **kw)
+
+    class Table:
+        columns, schema = ["t"], df.select("t").schema
+
+        def mapInArrow(self, run, _):
+            return list(run([pa.RecordBatch.from_arrays([pa.array(["some plain words " * 5000])], names=["t"])]))
+
+    monkeypatch.setattr(bpe, "vocabulary", lambda name: Spy())
+    (batch,) = bpe.truncated(Table(), "t", 9)
+    assert batch.column(1).to_pylist() == ["some plain words" * 1 + " some plain words" * 2] and max(seen) < 1000
+
