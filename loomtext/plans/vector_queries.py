@@ -62,8 +62,7 @@ def v3(spark, sf):
 
 @query("v4_distances", f"WITH {_E} SELECT query_id, vec_id, round(list_distance(qv, v), 4) AS l2, round(list_sum(list_transform(list_zip(qv, v), lambda p: abs(p[1] - p[2]))), 4) AS l1, round(1 - list_cosine_similarity(qv, v), 4) AS cosine FROM q CROSS JOIN e")
 def v4(spark, sf):
-    d = vector.pairs(asked(spark, sf), emb(spark, sf), ("l2", "l1", "cosine"), digits=9)
-    return d.select("query_id", "vec_id", F.round("l2", 4).alias("l2"), F.round("l1", 4).alias("l1"), F.round(1 - F.col("cosine"), 4).alias("cosine"))
+    return vector.pairs(asked(spark, sf), emb(spark, sf), ("l2", "l1", "distance")).withColumnRenamed("distance", "cosine")
 
 
 @query("v5_extremes", f"WITH {_E}, s AS (SELECT query_id, vec_id, {_S} AS score FROM q CROSS JOIN e WHERE query_id <> vec_id) SELECT query_id, arg_max(vec_id, score * 1000000 - vec_id / 1000000.0) AS most_similar, max(score) AS most, arg_min(vec_id, score * 1000000 + vec_id / 1000000.0) AS least_similar, min(score) AS least FROM s GROUP BY query_id")

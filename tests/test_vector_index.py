@@ -141,3 +141,21 @@ def test_pairs_of_a_bucket_search_are_gathered_in_pieces():
     tracemalloc.stop()
     assert peak < 40e6
     assert (got[:3000] == np.einsum("ij,ij->i", q[i[:3000]], x[j[:3000]])).all() and len(got) == len(i)
+
+
+def test_distances_hold_small_tiles(monkeypatch):
+    """Sums of differences are made dimension by dimension: no more memory than a few results, whatever the number of dimensions."""
+    import tracemalloc
+
+    import numpy as np
+
+    from loomtext.operators import vector
+
+    r = np.random.default_rng(2)
+    q, x = r.normal(size=(100, 64)), r.normal(size=(1100, 64))
+    tracemalloc.start()
+    got = vector.scores(q, x, "l1")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got, [[-np.abs(a - b).sum() for b in x] for a in q]) and peak < 4 << 20
+    assert np.allclose(vector.scores(q, x, "distance"), 1 - vector.scores(q, x, "cosine"))
