@@ -34,8 +34,12 @@ STATE = "version long, segments array<struct<seg:int,folder:string,docs:long,wor
 RANGE_WORDS = 1 << 20
 #: Bytes of the queries' weights that are sent to all tasks at once; more queries take several rounds.
 ASKED_BYTES = 64 << 20
+#: Bytes of terms, up to which they are sent to all tasks to be looked up there.
+SENT_BYTES = 16 << 20
 #: Numbers that a task holds for ranges by queries (and documents), and rows that it spreads over their terms' queries at once.
 CELLS, SPREAD = 1 << 22, 4096
+#: Tasks at most that get the blocks of a term.
+DEALT = 8
 #: The most terms whose values are handed to the scan of the postings; with more, a join alone finds them.
 PUSHED = 1000
 
@@ -78,13 +82,13 @@ class TextIndex:
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         """Appends the documents as a segment, whatever keys there are already."""
         state = self._state()
-        self._commit(state, [*state["segments"], self._segment(state, self._counted(docs, key, text))], state["gone"])
+        self._commit(state, [*state["segments"], self._segment(state, self._words(docs, key, text), _counted)], state["gone"])
 
     def update(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         """Appends the documents; older ones of their keys go."""
         state = self._state()
         gone = self._drop(state, docs.select(F.col(key).alias("key")))
-        self._commit(state, [*state["segments"], self._segment(state, self._counted(docs, key, text))], [*state["gone"], *gone])
+        self._commit(state, [*state["segments"], self._segment(state, self._words(docs, key, text), _counted)], [*state["gone"], *gone])
 
     def delete(self, keys: DataFrame, key: str = "doc_id") -> None:
         state = self._state()
@@ -114,25 +118,12 @@ class TextIndex:
         rows.select("seg", "range", "slot", self._at("lens").alias("len"), own.alias("terms")).write.parquet(f"{self.path}/{folder}")
         return [folder]
 
-    def _counted(self, docs: DataFrame, key: str, text: str) -> DataFrame:
-        """key, len, and each document's different terms with their counts."""
-
-        def run(batches):
-            for batch in batches:
-                words = batch.column(1)
-                size = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-                flat = words.flatten().dictionary_encode()
-                k = max(len(flat.dictionary), 1)
-                both, n = np.unique(np.repeat(np.arange(len(words)), size) * k + flat.indices.to_numpy(), return_counts=True)
-                ends = pa.array(np.searchsorted(both, np.arange(len(words) + 1) * k), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, x) for x in (flat.dictionary.take(pa.array(both % k)), pa.array(n, pa.int32()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), *lists], names=["key", "len", "terms", "tfs"])
-
-        rows = docs.select(F.col(key).cast(self.key_type).alias("key"), self.tokens(F.col(text)).alias("w"))
-        return rows.mapInArrow(run, f"key {self.key_type}, len int, terms array<string>, tfs array<int>")
-
-    def _segment(self, state: dict, counted: DataFrame) -> dict:
-        """Writes a segment's ranges, and from these its postings, sorted by term: a scan for some terms reads the row groups that can have them."""
+    def _words(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        return docs.select(F.col(key).cast(self.key_type).alias("key"), self.tokens(F.col(text)).alias("w"))
+
+    def _segment(self, state: dict, rows: DataFrame, counted=lambda batches: batches) -> dict:
+        """Writes a segment's ranges, and from these its postings, dealt by term and sorted by it: a scan for some terms reads the row groups that
+        can have them. counted: what makes key, len and a document's different terms with their counts of the rows, in the task that numbers them."""
         seg, folder, span = 1 + max((s["seg"] for s in state["segments"]), default=-1), f"segments/{uuid.uuid4().hex}", self.span
         schema = RANGE.format(key=self.key_type)
 
@@ -153,7 +144,7 @@ class TextIndex:
                 return pa.RecordBatch.from_arrays([pa.array([seg], pa.int32()), pa.array([-1 - number if unknown else number], pa.int64()), *lists], names=["seg", "range", "keys", "lens", "starts", "terms", "tfs"])
 
             held = {False: [0, 0], True: [0, 0]}
-            for batch in batches:
+            for batch in counted(batches):
                 batch = _alike(batch)
                 null = np.array(batch.column(0).is_null())
                 for unknown in (False, True):
@@ -174,10 +165,11 @@ class TextIndex:
                 if open_rows[unknown]:
                     yield closed(unknown)
 
-        counted.mapInArrow(ranges, schema).write.option("compression", "zstd").parquet(f"{self.path}/{folder}/ranges")
+        rows.mapInArrow(ranges, schema).write.option("compression", "zstd").parquet(f"{self.path}/{folder}/ranges")
         rows = self.spark.read.schema(schema).parquet(f"{self.path}/{folder}/ranges")
         blocks = rows.select("seg", "range", "lens", "starts", "terms", "tfs").mapInArrow(_blocks, POSTING)
-        blocks = blocks.repartitionByRange("term", "range").sortWithinPartitions("term", "range")
+        # by hash, since sampled bounds would make all blocks twice; the blocks of a term go to a few tasks, by the task that has numbered their range
+        blocks = blocks.repartition("term", F.pmod(F.shiftright("range", 32), F.lit(DEALT))).sortWithinPartitions("term", "range")
         blocks.write.option("compression", "zstd").option("parquet.block.size", 16 << 20).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.path}/{folder}/postings")
         total = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
         n = rows.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)), F.coalesce(F.sum(total), F.lit(0))).first()
@@ -214,10 +206,10 @@ class TextIndex:
         docs, words = self.statistics()
         asked = queries.select(F.col(query_key).alias("q"), F.explode(self.tokens(F.col(text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
         asked = stored(asked, "asked")
-        postings = self._pruned(self._read(state, "postings", POSTING), asked)
+        postings = self._asked_postings(state, asked)
         gone = self._gone(state)
         less = gone.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("less"))
-        df = postings.join(asked.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("df")).join(less, "term", "left").withColumn("df", F.col("df") - F.coalesce("less", F.lit(0)))
+        df = postings.groupBy("term").agg(F.sum("n").alias("df")).join(less, "term", "left").withColumn("df", F.col("df") - F.coalesce("less", F.lit(0)))
         idf = F.log(1 + (F.lit(float(docs)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         weighed = stored(asked.join(df.where("df > 0"), "term").select("q", "term", (F.col("times") * idf).alias("w")), "weights")
         mean = max(words / max(docs, 1), 1e-300)
@@ -243,8 +235,8 @@ class TextIndex:
             lists = "code int, seg int, range long, slots array<int>, tfs array<int>, lens array<int>"
             none = F.lit(None).cast("array<int>")
             who = chosen.groupBy("seg", "range").agg(F.collect_list("at").alias("slots")).select(F.lit(-1).alias("code"), "seg", "range", "slots", none.alias("tfs"), none.alias("lens"))
-            rows = live.select("term", "seg", "range", "slots", "tfs", "lens").mapInArrow(_coded(sent), lists).join(chosen.select("seg", "range").distinct(), ["seg", "range"], "left_semi")
-            rows = rows.select(*[c.split()[0] for c in lists.split(", ")]).unionByName(who).repartition("seg", "range").sortWithinPartitions("seg", "range", "code")
+            rows = live.join(chosen.select("seg", "range").distinct(), ["seg", "range"], "left_semi").select("term", "seg", "range", "slots", "tfs", "lens")
+            rows = rows.mapInArrow(_coded(sent), lists).unionByName(who).repartition("seg", "range").sortWithinPartitions("seg", "range", "code")
             sums = rows.mapInArrow(_scores(sent, part), f"q {kind}, seg int, range long, slot int, score double")
             return sums.join(gone.select("seg", "range", "slot"), ["seg", "range", "slot"], "left_anti") if state["gone"] else sums
 
@@ -263,6 +255,13 @@ class TextIndex:
         top = Window.partitionBy("q").orderBy(F.desc("score"), "key")
         return named.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= k), bounds, seeds.unionByName(rest)
 
+    def _asked_postings(self, state: dict, asked: DataFrame) -> DataFrame:
+        """The postings of the asked terms as a table: the index is scanned once, and no other term's rows leave the JVM."""
+        known = asked.select("term").distinct()
+        size = known.agg(F.coalesce(F.sum(F.length("term") + 32), F.lit(0)).alias("n")).first()["n"]
+        postings = self._pruned(self._read(state, "postings", POSTING), asked)
+        return stored(postings.join(F.broadcast(known) if size <= SENT_BYTES else known, "term", "left_semi"), "hits")
+
     def _pruned(self, postings: DataFrame, asked: DataFrame) -> DataFrame:
         """A few terms are handed to the scan as filters, ten at a time, so that statistics and Bloom filters of row groups can rule them out."""
         known = [r["term"] for r in asked.select("term").distinct().limit(PUSHED + 1).collect()]
@@ -271,6 +270,19 @@ class TextIndex:
         return postings.where(reduce(lambda x, y: x | y, (F.col("term").isin(known[i : i + 10]) for i in range(0, len(known), 10))))
 
 
+def _counted(batches):
+    """Of keys and words: key, len, and each document's different terms with their counts."""
+    for batch in batches:
+        words = batch.column(1)
+        size = words.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        flat = words.flatten().dictionary_encode()
+        k = max(len(flat.dictionary), 1)
+        both, n = np.unique(np.repeat(np.arange(len(words)), size) * k + flat.indices.to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(both, np.arange(len(words) + 1) * k), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (flat.dictionary.take(pa.array(both % k)), pa.array(n, pa.int32()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int32()), *lists], names=["key", "len", "terms", "tfs"])
+
+
 class _Weights:
     """Queries by their numbers, terms by their codes, and for each term its queries and weights."""
 

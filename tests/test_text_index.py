@@ -95,3 +95,29 @@ def test_many_terms_and_two_writers(spark, rows, asked, tmp_path, monkeypatch):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         index._commit(old, [], [])
     assert index.statistics()[0] == docs.count() - 1
+
+
+def test_blocks_are_made_once_and_only_asked_terms_leave_the_scan(spark, rows, tmp_path, monkeypatch):
+    """Sampled bounds made all blocks of a segment twice, and each pass of a search sent every term's postings to Python."""
+    made, seen = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+    blocks, coded = text_index._blocks, text_index._coded
+
+    def counting(count, run):
+        def each(batches):
+            for batch in batches:
+                count.add(batch.num_rows)
+                yield batch
+
+        return lambda batches: run(each(batches))
+
+    monkeypatch.setattr(text_index, "_blocks", counting(made, blocks))
+    monkeypatch.setattr(text_index, "_coded", lambda sent: counting(seen, coded(sent)))
+    index = TextIndex(spark, f"file://{tmp_path}/index", span=4)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    index.add(docs)
+    assert made.value == index._ranges(index._state()).count()
+    q = spark.createDataFrame([(i, w) for i, w in enumerate(["candle7", "lamp", "market3"])], "query_id long, text string")
+    monkeypatch.setattr(text_index, "PUSHED", 1)
+    same(index, q, docs, 4)
+    own = index._read(index._state(), "postings", text_index.POSTING).where("term IN ('candle7', 'lamp', 'market3')").count()
+    assert 0 < seen.value <= 3 * own
