@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -42,9 +43,11 @@ def _batches(column, rows: int = 256, size: int = 4 << 20):
 
 #: A byte-level vocabulary never joins over a place where white space follows anything else: texts are cut there. Those with
 #: other white space than this are not cut.
-PLACE, OTHER_SPACE = re.compile(r"(?<=[^ \t\n\r])[ \t\n\r]"), re.compile(r"[^\S \t\n\r]|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+PLACE, OTHER_SPACE = re.compile(r"(?<=[^ \t\n\r])[ \t\n\r]"), re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Characters of a text's head for each token.
 HEAD = 6
+#: Characters of texts that are counted at once.
+AT_ONCE = 1 << 20
 
 
 def _cutter(v):
@@ -54,14 +57,83 @@ def _cutter(v):
     return lambda t: plain and not any(a in t for a in added) and OTHER_SPACE.search(t) is None
 
 
+#: Different chunks whose numbers of tokens a worker keeps; of those met longest ago as many again.
+KEPT = 500_000
+SPACE, LETTER, STOP = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+SPACE[[0x20, 0x09, 0x0A, 0x0D]] = True
+LETTER[[*range(65, 91), *range(97, 123)]] = True
+STOP[[0x2C, 0x2E]] = True
+
+
+class Counter:
+    """Numbers of tokens of texts as sums over their chunks, each different one split and merged once. Chunks begin where white space follows
+    anything else, and where a full stop or comma follows an ASCII letter; texts that may not be cut are encoded whole."""
+
+    def __init__(self, v):
+        self.v, self.model, self.split = v, v.model, v.pre_tokenizer
+        asis = v.truncation is None and v.padding is None and not getattr(self.split, "add_prefix_space", True) and getattr(self.split, "use_regex", False)
+        can = _cutter(v)
+        self.can = lambda t: asis and can(t)
+        self.new, self.old = {}, {}
+
+    def _count(self, chunk: bytes) -> int:
+        space = chunk[:1] == b" "
+        if chunk[1:].isalpha() if space else chunk.isalpha():  # bytes: letters of ASCII only, which stand for themselves
+            return len(self.model.tokenize("\u0120" + chunk[1:].decode() if space else chunk.decode()))
+        return sum(len(self.model.tokenize(piece)) for piece, _ in self.split.pre_tokenize_str(chunk.decode()))
+
+    def _known(self, chunk: bytes) -> int:
+        n = self.new.get(chunk)
+        if n is None:
+            n = self.old.get(chunk)
+            self.new[chunk] = n = self._count(chunk) if n is None else n
+            if len(self.new) >= KEPT:
+                self.new, self.old = {}, self.new
+        return n
+
+    def _cut(self, texts: list[str]) -> np.ndarray:
+        column = pa.array(texts, pa.large_string())
+        at = np.frombuffer(column.buffers()[1], np.int64)[: len(texts) + 1]
+        if not at[-1]:
+            return np.zeros(len(texts), np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[: at[-1]]
+        space, start = SPACE[data], np.zeros(len(data), bool)
+        start[1:] = (space[1:] & ~space[:-1]) | (STOP[data[1:]] & LETTER[data[:-1]])
+        start[at[:-1][at[:-1] < len(data)]] = True
+        begin = np.flatnonzero(start)
+        ends = pa.py_buffer(np.append(begin, len(data)).astype(np.int64))
+        chunks = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, ends, column.buffers()[2]]).dictionary_encode()
+        n = np.fromiter(map(self._known, chunks.dictionary.to_pylist()), np.int64, len(chunks.dictionary))
+        return np.diff(np.concatenate([[0], np.cumsum(n[chunks.indices.to_numpy()])])[np.searchsorted(begin, at)])
+
+    def count(self, texts: list[str]) -> list[int]:
+        out, cut = [0] * len(texts), []
+        for i, t in enumerate(texts):
+            if not self.can(t):
+                out[i] = len(self.v.encode(t, add_special_tokens=False).ids)
+                continue
+            while len(t) > AT_ONCE and len(head := _head(t, AT_ONCE)) < len(t):  # a very long text in parts
+                out[i] += int(self._cut([head])[0])
+                t = t[len(head) :]
+            cut.append((i, t))
+        for (i, _), n in zip(cut, self._cut([t for _, t in cut]).tolist()):
+            out[i] += n
+        return out
+
+
+_COUNTERS: dict = {}
+
+
 def with_tokens(df: DataFrame, text: str, out: str = "tokens", name: str = VOCABULARY) -> DataFrame:
     """Adds the number of tokens of each text (null: 0)."""
     at = df.columns.index(text)
 
     def run(batches):
         v = vocabulary(name)
+        if name not in _COUNTERS or _COUNTERS[name].v is not v:
+            _COUNTERS[name] = Counter(v)
         for batch in batches:
-            n = [len(e.ids) for some in _batches(batch.column(at)) for e in v.encode_batch(some, add_special_tokens=False)]
+            n = [x for some in _batches(batch.column(at), 4096, AT_ONCE) for x in _COUNTERS[name].count(some)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=[*batch.schema.names, out])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))

@@ -214,3 +214,37 @@ def test_only_heads_of_long_texts_are_encoded(spark, monkeypatch):
     (batch,) = bpe.truncated(Table(), "t", 9)
     assert batch.column(1).to_pylist() == ["some plain words" * 1 + " some plain words" * 2] and max(seen) < 1000
 
+
+def test_counts_are_sums_over_chunks_met_once(spark, monkeypatch):
+    """Counts of odd texts equal those of the whole texts' tokens, in parts and with few chunks kept; a plain text is not encoded whole."""
+    v, r, seen = bpe.vocabulary(), random.Random(5), []
+    texts = ["".join(r.choice(a) for _ in range(r.randrange(300))) for a in ("ab1'. \n\t\r\xa0\u00e9\u3000!?,  's\x0b\u200b\ud55c", "ab  '\n.,1\u00e9\ud55cs") for _ in range(200)]
+    texts += ["x" * 900, " " * 900, "a " * 900, "hello <|endoftext|> " * 9, "", ".", "It's, well. (so),  \n\n and... 3.5", " lead", "tail \n", "\nline"]
+    want = [len(v.encode(t, add_special_tokens=False).ids) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(3)
+    assert [x["tokens"] for x in bpe.with_tokens(df, "t").orderBy("i").collect()] == want
+    monkeypatch.setattr(bpe, "AT_ONCE", 50)
+    monkeypatch.setattr(bpe, "KEPT", 7)
+    assert bpe.Counter(v).count(texts) == want
+
+    class Spy:
+        def __getattr__(self, name):
+            return getattr(v, name)
+
+        def encode(self, t, **kw):
+            seen.append(len(t))
+            return v.encode(t, **kw)
+
+        def encode_batch(self, some, **kw):
+            seen.extend(map(len, some))
+            return v.encode_batch(some, **kw)
+
+    class Table:
+        columns, schema = ["t"], df.select("t").schema
+
+        def mapInArrow(self, run, _):
+            return list(run([pa.RecordBatch.from_arrays([pa.array(["some plain words " * 5000, None])], names=["t"])]))
+
+    monkeypatch.setattr(bpe, "vocabulary", lambda name: Spy())
+    (batch,) = bpe.with_tokens(Table(), "t")
+    assert batch.column(1).to_pylist() == [len(v.encode("some plain words " * 5000, add_special_tokens=False).ids), 0] and not seen
