@@ -26,11 +26,12 @@ def register(spark: SparkSession) -> None:
 
 
 def register_chunker(spark: SparkSession, name: str, chunker: Callable[[str], Iterator[tuple[int, int]]]) -> None:
-    """SELECT ... FROM table, LATERAL name(text): a row (chunk, start, text) for each chunk; none for a null text. Rows travel as Arrow batches."""
+    """SELECT ... FROM table, LATERAL name(text): a row (chunk, start, text) for each chunk; none for a null text. Rows travel a hundred at a time;
+    as Arrow batches they would be thousands of whole texts at once, in a worker that then makes a batch of each text's chunks."""
 
     class Chunks:
         def eval(self, text: str):
             for i, (a, b) in enumerate(chunker(text) if text is not None else ()):
                 yield i, a, text[a:b]
 
-    spark.udtf.register(name, udtf(Chunks, returnType="chunk int, start int, text string", useArrow=True))
+    spark.udtf.register(name, udtf(Chunks, returnType="chunk int, start int, text string", useArrow=False))

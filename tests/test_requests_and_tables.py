@@ -5,7 +5,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from loomtext.functions import bpe
+from loomtext.functions import bpe, registered
 from loomtext.functions import requests as Q
 from loomtext.operators import fusion, html, lexical
 from loomtext.sources import collections as C
@@ -248,3 +248,18 @@ def test_counts_are_sums_over_chunks_met_once(spark, monkeypatch):
     monkeypatch.setattr(bpe, "vocabulary", lambda name: Spy())
     (batch,) = bpe.with_tokens(Table(), "t")
     assert batch.column(1).to_pylist() == [len(v.encode("some plain words " * 5000, add_special_tokens=False).ids), 0] and not seen
+
+
+def test_chunkers_in_sql_hold_few_texts(spark):
+    """A chunker that gives its worker's memory in MB as the place: 180 MB of texts in one task are not held at once."""
+
+    def memory(_):
+        import psutil
+
+        mb = psutil.Process().memory_info().rss >> 20
+        return [(mb, mb)]
+
+    registered.register_chunker(spark, "loom_memory", memory)
+    texts = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("ab "), 20_000).alias("text"))
+    n, mb = spark.sql("SELECT count(*), max(c.start) FROM {d} d, LATERAL loom_memory(d.text) c", d=texts).first()
+    assert n == 3000 and mb < 200
