@@ -7,6 +7,7 @@ waits, or the end of an entry; so an entry ends on time without any further row.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row
@@ -25,9 +26,8 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long")
-        self.state = handle.getValueState("state", self.fields)
-        self.timer = handle.getValueState("timer", "at long")
+        # one value, since each question to the state goes from this process to Spark's and back: waiting rows, the timer, the rule's own fields
+        self.value = handle.getValueState("value", f"waiting array<long>, timer long, {self.fields}")
 
     def take(self, state: tuple | None, at: int) -> tuple[tuple | None, list[tuple]]:
         raise NotImplementedError
@@ -39,11 +39,13 @@ class Ordered(StatefulProcessor):
     def ended(self, state: tuple) -> list[tuple]:
         raise NotImplementedError
 
-    def _advance(self, key, new: list[int], watermark_ms: int) -> Iterator[Row]:
+    def _advance(self, key, new: list[int], watermark_ms: int, gone_off: bool = False) -> Iterator[Row]:
         passed, named = watermark_ms * 1000, Row(*self.names)
-        rows = sorted([*(x[0] for x in self.waiting.get()), *new]) if self.waiting.exists() else sorted(new)
-        due = [x for x in rows if x <= passed]
-        state = self.state.get() if self.state.exists() else None
+        known = self.value.get()
+        waiting, timer, *held = known if known is not None else ((), None, None)
+        state = None if held[0] is None else tuple(held)
+        rows = sorted([*waiting, *new])
+        due = rows[: bisect_right(rows, passed)]
         for at in due:
             if state is not None and self.ends(state) <= at:
                 yield from (named(*key, *x) for x in self.ended(state))
@@ -54,36 +56,24 @@ class Ordered(StatefulProcessor):
             yield from (named(*key, *x) for x in self.ended(state))
             state = None
         rest = rows[len(due) :]
-        if due or new:
-            if rest:
-                self.waiting.put([(x,) for x in rest])
-            else:
-                self.waiting.clear()
-        if state is None:
-            self.state.clear()
-        else:
-            self.state.update(tuple(state))
         following = [*rest[:1], *([] if state is None else [self.ends(state)])]
-        self._set(-(-min(following) // 1000) if following else None)
-
-    def _set(self, at: int | None) -> None:
-        old = self.timer.get()[0] if self.timer.exists() else None
-        if old == at:
-            return
-        if old is not None:
-            self.handle.deleteTimer(old)
-        if at is None:
-            self.timer.clear()
-        else:
-            self.handle.registerTimer(at)
-            self.timer.update((at,))
+        at = -(-min(following) // 1000) if following else None
+        timer = None if gone_off else timer
+        if timer != at:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if at is not None:
+                self.handle.registerTimer(at)
+        if at is not None:
+            self.value.update((rest, at, *(state or (None,) * len(self.fields.split(",")))))
+        elif known is not None:
+            self.value.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         yield from self._advance(key, [r["at"] for r in rows], timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.timer.clear()  # it has gone off
-        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs())
+        yield from self._advance(key, [], timerValues.getCurrentWatermarkInMs(), True)
 
     def close(self) -> None:
         pass

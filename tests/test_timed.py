@@ -127,3 +127,58 @@ def test_search_and_profile(spark):
     assert p == {"k": (40, 0, 40), "n": (40, 0, 40), "t": (40, 20, 1)}
     none = {r["column"]: r["distinct_values"] for r in records.profile(a.limit(0)).collect()}
     assert none == {"k": 0, "n": 0, "t": 0}
+
+
+def test_few_questions_to_the_state():
+    """A key's rows, and a timer, cost one reading and one writing of the state besides the timer, however many rows wait."""
+    asked, values = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def exists(self):
+            asked.append("exists")
+            return self.name in values
+
+        def get(self):
+            asked.append("get")
+            return values.get(self.name)
+
+        def clear(self):
+            asked.append("clear")
+            values.pop(self.name, None)
+
+        def update(self, value):
+            asked.append("update")
+            values[self.name] = value
+
+        put = update
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return State(name)
+
+        getListState = getValueState
+
+        def registerTimer(self, at):
+            asked.append(f"at {at}")
+
+        def deleteTimer(self, at):
+            asked.append(f"not at {at}")
+
+    class Mark:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    s = timed.Sessions(1_000_000)
+    s.names = ("k", "begin", "last", "n")
+    s.init(Handle())
+    assert not list(s.handleInputRows((7,), iter([{"at": 1000 * i} for i in (900, 100, 3000, 400)]), Mark(0)))
+    assert len(asked) == 3 and asked[1] == "at 100"
+    asked.clear()
+    assert [tuple(x) for x in s.handleExpiredTimer((7,), Mark(2000), None)] == [(7, 100_000, 900_000, 3)]
+    assert len(asked) == 3 and asked[1] == "at 3000"
+    asked.clear()
+    assert [tuple(x) for x in s.handleExpiredTimer((7,), Mark(9000), None)] == [(7, 3_000_000, 3_000_000, 1)]
+    assert len(asked) == 2 and not values
